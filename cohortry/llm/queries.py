@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from cohortry.session import table
 
+from .cover_tree import embedding_links
 from .licenses import license_scan
 from .line_dedup import drop_common_lines
+from .ngram_join import ngram_classes
 from .pii import KINDS as PII_KINDS
 from .pii import pii_scan
 from .quality import quality_cascade
@@ -25,6 +27,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cascade(table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
+def op4_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links(table(spark, sf_dir, "embeddings"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = license_scan(table(spark, sf_dir, "documents"))
     start = F.transform("base", lambda x: x["start"])
@@ -38,6 +44,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_classes(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = drop_common_lines(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -66,7 +76,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", *[_of_kind("base", k).alias(f"n_{k}") for k in ("assign", "access", "hex")], F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(keyed).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_kd_shards, op2_quality_rules, op5_license_scan, op8_line_dedup, op9_pii, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_kd_shards, op2_quality_rules, op4_cover_tree, op5_license_scan, op7_ngram_jaccard, op8_line_dedup, op9_pii, op10_secrets)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _KEY = _LOWER.format(r"trim(l, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")
