@@ -40,7 +40,8 @@ def drop_common_lines(
         hashes = F.transform(F.arrays_zip(hashes.alias("h"), keys.alias("k")), lambda z: F.when(F.length(z["k"]) >= min_chars, z["h"]))
     held = docs.select(F.col(f"`{id_col}`").alias("__id"), F.explode(F.array_distinct(hashes)).alias("__h")).where("__h is not null")
     held = Written(held, "lines").df
-    common = held.groupBy("__h").count().where(F.col("count") >= min_docs).select("__h")
+    # written, so that the join below is of two plain exchanges, which can be split at a line that is everywhere
+    common = Written(held.groupBy("__h").count().where(F.col("count") >= min_docs).select("__h"), "common").df
     drops = held.join(common, "__h").groupBy("__id").agg(F.collect_set("__h").alias("__drop"))
     joined = docs.join(drops.hint("shuffle_hash"), docs[f"`{id_col}`"].eqNullSafe(drops["__id"]), "left")
     lines = _lines(text_col)
