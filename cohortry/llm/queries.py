@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,9 @@ from cohortry.session import table
 from .cover_tree import embedding_links
 from .licenses import license_scan
 from .line_dedup import drop_common_lines
+from .mixing import mix
 from .ngram_join import ngram_classes
+from .pieces import PieceTable, encode
 from .pii import KINDS as PII_KINDS
 from .pii import pii_scan
 from .quality import quality_cascade
@@ -18,6 +22,14 @@ from .secrets import secret_scan
 from .sharding import kd_shards
 
 
+#: The piece table of the tokenizing queries; another model may be named in the environment.
+PIECE_MODEL = os.environ.get("COHORTRY_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def piece_table(path: str | None = None) -> PieceTable:
+    return PieceTable.load(path or PIECE_MODEL)
+
+
 def op1_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = kd_shards(table(spark, sf_dir, "documents"), shards=16)
     return got.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -27,6 +39,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cascade(table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and whether decoding them gives the text back."""
+    docs, pieces = table(spark, sf_dir, "documents"), piece_table()
+    return encode(docs, pieces, check=True)
+
+
 def op4_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(table(spark, sf_dir, "embeddings"))
 
@@ -44,6 +62,11 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = mix(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "source", "lang", "topic", "tokens", F.round("probability", 6).alias("probability"), "sampled")
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_classes(table(spark, sf_dir, "documents"))
 
@@ -76,7 +99,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", *[_of_kind("base", k).alias(f"n_{k}") for k in ("assign", "access", "hex")], F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(keyed).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_kd_shards, op2_quality_rules, op4_cover_tree, op5_license_scan, op7_ngram_jaccard, op8_line_dedup, op9_pii, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_kd_shards, op2_quality_rules, op3_sentencepiece, op4_cover_tree, op5_license_scan, op6_mixing, op7_ngram_jaccard, op8_line_dedup, op9_pii, op10_secrets)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _KEY = _LOWER.format(r"trim(l, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")
