@@ -29,6 +29,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of some 8 MB, where the session has no other setting of its own: rows may hold very long texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) == "67108864b":
+        spark.conf.set(key, "8m")
+
+
 class Written:
     """A DataFrame written to the shared folder and read again: lineage is cut and lost executors cost nothing."""
 
@@ -72,8 +79,9 @@ def map_texts(
 ) -> DataFrame:
     """Run ``each`` over Arrow batches of texts (null as empty); returns columns ``keep`` and those of DDL ``out``.
 
-    Texts are taken in slices of some 16 MB, so that memory does not follow the batch size.
+    Texts are taken in slices of some 2 MB, so that memory does not follow the batch size.
     """
+    bounded_batches(df.sparkSession)
     kept = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)]
     empty = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     source = df.select(*kept, (empty.cast("binary") if as_bytes else empty).alias("t"))
@@ -89,7 +97,7 @@ def map_texts(
 
         arrow = to_arrow_schema(schema)
         for whole in batches:
-            step = max(1, whole.num_rows * (16 << 20) // max(1, whole.nbytes))
+            step = max(1, whole.num_rows * (2 << 20) // max(1, whole.nbytes))
             for at in range(0, whole.num_rows, step):
                 b = whole.slice(at, step)
                 got = each(b.column(n).to_pylist())

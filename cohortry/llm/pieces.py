@@ -6,8 +6,9 @@ piece table (of fixed size, broadcast), edges are gathered by atom, and a higher
 unigram tables that fold is Viterbi's. The scores of BPE tables are merge ranks, whose best sum is not what the
 format's encoder gives; there the same lattice is folded in rank order, merging where an edge spans two neighbours.
 
-Frequent atoms, up to a fixed number, go to all tasks; texts become codes of atoms. Rare atoms are joined to blocks of
-documents by a shuffle, however many they are.
+Known atoms go to all tasks as arrays, up to a fixed number of them, the most frequent ones (4 million take some 80 MB).
+Where there are more, texts become codes of atoms, and the rare ones are joined to blocks of documents by a shuffle,
+however many they are.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Written
+from .common import Written, bounded_batches
+from .hashing import mixed, powers
 
 SPACE = "▁"
 #: Atoms of up to so many characters have their boundaries in one long.
@@ -63,29 +65,27 @@ class PieceTable:
             names.index("<0x00>") if m.trainer_spec.byte_fallback else -1, next((i for i, p in enumerate(m.pieces) if p.type == 2), 0), n.add_dummy_prefix,
         )
 
-    def atom_pattern(self) -> str:
-        """An expression whose matches part any text (with ``SPACE`` for spaces) where no piece reaches across.
+    def kinds(self) -> np.ndarray:
+        """A class for each code point: atoms are runs of one class, with the spaces (class 0) before them.
 
-        Characters are letters (ASCII, and non-ASCII not found beside ASCII punctuation in a piece), digits, or others;
-        a run of one class takes the spaces before it. Should a piece mix classes or hold a space after another
-        character, the table gets the coarser form that it allows.
+        Characters are letters (ASCII, and non-ASCII not found beside ASCII punctuation in a piece), digits, or others.
+        Should a piece mix classes or hold a space after another character, the table gets the coarser classes that it
+        allows: no piece ever reaches across atoms.
         """
+        out = np.ones(0x110000, np.uint8)
         used = [p for p, n in zip(self.pieces, self.normal) if n and len(p) > 1]
         if any(SPACE in p.lstrip(SPACE) for p in used):
-            return r"(?s:.+)"
-        ascii_kind = lambda c: "L" if c.isalpha() else "D" if c.isdigit() else "P"
+            return out
+        out[ord(SPACE)] = 0
+        ascii_kind = lambda c: 1 if c.isalpha() else 2 if c.isdigit() else 3
         pairs = {(a, b) for p in used for a, b in zip(p, p[1:]) if a != SPACE}
-        other = {y for a, b in pairs for x, y in ((a, b), (b, a)) if x < "\x80" <= y and ascii_kind(x) == "P"}
+        other = {y for a, b in pairs for x, y in ((a, b), (b, a)) if x < "\x80" <= y and ascii_kind(x) == 3}
         while more := {y for a, b in pairs for x, y in ((a, b), (b, a)) if x in other and y >= "\x80"} - other:
             other |= more
-        kind = lambda c: "P" if c in other else "L" if c >= "\x80" else ascii_kind(c)
-        marks = "".join(f"\\u{ord(c):04x}" if ord(c) < 65536 else f"\\U{ord(c):08x}" for c in sorted(other))
-        if all(kind(a) == kind(b) for a, b in pairs):
-            return rf"{SPACE}*(?:(?:[A-Za-z]|[^\x00-\x7f{SPACE}{marks}])+|[0-9]+|[\x00-/:-@\[-`{{-\x7f{marks}]+)|{SPACE}+"
-        return rf"{SPACE}*[^{SPACE}]+|{SPACE}+"
-
-    def escaped(self, text: str) -> str:
-        return (SPACE if self.prefix and text else "") + text.replace(" ", SPACE)
+        fine = out.copy()
+        fine[:128] = [ascii_kind(chr(i)) for i in range(128)]
+        fine[[ord(c) for c in other]] = 3
+        return fine if all(fine[ord(a)] == fine[ord(b)] for a, b in pairs) else out
 
     def decode(self, ids) -> str:
         """The text of ``ids``: bytes joined and read as UTF-8, control and unknown ids left out."""
@@ -116,7 +116,7 @@ def _setting(spark: SparkSession, key: str, value: str):
 
 
 def edges(words: DataFrame, table: PieceTable) -> DataFrame:
-    """(word, start, end, rank, id): each piece at each place of a distinct word, and one row with id -1 for each word.
+    """The columns of ``words`` and (start, end, rank, score, id): each piece at each place of a distinct word, and one row with id -1 for each word.
 
     ``rank`` numbers distinct scores, the highest first.
     """
@@ -125,11 +125,12 @@ def edges(words: DataFrame, table: PieceTable) -> DataFrame:
     rows = [(p, i, ranks[s], float(s)) for i, (p, s, n) in enumerate(zip(table.pieces, table.scores, table.normal)) if n]
     pieces = spark.createDataFrame(pd.DataFrame([*rows, ("", -1, 0, 0.0)], columns=["piece", "id", "rank", "score"]), "piece string, id int, rank int, score double")
     n = F.length("word")
-    at = words.select("word", n.alias("n"), F.explode(F.sequence(F.lit(1), n)).alias("s"))
-    at = at.select("word", "n", "s", F.explode(F.sequence(F.when(F.col("s") == 1, 0).otherwise(1), F.least(F.lit(table.width), F.col("n") - F.col("s") + 1))).alias("k"))
+    own = words.columns
+    at = words.select(*own, n.alias("__n"), F.explode(F.sequence(F.lit(1), n)).alias("s"))
+    at = at.select(*own, "s", F.explode(F.sequence(F.when(F.col("s") == 1, 0).otherwise(1), F.least(F.lit(table.width), F.col("__n") - F.col("s") + 1))).alias("k"))
     at = at.withColumn("piece", F.col("word").substr(F.col("s"), F.col("k")))
     # the piece table has a fixed size, that of the vocabulary
-    return at.join(F.broadcast(pieces), "piece").select("word", (F.col("s") - 1).alias("start"), (F.col("s") + F.col("k") - 1).alias("end"), "rank", "score", "id")
+    return at.join(F.broadcast(pieces), "piece").select(*own, (F.col("s") - 1).alias("start"), (F.col("s") + F.col("k") - 1).alias("end"), "rank", "score", "id")
 
 
 def _single(i: Column, table: PieceTable) -> Column:
@@ -172,7 +173,13 @@ def _merge_short(grouped: DataFrame, table: PieceTable) -> DataFrame:
     path = F.filter("edges", lambda e: (m.bitwiseAND(ends(e)) == ends(e)) & (m.bitwiseAND(inner(e)) == 0))
     packed = F.sort_array(F.transform(path, lambda e: F.shiftleft(st(e).cast("long"), 40).bitwiseOR(F.shiftleft(en(e).cast("long"), 28)).bitwiseOR(e.bitwiseAND(F.lit((1 << 24) - 1)))))
     # a column of its own, as it is read more than once
-    return done.select("word", packed.alias("path")).select("word", _filled(F.col("path"), table).alias("ids"))
+    own = [c for c in grouped.columns if c != "edges"]
+    return done.select(*own, packed.alias("path")).select(*own, _filled(F.col("path"), table).alias("ids"))
+
+
+def _own(rows: DataFrame) -> list[str]:
+    """The columns of the words that edges were made of."""
+    return [c for c in rows.columns if c not in ("start", "end", "rank", "score", "id")]
 
 
 def _merge_long(rows: DataFrame, table: PieceTable) -> DataFrame:
@@ -198,7 +205,8 @@ def _merge_long(rows: DataFrame, table: PieceTable) -> DataFrame:
             out.append(ids)
         return pd.Series(out)
 
-    return rows.groupBy("word").agg(F.collect_list(F.struct("rank", "start", "end", "id")).alias("edges")).select("word", fold("word", F.filter("edges", lambda e: e["id"] >= 0)).alias("ids"))
+    own = _own(rows)
+    return rows.groupBy(*own).agg(F.collect_list(F.struct("rank", "start", "end", "id")).alias("edges")).select(*own, fold("word", F.filter("edges", lambda e: e["id"] >= 0)).alias("ids"))
 
 
 def _viterbi(rows: DataFrame, table: PieceTable) -> DataFrame:
@@ -208,7 +216,8 @@ def _viterbi(rows: DataFrame, table: PieceTable) -> DataFrame:
     """
     low = min([s for s, n in zip(table.scores, table.normal) if n], default=0.0) - 10.0
     n = F.length("word")
-    grouped = rows.groupBy("word").agg(F.collect_list(F.struct("end", "start", "id", "score")).alias("edges"))
+    own = _own(rows)
+    grouped = rows.groupBy(*own).agg(F.collect_list(F.struct("end", "start", "id", "score")).alias("edges"))
     step = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("end"), (i - 1).alias("start"), F.lit(-2).alias("id"), F.lit(low).alias("score")))
     every = F.sort_array(F.concat(F.filter("edges", lambda e: e["id"] >= 0), step))
     none = F.lit(float("-inf"))
@@ -230,41 +239,93 @@ def _viterbi(rows: DataFrame, table: PieceTable) -> DataFrame:
         return F.when(acc["at"] > 0, F.struct(here["from"].alias("at"), path.alias("path"))).otherwise(acc)
 
     path = F.aggregate(F.sequence(F.lit(1), n), walk0, back)["path"]
-    return done.withColumn("path", path).select("word", _filled(F.col("path"), table).alias("ids"))
+    return done.withColumn("path", path).select(*own, _filled(F.col("path"), table).alias("ids"))
 
 
 def segment(words: DataFrame, table: PieceTable) -> DataFrame:
-    """(word, ids) for distinct non-empty words in escaped form."""
+    """The columns of ``words`` and ``ids``, for distinct non-empty words in escaped form in column ``word``."""
     if table.kind == "unigram":
         if table.width > _SHORT:
             raise ValueError("pieces are too long")
         return _viterbi(edges(words, table), table)
     short = words.where(F.length("word") <= _SHORT)
-    packed = edges(short, table).select("word", F.when(F.col("id") >= 0, F.shiftleft(F.col("rank").cast("long"), 36).bitwiseOR(F.shiftleft(F.col("start").cast("long"), 30)).bitwiseOR(F.shiftleft(F.col("end").cast("long"), 24)).bitwiseOR(F.col("id").cast("long"))).alias("e"))
-    grouped = packed.groupBy("word").agg(F.sort_array(F.collect_list("e")).alias("edges"))
+    packed = edges(short, table).select(*words.columns, F.when(F.col("id") >= 0, F.shiftleft(F.col("rank").cast("long"), 36).bitwiseOR(F.shiftleft(F.col("start").cast("long"), 30)).bitwiseOR(F.shiftleft(F.col("end").cast("long"), 24)).bitwiseOR(F.col("id").cast("long"))).alias("e"))
+    grouped = packed.groupBy(*words.columns).agg(F.sort_array(F.collect_list("e")).alias("edges"))
     return _merge_short(grouped, table).unionByName(_merge_long(edges(words.where(F.length("word") > _SHORT), table), table))
 
 
-class _Codes(dict):
-    """Codes of frequent atoms; others get negative codes of the block at hand."""
-
-    def __init__(self, words):
-        super().__init__(zip(words, range(len(words))))
-        self.rare: dict[str, int] = {}
-
-    def __missing__(self, w: str) -> int:
-        return self.rare.setdefault(w, -1 - len(self.rare))
-
-
-_HELD: dict[str, _Codes] = {}
-
-
-def _codes(key: str, words) -> _Codes:
-    """One table for all tasks of a Python worker."""
-    if key not in _HELD:
-        _HELD.clear()
-        _HELD[key] = _Codes(words)
-    return _HELD[key]
+@dataclass
+class Atoms:
+    """The atoms of a batch of texts: code points, where atoms start and end, their hashes, and the atoms before each text."""
+
+    points: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    hashes: np.ndarray
+    before: np.ndarray
+
+    def word(self, i: int) -> str:
+        return self.points[self.start[i] : self.end[i]].tobytes().decode("utf-32-le")
+
+
+def atoms_of(texts: list[str], kinds: np.ndarray, prefix: bool) -> Atoms:
+    """All texts are cut and hashed together: the hash of an atom is the difference of two prefix sums of values of code
+    points times powers, taken back to the same power."""
+    own = [SPACE + t if prefix and t else t for t in texts]
+    points = np.frombuffer("".join(own).encode("utf-32-le"), "<u4").copy()
+    points[points == 32] = ord(SPACE)
+    n = len(points)
+    bounds = np.cumsum([0, *map(len, own)])
+    kind = kinds[points]
+    first = np.empty(n + 1, bool)
+    np.not_equal(kind[1:], kind[:-1], out=first[1:n])
+    first[1:n] &= kind[:-1] != 0
+    first[bounds] = True
+    first[n] = True
+    cut = np.flatnonzero(first)
+    start, end = cut[:-1], cut[1:]
+    up, down = powers(n + 1)
+    value = points.astype(np.uint64) + np.uint64(1)
+    value *= np.uint64(0xBF58476D1CE4E5B9)
+    value ^= value >> np.uint64(27)
+    value *= np.uint64(0x94D049BB133111EB)
+    value *= up[:n]
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value)])
+    hashes = mixed((sums[end] - sums[start]) * down[start])
+    return Atoms(points, start, end, hashes, np.searchsorted(start, bounds))
+
+
+class AtomIndex:
+    """Ids of known atoms by hash: sorted keys behind a table of their leading bits."""
+
+    _BITS = 20
+
+    def __init__(self, keys: np.ndarray, offsets: np.ndarray, flat: np.ndarray):
+        self.keys, self.offsets, self.flat = keys, offsets, flat
+        self.first = np.searchsorted(keys, np.arange((1 << self._BITS) + 1, dtype=np.uint64) << np.uint64(64 - self._BITS)).astype(np.int32)
+        self.first[-1] = len(keys)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Positions of keys, -1 for unknown ones."""
+        if not len(self.keys):
+            return np.full(len(hashes), -1, np.int32)
+        at = self.first[(hashes >> np.uint64(64 - self._BITS)).astype(np.int64)]
+        top = np.int32(len(self.keys) - 1)
+        at = np.minimum(at, top)
+        key = self.keys[at]
+        open_ = np.flatnonzero(key < hashes)
+        while len(open_):
+            more = np.minimum(at[open_] + 1, top)
+            stuck = more == at[open_]
+            at[open_] = more
+            open_ = open_[(self.keys[more] < hashes[open_]) & ~stuck]
+        return np.where(self.keys[at] == hashes, at, np.int32(-1))
+
+
+def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The slices of ``flat`` one after the other."""
+    before = np.cumsum(size) - size
+    return flat[np.repeat(start - before, size) + np.arange(int(size.sum()))]
 
 
 def _pack(codes: np.ndarray) -> bytes:
@@ -281,7 +342,7 @@ def _unpack(blob: bytes) -> np.ndarray:
 
 
 def encode(
-    docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col: str = "text", frequent: int = 1 << 19, block_atoms: int = 100_000, check: bool = False
+    docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col: str = "text", frequent: int = 1 << 22, block_atoms: int = 100_000, check: bool = False
 ) -> DataFrame:
     """``id_col``, ``n_tokens``, ``ids`` (array of int) and, if asked for, ``round_trip``: whether the decoded ids are as many
     bytes, with the CRC-32, of the text (with its space signs as spaces).
@@ -291,133 +352,225 @@ def encode(
     with a space there, as in the format's own library. ``frequent`` bounds what all tasks are sent; the ids do not depend on it.
     """
     spark = docs.sparkSession
-    pattern = table.atom_pattern()
+    bounded_batches(spark)
+    kinds, prefix = table.kinds(), table.prefix
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"))
     id_type = source.schema["id"].dataType.simpleString()
-    escaped = table.escaped
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # repartitioned by word, so that edges need no further exchange to be gathered
+    counted = source.mapInArrow(_counter(kinds, prefix), "word string, n long").repartition(parts, "word").groupBy("word").agg(F.sum("n").alias("n"))
+    words = Written(counted, "words")
+    total = words.df.count()
+    whole = total <= frequent
+    asked = words.df.repartition(parts, "word")
+    with _setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "200000"):
+        pieced = segment(asked, table)
+        pieced = Written(pieced.drop("n") if whole else pieced, "pieced")
+    words.drop()
+    if whole:
+        known = pieced.df
+    else:
+        least = held = 0
+        for r in pieced.df.groupBy("n").count().orderBy(F.desc("n")).limit(frequent).toLocalIterator():
+            held += r["count"]
+            if held > frequent:
+                least = r["n"] + 1
+                break
+        known = pieced.df.where(F.col("n") >= least)
+    index = spark.sparkContext.broadcast(_index(known.select("word", "ids").mapInArrow(_hasher(kinds), "h long, ids array<int>").toArrow()))
+    read = _reader(table)
+    columns = f"id {id_type}, n_tokens long, ids array<int>" + ", round_trip boolean" * check
+    if whole:
+        pieced.drop()
+        out = source.mapInArrow(_encoder(kinds, prefix, index, read if check else None, id_type), columns)
+        return out.withColumnRenamed("id", id_col)
+    kind = f"block long, ids array<{id_type}>, ends array<int>, blob binary, rare array<string>, sums array<long>"
+    coded = Written(source.mapInArrow(_coder(kinds, prefix, index, block_atoms, id_type), kind), "coded")
+    rare = coded.df.select("block", F.posexplode("rare").alias("k", "word")).join(pieced.df.select("word", "ids"), "word")
+    rare = rare.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("k", F.col("ids").alias("own")))).alias("r"))
+    rare = rare.select("block", F.transform("r", lambda x: x["own"]).alias("rare_ids"))
+    joined = coded.df.select("block", "ids", "ends", "blob", "sums").join(rare, "block", "left").select("ids", "ends", "blob", "rare_ids", "sums")
+    return joined.mapInArrow(_builder(index, read if check else None, id_type), columns).withColumnRenamed("id", id_col)
+
+
+def _slices(b: pa.RecordBatch):
+    """(ids, texts) of some 1 MB."""
+    step = max(1, b.num_rows * (1 << 20) // max(1, b.nbytes))
+    for at in range(0, b.num_rows, step):
+        s = b.slice(at, step)
+        yield s.column(0).to_pylist(), s.column(1).to_pylist()
 
-    def texts(b: pa.RecordBatch):
-        step = max(1, b.num_rows * (16 << 20) // max(1, b.nbytes))
-        for at in range(0, b.num_rows, step):
-            s = b.slice(at, step)
-            yield from zip(s.column(0).to_pylist(), s.column(1).to_pylist())
 
-    def count(batches):
-        from collections import Counter
+def _counter(kinds: np.ndarray, prefix: bool):
+    """Distinct atoms of a task with their counts, sent on whenever there are very many."""
 
-        atoms, held = re.compile(pattern).findall, Counter()
+    def run(batches):
+        known, counts, words = np.empty(0, np.uint64), np.empty(0, np.int64), []
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(counts)], names=["word", "n"])
 
         for b in batches:
-            for _, t in texts(b):
-                held.update(atoms(escaped(t)))
-                if len(held) > 400_000:
+            for _, texts in _slices(b):
+                a = atoms_of(texts, kinds, prefix)
+                h, at, n = np.unique(a.hashes, return_index=True, return_counts=True)
+                place = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
+                old = known[place] == h if len(known) else np.zeros(len(h), bool)
+                counts[place[old]] += n[old]
+                new = ~old
+                fresh = [a.word(i) for i in at[new].tolist()]
+                both = np.concatenate([known, h[new]])
+                order = np.argsort(both, kind="stable")
+                known, counts = both[order], np.concatenate([counts, n[new]])[order]
+                every = np.empty(len(order), object)
+                every[: len(words)] = words
+                every[len(words) :] = fresh
+                words = every[order]
+                if len(known) > 600_000:
                     yield out()
-                    held.clear()
-        if held:
+                    known, counts, words = np.empty(0, np.uint64), np.empty(0, np.int64), []
+        if len(known):
             yield out()
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counted = source.mapInArrow(count, "word string, n long").repartition(parts, "word").groupBy("word").agg(F.sum("n").alias("n"))
-    words = Written(counted, "words")
-    # the longest fallback-free hash table holds a task's words, which the number of partitions bounds
-    with _setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "200000"):
-        # repartitioned by word, so that edges need no further exchange to be gathered
-        pieced = Written(segment(words.df.select("word").repartition(parts, "word"), table), "pieced")
-    least = 1
-    total = 0
-    for r in words.df.groupBy("n").count().orderBy(F.desc("n")).limit(frequent).toLocalIterator():
-        total += r["count"]
-        if total > frequent:
-            least = r["n"] + 1
-            break
-    top = words.df.where(F.col("n") >= least).join(pieced.df, "word").select("word", "n", "ids").toArrow()
-    top = top.take(np.argsort(-top.column("n").to_numpy(), kind="stable"))
-    lists = top.column("ids").combine_chunks()
-    lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks)
-    offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy().astype(np.int32)
-    key = words.path
-    common = spark.sparkContext.broadcast(top.column("word").to_pylist())
-    common_ids = spark.sparkContext.broadcast((offsets, flat))
-
-    def code(batches):
-        from pyspark import TaskContext
+    return run
 
-        atoms, task, blocks = re.compile(pattern).findall, TaskContext.get().partitionId(), 0
-        codes = _codes(key, common.value)
-        codes.rare = {}
-        ids, ends, parts_, sums, held = [], [], [], [], 0
 
-        def out():
-            nonlocal ids, ends, parts_, sums, held, blocks
-            blob = _pack(np.concatenate(parts_) if parts_ else np.empty(0, np.int32))
-            b = pa.RecordBatch.from_arrays(
-                [pa.array([task << 32 | blocks]), pa.array([ids], pa.list_(to)), pa.array([ends], pa.list_(pa.int32())), pa.array([blob], pa.binary()), pa.array([list(codes.rare)], pa.list_(pa.string())), pa.array([[x - (1 << 63) for x in sums]], pa.list_(pa.int64()))],
-                names=["block", "ids", "ends", "blob", "rare", "sums"],
-            )
-            ids, ends, parts_, sums, held, blocks, codes.rare = [], [], [], [], 0, blocks + 1, {}
-            return b
+def _hasher(kinds: np.ndarray):
+    """Atoms as their hashes."""
 
+    def run(batches):
         for b in batches:
-            for i, t in texts(b):
-                own = atoms(escaped(t))
-                parts_.append(np.fromiter(map(codes.__getitem__, own), np.int32, len(own)))
-                if check:
-                    raw = t.replace(SPACE, " ").encode()
-                    sums.append(zlib.crc32(raw) << 32 | len(raw) & 0xFFFFFFFF)
-                held += len(own)
-                ids.append(i), ends.append(held)
-                if held > block_atoms or len(ids) >= 2000:
-                    yield out()
-        if ids:
-            yield out()
-
+            a = atoms_of(b.column(0).to_pylist(), kinds, False)
+            yield pa.RecordBatch.from_arrays([pa.array(a.hashes.view(np.int64)), b.column(1)], names=["h", "ids"])
+
+    return run
+
+
+def _index(rows: pa.Table) -> AtomIndex:
+    """Built chunk by chunk: the driver never holds the lists twice."""
+    keys = np.concatenate([np.empty(0, np.int64), *(c.to_numpy() for c in rows.column("h").chunks)]).view(np.uint64)
+    order = np.argsort(keys)
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.arange(len(keys))
+    keys = keys[order]
+    if (keys[1:] == keys[:-1]).any():
+        raise ValueError("two atoms have one hash")
+    chunks = rows.column("ids").chunks
+    sizes = np.concatenate([np.empty(0, np.int64), *(np.diff(c.offsets.to_numpy()) for c in chunks)])
+    offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes[order])])
+    top = max([0, *(c.values.to_numpy().max() for c in chunks if len(c.values))])
+    flat = np.empty(offsets[-1], np.uint16 if top < 65536 else np.int32)
+    at = 0
+    for c in chunks:
+        n = len(c)
+        size = sizes[at : at + n]
+        ids = c.values.to_numpy()[c.offsets[0].as_py() : c.offsets[n].as_py()]
+        target = offsets[place[at : at + n]]
+        flat[np.repeat(target - (np.cumsum(size) - size), size) + np.arange(len(ids))] = ids
+        at += n
+    return AtomIndex(keys, offsets.astype(np.int32), flat)
+
+
+def _sum_of(text: str) -> int:
+    raw = text.encode()
+    return (zlib.crc32(raw) << 32 | len(raw) & 0xFFFFFFFF) - (1 << 63)
+
+
+def _type(id_type: str):
     from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import _parse_datatype_string
 
-    to = to_arrow_type(source.schema["id"].dataType)
-    coded = Written(source.mapInArrow(code, f"block long, ids array<{id_type}>, ends array<int>, blob binary, rare array<string>, sums array<long>"), "coded")
-    rare = coded.df.select("block", F.posexplode("rare").alias("k", "word")).join(pieced.df, "word")
-    rare = rare.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("k", F.col("ids").alias("own")))).alias("r"))
-    rare = rare.select("block", F.transform("r", lambda x: x["own"]).alias("rare_ids"))
-    whole = coded.df.select("block", "ids", "ends", "blob", "sums").join(rare, "block", "left")
-    whole = whole.select("ids", "ends", "blob", "rare_ids", "sums")
+    return to_arrow_type(_parse_datatype_string(id_type))
 
-    def build(batches):
-        offsets, flat = common_ids.value
+
+def _batch(ids, cut, tokens, sums, read, to) -> pa.RecordBatch:
+    cols = [pa.array(ids, to), pa.array(np.diff(cut).astype(np.int64)), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(tokens.astype(np.int32)))]
+    if read:
+        cols.append(pa.array([_sum_of(read(tokens[a:z].tolist())) == s for a, z, s in zip(cut[:-1], cut[1:], sums)], pa.bool_()))
+    return pa.RecordBatch.from_arrays(cols, names=["id", "n_tokens", "ids", "round_trip"][: len(cols)])
+
+
+def _encoder(kinds, prefix, index, read, id_type):
+    """Ids where all atoms are known."""
+    to = _type(id_type)
+
+    def run(batches):
+        known = index.value
+        for b in batches:
+            for ids, texts in _slices(b):
+                a = atoms_of(texts, kinds, prefix)
+                code = known.find(a.hashes)
+                if (code < 0).any():
+                    raise RuntimeError("an atom is unknown that was counted before: the input has changed")
+                start = known.offsets[code].astype(np.int64)
+                size = known.offsets[code + 1] - start
+                cut = np.concatenate([[0], np.cumsum(size)])[a.before]
+                yield _batch(ids, cut, gather(known.flat, start, size), [_sum_of(t.replace(SPACE, " ")) for t in texts] if read else None, read, to)
+
+    return run
+
+
+def _coder(kinds, prefix, index, block_atoms, id_type):
+    """Blocks of documents as codes of atoms; atoms not in the index are listed with the block."""
+    to = _type(id_type)
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        task, blocks, known = TaskContext.get().partitionId(), 0, index.value
+        for b in batches:
+            for ids, texts in _slices(b):
+                a = atoms_of(texts, kinds, prefix)
+                lo = 0
+                while lo < len(ids):
+                    hi = max(lo + 1, int(np.searchsorted(a.before, a.before[lo] + block_atoms, "right")) - 1)
+                    x, y = a.before[lo], a.before[min(hi, len(ids))]
+                    code = known.find(a.hashes[x:y]).astype(np.int32)
+                    cold = np.flatnonzero(code < 0)
+                    _, at, which = np.unique(a.hashes[x:y][cold], return_index=True, return_inverse=True)
+                    code[cold] = -1 - which
+                    rare = [a.word(int(x + cold[i])) for i in at]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([task << 32 | blocks]), pa.array([ids[lo:hi]], pa.list_(to)), pa.array([(a.before[lo + 1 : hi + 1] - x).tolist()], pa.list_(pa.int32())), pa.array([_pack(code)], pa.binary()),
+                            pa.array([rare], pa.list_(pa.string())), pa.array([[_sum_of(t.replace(SPACE, " ")) for t in texts[lo:hi]]], pa.list_(pa.int64())),
+                        ],
+                        names=["block", "ids", "ends", "blob", "rare", "sums"],
+                    )
+                    blocks += 1
+                    lo = hi
+
+    return run
+
+
+def _builder(index, read, id_type):
+    """Ids of blocks whose rare atoms have been joined."""
+    to = _type(id_type)
+
+    def run(batches):
+        known = index.value
         for b in batches:
             for k in range(b.num_rows):
                 ids, ends = b.column(0)[k].as_py(), np.array(b.column(1)[k].as_py(), np.int64)
-                codes = _unpack(b.column(2)[k].as_py()).astype(np.int64)
-                own = b.column(3)[k].values
-                rare_off, rare_flat = np.zeros(1, np.int64), np.empty(0, np.int32)
-                if own is not None:
-                    rare_flat = own.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-                    rare_off = np.cumsum([0, *(len(x) for x in own.to_pylist())])
-                hot = codes >= 0
-                start, size = np.empty(len(codes), np.int64), np.empty(len(codes), np.int64)
-                start[hot] = offsets[codes[hot]]
-                size[hot] = offsets[codes[hot] + 1] - start[hot]
-                cold = -1 - codes[~hot]
-                start[~hot] = rare_off[cold]
-                size[~hot] = rare_off[cold + 1] - rare_off[cold]
-                before = np.concatenate([[0], np.cumsum(size)])
-                at = np.repeat(start - before[:-1], size) + np.arange(before[-1])
+                code = _unpack(b.column(2)[k].as_py()).astype(np.int64)
+                rare = b.column(3)[k].as_py() or []
+                off = np.cumsum([0, *map(len, rare)])
+                flat = np.array([i for x in rare for i in x], np.int32)
+                hot = code >= 0
+                start, size = np.empty(len(code), np.int64), np.empty(len(code), np.int64)
+                start[hot] = known.offsets[code[hot]]
+                size[hot] = known.offsets[code[hot] + 1] - start[hot]
+                cold = -1 - code[~hot]
+                start[~hot] = off[cold]
+                size[~hot] = off[cold + 1] - off[cold]
                 which = np.repeat(hot, size)
-                tokens = np.empty(before[-1], np.int32)
-                tokens[which] = flat[at[which]]
-                tokens[~which] = rare_flat[at[~which]]
-                cut = before[np.concatenate([[0], ends])].astype(np.int32)
-                cols = [pa.array(ids, to), pa.array(np.diff(cut).astype(np.int64)), pa.ListArray.from_arrays(pa.array(cut), pa.array(tokens))]
-                if check:
-                    made = (read(tokens[a:z].tolist()).encode() for a, z in zip(cut[:-1], cut[1:]))
-                    cols.append(pa.array([(zlib.crc32(x) << 32 | len(x) & 0xFFFFFFFF) - (1 << 63) == s for x, s in zip(made, b.column(4)[k].as_py())]))
-                yield pa.RecordBatch.from_arrays(cols, names=["id", "n_tokens", "ids", "round_trip"][: len(cols)])
+                tokens = np.empty(len(which), np.int32)
+                tokens[which] = gather(known.flat, start[hot], size[hot])
+                tokens[~which] = gather(flat, start[~hot], size[~hot])
+                cut = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], ends])]
+                yield _batch(ids, cut, tokens, b.column(4)[k].as_py() if read else None, read, to)
 
-    read = _reader(table)
-    out = whole.mapInArrow(build, f"id {id_type}, n_tokens long, ids array<int>" + ", round_trip boolean" * check)
-    return out.withColumnRenamed("id", id_col)
+    return run
 
 
 def _reader(table: PieceTable):
