@@ -44,14 +44,16 @@ def scale_for(rate: np.ndarray, mass: np.ndarray, budget: float) -> float:
     r, m = rate[order], mass[order]
     capped = np.concatenate([[0.0], np.cumsum(m)])[:-1]
     open_ = np.cumsum((r * m)[::-1])[::-1]
-    s = np.divide(budget - capped, open_, out=np.full(len(r), np.inf), where=open_ > 0)
-    fits = np.flatnonzero(s * r <= 1 + 1e-12)
+    s = np.divide(budget - capped, open_, out=np.zeros(len(r)), where=open_ > 0)
+    fits = np.flatnonzero((open_ > 0) & (s * r <= 1 + 1e-12))
     return float(s[fits[0]]) if len(fits) else float("inf")
 
 
 def rake(cells: list[tuple], masses: np.ndarray, targets: list[dict], rounds: int) -> np.ndarray:
     """``masses`` scaled ``rounds`` times to each of ``targets`` (shares by value), which are restricted to values present."""
     total, out = masses.sum(), masses.astype(float)
+    if not cells:
+        return out
     at = []
     for d, target in enumerate(targets):
         values = sorted({c[d] for c in cells}, key=lambda v: (v is None, str(v)))
