@@ -104,7 +104,66 @@ QUERIES = {f.__name__: f for f in (op1_kd_shards, op2_quality_rules, op3_sentenc
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _KEY = _LOWER.format(r"trim(l, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")
 
+_SPLIT = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_WORDS = _SPLIT.format("text")
+_CLASSES = """reach AS (SELECT a AS x, b AS y FROM links UNION SELECT r.x, l.b FROM reach r JOIN links l ON r.y = l.a),
+first AS (SELECT x, min(y) AS y FROM reach GROUP BY 1)"""
+
+
+def _raking(rounds: int = 30, power: float = 0.7) -> str:
+    """Cells, goals, and one common table for each step of the fitting; the last is named ``raked``."""
+    dims = ("source", "lang", "topic")
+    out = ["cells AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS mass, sum(tokens)::DOUBLE AS raked FROM d GROUP BY 1, 2, 3)"]
+    out += [f"goal_{k} AS (SELECT {k}, pow(sum(mass), {power}) / sum(pow(sum(mass), {power})) OVER () AS share FROM cells GROUP BY 1)" for k in dims]
+    last = "cells"
+    for i in range(rounds * 3):
+        k = dims[i % 3]
+        out.append(f"r{i} AS MATERIALIZED (SELECT source, lang, topic, mass, CASE WHEN sum(raked) OVER (PARTITION BY {k}) > 0 THEN raked * (share * (SELECT sum(mass) FROM cells) / sum(raked) OVER (PARTITION BY {k})) ELSE 0 END AS raked FROM {last} JOIN goal_{k} USING ({k}))")
+        last = f"r{i}"
+    return ",\n".join(out) + f",\nraked AS (SELECT *, CASE WHEN mass > 0 THEN raked / mass ELSE 1.0 END AS rate FROM {last})"
+
+
 ORACLES = {
+    "op2_quality_rules": rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, {_WORDS} AS ws FROM t),
+ls AS (SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT l) AS dup FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM t) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY 1),
+p AS (SELECT doc_id, generate_subscripts(ws, 1) AS i, unnest(ws) AS x FROM w),
+g AS (SELECT doc_id, i, x, lead(x, 1) OVER o AS y, lead(x, 2) OVER o AS z FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, x, y, z) AS c FROM g WHERE z IS NOT NULL) WHERE c > 1),
+cover AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, range(3) s(k) GROUP BY 1),
+m AS (SELECT w.doc_id, len(ws) AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+  coalesce(dup, 0) AS n_dup_lines, coalesce(cover.n, 0) AS n_repeat_words, coalesce(ls.n, 0) AS n_lines, length(text) - length(replace(text, '!', '')) AS exclaims,
+  length(text) - length(regexp_replace(text, '[A-Za-z]', '', 'g')) AS letters, length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS upper
+  FROM w LEFT JOIN ls USING (doc_id) LEFT JOIN cover USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > 3 * n_words OR letters >= 50 AND 10 * upper > 6 * letters OR 10 * exclaims > 4 * n_words
+    OR word_chars < 2 * n_words OR word_chars > 25 * n_words OR 10 * n_dup_lines > 5 * n_lines) AS kept
+FROM m""",
+    "op4_cover_tree": f"""
+WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+{_CLASSES}
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, least(vec_id, coalesce(y, vec_id)) AS component_id, vec_id <= coalesce(y, vec_id) AS kept FROM e LEFT JOIN first ON x = vec_id""",
+    "op6_mixing": rf"""
+WITH d AS (SELECT doc_id, source, lang, len({_SPLIT.format("coalesce(text, '')")})::BIGINT AS tokens,
+  CASE WHEN 20 * (length(text) - length(replace(text, '|', ''))) > length(text) THEN 'table' WHEN 40 * (length(text) - length(replace(text, chr(10), ''))) > length(text) THEN 'list'
+    WHEN length(text) < 600 THEN 'brief' WHEN length(text) > 6000 THEN 'essay' ELSE 'prose' END AS topic FROM documents),
+{_raking()},
+o AS (SELECT *, row_number() OVER w AS k, coalesce(sum(mass) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped, sum(rate * mass) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open
+  FROM raked WINDOW w AS (ORDER BY rate DESC, source, lang, topic)),
+s AS (SELECT *, (0.8::DOUBLE * (SELECT sum(mass) FROM cells) - capped) / open AS s FROM o WHERE open > 0),
+best AS (SELECT s FROM s WHERE s * rate <= 1 + 1e-12 ORDER BY k LIMIT 1),
+c AS (SELECT source, lang, topic, CASE WHEN mass > 0 THEN least(1.0, rate * (SELECT s FROM best)) ELSE 1.0 END AS p FROM raked)
+SELECT doc_id, source, lang, topic, tokens, round(p, 6) AS probability, ('0x' || substr(md5('17:' || doc_id), 1, 12))::BIGINT / 281474976710656.0::DOUBLE < p AS sampled FROM d JOIN c USING (source, lang, topic)""",
+    "op7_ngram_jaccard": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, {_SPLIT.format(_LOWER.format("coalesce(text, '')"))} AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+{_CLASSES}
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(y, doc_id)) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN first ON x = doc_id""",
     "op8_line_dedup": f"""
 WITH lines AS (
   SELECT doc_id, generate_subscripts(ls, 1) AS pos, unnest(ls) AS l
