@@ -206,7 +206,7 @@ def training_lines(n: int, seed: int) -> list[tuple[str, str, set]]:
 
     def phone() -> str:
         a, b, c = r.choice("23456789") + num(2), num(3), num(4)
-        return r.choice((f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"({a}){b}-{c}"[:14] if False else f"({a}) {b} {c}"))
+        return r.choice((f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"({a}) {b} {c}"))
 
     def iban() -> str:
         body = num(18)
