@@ -21,37 +21,58 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written
+from .common import Written, bounded_batches
 from .components import components
+from .hashing import ROOT, mixed, powers
 
-_CHUNK = 4_000_000
+_CHUNK = 2_000_000
 
 
-class _Hashes(dict):
-    """Hashes of words, kept while they fit."""
+#: A random 64-bit value for each byte, the same for A-Z as for a-z, and none for white space.
+_VALUE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, np.uint64)
+_VALUE[65:91] = _VALUE[97:123]
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_VALUE[_SPACE] = 0
 
-    def __missing__(self, w: bytes) -> int:
-        import xxhash
 
-        if len(self) > 400_000:
-            self.clear()
-        h = self[w] = xxhash.xxh3_64_intdigest(w)
-        return h
+def ngram_sets(raws: list[bytes], width: int) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the word n-grams of each text; fewer words give one of the whole sequence.
 
-
-def ngram_set(raw: bytes, width: int, hashes: _Hashes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word n-grams of a text; fewer words give one of the whole sequence."""
-    words = raw.lower().split()  # bytes: A-Z only, and ASCII white space only
+    All texts are hashed together: a word's hash is the difference of two prefix sums of byte values times powers, taken
+    back to the same power for all words.
+    """
+    if not raws:
+        return []
+    text = np.frombuffer(b" " + b" ".join(raws) + b" ", np.uint8)
+    up, down = powers(len(text))
+    space = _SPACE[text]
+    sums = np.cumsum(_VALUE[text] * up)
+    start = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    end = np.flatnonzero(~space[:-1] & space[1:])
+    words = mixed((sums[end] - sums[start - 1]) * down[start])
+    bounds = np.cumsum([1, *(len(r) + 1 for r in raws)])
+    at = np.searchsorted(start, bounds)
     n = len(words)
-    if not n:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
-    k = min(width, n)
-    out = np.full(n - k + 1, k, np.uint64)
-    for i in range(k):
-        out = (out ^ h[i : n - k + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-    return np.unique(out)
+    grams = np.full(max(0, n - width + 1), width, np.uint64)
+    for i in range(width):
+        grams = mixed((grams ^ words[i : n - width + 1 + i]) * np.uint64(ROOT))
+    out = []
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+        if b - a >= width:
+            own = np.sort(grams[a : b - width + 1])
+            first = np.empty(len(own), bool)
+            first[0] = True
+            np.not_equal(own[1:], own[:-1], out=first[1:])
+            own = own[first]
+        elif b > a:
+            own = np.full(1, b - a, np.uint64)
+            for i in range(a, b):
+                own = mixed((own ^ words[i : i + 1]) * np.uint64(ROOT))
+        else:
+            own = np.empty(0, np.uint64)
+        out.append(own)
+    return out
 
 
 def node_of(grams: np.ndarray) -> int | None:
@@ -63,26 +84,34 @@ def node_of(grams: np.ndarray) -> int | None:
     return int(np.uint64(xxhash.xxh3_64_intdigest(grams.tobytes())).view(np.int64))
 
 
-def _texts(b: pa.RecordBatch):
-    """Rows of (id, text) in slices of some 16 MB."""
-    step = max(1, b.num_rows * (16 << 20) // max(1, b.nbytes))
+def _sets(b: pa.RecordBatch, width: int):
+    """(id, set) of the rows of (id, text), hashed in slices of some 1 MB."""
+    step = max(1, b.num_rows * (1 << 20) // max(1, b.nbytes))
     for at in range(0, b.num_rows, step):
         s = b.slice(at, step)
-        yield from zip(s.column(0).to_pylist(), s.column(1).to_pylist())
+        yield from zip(s.column(0).to_pylist(), ngram_sets(s.column(1).to_pylist(), width))
 
 
-def prefix_of(grams: np.ndarray, num: int, den: int, heavy: np.ndarray, weight: np.ndarray) -> np.ndarray:
+def _marks(heavy: np.ndarray) -> np.ndarray:
+    """Which leading 20 bits ``heavy`` n-grams have: a first test before the search."""
+    out = np.zeros(1 << 20, bool)
+    out[heavy >> np.uint64(44)] = True
+    return out
+
+
+def prefix_of(grams: np.ndarray, num: int, den: int, heavy: np.ndarray, weight: np.ndarray, marks: np.ndarray) -> np.ndarray:
     """The first n-grams of a set in the common order: unlisted ones by hash, then ``heavy`` ones by weight and hash."""
     n = len(grams)
     p = n + (-num * n // den) + 1  # n - ceil(num n / den) + 1
-    if len(heavy):
-        at = np.minimum(np.searchsorted(heavy, grams), len(heavy) - 1)
-        listed = heavy[at] == grams
-        if listed.any():
-            light = grams[~listed]
+    may = np.flatnonzero(marks[grams >> np.uint64(44)])
+    if len(may):
+        at = np.minimum(np.searchsorted(heavy, grams[may]), len(heavy) - 1)
+        on = heavy[at] == grams[may]
+        if on.any():
+            own, w = grams[may[on]], weight[at[on]]
+            light = np.delete(grams, may[on])
             if len(light) >= p:
                 return light[:p]
-            own, w = grams[listed], weight[at[listed]]
             return np.concatenate([light, own[np.lexsort((own, w))]])[:p]
     return grams[:p]
 
@@ -102,8 +131,10 @@ def _bloom(ids: DataFrame, bits: int) -> np.ndarray:
 
 
 class _Join:
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int, listed: int, bloom_bits: int):
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int, listed: int, bloom_bits: int, few: int, block: int):
+        self.few, self.block = few, block
         self.spark = docs.sparkSession
+        bounded_batches(self.spark)
         self.docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("t"))
         self.width, self.num, self.den, self.listed, self.bits = width, num, den, listed, bloom_bits
         self.id_type = self.docs.schema["id"].dataType.simpleString()
@@ -124,7 +155,7 @@ class _Join:
             from pyspark.sql.pandas.types import to_arrow_schema
 
             arrow = to_arrow_schema(schema)
-            hashes, seen, own, held = _Hashes(), set(), [], 0
+            seen, own, held = set(), [], 0
 
             def counts():
                 g, c = np.unique(np.concatenate(own), return_counts=True)
@@ -133,8 +164,7 @@ class _Join:
 
             for b in batches:
                 ids, ns, nodes = [], [], []
-                for i, raw in _texts(b):
-                    grams = ngram_set(raw, width, hashes)
+                for i, grams in _sets(b, width):
                     node = node_of(grams)
                     ids.append(i), ns.append(len(grams)), nodes.append(node)
                     if node is not None and node not in seen:
@@ -163,8 +193,9 @@ class _Join:
         width, num, den = self.width, self.num, self.den
 
         def prefixes(batches):
-            hashes, seen = _Hashes(), set()
+            seen = set()
             table, weight = heavy.value
+            marks = _marks(table)
             for b in batches:
                 grams, nodes, ns, held = [], [], [], 0
 
@@ -173,13 +204,12 @@ class _Join:
                     cols = (np.concatenate(grams).view(np.int64), np.repeat(np.array(nodes, np.int64), k), np.repeat(np.array(ns, np.int32), k))
                     return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["gram", "node", "n"])
 
-                for _, raw in _texts(b):
-                    g = ngram_set(raw, width, hashes)
+                for _, g in _sets(b, width):
                     node = node_of(g)
                     if node is None or node in seen:
                         continue
                     seen.add(node)
-                    grams.append(prefix_of(g, num, den, table, weight)), nodes.append(node), ns.append(len(g))
+                    grams.append(prefix_of(g, num, den, table, weight, marks)), nodes.append(node), ns.append(len(g))
                     held += len(grams[-1])
                     if held > 200_000:
                         yield out()
@@ -227,16 +257,13 @@ class _Join:
         p = p.repartition("gram").sortWithinPartitions("gram", "node")
         return Written(p.mapInArrow(shared, "gram long, node long, n int, lead long, n_lead int"), "incidence")
 
-    def verified(self, pairs: DataFrame, reps: DataFrame) -> Written:
-        """Of ``pairs`` (a, b, na, nb) those that reach the threshold on whole sets. Only texts in a pair are read again."""
-        held = Written(pairs, "pairs")
-        asked = held.df.select(F.col("a").alias("node")).union(held.df.select("b")).distinct().join(reps, "node")
-        asked = Written(asked, "asked")
+    def sets(self, nodes: DataFrame, reps: DataFrame) -> Written:
+        """(node, grams): the whole sets of ``nodes``. Of all texts only those that a bitmap of their ids lets through are hashed again."""
+        asked = Written(nodes.join(reps, "node"), "asked")
         bits, width = self.bits, self.width
         bloom = self.spark.sparkContext.broadcast(_bloom(asked.df.select("id"), bits).tobytes())
 
-        def sets(batches):
-            hashes = _Hashes()
+        def read(batches):
             mask = np.frombuffer(bloom.value, np.uint8)
             for b in batches:
                 h = b.column(2).to_numpy() + 32767
@@ -245,8 +272,7 @@ class _Join:
                     continue
                 b = b.take(pa.array(on))
                 for at in range(0, len(on), 500):
-                    rows = [(i, ngram_set(raw, width, hashes)) for i, raw in _texts(b.slice(at, 500))]
-                    rows = [(i, node_of(g), g) for i, g in rows if len(g)]
+                    rows = [(i, node_of(g), g) for i, g in _sets(b.slice(at, 500), width) if len(g)]
                     if rows:
                         off = np.cumsum([0, *(len(g) for *_, g in rows)]).astype(np.int32)
                         flat = np.concatenate([g for *_, g in rows]).view(np.int64)
@@ -258,15 +284,20 @@ class _Join:
 
         schema = self.spark.createDataFrame([], f"id {self.id_type}, node long, grams array<long>").schema
         to = to_arrow_schema(schema)
-        found = self.docs.select("id", "t", _slot(bits).alias("h")).mapInArrow(sets, schema)
-        found = Written(found.join(asked.df, ["id", "node"], "left_semi"), "sets")
+        found = self.docs.select("id", "t", _slot(bits).alias("h")).mapInArrow(read, schema)
+        out = Written(found.join(asked.df, ["id", "node"], "left_semi").select("node", "grams"), "sets")
+        asked.drop(), bloom.destroy()
+        return out
+
+    def verified(self, pairs: DataFrame, reps: DataFrame) -> Written:
+        """Of ``pairs`` (a, b, na, nb) those that reach the threshold on whole sets."""
+        held = Written(pairs, "pairs")
+        found = self.sets(held.df.select(F.col("a").alias("node")).union(held.df.select("b")).distinct(), reps)
         a, b = (found.df.select(F.col("node").alias(k), F.col("grams").alias(f"g{k}")) for k in "ab")
         both = held.df.join(a, "a").join(b, "b")
         common = F.size(F.array_intersect("ga", "gb")).cast("long")
         links = Written(both.where((self.num + self.den) * common >= self.num * (F.col("na") + F.col("nb")).cast("long")).select("a", "b").distinct(), "links")
-        for old in (held, asked, found):
-            old.drop()
-        bloom.destroy()
+        held.drop(), found.drop()
         return links
 
     def classes(self, stars: int = 5) -> DataFrame:
@@ -278,45 +309,120 @@ class _Join:
         heavy.destroy()
         rows = inc.df.count()
         star = inc.df.where("node != lead").where(self._sizes("n", "n_lead"))
-        pairs = star.groupBy(F.col("lead").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("c"), F.first("n_lead").cast("long").alias("na"), F.first("n").cast("long").alias("nb"))
-        links = [self.verified(pairs.where(self._can()), reps.df)]
+        star = star.select(F.col("lead").alias("a"), F.col("node").alias("b"), F.col("n_lead").alias("na"), F.col("n").alias("nb"))
+        links = [self.verified(self.counted(star).where(self._can()), reps.df)]
         roots = components(links[0].df)
+        before, base = float("inf"), inc
         for at in range(1, stars + 1):
-            known = inc.df.select("gram", "node", "n").join(roots.df, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            several = Written(known.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(F.xxhash64("node", F.lit(at))).alias("o")).where("r0 != r1"), "grams")
-            across = Written(known.join(several.df.select("gram", "o"), "gram"), "across")
+            # n-grams that one class holds never matter again, as classes only grow: each round reads what the one before left
+            known = base.df.select("gram", "node", "n").join(roots.df, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            several = Written(known.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(F.xxhash64("node", F.lit(at))).alias("o"), F.count("*").alias("k")).where("r0 != r1"), "grams")
+            across = Written(known.join(several.df.select("gram", "o", "k"), "gram"), "across")
             by = across.df.groupBy("gram", "root").count().groupBy("gram").agg(F.sum("count").alias("s"), F.sum(F.col("count") * F.col("count")).alias("q"))
             left = by.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0
-            last = at == stars or left <= max(500_000, rows // 2)
-            if not left:
-                pairs = None
-            elif last:
-                x, y = across.df.select("gram", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")), across.df.select("gram", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-                pairs = x.join(y, "gram").where("a < b and ra != rb").where(self._sizes("na", "nb"))
-            else:
+            # another round of leaders only while rounds halve what is left
+            last = at == stars or left <= max(500_000, rows // 2) or left > before / 2
+            before = left
+            if left and last:
+                links += self.across_links(across.df, reps.df)
+            elif left:
                 lead = Written(across.df.where(F.xxhash64("node", F.lit(at)) == F.col("o")).select("gram", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")), "leads")
-                pairs = across.df.select("gram", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb")).join(lead.df, "gram").where("ra != rb").where(self._sizes("na", "nb"))
-            if pairs is not None:
-                pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").cast("long").alias("na"), F.first("nb").cast("long").alias("nb"))
-                links.append(self.verified(pairs.where(self._can()), reps.df))
+                star = across.df.select("gram", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb")).join(lead.df, "gram").where("ra != rb").where(self._sizes("na", "nb"))
+                links.append(self.verified(self.counted(star.select("a", "b", "na", "nb")).where(self._can()), reps.df))
+                lead.drop()
+            if left:
                 old, every = roots, links[0].df
                 for x in links[1:]:
                     every = every.union(x.df)
                 roots = components(every)
                 old.drop()
-            several.drop(), across.drop()
+            several.drop(), base.drop()
+            base = across
             if last or not left:
                 break
-        inc.drop()
+        base.drop()
         named = docs.join(roots.df, "node", "left").select("id", "n", F.coalesce("root", "node").alias("root"))
         first = Written(named.where("root is not null").groupBy("root").agg(F.min("id").alias("first")), "first")
         for old in (reps, *links):
             old.drop()
         return named.join(first.df, "root", "left").select("id", "n", F.coalesce("first", "id").alias("first"))
 
+    @staticmethod
+    def counted(pairs: DataFrame) -> DataFrame:
+        return pairs.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("na").cast("long").alias("na"), F.max("nb").cast("long").alias("nb"))
+
+    def across_links(self, across: DataFrame, reps: DataFrame) -> list[Written]:
+        """Links between nodes of different classes, all of those that join two classes.
+
+        N-grams that few nodes hold are joined, and pairs that may reach the threshold verified. N-grams that more nodes
+        hold would give pairs with the square of their nodes. The nodes that have one are dealt into blocks, and for every
+        two blocks a task multiplies the two parts of the whole incidence matrix, n-grams of two nodes or more, and lets
+        out a spanning forest of the pairs that reach the threshold. Two nodes that share such an n-gram meet there; all
+        other pairs share light n-grams only.
+        """
+        dense = Written(across.where(F.col("k") > self.few).groupBy("node").agg(F.max("n").alias("n")), "dense")
+        light = across.where(F.col("k") <= self.few).join(dense.df.select("node", F.lit(True).alias("dense")), "node", "left").withColumn("dense", F.coalesce("dense", F.lit(False)))
+        light = Written(light.select("gram", "node", "n", "root", "dense"), "light")
+        x, y = (light.df.select("gram", F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("root").alias(f"r{k}"), F.col("dense").alias(f"d{k}")) for k in "ab")
+        pairs = x.join(y, "gram").where("a < b and ra != rb and not (da and db)").where(self._sizes("na", "nb"))
+        out = [self.verified(self.counted(pairs.select("a", "b", "na", "nb")).where(self._can()), reps)]
+        light.drop()
+        size = dense.df.agg(F.count("*").alias("nodes"), F.sum("n").alias("grams")).first()
+        if not size["nodes"]:
+            dense.drop()
+            return out
+        blocks = max(-(-size["nodes"] // self.block), -(-size["grams"] // 500_000))
+        found = self.sets(dense.df.select("node"), reps)
+        own = found.df.withColumn("i", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        spread = own.select("node", "grams", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), (F.col("i") > F.col("j")).alias("second"))
+        num, den = self.num, self.den
+
+        def multiply(f):
+            import pandas as pd
+
+            f = f.drop_duplicates("node")
+            second = f["second"].to_numpy(bool)
+            nodes, sets = f["node"].to_numpy(), [np.asarray(g, np.int64) for g in f["grams"]]
+            size = np.array([len(g) for g in sets])
+            row = np.repeat(np.arange(len(sets)), size)
+            grams, col, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            several = held > 1
+            place = np.cumsum(several) - 1
+            on = several[col]
+            row, col = row[on], place[col[on]]
+            order = np.argsort(col, kind="stable")
+            row, col = row[order], col[order]
+            count = np.zeros((len(sets), len(sets)), np.float32)
+            width = 2048
+            for lo in range(0, int(several.sum()), width):
+                a, b = np.searchsorted(col, (lo, lo + width))
+                m = np.zeros((len(sets), width), np.float32)
+                m[row[a:b], col[a:b] - lo] = 1
+                count += m @ m.T
+            link = (num + den) * count.astype(np.float64) >= num * (size[:, None] + size[None, :])
+            if second.any() and f["x"].iat[0] != f["y"].iat[0]:
+                link &= second[:, None] != second[None, :]
+            np.fill_diagonal(link, False)
+            # a spanning forest, breadth first
+            seen, edges = np.zeros(len(sets), bool), []
+            for start in np.flatnonzero(link.any(axis=1)):
+                todo = [] if seen[start] else [int(start)]
+                seen[start] = True
+                while todo:
+                    u = todo.pop()
+                    new = np.flatnonzero(link[u] & ~seen)
+                    seen[new] = True
+                    edges += [(nodes[u], nodes[v]) for v in new]
+                    todo += new.tolist()
+            return pd.DataFrame({"a": np.array([a for a, _ in edges], np.int64), "b": np.array([b for _, b in edges], np.int64)})
+
+        out.append(Written(spread.groupBy("x", "y").applyInPandas(multiply, "a long, b long"), "links"))
+        found.drop(), dense.drop()
+        return out
+
 
 def ngram_classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 3, den: int = 4, listed: int = 1 << 18, bloom_bits: int = 1 << 26
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 3, den: int = 4, listed: int = 1 << 18, bloom_bits: int = 1 << 26, few: int = 64, block: int = 500
 ) -> DataFrame:
     """``id_col``, ``n_shingles`` (size of the set) and ``component_id`` (smallest id reachable by links, itself included).
 
@@ -324,7 +430,8 @@ def ngram_classes(
     (null or empty texts) have an empty set and link with nothing; texts of fewer than ``width`` words have one n-gram,
     the whole sequence. Repeated rows and rows of equal sets are one class. Rows with a null id keep their row and take
     the class's smallest id, or null. An empty table gives an empty one. Sets are told apart by 64-bit hashes of n-grams.
-    ``listed`` bounds the ordering hint and ``bloom_bits`` the filter before verification; neither changes the result.
+    ``listed`` bounds the ordering hint, ``bloom_bits`` the filter before verification, ``few`` the nodes of an n-gram that is
+    joined and ``block`` those of a block of the product; none of them changes the result.
     """
-    got = _Join(docs, id_col, text_col, width, num, den, listed, bloom_bits).classes()
+    got = _Join(docs, id_col, text_col, width, num, den, listed, bloom_bits, few, block).classes()
     return got.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("first").alias("component_id"))
