@@ -98,14 +98,30 @@ def _score_counts(df: DataFrame, positive: Column, score: Column) -> DataFrame:
     return df.groupBy(score.alias("s")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n"))
 
 
+def running_sums(df: DataFrame, order: str, values: dict[str, str], descending: bool = False, inclusive: bool = True, buckets: int = 16) -> DataFrame:
+    """Adds, for each name, the sum of the column it names over all rows up to this one in the order (which is unique).
+
+    Rows are dealt into ranges by approximate quantiles; a range is summed by a window of its own, and ranges before it
+    add a total each, so that no task sorts all rows.
+    """
+    bounds = sorted(set(df.agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 1000)).first()[0] or []))
+    x = F.col(order)
+    bucket = F.coalesce(*[F.when(x > b, i + 1) for i, b in reversed(list(enumerate(bounds)))], F.lit(0))
+    cut = df.withColumn("__b", -bucket if descending else bucket)
+    totals = cut.select(F.col("__b").alias("__q"), *[F.col(c).alias(f"__v_{n}") for n, c in values.items()]).groupBy("__q").agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in values])
+    before = Window.orderBy("__q").rowsBetween(Window.unboundedPreceding, -1)  # at most one row a range
+    totals = totals.select("__q", *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__{n}") for n in values])
+    inside = Window.partitionBy("__b").orderBy(F.desc(order) if descending else F.asc(order)).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    own = cut.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(n) for n, c in values.items()])
+    joined = own.join(F.broadcast(totals), F.col("__b") == F.col("__q"))
+    return joined.withColumns({n: F.col(n) + F.col(f"__{n}") for n in values}).drop("__b", "__q", *[f"__{n}" for n in values])
+
+
 def auroc(df: DataFrame, positive: Column, score: Column) -> DataFrame:
     """Area under the curve by average ranks: a negative below counts 1, one of equal score a half. Null with one class only.
-
-    The running sum goes over distinct scores; round scores first where nearly all differ.
     """
-    s = _score_counts(df, positive, score)
-    below = F.coalesce(F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    t = s.select("p", "n", below.alias("below")).agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2.0)).alias("u"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    s = running_sums(_score_counts(df, positive, score), "s", {"below": "n"}, inclusive=False)
+    t = s.agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2.0)).alias("u"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return t.select(F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("u") / (F.col("p") * F.col("n"))).alias("auroc"))
 
 
@@ -120,9 +136,8 @@ def macro_auroc(df: DataFrame, truth_index: str, probs: str, classes: int) -> Da
 
 def average_precision(df: DataFrame, positive: Column, score: Column) -> DataFrame:
     """Sum over distinct scores, from the highest, of the gain in recall times the precision there."""
-    s = _score_counts(df, positive, score)
-    w = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    r = s.select("p", F.sum("p").over(w).alias("tp"), F.sum(F.col("p") + F.col("n")).over(w).alias("k"))
+    s = _score_counts(df, positive, score).withColumn("both", F.col("p") + F.col("n"))
+    r = running_sums(s, "s", {"tp": "p", "k": "both"}, descending=True)
     return r.agg(F.when(F.sum("p") > 0, F.sum(F.col("p") * F.col("tp") / F.col("k")) / F.sum("p")).otherwise(0.0).alias("average_precision"))
 
 
