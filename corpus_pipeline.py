@@ -32,10 +32,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: the one with the smallest id, once."""
+    """One document of each class of near-duplicates: the one with the smallest id, once.
+
+    Documents without an id cannot be named as anyone's duplicate and stay; so do different texts of one id.
+    """
     first = ngram_classes(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first.hint("shuffle_hash"), "doc_id", "left_semi").select(*COLUMNS)
-    return kept.dropDuplicates(["doc_id"])
+    kept = docs.join(first.hint("shuffle_hash"), "doc_id", "left_semi").select(*COLUMNS, F.xxhash64("text").alias("__text"))
+    return kept.dropDuplicates(["doc_id", "__text"]).drop("__text").unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
