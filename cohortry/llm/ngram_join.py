@@ -54,9 +54,10 @@ def ngram_sets(raws: list[bytes], width: int) -> list[np.ndarray]:
     bounds = np.cumsum([1, *(len(r) + 1 for r in raws)])
     at = np.searchsorted(start, bounds)
     n = len(words)
-    grams = np.full(max(0, n - width + 1), width, np.uint64)
+    windows = max(0, n - width + 1)
+    grams = np.full(windows, width, np.uint64)
     for i in range(width):
-        grams = mixed((grams ^ words[i : n - width + 1 + i]) * np.uint64(ROOT))
+        grams = mixed((grams ^ words[i : i + windows]) * np.uint64(ROOT))
     out = []
     for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
         if b - a >= width:

@@ -90,6 +90,8 @@ def test_odd_rows(odd, none):
 
 
 def test_hashes_keep_words_apart():
+    assert [len(x) for n in range(5) for x in ngram_sets([b"a " * n], 5)] == [0, 1, 1, 1, 1]
+    assert ngram_sets([b""], 5)[0].size == 0 and ngram_sets([], 5) == []
     a, b, c, d, e = ngram_sets([b"ab c", b"a bc", b"AB\tC", b"", b"one two three four five six"], 5)
     assert a.tolist() != b.tolist() and a.tolist() == c.tolist() and len(d) == 0 and len(e) == 2
     many = ngram_sets([f"w{i} x".encode() for i in range(5000)], 5)
