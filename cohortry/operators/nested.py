@@ -103,14 +103,15 @@ def top_categories(pairs: DataFrame, key: str, value: str, k: int) -> DataFrame:
     return counts.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _stats(values: Column, full: bool, spread: bool = True) -> dict[str, Column]:
-    """Of an array in list order: mean, population deviation, extremes, first, last, and their difference."""
-    own = F.filter(values, lambda x: x.isNotNull() & ~F.isnan(x))
+def _stats(own: Column, mean: Column, full: bool) -> dict[str, Column]:
+    """Of an array of numbers in list order, with its mean: population deviation, extremes, first, last, and their difference."""
     n = F.size(own)
-    mean = F.when(n > 0, F.aggregate(own, F.lit(0.0), lambda s, x: s + x) / n)
-    var = F.aggregate(own, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / n
-    out = {"mean": mean, "min": F.array_min(own), "max": F.array_max(own), "last": F.get(own, n - 1), "delta": F.get(own, n - 1) - F.get(own, F.lit(0))}
-    return {**out, "std": F.when(n > 0, F.sqrt(var)), "first": F.get(own, F.lit(0))} if full else out
+    last, first = F.get(own, n - 1), F.get(own, F.lit(0))
+    out = {"mean": mean, "min": F.array_min(own), "max": F.array_max(own), "last": last, "delta": last - first}
+    if full:
+        squares = F.aggregate(own, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean))
+        out |= {"std": F.when(n > 0, F.sqrt(squares / n)), "first": first}
+    return out
 
 
 def summarize_nested(
@@ -122,14 +123,19 @@ def summarize_nested(
     name. The full form has deviation and first values and the number of non-null values, the reduced one has not.
     """
     as_number = lambda e, k: F.when(e[k].isin("True", "true"), 1.0).when(e[k].isin("False", "false"), 0.0).otherwise(e[k].try_cast("double"))
-    array = lambda k: F.transform(items, lambda e: as_number(e, k))
+    # arrays and then their means are columns of their own, so that no lambda works them out again for each element
+    names = {k: f"__a{i}" for i, k in enumerate(dict.fromkeys(["minute", *numeric]))}
+    arrays = {c: F.filter(F.transform(items, lambda e: as_number(e, k)), lambda x: x.isNotNull() & ~F.isnan(x)) for k, c in names.items()}  # noqa: B023
+    means = {f"{c}m": F.when(F.size(c) > 0, F.aggregate(c, F.lit(0.0), lambda s, x: s + x) / F.size(c)) for c in names.values()}
+    df = df.withColumns(arrays).withColumns(means)
+    stats = lambda k, full: _stats(F.col(names[k]), F.col(f"{names[k]}m"), full)
     cols: dict[str, Column] = {"n_events": F.size(items).cast("double")}
-    minute = _stats(array("minute"), True)
+    minute = stats("minute", True)
     cols |= {"minute_min": minute["min"], "minute_max": minute["max"], "minute_span": minute["max"] - minute["min"]}
     if full:
         cols |= {"minute_mean": minute["mean"], "minute_std": minute["std"]}
     for k in numeric:
-        cols |= {f"{k}_{n}": c for n, c in _stats(array(k), full).items()}
+        cols |= {f"{k}_{n}": c for n, c in stats(k, full).items()}
     for k, values in categorical.items():
         own = F.filter(F.transform(items, lambda e: e[k]), lambda x: x.isNotNull())
         cols[f"{k}_nunique"] = F.size(F.array_distinct(own)).cast("double")
