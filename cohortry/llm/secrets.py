@@ -33,11 +33,14 @@ ALLOW = (
     re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
     re.compile(r"[0-9]+"),
     re.compile(r"[A-Za-z_-]+"),
-    re.compile(r"[A-Za-z]+([-_/][A-Za-z0-9]{1,12})+"),
-    re.compile(r"/?([A-Za-z0-9_-]{1,24}/)+[A-Za-z0-9_-]*"),
+    re.compile(r"[A-Za-z]+([-_][A-Za-z0-9]{1,12})+"),
     re.compile(r"(.)\1*"),
     re.compile(r"[=_+/-]+.{0,8}[=_+/-]+"),
 )
+#: Paths by their outer form; their segments are looked at one by one.
+_PATH = re.compile(r"/?([A-Za-z0-9_-]{1,36}/)+[A-Za-z0-9_-]*")
+_PLAIN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,8}")
+_RUN = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 #: What may stand before a digest that is no secret.
 _NAMED = re.compile(r"(?:sha-?(?:1|224|256|384|512)|md5|commit|checksum|digest|integrity|etag)[\"']?[\x20:=-]{0,3}[\"']?$", re.I | re.A)
 
@@ -67,9 +70,26 @@ def max_entropy(s: str, window: int) -> float:
     return math.log2(size) - best / size
 
 
+def wordlike(segment: str) -> bool:
+    """True if words and numbers make up ``segment``: parts between - and _ change seldom between cases and digits."""
+    parts = [p for p in re.split("[-_]", segment) if p]
+    if len(segment) > 24:
+        return all(_PLAIN.fullmatch(p) and len(p) <= 24 for p in parts)
+    return all(len(p) <= 3 or len(_RUN.findall(p)) <= 1 + len(p) / 4 for p in parts)
+
+
+def is_path(s: str) -> bool:
+    """True if every segment is word-like or a UUID, but for parts of few bits, together shorter than a candidate."""
+    if not _PATH.fullmatch(s):
+        return False
+    segments = [x for x in s.split("/") if not wordlike(x) and not ALLOW[0].fullmatch(x)]
+    odd = [p for x in segments for p in ([x] if len(x) > 24 else re.split("[-_]", x)) if not wordlike(p)]
+    return sum(map(len, odd)) < 20 and all(max_entropy(x, 16) <= 3.0 for x in odd)
+
+
 def allowed(s: str, before: str) -> bool:
     """True for forms that look random but name no secret; ``before`` is what stands in front of ``s``."""
-    return any(p.fullmatch(s) for p in ALLOW) or bool(_NAMED.search(before))
+    return any(p.fullmatch(s) for p in ALLOW) or is_path(s) or bool(_NAMED.search(before))
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -83,19 +103,39 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
+def _suspect(s: str) -> str | None:
+    """The class of ``s`` if it mixes digits and letters and a window passes its class's threshold."""
+    if not _DIGITS.search(s) or not (_LOWERS.search(s) or _UPPERS.search(s)):
+        return None
+    name, _, window, bits = next(c for c in CLASSES if c[1].fullmatch(s))
+    return name if max_entropy(s, window) >= bits else None
+
+
 def entropy_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Candidates that windows of high entropy betray, and that neither the base covers nor the allow-list knows."""
+    """Candidates that windows of high entropy betray, without what the base covers, and that the allow-list does not know.
+
+    What a base span leaves of a candidate is judged as a candidate of its own. A shorter rest counts as well, if the
+    whole is one secret around a key or hex run, unless the rest is word-like.
+    """
     out = []
     for m in _CANDIDATE.finditer(text):
         s, e = m.span()
-        if any(a < e and s < b for a, b, _ in base):
-            continue
-        own = m.group()
-        if not _DIGITS.search(own) or not (_LOWERS.search(own) or _UPPERS.search(own)):
+        before = text[max(0, s - 24) : s]
+        cuts = [x for x in base if x[0] < e and s < x[1]]
+        if not cuts:
+            if (name := _suspect(m.group())) and not allowed(m.group(), before):
+                out.append((s, e, f"entropy_{name}"))
             continue
-        name, _, window, bits = next(c for c in CLASSES if c[1].fullmatch(own))
-        if max_entropy(own, window) >= bits and not allowed(own, text[max(0, s - 24) : s]):
-            out.append((s, e, f"entropy_{name}"))
+        one = all(k != "assign" for *_, k in cuts) and _suspect(m.group()) and not allowed(m.group(), before)
+        at = s
+        for a, b, _ in (*sorted(cuts), (e, e, "")):
+            part = text[at : max(at, a)]
+            if len(part) >= 20 and (name := _suspect(part)) and not allowed(part, text[max(0, at - 24) : at]):
+                out.append((at, a, f"entropy_{name}"))
+            elif one and (core := part.strip("=_+/-")) and not wordlike(core) and not any(p.fullmatch(core) for p in ALLOW):
+                start = at + part.index(core)
+                out.append((start, start + len(core), f"entropy_{next(c[0] for c in CLASSES if c[1].fullmatch(core))}"))
+            at = max(at, b)
     return out
 
 

@@ -54,5 +54,34 @@ def test_allow_list():
     assert secrets.entropy_spans(f"token = {key}", secrets.base_spans(f"token = {key}")) == []
 
 
+def test_keys_with_slashes_are_no_paths():
+    key = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    for text in (f"aws_secret_access_key = {key}", f"'SecretAccessKey': '{key}'"):
+        at = text.index(key)
+        assert secrets.entropy_spans(text, secrets.base_spans(text)) == [(at, at + 40, "entropy_base64")], text
+    r = random.Random(3)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    missed = 0
+    for _ in range(2000):
+        k = [r.choice(chars) for _ in range(40)]
+        for i in r.sample(range(40), r.randint(1, 3)):
+            k[i] = "/"
+        k = "".join(k)
+        missed += secrets._suspect(k) is not None and secrets.allowed(k, "")
+    assert missed <= 10
+    for path in ("/usr/lib/python3/dist-packages/numpy/core", "posts/2024/01/15/how-to-bake-sourdough-bread-at-home", "static/js/main-3f2a9c1b/app", "api/v2/users/123e4567-E89B-12d3-A456-426614174000/orders", "src/main/java/MyLongClassName2"):
+        assert secrets.is_path(path) and secrets.allowed(path, ""), path
+
+
+def test_parts_of_a_candidate_outside_base_spans():
+    hexa, left, right = "0123456789abcdef", "hJ8kQ2vX9Z", "ZT4mW7pL1sDq9RtY5xKz8"
+    text = f"key {left}{hexa}{right} end"
+    base = secrets.base_spans(text)
+    assert base == [(14, 30, "hex")]
+    assert secrets.entropy_spans(text, base) == [(4, 14, "entropy_alnum"), (30, 51, "entropy_alnum")]
+    for text in (f"sha256-{hexa}{hexa}", f"my_token={left}{right}", f"build_v2_{hexa}"):
+        assert secrets.entropy_spans(text, secrets.base_spans(text)) == [], text
+
+
 def test_odd_rows(odd, none):
     assert secrets.secret_scan(odd, keep=("size",)).count() == odd.count() and secrets.secret_scan(none).count() == 0
