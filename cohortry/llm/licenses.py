@@ -1,8 +1,8 @@
 """License scans: ordered signature rules behind a keyword prefilter, overlaps resolved by priority and containment.
 
 Texts become their lower-cased words joined by single spaces, and rules are regular expressions over that form. A text
-without any word that all license notices share is passed over; in the others a rule runs only where its own keyword
-stands. A detection lies in the words it covers: of two that overlap, one contained in the other goes, else the one of
+that holds none of the wordings of which each rule needs one is passed over; in the others a rule runs only where its own
+keyword stands, which each of its matches holds: the two gates save time and change no result. A detection lies in the words it covers: of two that overlap, one contained in the other goes, else the one of
 lower priority. Phrases of the base are found apart and always stay.
 """
 
@@ -23,8 +23,16 @@ _WORDS = bytes(
 #: Base phrases and their labels, fixed values of the contract.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: Words of which a license notice has at least one.
-GATES = (b"licen", b"spdx", b"copyright", b"copyleft", b"creative commons", b" cc by", b"public domain", b"rights reserved", b" gpl", b"warranty")
+#: Verbs before "under" in the frame that needs no word license; those of licensing are in "licen".
+_VERBS = ("released", "distributed", "available", "provided", "published", "covered")
+#: Wordings of which every match of a rule holds at least one.
+GATES = (
+    b"licen", b"copyright", b"copyleft", b"public domain", b"rights reserved", b"without warranty",
+    b"hereby granted free of charge", b"permission to use copy", b"redistribution and use in source",
+    *(f" {v} {o}under ".encode() for v in _VERBS for o in ("", "only ")),
+)
+#: Keywords that stand inside longer words as well (gplv3, freebsd); the others are whole words of each match.
+_INSIDE = ("gpl", "agpl", "bsd")
 
 #: label, priority, keyword, name as a regular expression over words. Versions and variants are spelled out.
 FAMILIES = (
@@ -68,17 +76,18 @@ FAMILIES = (
     ("psf", 55, "python", r"(?:the )?python software foundation"),
     ("postgresql", 55, "postgresql", r"(?:the )?postgresql"),
     ("cc0", 60, "cc0", r"(?:the )?cc0(?: 1 0)?(?: universal)?"),
-    ("cc-by", 50, "cc", r"(?:the )?(?:cc|creative commons) (?:by|attribution)(?: [1234] [05])?"),
-    ("cc-by-sa", 60, "cc", r"(?:the )?cc by sa(?: [1234] [05])?"),
-    ("cc-by-nd", 60, "cc", r"(?:the )?cc by nd(?: [1234] [05])?"),
-    ("cc-by-nc", 60, "cc", r"(?:the )?cc by nc(?: [1234] [05])?"),
-    ("cc-by-nc-sa", 65, "cc", r"(?:the )?cc by nc sa(?: [1234] [05])?"),
-    ("cc-by-nc-nd", 65, "cc", r"(?:the )?cc by nc nd(?: [1234] [05])?"),
-    ("cc-by", 50, "attribution", r"(?:the )?creative commons attribution(?: [1234] [05])?"),
-    ("cc-by-sa", 60, "sharealike", r"(?:the )?creative commons attribution share ?alike(?: [1234] [05])?"),
-    ("cc-by-nc", 60, "noncommercial", r"(?:the )?creative commons attribution non ?commercial(?: [1234] [05])?"),
     ("proprietary", 40, "proprietary", r"(?:a |the |our )?proprietary"),
 )
+_BY, _NC, _SA, _ND = "(?:by|attribution)", "(?:nc|non ?commercial)", "(?:sa|share ?alike)", "(?:nd|no ?deriv(?:ative)?s?(?: works)?)"
+#: Creative Commons in short and in full, each with its own keyword.
+FAMILIES += tuple(
+    (label, priority, cc, f"(?:the )?{' '.join((cc, *parts))}(?: [1234] [05])?")
+    for cc in ("cc", "creative commons")
+    for label, priority, parts in (
+        ("cc-by", 50, (_BY,)), ("cc-by-sa", 60, (_BY, _SA)), ("cc-by-nd", 60, (_BY, _ND)), ("cc-by-nc", 60, (_BY, _NC)),
+        ("cc-by-nc-sa", 65, (_BY, _NC, _SA)), ("cc-by-nc-nd", 65, (_BY, _NC, _ND)),
+    )
+)
 #: Confidence, added priority, and the wording around a name.
 FRAMES = (
     (0.95, 9, r"(?:licensed|licenced|released|distributed|available|provided|published|covered|dual licensed) (?:only )?under (?:the )?(?:terms (?:and conditions )?of )?{}(?: licen[sc]e)?"),
@@ -116,7 +125,7 @@ def signatures() -> list[Signature]:
     made = [(a, p + q, k, c, f.format(f"(?:{n})")) for a, p, k, n in FAMILIES for c, q, f in FRAMES]
     made += [(a, p, k, c, x) for a, p, k, c, x in SINGLE]
     # a name's version must not end inside a number
-    rules = [Signature(a, p, f" {k} ".encode(), c, re.compile(f"(?<= )(?:{x})(?= )".encode())) for a, p, k, c, x in made]
+    rules = [Signature(a, p, (k if k in _INSIDE else f" {k} ").encode(), c, re.compile(f"(?<= )(?:{x})(?= )".encode())) for a, p, k, c, x in made]
     return sorted(rules, key=lambda r: (-r.priority, r.label))
 
 
@@ -124,12 +133,15 @@ def words_of(raw: bytes) -> list[bytes]:
     return raw.translate(_WORDS).split()
 
 
-def scan(raw: bytes, rules: list[Signature], base=BASE) -> dict:
-    """Words, base places, and the detections that remain: (first word, word after the last, label, confidence)."""
+def scan(raw: bytes, rules: list[Signature], base=BASE, gated: bool = True) -> dict:
+    """Words, base places, and the detections that remain: (first word, word after the last, label, confidence).
+
+    Without ``gated`` every rule runs over every text, with the same result.
+    """
     words = words_of(raw)
     out = {"n_words": len(words), "base": [], "found": []}
     line = b" " + b" ".join(words) + b" "
-    if not any(g in line for g in (*GATES, *(f" {p} ".encode() for p, _ in base))):
+    if gated and not any(g in line for g in (*GATES, *(f" {p} ".encode() for p, _ in base))):
         return out
     for phrase, label in base:
         sought, at = f" {phrase} ".encode(), -1
@@ -137,7 +149,7 @@ def scan(raw: bytes, rules: list[Signature], base=BASE) -> dict:
             out["base"].append((line.count(b" ", 0, at), label))
     taken: list[tuple[int, int, int, str, float]] = []
     for r in rules:
-        if r.keyword not in line:
+        if gated and r.keyword not in line:
             continue
         for m in r.pattern.finditer(line):
             taken.append((m.start(), m.end(), r.priority, r.label, r.confidence))

@@ -1,3 +1,4 @@
+import random
 import re
 
 from cohortry.llm.licenses import license_scan, scan, signatures
@@ -45,6 +46,57 @@ def test_detections():
     assert labels("wir gehen mit einer license nach hause") == []
 
 
+def test_names_inside_words_and_in_full():
+    assert labels("Licensed under GPLv2.") == ["gpl-2"] and labels("Licensed under GPLv3") == ["gpl-3"]
+    assert labels("Licensed under the AGPLv3.") == ["agpl-3"] and labels("Licensed under FreeBSD.") == ["bsd-2"]
+    cc = "licensed under Creative Commons Attribution"
+    assert labels(f"{cc} 4.0") == ["cc-by"]
+    assert labels(f"{cc}-Share Alike 3.0") == labels(f"{cc}-ShareAlike 3.0") == ["cc-by-sa"]
+    assert labels(f"{cc}-Non-Commercial 3.0") == labels(f"{cc}-NonCommercial") == ["cc-by-nc"]
+    assert labels(f"{cc}-NonCommercial-ShareAlike 4.0") == ["cc-by-nc-sa"]
+    assert labels(f"{cc}-NoDerivatives 4.0") == ["cc-by-nd"]
+    assert labels("Licensed under Creative Commons BY-SA 4.0") == ["cc-by-sa"]
+    assert labels("Released under Apache 2.0.") == ["apache-2"] and labels("distributed under MIT") == ["mit"]
+    assert labels("Permission is hereby granted, free of charge, to any person obtaining a copy") == ["mit"]
+    assert labels("Redistribution and use in source and binary forms, with or without modification") == ["bsd"]
+
+
+def example(r, pattern):
+    """A random string that the expression ``pattern`` matches."""
+    import re._constants as c
+    import re._parser as parser
+
+    def made(ops):
+        out = ""
+        for op, v in ops:
+            if op is c.LITERAL:
+                out += chr(v)
+            elif op is c.IN:
+                out += "x" if v[0][0] is c.NEGATE else r.choice([chr(i) for k, x in v for i in (range(x[0], x[1] + 1) if k is c.RANGE else (x,))])
+            elif op is c.NOT_LITERAL:
+                out += "x"
+            elif op is c.MAX_REPEAT:
+                out += "".join(made(v[2]) for _ in range(r.randint(v[0], min(v[1], v[0] + 3))))
+            elif op is c.SUBPATTERN:
+                out += made(v[3])
+            elif op is c.BRANCH:
+                out += made(r.choice(v[1]))
+            else:
+                assert op is c.ASSERT or op is c.ASSERT_NOT, op
+        return out
+
+    return made(parser.parse(pattern))
+
+
+def test_gates_change_no_result():
+    r, rules = random.Random(4), signatures()
+    for rule in rules:
+        for _ in range(4):
+            text = f"foo {example(r, rule.pattern.pattern.decode())} bar".encode()
+            assert rule.pattern.search(b" " + text + b" "), (rule, text)
+            assert scan(text, rules)["found"] == scan(text, rules, gated=False)["found"] != [], (rule, text)
+
+
 def test_contained_detections_go():
     found = scan(b"Copyright 2020 Someone. All rights reserved.", signatures())["found"]
     assert [x[2] for x in found] == ["all-rights-reserved"]
