@@ -1,6 +1,7 @@
 """Personal data by a semi-Markov conditional random field over candidate regions.
 
-Regions are runs of characters that numbers, dates and addresses are written in. A region is cut into atoms (digit
+Regions are runs of characters that numbers, dates and addresses are written in, of any length, and what base spans leave of
+them; account numbers with letter groups are regions where their checksum holds. A region is cut into atoms (digit
 groups, letter groups, separators); a segment is a run of at most ``MAX_ATOMS`` atoms with a type or outside. Features
 look at a whole segment (its digits, layout, checksum, neighbours, words before it). The best segmentation, boundaries
 and types together, comes from a dynamic program over atom positions; weights come from maximum-likelihood training
@@ -29,6 +30,8 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 MAX_ATOMS = 13
+#: An account number behind a country code has up to 34 characters in groups of four.
+IBAN_ATOMS = 42
 
 
 def luhn(digits: str) -> bool:
@@ -68,7 +71,10 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 # ---- the field
 
-_REGION = re.compile(r"(?<![A-Za-z0-9])[+(]?(?:[A-Z]{2})?[0-9](?:[ ().+/-]{0,2}[0-9]){6,40}(?![A-Za-z0-9])")
+_REGION = re.compile(r"(?<![A-Za-z0-9])[+(]?(?:[A-Z]{2})?[0-9](?:[ ().+/-]{0,2}[0-9]){6,}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
+_COUNTRY = re.compile(r"[A-Z]{2}")
+_CONTEXT = 24
 _ATOM = re.compile(r"[0-9]+|[A-Za-z]+|[^0-9A-Za-z]")
 _CUES = {
     "phone": ("phone", "tel", "call", "mobile", "fax", "telefon", "teléfono", "téléphone"),
@@ -85,7 +91,7 @@ def _shape(s: str) -> str:
 
 def _iban_ok(s: str) -> bool:
     s = s.replace(" ", "")
-    if not re.fullmatch(r"[A-Z]{2}[0-9]{13,30}", s):
+    if not re.fullmatch(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", s):
         return False
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
@@ -119,29 +125,38 @@ def _segments(region: str) -> tuple[list[int], list[int]]:
 
 
 def _sensible(segment: str) -> bool:
-    return (segment[0].isalnum() or segment[0] in "+(") and segment[-1].isdigit() and sum("0" <= c <= "9" for c in segment) >= 7
+    if not (segment[0].isalnum() or segment[0] in "+(") or sum("0" <= c <= "9" for c in segment) < 7:
+        return False
+    return segment[-1].isdigit() or _iban_ok(segment)
 
 
 _TYPES = ("card", "phone", "ssn", "iban")
 
 
-def _scores(region: str, before: str, w: dict[str, float]):
+def _scored(region: str, before: str, w: dict[str, float], starts: list[int], ends: list[int]):
     """(first atom, last atom, type, score, features) of the segments that may hold an entity; outside scores 0 an atom."""
-    starts, ends = _segments(region)
-    out = []
-    for i in range(len(starts)):
-        for j in range(i, min(len(starts), i + MAX_ATOMS)):
-            s = region[starts[i] : ends[j]]
-            if _sensible(s):
+    for i, at in enumerate(starts):
+        near = (before + region[max(0, at - _CONTEXT) : at].lower())[-_CONTEXT:]
+        code = _COUNTRY.fullmatch(region, at, ends[i])
+        for j in range(i, min(len(starts), i + (IBAN_ATOMS if code else MAX_ATOMS))):
+            s = region[at : ends[j]]
+            if _sensible(s) and (j < i + MAX_ATOMS or _iban_ok(s)):
                 for kind in _TYPES:
-                    f = features(s, kind, before, len(s) == len(region))
-                    out.append((i, j, kind, sum(w.get(x, 0.0) for x in f), f))
-    return starts, ends, out
+                    f = features(s, kind, near, len(s) == len(region))
+                    yield i, j, kind, sum(w.get(x, 0.0) for x in f), f
+
+
+def _scores(region: str, before: str, w: dict[str, float]):
+    """Starts and ends of a region's atoms, and its scored segments."""
+    starts, ends = _segments(region)
+    return starts, ends, list(_scored(region, before, w, starts, ends))
 
 
 def decode(region: str, before: str, w: dict[str, float]) -> list[tuple[int, int, str]]:
     """The best segmentation's entities: (start, end, type) within ``region``. Ties go to fewer, earlier entities."""
-    starts, ends, segments = _scores(region, before, w)
+    starts, ends = _segments(region)
+    # a segment that scores no more than outside is on no best path, and a long region has many
+    segments = [x[:4] for x in _scored(region, before, w, starts, ends) if x[3] > 0]
     n = len(starts)
     best, back = [0.0] + [-math.inf] * n, [None] * (n + 1)
     by_end: dict[int, list] = {}
@@ -209,9 +224,11 @@ def training_lines(n: int, seed: int) -> list[tuple[str, str, set]]:
         return r.choice((f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"({a}) {b} {c}"))
 
     def iban() -> str:
-        body = num(18)
-        check = 98 - int("".join(str(int(c, 36)) for c in body + "DE" + "00")) % 97
-        return f"DE{check:02d}{body}"
+        bank = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(4))
+        code, body = r.choice((("DE", num(18)), ("GB", bank + num(14)), ("NL", bank + num(10)), ("FR", num(14) + bank[0] + num(8))))
+        check = 98 - int("".join(str(int(c, 36)) for c in body + code + "00")) % 97
+        whole = f"{code}{check:02d}{body}"
+        return r.choice((whole, " ".join(whole[i : i + 4] for i in range(0, len(whole), 4))))
 
     def none() -> str:
         return r.choice(
@@ -246,15 +263,39 @@ def trained(lines: int = 600, rounds: int = 8, seed: int = 11) -> dict[str, floa
     return w
 
 
+def _gaps(start: int, end: int, spans) -> list[tuple[int, int]]:
+    """What ``spans`` (with start and end first) leave of a range."""
+    out = []
+    for a, b in (*sorted(x[:2] for x in spans), (end, end)):
+        if start < a:
+            out.append((start, a))
+        start = max(start, b)
+    return out
+
+
+def _accounts(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Ranges of account numbers whose checksum holds, the longest at each place, whole words only."""
+    out = []
+    while m := _IBAN.search(text, start, end):
+        s = m.start()
+        ends = (x for x in range(m.end(), s + 14, -1) if text[x - 1] != " " and not text[x : x + 1].isalnum() and _iban_ok(text[s:x]))
+        if (e := next(ends, None)) is not None:
+            out.append((s, e))
+        start = s + 2 if e is None else e
+    return out
+
+
 def field_spans(text: str, base: list[tuple[int, int, str]], w: dict[str, float]) -> list[tuple[int, int, str]]:
-    """Entities that the field adds, none of them touching a base span."""
+    """Entities that the field adds, none of them touching a base span: these are cut out, and the rests decoded."""
+    found = []
+    for a, b in _gaps(0, len(text), base):
+        accounts = _accounts(text, a, b)
+        found += accounts
+        found += [m.span() for x, y in _gaps(a, b, accounts) for m in _REGION.finditer(text, x, y)]
     out = []
-    for m in _REGION.finditer(text):
-        s, e = m.span()
-        if any(a < e and s < b for a, b, _ in base):
-            continue
-        before = text[max(0, s - 24) : s].lower()
-        out += [(s + a, s + b, k) for a, b, k in decode(m.group(), before, w)]
+    for s, e in sorted(found):
+        before = text[max(0, s - _CONTEXT) : s].lower()
+        out += [(s + a, s + b, k) for a, b, k in decode(text[s:e], before, w)]
     return out
 
 
@@ -262,7 +303,7 @@ def pii_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     """``id_col``, ``keep``, ``base`` and ``added``: arrays of spans in code points, end exclusive, by kind then start.
 
     Null and empty texts have no spans. Null ids stay; repeated rows are scanned each; an empty table gives an empty
-    one. Whole texts are scanned; a region holds at most some 130 characters, so that time is linear in a text.
+    one. Whole texts are scanned; a region may be of any length, but its segments are bounded, so that time is linear in a text.
     """
     w = trained()
 

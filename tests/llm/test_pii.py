@@ -70,6 +70,31 @@ def test_decoding_is_the_best_segmentation():
         assert got == [(starts[i], ends[j], k) for i, j, k in best[1]]
 
 
+def added(text):
+    return [(text[a:b], k) for a, b, k in pii.field_spans(text, pii.base_spans(text), pii.trained())]
+
+
+def test_numbers_beside_base_spans():
+    for text in ("192.168.1.1 555-123-4567", "10:22 10.0.0.7 - 555-123-4567 - ok", "555-123-4567 192.168.1.1", "10.0.0.1 555-123-4567 10.0.0.2"):
+        assert [k for *_, k in pii.base_spans(text)].count("ip") and added(text) == [("555-123-4567", "phone")], text
+
+
+def test_regions_of_any_length():
+    cards = ["4111 1111 1111 1111", "5500 0055 5555 5559", "4012 8888 8888 1881", "4242 4242 4242 4242"]
+    for n in (3, 40):
+        line = [cards[i % 4] for i in range(n)]
+        text = " ".join(line)
+        assert pii.base_spans(text) == [] and added(text) == [(c, "card") for c in line]
+    assert added("1 " * 5000) == []
+
+
+def test_accounts_with_letters():
+    for x in ("GB29NWBK60161331926819", "GB29 NWBK 6016 1331 9268 19", "NL91 ABNA 0417 1643 00", "NL91ABNA0417164300", "FR14 2004 1010 0505 0001 3M02 606", "MT84MALT011000012345MTLCAST001S", "DE89 3704 0044 0532 0130 00"):
+        assert added(f"pay to {x}, thanks") == [(x, "iban")], x
+        assert added(f"IBAN {x} AND CALL 555-123-4567") == [(x, "iban"), ("555-123-4567", "phone")], x
+    assert added("pay to GB28NWBK60161331926819, thanks") == []
+
+
 def test_clean_prose_stays_clean(spark, sf, small):
     added = [x for r in pii.pii_scan(small).collect() for x in r["added"]]
     assert len(added) <= 2
