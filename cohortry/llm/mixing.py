@@ -74,7 +74,9 @@ def rake_table(cells: DataFrame, dims: list[str], targets: list[DataFrame], roun
     for _ in range(rounds):
         for d, target in zip(dims, targets):
             sums = now.df.groupBy(F.col(d).alias("value")).agg(F.sum("raked").alias("s"))
-            factor = Written(sums.join(target, sums["value"].eqNullSafe(target["value"]), "left").select(sums["value"], F.coalesce(F.col("share") * total / F.col("s"), F.lit(0.0)).alias("f")), "factor")
+            # a value without mass has nothing to scale, and the division would fail
+            scaled = F.when(F.col("s") > 0, F.col("share") * total / F.col("s"))
+            factor = Written(sums.join(target, sums["value"].eqNullSafe(target["value"]), "left").select(sums["value"], F.coalesce(scaled, F.lit(0.0)).alias("f")), "factor")
             after = Written(now.df.join(factor.df, F.col(d).eqNullSafe(F.col("value"))).withColumn("raked", F.col("raked") * F.col("f")).drop("value", "f"), "rake")
             now.drop(), factor.drop()
             now = after
@@ -88,7 +90,7 @@ def mix(
     """All columns of ``docs``, and ``topic``, ``tokens``, ``probability`` and ``sampled`` (replacing columns of these names).
 
     ``targets`` has shares by value for "source", "lang" and "topic"; one left out gets the natural shares to ``power``.
-    Values that a target leaves out get probability 0; values that no document has are left out. Null sources and
+    Values that a target leaves out get probability 0, with words or without; values that no document has are left out. Null sources and
     languages are values like others. Documents without words have no mass: they take their cell's probability, or 1 where
     the whole cell has none. Repeated rows decide alike, as do rows with a null id. An empty table gives an empty one.
     Up to ``max_cells`` cells are raked on the driver and broadcast; more are raked as a table and joined.
@@ -113,14 +115,17 @@ def mix(
         raked = rake(names, mass, goals, rounds)
         rate = np.divide(raked, mass, out=np.ones(len(mass)), where=mass > 0)
         s = scale_for(rate, mass, keep_share * mass.sum()) if len(mass) else 1.0
-        p = np.where(mass > 0, np.minimum(1.0, s * rate), 1.0)
+        # s is infinite where what the targets leave is less than the budget: then all of that is taken
+        scaled = np.multiply(s, rate, out=np.zeros(len(rate)), where=rate > 0)
+        p = np.where(mass > 0, np.minimum(1.0, scaled), 1.0)
+        p[[any(targets.get(name) and not targets[name].get(c[d]) for d, name in enumerate(DIMS)) for c in names]] = 0.0
         schema = ", ".join(f"`{k}` {cells.df.schema[k].dataType.simpleString()}" for k in keys)
         table = F.broadcast(spark.createDataFrame([(*c, float(x)) for c, x in zip(names, p)], f"{schema}, p double"))
     else:
         goals = []
         for k, name in zip(keys, DIMS):
-            if name in targets:
-                goals.append(spark.createDataFrame(list(targets[name].items()), f"value {cells.df.schema[k].dataType.simpleString()}, share double"))
+            if targets.get(name):
+                goals.append(spark.createDataFrame([(v, float(x)) for v, x in targets[name].items()], f"value {cells.df.schema[k].dataType.simpleString()}, share double"))
             else:
                 natural = cells.df.groupBy(F.col(k).alias("value")).agg(F.pow(F.sum("mass"), F.lit(power)).alias("x"))
                 total = natural.agg(F.sum("x")).first()[0] or 1.0
@@ -135,6 +140,10 @@ def mix(
             mid = (low + high) / 2
             low, high = (mid, high) if taken(mid) < budget else (low, mid)
         table = raked.select(*keys, F.when(F.col("mass") > 0, F.least(F.lit(1.0), F.col("rate") * high)).otherwise(1.0).alias("p"))
+        for k, name, goal in zip(keys, DIMS, goals):
+            if targets.get(name):
+                named = table.join(goal, F.col(k).eqNullSafe(F.col("value")), "left")
+                table = named.select(*keys, F.when(F.col("share") > 0, F.col("p")).otherwise(0.0).alias("p"))
     table = table.select(*[F.col(k).alias(f"{k}_c") for k in keys], F.col("p").alias("__p"))
     on = [F.col(k).eqNullSafe(F.col(f"{k}_c")) for k in keys]
     joined = rows.join(table, on[0] & on[1] & on[2])

@@ -53,6 +53,19 @@ def test_odd_rows(odd, none):
     assert clash.count() == odd.count() and dict(clash.dtypes)["tokens"] == "bigint"
 
 
+@pytest.mark.parametrize("targets", [None, {"source": {"a": 1}, "lang": {"en": 0.5, "fr": 0.5}}, {"source": {"b": 1.0, None: 2.0}}])
+def test_odd_rows_by_both_ways(odd, targets):
+    """Values without any mass, and targets that leave out more than the share to keep."""
+    key = lambda r: (r["doc_id"] is None, r["doc_id"], r["source"] or "", r["lang"] or "")
+    a, b = (sorted(mix(odd, targets=targets, rounds=3, max_cells=n).collect(), key=key) for n in (100, 1))
+    assert len(a) == len(b) == odd.count()
+    for x, y in zip(a, b):
+        assert x["doc_id"] == y["doc_id"] and abs(x["probability"] - y["probability"]) < 1e-6 and x["sampled"] == y["sampled"], (x, y)
+        if targets and any(not t.get(x[d]) for d, t in targets.items()):
+            assert x["probability"] == 0 and not x["sampled"]
+    assert any(r["probability"] > 0 for r in a)
+
+
 def test_query(spark, sf):
     got = op6_mixing(spark, sf)
     assert got.count() == 200 and 0 < got.where("sampled").count() < 200
