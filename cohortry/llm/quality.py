@@ -7,6 +7,7 @@ and which rule is named, never the verdict.
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -22,6 +23,12 @@ _SPACE = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
 _UPPER, _LETTERS = bytes(range(65, 91)), bytes([*range(65, 91), *range(97, 123)])
 
+#: Scripts that do not part words by spaces: Thai to Myanmar, Khmer, Tai, Balinese, kana, ideographs, Yi, Javanese.
+_UNSPACED = re.compile(
+    "[\u0e00-\u109f\u1780-\u17ff\u1950-\u19df\u1a20-\u1aaf\u1b00-\u1b7f\u3005-\u3007\u3040-\u312f\u31a0-\u31bf\u31f0-\u31ff"
+    "\u3400-\u4dbf\u4e00-\ua4cf\ua980-\ua9df\uaa60-\uaa7f\uf900-\ufaff\uff66-\uff9d\U00020000-\U0003ffff]"
+)
+
 
 class Text:
     """One text as UTF-8 bytes, with measures that are made when first asked for."""
@@ -41,6 +48,12 @@ class Text:
     def word_chars(self) -> int:
         return len(self.raw.decode()) - sum(map(self.raw.count, (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")))
 
+    @cached_property
+    def spaced(self) -> bool:
+        """True unless most letters are of scripts that do not part words by spaces."""
+        text = self.raw.decode()
+        return 2 * sum(map(str.isalpha, _UNSPACED.findall(text))) <= sum(map(str.isalpha, text))
+
     @cached_property
     def n_symbols(self) -> int:
         return len(self.raw) - len(self.raw.translate(None, _SYMBOLS))
@@ -100,7 +113,7 @@ RULES = (
     Rule("symbols", lambda t: 10 * t.n_symbols > 3 * t.n_words),
     Rule("shouting", lambda t: t.letters[0] >= 50 and 10 * t.letters[1] > 6 * t.letters[0]),
     Rule("exclaims", lambda t: 10 * t.n_exclaims > 4 * t.n_words),
-    Rule("word_length", lambda t: t.word_chars < 2 * t.n_words or t.word_chars > 25 * t.n_words),
+    Rule("word_length", lambda t: t.word_chars < 2 * t.n_words or t.word_chars > 25 * t.n_words and t.spaced),
     Rule("dup_lines", lambda t: 10 * t.lines[1] > 5 * t.lines[0]),
 )
 

@@ -37,6 +37,21 @@ def test_junk_goes_and_prose_stays(spark):
     assert all(good) and bad.count(True) <= 0.1 * len(bad)
 
 
+def test_prose_without_spaces_stays(spark):
+    word_length = next(r for r in RULES if r.name == "word_length")
+    prose = {
+        "zh": "\n".join(f"第{i}天的早晨我们沿着河边慢慢地走回家去，路上遇见了许多老朋友，大家一起谈论今年的收成。" for i in range(60)),
+        "ja": "\n".join(f"{i}日目の朝、わたしたちは川に沿ってゆっくりと家まで歩き、途中で古い友人たちに会いました。" for i in range(60)),
+        "th": "\n".join(f"เช้าวันที่{i}พวกเราเดินกลับบ้านช้าๆตามริมแม่น้ำและพบเพื่อนเก่าหลายคนระหว่างทาง" for i in range(60)),
+    }
+    for text in prose.values():
+        assert not word_length.rejects(Text(text.encode()))
+    junk = "\n".join(f"{i}" + "qwertyuiop" * 4 for i in range(60))
+    assert word_length.rejects(Text(junk.encode())) and word_length.rejects(Text((junk + "中文").encode()))
+    rows = quality_cascade(spark.createDataFrame([*prose.items(), ("junk", junk)], "doc_id string, text string")).collect()
+    assert {r["doc_id"] for r in rows if r["kept"]} == set(prose)
+
+
 def test_odd_rows(odd, none):
     rows = quality_cascade(odd, keep=("size",)).collect()
     want = sorted((brute(r["text"]) for r in odd.collect()))
