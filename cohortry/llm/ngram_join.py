@@ -430,7 +430,7 @@ def ngram_classes(
     Rows link when their sets' Jaccard similarity is at least ``num / den``, compared in integers. Rows without words
     (null or empty texts) have an empty set and link with nothing; texts of fewer than ``width`` words have one n-gram,
     the whole sequence. Repeated rows and rows of equal sets are one class. Rows with a null id keep their row and take
-    the class's smallest id, or null. An empty table gives an empty one. Sets are told apart by 64-bit hashes of n-grams.
+    the class's smallest id, or null; a set that only such rows hold is not read again and links with nothing but its equals. An empty table gives an empty one. Sets are told apart by 64-bit hashes of n-grams.
     ``listed`` bounds the ordering hint, ``bloom_bits`` the filter before verification, ``few`` the nodes of an n-gram that is
     joined and ``block`` those of a block of the product; none of them changes the result.
     """
