@@ -142,8 +142,12 @@ def _single(i: Column, table: PieceTable) -> Column:
 
 
 def _filled(found: Column, table: PieceTable) -> Column:
-    """Ids of a path given as sorted longs (start << 40 | end << 28 | id); characters that it leaves out are filled in."""
-    start, end = (lambda e: F.shiftright(e, 40).cast("int")), (lambda e: F.shiftright(e, 28).bitwiseAND(F.lit(4095)).cast("int"))
+    """Ids of a path given as sorted longs (start << 34 | length << 28 | id); characters that it leaves out are filled in.
+
+    Pieces have up to ``_SHORT`` characters, so that a length has room in 6 bits, and a start in 29.
+    """
+    start = lambda e: F.shiftright(e, 34).cast("int")
+    end = lambda e: start(e) + F.shiftright(e, 28).bitwiseAND(F.lit(63)).cast("int")
     plain = F.transform(found, lambda e: e.bitwiseAND(F.lit((1 << 28) - 1)).cast("int"))
     n = F.length("word")
     covered = F.aggregate(found, F.lit(0), lambda s, e: s + end(e) - start(e))
@@ -171,7 +175,7 @@ def _merge_short(grouped: DataFrame, table: PieceTable) -> DataFrame:
     done = grouped.withColumn("mask", mask)
     m = F.col("mask")
     path = F.filter("edges", lambda e: (m.bitwiseAND(ends(e)) == ends(e)) & (m.bitwiseAND(inner(e)) == 0))
-    packed = F.sort_array(F.transform(path, lambda e: F.shiftleft(st(e).cast("long"), 40).bitwiseOR(F.shiftleft(en(e).cast("long"), 28)).bitwiseOR(e.bitwiseAND(F.lit((1 << 24) - 1)))))
+    packed = F.sort_array(F.transform(path, lambda e: F.shiftleft(st(e).cast("long"), 34).bitwiseOR(F.shiftleft((en(e) - st(e)).cast("long"), 28)).bitwiseOR(e.bitwiseAND(F.lit((1 << 24) - 1)))))
     # a column of its own, as it is read more than once
     own = [c for c in grouped.columns if c != "edges"]
     return done.select(*own, packed.alias("path")).select(*own, _filled(F.col("path"), table).alias("ids"))
@@ -234,7 +238,7 @@ def _viterbi(rows: DataFrame, table: PieceTable) -> DataFrame:
 
     def back(acc: Column, _: Column) -> Column:
         here = F.element_at(F.col("state"), acc["at"] + 1)
-        packed = F.shiftleft(here["from"].cast("long"), 40).bitwiseOR(F.shiftleft(acc["at"].cast("long"), 28)).bitwiseOR(here["id"].cast("long"))
+        packed = F.shiftleft(here["from"].cast("long"), 34).bitwiseOR(F.shiftleft((acc["at"] - here["from"]).cast("long"), 28)).bitwiseOR(here["id"].cast("long"))
         path = F.when(here["id"] >= 0, F.concat(F.array(packed), acc["path"])).otherwise(acc["path"])
         return F.when(acc["at"] > 0, F.struct(here["from"].alias("at"), path.alias("path"))).otherwise(acc)
 

@@ -81,3 +81,11 @@ def test_viterbi_is_the_best_path(spark):
         names = [t.pieces[i] for i in got[w]]
         assert len("".join(n if n != "<unk>" else "?" for n in names)) == len(w)
         assert abs(sum(own.get(n, low) for n in names) - best(w, own, low)) < 1e-9, w
+
+
+def test_viterbi_on_a_long_word(spark):
+    """Ends beyond 4,095; with and without characters that are no piece."""
+    t = PieceTable(["<unk>", "ab", "a", "b"], [0.0, -1.0, -2.0, -2.0], "unigram", [False, True, True, True])
+    words = ["ab" * 2100, "ab" * 2050 + "?" + "ab" * 40]
+    got = {x["word"]: x["ids"] for x in segment(spark.createDataFrame([(w,) for w in words], ["word"]), t).collect()}
+    assert got[words[0]] == [1] * 2100 and got[words[1]] == [1] * 2050 + [0] + [1] * 40
