@@ -15,17 +15,24 @@ ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuv
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
+#: Folders of this process's own, by application, for sessions on one machine that name none.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary folder is set for it.
+    Only where the session names none and runs in one process (tests, a local install) a temporary folder stands in.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not spark.sparkContext.master.startswith("local"):
+        context = spark.sparkContext
+        if context.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="cohortry-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        app = context.applicationId
+        if app not in _OWN:
+            _OWN[app] = tempfile.mkdtemp(prefix="cohortry-")
+        path = _OWN[app]
     return path.rstrip("/")
 
 
@@ -63,10 +70,15 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, ASCII_UPPER, ASCII_LOWER))
 
 
-def with_outputs(df: DataFrame, outputs: dict[str, Column]) -> list[Column]:
-    """All columns of ``df`` and then ``outputs``; an output replaces an input column of its name."""
+def packed(df: DataFrame) -> Column:
+    """All columns as one struct, so that working columns beside it cannot clash with any of them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def with_outputs(df: DataFrame, row: str, outputs: dict[str, Column]) -> list[Column]:
+    """The columns of ``df``, packed in ``row``, and then ``outputs``; an output replaces a column of its name."""
     lower = {k.lower() for k in outputs}
-    return [df[f"`{c}`"] for c in df.columns if c.lower() not in lower] + [v.alias(k) for k, v in outputs.items()]
+    return [F.col(row).getField(c).alias(c) for c in df.columns if c.lower() not in lower] + [v.alias(k) for k, v in outputs.items()]
 
 
 def map_texts(

@@ -18,7 +18,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> Written:
     """A written table (``node``, ``root``) of the nodes that have links: the smallest node that each can reach.
 
     ``links`` has two columns of one orderable type. Links of a node to itself and links with nulls tell nothing;
-    repeated links, in either direction, count once. No links give an empty table.
+    repeated links, in either direction, count once. No links give an empty table. Rounds go on until nothing changes;
+    should ``max_rounds`` not be enough, an error is raised and nothing is returned.
     """
     a, b = links.columns
     ends = links.select(F.greatest(F.col(a), F.col(b)).alias("u"), F.least(F.col(a), F.col(b)).alias("v"))
@@ -39,6 +40,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> Written:
         for old in (now, least, large):
             old.drop()
         now = after
+    else:
+        raise RuntimeError(f"components are not complete after {max_rounds} rounds")
     roots = now.df.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     out = Written(now.df.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots), "components")
     now.drop()

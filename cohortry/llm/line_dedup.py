@@ -1,8 +1,9 @@
 """Line dedup: drop lines whose normalised form many documents hold. DataFrame functions only.
 
-Plan: explode each row's distinct line hashes, count rows per hash (map-side partial counts, so that a line found
-everywhere costs one row a task), join the frequent hashes back, gather them per id, and filter each text's lines by
-position against that set. Text moves once, to meet its set of frequent hashes; nothing is broadcast by hint.
+Plan: explode the hash and position of every line, count rows a hash (with partial counts, so that a line found
+everywhere costs one row a task), and keep the hits: rows whose hash passes that first, looser count. Of the hits alone distinct
+documents are counted, dealt by hash and document together. The positions to drop are gathered for each row of the
+input, which its id and text name, and the text meets them once. Nothing is broadcast by hint.
 """
 
 from __future__ import annotations
@@ -10,17 +11,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, Written, ascii_lower, with_outputs
+from .common import ASCII_SPACE, Written, ascii_lower, packed, with_outputs
 
 
-def _lines(text: str) -> Column:
-    return F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n", -1)
+def _lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _hashes(lines: Column) -> Column:
-    """A 64-bit hash per line; null for lines of white space."""
+def _hashes(lines: Column, min_chars: int) -> Column:
+    """A 64-bit hash per line; null for lines whose key is too short."""
     keys = F.transform(lines, lambda x: ascii_lower(F.btrim(x, F.lit(ASCII_SPACE))))
-    return F.transform(keys, lambda k: F.when(k != "", F.xxhash64(k)))
+    return F.transform(keys, lambda k: F.when(F.length(k) >= max(1, min_chars), F.xxhash64(k)))
+
+
+def _without(lines: Column, drop: Column) -> Column:
+    """``lines`` without those at the sorted positions ``drop`` (from 0): the slices between them, put together."""
+    after = F.concat(F.array(F.lit(-1)), drop)
+    until = F.concat(drop, F.array(F.size(lines)))
+    return F.flatten(F.zip_with(after, until, lambda a, z: F.slice(lines, a + 2, z - a - 1)))
 
 
 def drop_common_lines(
@@ -29,36 +37,29 @@ def drop_common_lines(
     """All columns of ``docs``, and ``kept_text``, ``n_lines``, ``n_dropped`` (replacing columns of these names).
 
     A line's key is the line without ASCII white space at its ends, A-Z lower-cased. Keys of at least ``min_chars``
-    code points held by at least ``min_docs`` rows lose all their lines in every row. Every row counts as a document:
-    repeated rows count each; within a row a key counts once. A null text is one empty line, and its ``kept_text`` is
-    empty; so is that of a text all of whose lines go. Null ids are kept and treated alike. An empty table gives an
-    empty one. Keys are told apart by 64-bit hashes: a rare line is lost in error with probability (frequent keys)/2^64.
+    code points (1 or more) held by at least ``min_docs`` documents lose all their lines in every row. Rows of one id are one
+    document, however often they repeat and whatever their texts. Rows with a null id count as no document, but
+    lose the lines of others as any row does. A null text is one empty line, and its ``kept_text`` is empty; so is that of a text
+    all of whose lines go. Lines that tie at the threshold all go. Very long texts are read whole, in time that grows with their
+    length; input columns may have any names. An empty table gives an empty one. Keys are told apart by 64-bit
+    hashes: a rare line is lost in error with probability (frequent keys)/2^64.
     """
-    hashes = _hashes(_lines(text_col))
-    if min_chars > 1:
-        keys = F.transform(_lines(text_col), lambda x: F.btrim(x, F.lit(ASCII_SPACE)))
-        hashes = F.transform(F.arrays_zip(hashes.alias("h"), keys.alias("k")), lambda z: F.when(F.length(z["k"]) >= min_chars, z["h"]))
-    held = docs.select(F.col(f"`{id_col}`").alias("__id"), F.explode(F.array_distinct(hashes)).alias("__h")).where("__h is not null")
-    held = Written(held, "lines").df
-    # written, so that the join below is of two plain exchanges, which can be split at a line that is everywhere
-    common = Written(held.groupBy("__h").count().where(F.col("count") >= min_docs).select("__h"), "common").df
-    drops = held.join(common, "__h").groupBy("__id").agg(F.collect_set("__h").alias("__drop"))
-    joined = docs.join(drops.hint("shuffle_hash"), docs[f"`{id_col}`"].eqNullSafe(drops["__id"]), "left")
-    lines = _lines(text_col)
-    kept = F.filter(
-        F.arrays_zip(lines.alias("x"), hashes.alias("h")),
-        lambda z: z["h"].isNull() | ~F.array_contains(F.col("__drop"), z["h"]),
-    )
-    parts = joined.withColumn(
-        "__kept", F.when(F.col("__drop").isNull(), lines).otherwise(F.transform(kept, lambda z: z["x"]))
-    )
-    return parts.select(
-        *with_outputs(
-            docs,
-            {
-                "kept_text": F.array_join("__kept", "\n"),
-                "n_lines": F.size(lines).cast("long"),
-                "n_dropped": (F.size(lines) - F.size("__kept")).cast("long"),
-            },
-        )
-    )
+    text, key = F.col("row").getField(text_col), F.col("row").getField(id_col)
+    rows = docs.select(packed(docs).alias("row")).withColumns({"k1": F.xxhash64(key, text), "k2": F.hash(text, key)})
+    lines = _lines(text)
+    held = rows.select("k1", "k2", key.alias("id"), F.posexplode(_hashes(lines, min_chars)).alias("at", "h")).where("h is not null")
+    held = Written(held, "lines")
+    # each table below is written, so that a join is of two plain exchanges, which can be split at a line that is everywhere
+    many = Written(held.df.groupBy("h").count().where(F.col("count") >= min_docs).select("h"), "many")
+    hits = Written(held.df.join(many.df, "h"), "hits")
+    owners = hits.df.where("id is not null").select("h", "id").distinct()
+    common = Written(owners.groupBy("h").count().where(F.col("count") >= min_docs).select("h"), "common")
+    drops = Written(hits.df.join(common.df, "h").groupBy("k1", "k2").agg(F.array_sort(F.collect_set("at")).alias("drop")), "drops")
+    # one array of positions a row, in all at most a number a line: a part of the text that it is joined to
+    joined = rows.join(drops.df.hint("shuffle_hash"), ["k1", "k2"], "left").select("row", "drop", lines.alias("lines"))
+    for old in (held, many, hits, common):
+        old.drop()
+    kept = F.when(F.col("drop").isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join(_without(F.col("lines"), F.col("drop")), "\n"))
+    dropped = F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop"))
+    outputs = {"kept_text": kept, "n_lines": F.size("lines").cast("long"), "n_dropped": dropped.cast("long")}
+    return joined.select(*with_outputs(docs, "row", outputs))

@@ -11,7 +11,7 @@ from test_quality import brute as _quality  # noqa: E402
 
 
 def brute_lines(rows, least):
-    return {k: v[0] for k, v in zip(rows, _lines(list(rows.values()), least))}
+    return {k: v[0] for k, v in zip(rows, _lines(list(rows.items()), least))}
 
 
 def brute_quality(text):
