@@ -1,10 +1,11 @@
 """Sharding by a k-d tree over metadata, cut at distributed weighted medians. DataFrame functions only.
 
-Each level asks for the extent of every dimension in every node (one aggregate of as many rows as nodes), takes the
-widest dimension, and finds the byte-weighted cut by radix histograms over a 52-bit sort code: some thousand rows a
-node come to the driver, however large the table is. Rows learn their side of the cuts
-by an expression, without a shuffle, and a level's narrow table is written before the next. Ties in a dimension are ordered by text checksum and then by a hash of the id: copies
-of a text mostly share a shard, but a group of copies that holds much of the bytes is split and sizes stay near equal.
+Equal texts are one unit with the bytes of all its copies, so that they share a shard. Only a group of copies that would
+tip the balance, of more than ``slack`` of a shard, is dealt out in several units. Each level asks for the extent of every
+dimension in every node (one aggregate with a row a node), takes the widest dimension, and finds the byte-weighted cut by
+radix histograms over a 52-bit sort code. Executors sum the histograms and pick the digit at which a node's bytes cross
+the middle; one row a node comes to the driver, and goes back as a broadcast table with a row a node at most. Units
+learn their side by that table, without a shuffle, and a level is written before the next. Rows join their unit at the end.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Written
@@ -20,7 +21,9 @@ from .common import Written
 _DIGIT, _PASSES = 13, 4
 _TIE_BITS, _DIM_BITS = 32, 20
 #: A cut is exact enough when what it misses is below this part of its node.
-_SLACK = 1e-5
+_MISS = 1e-5
+#: Strings are ordered by this many bytes behind the prefix that all values share, within so many characters.
+_CODE_BYTES, _CODE_CHARS = 6, 64
 
 
 @dataclass
@@ -29,65 +32,89 @@ class _Node:
 
     leaves: int
     first: int
+    weight: int = 0
     dim: int = 0
     cut: int = -1
 
 
-def _coordinate(df: DataFrame, c: str) -> Column:
-    """A column as a number: strings by a hash that keeps equal values together, all else by its value; null as null."""
-    kind = dict(df.dtypes)[c]
-    col = F.col(f"`{c}`")
-    return F.pmod(F.xxhash64(col), F.lit(1 << 30)).cast("double") if kind in ("string", "binary") else col.cast("double")
+def _shared_prefix(a: str, b: str) -> int:
+    x, y = a.encode(), b.encode()
+    return next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
 
 
-def _key(dim: int) -> Column:
-    return F.shiftleft(F.col(f"d{dim}"), _TIE_BITS).bitwiseOR(F.col("tie"))
+def _code(c: str, skip: int) -> Column:
+    """Strings as numbers in the order of their bytes."""
+    own = F.hex(F.substring(F.col(c).cast("binary"), skip + 1, _CODE_BYTES))
+    return F.conv(F.rpad(own, 2 * _CODE_BYTES, "0"), 16, 10).cast("double")
 
 
-def _cuts(rows: DataFrame, nodes: list[_Node], dims: int) -> None:
+def _small(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A table of a row a node: its size is bounded by the number of shards."""
+    return F.broadcast(spark.createDataFrame(rows, ddl))
+
+
+def _key() -> Column:
+    return F.shiftleft(F.get("d", F.col("dim")), _TIE_BITS).bitwiseOR(F.col("tie"))
+
+
+def _cuts(units: DataFrame, nodes: list[_Node], dims: int) -> None:
     """Give each of ``nodes`` the dimension and the cut that part its bytes as its leaves are parted.
 
-    ``rows`` has the index of its node in ``nodes`` as ``node``, or -1.
+    ``units`` has the index of its node in ``nodes`` as ``node``, or -1.
     """
-    here = rows.where("node >= 0")
-    extent = here.groupBy("node").agg(
-        F.sum("size").alias("w"), *[F.max(f"d{i}").alias(f"hi{i}") for i in range(dims)], *[F.min(f"d{i}").alias(f"lo{i}") for i in range(dims)]
-    )
-    weight = dict.fromkeys(range(len(nodes)), 0)
-    for r in extent.collect():
-        weight[r["node"]] = r["w"]
-        nodes[r["node"]].dim = max(range(dims), key=lambda i: (r[f"hi{i}"] - r[f"lo{i}"], -i))
-    key = F.coalesce(*[F.when(F.col("node") == i, _key(n.dim)) for i, n in enumerate(nodes)])
-    keyed = here.select("node", key.alias("key"), "size")
-    want = {i: weight[i] * (n.leaves // 2) / n.leaves for i, n in enumerate(nodes)}
-    prefix, before, open_ = dict.fromkeys(want, 0), dict.fromkeys(want, 0), set(want)
+    spark = units.sparkSession
+    here = units.where("node >= 0")
+    widths = [(F.max(F.get("d", F.lit(i))) - F.min(F.get("d", F.lit(i)))).alias(f"w{i}") for i in range(dims)]
+    for r in here.groupBy("node").agg(F.sum("size").alias("w"), *widths).collect():
+        nodes[r["node"]].weight = r["w"]
+        nodes[r["node"]].dim = max(range(dims), key=lambda i: (r[f"w{i}"], -i))
+    keyed = here.join(_small(spark, [(i, n.dim) for i, n in enumerate(nodes)], "node int, dim int"), "node").select("node", _key().alias("key"), "size")
+    rest = {i: n.weight * (n.leaves // 2) / n.leaves for i, n in enumerate(nodes) if n.weight}
+    prefix = dict.fromkeys(rest, 0)
     for p in range(_PASSES):
+        if not rest:
+            return
         shift = (_PASSES - 1 - p) * _DIGIT
-        inside = F.coalesce(*[F.when(F.col("node") == i, F.shiftright("key", shift + _DIGIT) == prefix[i]) for i in open_])
-        digit = F.shiftright("key", shift).bitwiseAND(F.lit((1 << _DIGIT) - 1))
-        found: dict[int, list] = {i: [] for i in open_}
-        for r in keyed.where(inside).groupBy("node", digit.alias("g")).agg(F.sum("size").alias("w")).collect():
-            found[r["node"]].append((r["g"], r["w"]))
-        for i in list(open_):
-            total, last = before[i], -1
-            for g, w in sorted(found[i]):
-                if total + w > want[i]:
-                    break
-                total, last = total + w, g
-            else:
-                g, w = last, 0
-            # up to the last digit that fits, or with the next one, whichever is nearer
-            over = total + w - want[i] < want[i] - total
-            slip = min(total + w - want[i], want[i] - total) if w else 0
-            if slip <= _SLACK * weight[i] or p == _PASSES - 1:
-                top = g if over else last
-                base = prefix[i] << _DIGIT
-                nodes[i].cut = ((base + top + 1) << shift) - 1
-                open_.discard(i)
+        open_ = _small(spark, [(i, prefix[i], rest[i]) for i in rest], "node int, prefix long, rest double")
+        digit = F.shiftright("key", shift).bitwiseAND(F.lit((1 << _DIGIT) - 1)).alias("digit")
+        counts = keyed.join(open_, "node").where(F.shiftright("key", shift + _DIGIT) == F.col("prefix")).groupBy("node", "rest", digit).agg(F.sum("size").alias("w"))
+        until = F.sum("w").over(Window.partitionBy("node").orderBy("digit"))
+        crossing = counts.withColumn("until", until).where("until > rest and until - w <= rest")
+        for r in crossing.collect():
+            i, missing, extra = r["node"], r["rest"] - (r["until"] - r["w"]), r["until"] - r["rest"]
+            own = (prefix[i] << _DIGIT) + r["digit"]
+            if min(missing, extra) <= _MISS * nodes[i].weight or p == _PASSES - 1:
+                # up to the last digit that fits, or with this one, whichever is nearer
+                nodes[i].cut = ((own + (extra < missing)) << shift) - 1
+                del rest[i]
             else:
-                before[i], prefix[i] = total, (prefix[i] << _DIGIT) + g
-        if not open_:
-            return
+                prefix[i], rest[i] = own, missing
+
+
+def _tree(units: DataFrame, leaves: int, dims: int) -> Written:
+    """``units`` with their ``shard``, level by level."""
+    spark = units.sparkSession
+    level = [_Node(leaves, 0)] if leaves > 1 else []
+    held = Written(units.withColumns({"shard": F.lit(0), "node": F.lit(0 if level else -1)}), "units")
+    while level:
+        _cuts(held.df, level, dims)
+        below: list[_Node] = []
+        sides = []
+        for i, x in enumerate(level):
+            half = x.leaves // 2
+            row: list = [i, x.dim, x.cut]
+            for y in (_Node(half, x.first), _Node(x.leaves - half, x.first + half)):
+                row += [y.first, len(below) if y.leaves > 1 else -1]
+                below += [y] if y.leaves > 1 else []
+            sides.append(tuple(row))
+        table = _small(spark, sides, "node int, dim int, cut long, s0 int, n0 int, s1 int, n1 int")
+        left = _key() <= F.col("cut")
+        at = {"shard": F.when(F.col("cut").isNull(), F.col("shard")).when(left, F.col("s0")).otherwise(F.col("s1")), "next": F.when(F.col("cut").isNull(), -1).when(left, F.col("n0")).otherwise(F.col("n1"))}
+        moved = held.df.join(table, "node", "left").withColumns(at).drop("node", "dim", "cut", "s0", "n0", "s1", "n1").withColumnRenamed("next", "node")
+        after = Written(moved, "units")
+        held.drop()
+        held, level = after, below
+    return held
 
 
 def kd_shards(
@@ -97,61 +124,65 @@ def kd_shards(
     dims: tuple[str, ...] = ("source", "lang", "n_chars"),
     shards: int | None = None,
     target_bytes: int | None = None,
-    rows_per_block: int = 2000,
+    slack: float = 1 / 32,
 ) -> DataFrame:
     """``id_col``, ``size`` (UTF-8 bytes plus 1), ``text_crc32``, ``shard`` and ``slot`` (gapless from 0 in each shard).
 
-    Give ``shards``, or ``target_bytes`` for as many leaves as the bytes need. Dimensions that the table lacks are
-    left out; the size is always one. Nulls: a null text has no bytes (size 1, checksum 0); a null dimension counts as
-    its smallest value; null ids are sharded like any other. Rows equal in every column share a shard and take slots
-    of their own. An empty table gives an empty one. No row is dropped; each has one shard and one slot.
+    Give ``shards``, or ``target_bytes`` for as many leaves as the bytes need. Equal texts share a shard, unless together
+    they hold over ``slack`` of an average shard: such a group is dealt out in parts of that size, as sizes could not be near
+    equal otherwise. A unit of equal texts lies at the smallest of its rows' values in each dimension. Strings are ordered
+    by their bytes behind the prefix that all share; other values are taken as numbers. Dimensions that the table lacks
+    are left out; the size is always one. Ties in a dimension are ordered by a hash of the text.
+
+    Nulls: a null text has no bytes (size 1, checksum 0) and equals an empty one; a null dimension counts as its smallest value;
+    null ids are sharded like any other. Repeated rows are rows each, with slots of their own. A very long text is a unit of
+    its own, whatever the shard's target. An empty table gives an empty one. Other columns are not read and may
+    have any names. No row is dropped; each has one shard and one slot.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     own = [c for c in dims if c in docs.columns]
+    words = {f"c{i + 1}" for i, c in enumerate(own) if dict(docs.dtypes)[c] in ("string", "binary")}
+    value = lambda i, c: F.substring(F.col(f"`{c}`").cast("string"), 1, _CODE_CHARS) if f"c{i + 1}" in words else F.col(f"`{c}`").cast("double")
     raw = docs.select(
         F.col(f"`{id_col}`").alias("id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("crc"),
-        *[_coordinate(docs, c).alias(f"c{i + 1}") for i, c in enumerate(own)],
+        F.xxhash64(text).alias("g1"),
+        F.hash(text).alias("g2"),
+        *[value(i, c).alias(f"c{i + 1}") for i, c in enumerate(own)],
+        F.monotonically_increasing_id().alias("at"),
     ).withColumn("c0", F.log2("size"))
-    n = len(own) + 1
-    table = Written(raw.withColumn("tie", F.shiftleft(F.pmod("crc", F.lit(1 << 16)).cast("long"), 16).bitwiseOR(F.pmod(F.xxhash64("id"), F.lit(1 << 16)).cast("long"))), "shard").df
-    extent = table.agg(F.count("*").alias("n"), F.sum("size").alias("w"), *[f(f"c{i}").alias(f"{k}{i}") for i in range(n) for k, f in (("lo", F.min), ("hi", F.max))]).first()
+    names = [f"c{i}" for i in range(len(own) + 1)]
+    table = Written(raw, "shard")
+    total = table.df.agg(F.count("*").alias("n"), F.sum("size").alias("w"), *[f(c).alias(f"{k}{c}") for c in names for k, f in (("lo", F.min), ("hi", F.max))]).first()
+    leaves = shards or max(1, math.ceil((total["w"] or 0) / (target_bytes or 1 << 30)))
+    most = max(1.0, slack * (total["w"] or 0) / leaves)
+    # groups of more than ``most`` bytes: fewer than leaves / slack of them, whatever the input
+    large = table.df.groupBy("g1", "g2").agg(F.sum("size").alias("w"), F.count("*").alias("k")).where((F.col("w") > most) & (F.col("k") > 1))
+    parts = F.least(F.ceil(F.col("w") / most), F.col("k")).alias("parts")
+    rows = table.df.join(F.broadcast(large.select("g1", "g2", parts)), ["g1", "g2"], "left")
+    rows = rows.withColumn("part", F.coalesce(F.pmod(F.xxhash64("at"), F.col("parts")), F.lit(0)))
+    code = {c: _code(c, _shared_prefix(total[f"lo{c}"], total[f"hi{c}"])) if c in words and total[f"lo{c}"] is not None else F.col(c).cast("double") for c in names}
+    units = rows.groupBy("g1", "g2", "part").agg(F.sum("size").alias("size"), *[F.min(code[c]).alias(c) for c in names])
+    units = Written(units.withColumn("tie", F.pmod(F.xxhash64("g1", "g2", "part"), F.lit(1 << _TIE_BITS))), "units")
+    extent = units.df.agg(*[f(c).alias(f"{k}{c}") for c in names for k, f in (("lo", F.min), ("hi", F.max))]).first()
     top = (1 << _DIM_BITS) - 1
 
-    def scaled(i: int) -> Column:
-        lo, hi = extent[f"lo{i}"], extent[f"hi{i}"]
+    def scaled(c: str) -> Column:
+        lo, hi = extent[f"lo{c}"], extent[f"hi{c}"]
         if lo is None or not hi > lo:
             return F.lit(0).cast("long")
-        return F.coalesce(F.floor((F.col(f"c{i}") - lo) / (hi - lo) * top), F.lit(0)).cast("long")
-
-    rows = table.select("id", "size", "crc", "tie", *[scaled(i).alias(f"d{i}") for i in range(n)])
-    leaves = shards or max(1, math.ceil((extent["w"] or 0) / (target_bytes or 1 << 30)))
-    level, held = [_Node(leaves, 0)], None
-    rows = rows.withColumn("shard", F.lit(0)).withColumn("node", F.lit(0 if leaves > 1 else -1))
-    while level := [x for x in level if x.leaves > 1]:
-        if extent["n"]:
-            _cuts(rows, level, n)
-        below: list[_Node] = []
-        shard, node = F.when(F.lit(False), 0), F.when(F.lit(False), 0)
-        for i, x in enumerate(level):
-            half = x.leaves // 2
-            for leaf, side in ((half, _key(x.dim) <= x.cut), (x.leaves - half, _key(x.dim) > x.cut)):
-                y = _Node(leaf, x.first if len(below) % 2 == 0 else x.first + half)
-                below.append(y)
-                mine = (F.col("node") == i) & side
-                shard = shard.when(mine, y.first)
-                node = node.when(mine, sum(z.leaves > 1 for z in below) - 1 if leaf > 1 else -1)
-        after = Written(rows.withColumns({"shard": F.coalesce(shard, "shard"), "node": F.coalesce(node, F.lit(-1))}), "shard")
-        if held:
-            held.drop()
-        rows, held, level = after.df, after, below
-    placed = rows
-    blocks = max(1, math.ceil((extent["n"] or 0) / leaves / rows_per_block))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("id", "tie"), F.lit(blocks)).cast("int"))
-    before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = placed.groupBy("shard", "block").count().select("shard", "block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    inside = F.row_number().over(Window.partitionBy("shard", "block").orderBy("id", "tie"))
-    return placed.withColumn("at", inside).join(starts, ["shard", "block"]).select(
-        F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", (F.col("start") + F.col("at") - 1).cast("long").alias("slot")
+        return F.coalesce(F.floor((F.col(c) - lo) / (hi - lo) * top), F.lit(0)).cast("long")
+
+    placed = _tree(units.df.select("g1", "g2", "part", "size", "tie", F.array(*[scaled(c) for c in names]).alias("d")), leaves, len(names))
+    units.drop()
+    dealt = rows.select("id", "size", "crc", "at", "g1", "g2", "part").join(placed.df.select("g1", "g2", "part", "shard"), ["g1", "g2", "part"])
+    dealt = Written(dealt.select("id", "size", "crc", "shard", "at", F.spark_partition_id().alias("task")), "shard")
+    table.drop(), placed.drop()
+    # slots count on from those of the tasks before, so that no task numbers more rows of a shard than it has written
+    before = Window.partitionBy("shard").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.df.groupBy("shard", "task").count().select("shard", "task", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("shard", "task").orderBy("at"))
+    return dealt.df.withColumn("k", inside).join(starts, ["shard", "task"]).select(
+        F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", (F.col("start") + F.col("k") - 1).cast("long").alias("slot")
     )
