@@ -91,9 +91,12 @@ def map_texts(
 ) -> DataFrame:
     """Run ``each`` over Arrow batches of texts (null as empty); returns columns ``keep`` and those of DDL ``out``.
 
-    Texts are taken in slices of some 2 MB, so that memory does not follow the batch size.
+    Texts are taken in slices of some 2 MB, so that memory does not follow the batch size. A column of ``out`` replaces
+    one of its name among ``keep``, whose first column, the id, always stays.
     """
     bounded_batches(df.sparkSession)
+    made = {f.name.lower() for f in df.sparkSession.createDataFrame([], f"struct<{out}>").schema}
+    keep = [c for i, c in enumerate(keep) if not i or c.lower() not in made]
     kept = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)]
     empty = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     source = df.select(*kept, (empty.cast("binary") if as_bytes else empty).alias("t"))

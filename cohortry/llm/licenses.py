@@ -1,19 +1,23 @@
 """License scans: ordered signature rules behind a keyword prefilter, overlaps resolved by priority and containment.
 
-Texts become their lower-cased words joined by single spaces, and rules are regular expressions over that form. A text
-that holds none of the wordings of which each rule needs one is passed over; in the others a rule runs only where its own
-keyword stands, which each of its matches holds: the two gates save time and change no result. A detection lies in the words it covers: of two that overlap, one contained in the other goes, else the one of
-lower priority. Phrases of the base are found apart and always stay.
+Texts become their lower-cased words joined by single spaces, and the rules, written by hand in ``license_rules``, are
+regular expressions over that form. A rule runs only where all of its keywords stand, which each of its matches holds: the
+prefilter saves time and changes no result. A detection lies in the words it covers: one contained in another goes; of
+others that overlap, the one of lower priority. Both are sweeps over sorted places. Phrases of the base are found apart and
+always stay.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import map_texts
+from .license_rules import FRAGMENTS, TABLES
 
 #: ASCII characters other than digits and letters part words; A-Z become a-z; all others stay.
 _WORDS = bytes(
@@ -23,109 +27,31 @@ _WORDS = bytes(
 #: Base phrases and their labels, fixed values of the contract.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: Verbs before "under" in the frame that needs no word license; those of licensing are in "licen".
-_VERBS = ("released", "distributed", "available", "provided", "published", "covered")
-#: Wordings of which every match of a rule holds at least one.
-GATES = (
-    b"licen", b"copyright", b"copyleft", b"public domain", b"rights reserved", b"without warranty",
-    b"hereby granted free of charge", b"permission to use copy", b"redistribution and use in source",
-    *(f" {v} {o}under ".encode() for v in _VERBS for o in ("", "only ")),
-)
-#: Keywords that stand inside longer words as well (gplv3, freebsd); the others are whole words of each match.
-_INSIDE = ("gpl", "agpl", "bsd")
-
-#: label, priority, keyword, name as a regular expression over words. Versions and variants are spelled out.
-FAMILIES = (
-    ("mit", 50, "mit", r"(?:the )?mit(?: x11| expat)?"),
-    ("mit-0", 60, "mit", r"(?:the )?mit (?:0|no attribution|zero)"),
-    ("apache-1", 55, "apache", r"(?:the )?apache(?: software)?(?: license)?(?: version)? 1(?: [01])?"),
-    ("apache-2", 60, "apache", r"(?:the )?apache(?: software)?(?: license)?(?: version)? 2(?: 0)?"),
-    ("apache", 40, "apache", r"(?:the )?apache(?: software)?"),
-    ("gpl-2", 60, "general", r"(?:the )?gnu general public(?: license)?(?: version| v)? 2(?: 0)?"),
-    ("gpl-3", 60, "general", r"(?:the )?gnu general public(?: license)?(?: version| v)? 3(?: 0)?"),
-    ("gpl", 45, "general", r"(?:the )?gnu general public"),
-    ("gpl-2", 58, "gpl", r"(?:the )?(?:gnu )?gpl ?(?:version |v )?v?2(?: 0)?"),
-    ("gpl-3", 58, "gpl", r"(?:the )?(?:gnu )?gpl ?(?:version |v )?v?3(?: 0)?"),
-    ("lgpl-2.1", 62, "lesser", r"(?:the )?gnu lesser general public(?: license)?(?: version| v)? 2 1"),
-    ("lgpl-3", 62, "lesser", r"(?:the )?gnu lesser general public(?: license)?(?: version| v)? 3(?: 0)?"),
-    ("lgpl", 48, "lesser", r"(?:the )?gnu lesser general public"),
-    ("lgpl", 48, "lgpl", r"(?:the )?(?:gnu )?lgpl(?: v?[23](?: [01])?)?"),
-    ("agpl-3", 62, "affero", r"(?:the )?gnu affero general public(?: license)?(?: version| v)? 3(?: 0)?"),
-    ("agpl", 48, "affero", r"(?:the )?gnu affero general public"),
-    ("agpl-3", 60, "agpl", r"(?:the )?(?:gnu )?agpl ?(?:version |v )?v?3(?: 0)?"),
-    ("bsd-2", 60, "bsd", r"(?:the )?(?:bsd (?:2|two) clause|simplified bsd|freebsd)"),
-    ("bsd-3", 60, "bsd", r"(?:the )?(?:bsd (?:3|three) clause|(?:new|revised|modified) bsd|(?:3|three) clause bsd)"),
-    ("bsd-4", 60, "bsd", r"(?:the )?(?:bsd (?:4|four) clause|original bsd)"),
-    ("bsd", 40, "bsd", r"(?:the )?bsd"),
-    ("mpl-1.1", 60, "mozilla", r"(?:the )?mozilla public(?: license)?(?: version| v)? 1 [01]"),
-    ("mpl-2", 60, "mozilla", r"(?:the )?mozilla public(?: license)?(?: version| v)? 2(?: 0)?"),
-    ("mpl", 45, "mozilla", r"(?:the )?mozilla public"),
-    ("epl-1", 60, "eclipse", r"(?:the )?eclipse public(?: license)?(?: version| v)? 1(?: 0)?"),
-    ("epl-2", 60, "eclipse", r"(?:the )?eclipse public(?: license)?(?: version| v)? 2(?: 0)?"),
-    ("epl", 45, "eclipse", r"(?:the )?eclipse public"),
-    ("cddl", 50, "distribution", r"(?:the )?common development and distribution"),
-    ("isc", 50, "isc", r"(?:the )?isc"),
-    ("zlib", 50, "zlib", r"(?:the )?zlib(?: libpng)?"),
-    ("artistic", 50, "artistic", r"(?:the )?(?:perl )?artistic"),
-    ("boost", 55, "boost", r"(?:the )?boost software"),
-    ("unlicense", 55, "unlicense", r"(?:the )?unlicense"),
-    ("wtfpl", 55, "wtfpl", r"(?:the )?wtfpl"),
-    ("eupl", 55, "european", r"(?:the )?european union public"),
-    ("ofl", 55, "font", r"(?:the )?(?:sil )?open font"),
-    ("odbl", 55, "database", r"(?:the )?open (?:data commons open )?database"),
-    ("psf", 55, "python", r"(?:the )?python software foundation"),
-    ("postgresql", 55, "postgresql", r"(?:the )?postgresql"),
-    ("cc0", 60, "cc0", r"(?:the )?cc0(?: 1 0)?(?: universal)?"),
-    ("proprietary", 40, "proprietary", r"(?:a |the |our )?proprietary"),
-)
-_BY, _NC, _SA, _ND = "(?:by|attribution)", "(?:nc|non ?commercial)", "(?:sa|share ?alike)", "(?:nd|no ?deriv(?:ative)?s?(?: works)?)"
-#: Creative Commons in short and in full, each with its own keyword.
-FAMILIES += tuple(
-    (label, priority, cc, f"(?:the )?{' '.join((cc, *parts))}(?: [1234] [05])?")
-    for cc in ("cc", "creative commons")
-    for label, priority, parts in (
-        ("cc-by", 50, (_BY,)), ("cc-by-sa", 60, (_BY, _SA)), ("cc-by-nd", 60, (_BY, _ND)), ("cc-by-nc", 60, (_BY, _NC)),
-        ("cc-by-nc-sa", 65, (_BY, _NC, _SA)), ("cc-by-nc-nd", 65, (_BY, _NC, _ND)),
-    )
-)
-#: Confidence, added priority, and the wording around a name.
-FRAMES = (
-    (0.95, 9, r"(?:licensed|licenced|released|distributed|available|provided|published|covered|dual licensed) (?:only )?under (?:the )?(?:terms (?:and conditions )?of )?{}(?: licen[sc]e)?"),
-    (0.9, 8, r"under (?:the )?(?:terms of )?{} licen[sc]e(?: version [0-9](?: [0-9])?)?"),
-    (0.9, 7, r"spdx licen[sc]e identifier {}(?: (?:only|or later))?"),
-    (0.8, 6, r"(?:governed by|subject to) (?:the )?(?:terms of )?{} licen[sc]e"),
-    (0.8, 5, r"(?:see|read) (?:the )?{} licen[sc]e(?: for)?"),
-    (0.7, 4, r"{} licen[sc]e(?:d)?"),
-)
-#: Rules whose wording belongs to no family: label, priority, keyword, confidence, expression.
-SINGLE = (
-    ("all-rights-reserved", 30, "reserved", 0.6, r"(?:copyright (?:c )?(?:[0-9]{4} )?(?:[^ ]+ ){0,4})?all rights reserved"),
-    ("public-domain", 45, "domain", 0.8, r"(?:released|placed|dedicated) (?:in|in to|into|to) the public domain"),
-    ("public-domain", 35, "domain", 0.5, r"(?:is|are) (?:in )?(?:the )?public domain"),
-    ("mit", 52, "granted", 0.95, r"permission is hereby granted free of charge to any person obtaining a copy"),
-    ("isc", 52, "permission", 0.95, r"permission to use copy modify and or distribute this software for any purpose"),
-    ("bsd", 42, "redistribution", 0.85, r"redistribution and use in source and binary forms with or without modification"),
-    ("warranty-disclaimer", 20, "warranty", 0.4, r"(?:provided )?as is without warranty of any kind"),
-    ("copyright-notice", 15, "copyright", 0.3, r"copyright (?:c )?[0-9]{4}"),
-    ("copyleft", 15, "copyleft", 0.3, r"copyleft"),
-)
 
 
 @dataclass(frozen=True)
 class Signature:
     label: str
     priority: int
-    keyword: bytes
+    keywords: tuple[bytes, ...]
     confidence: float
     pattern: re.Pattern
 
 
-def signatures() -> list[Signature]:
-    """All rules, the highest priority first: every family in every frame, and the single ones."""
-    made = [(a, p + q, k, c, f.format(f"(?:{n})")) for a, p, k, n in FAMILIES for c, q, f in FRAMES]
-    made += [(a, p, k, c, x) for a, p, k, c, x in SINGLE]
-    # a name's version must not end inside a number
-    rules = [Signature(a, p, (k if k in _INSIDE else f" {k} ").encode(), c, re.compile(f"(?<= )(?:{x})(?= )".encode())) for a, p, k, c, x in made]
+def _expanded(expression: str) -> str:
+    for name, own in FRAGMENTS.items():
+        expression = expression.replace(name, own)
+    return expression
+
+
+def signatures(tables: tuple[str, ...] = TABLES) -> list[Signature]:
+    """The rules of ``tables`` (lines as ``license_rules`` has them), the highest priority first."""
+    rules = []
+    for line in (x for t in tables for x in t.strip().splitlines()):
+        label, priority, keywords, confidence, expression = line.split("; ", 4)
+        own = tuple(k.replace("_", " ").encode() for k in keywords.split("+"))
+        # a match is of whole words: a name's version must not end inside a number
+        rules.append(Signature(label, int(priority), own, float(confidence), re.compile(f"(?<= )(?:{_expanded(expression)})(?= )".encode())))
     return sorted(rules, key=lambda r: (-r.priority, r.label))
 
 
@@ -133,6 +59,35 @@ def words_of(raw: bytes) -> list[bytes]:
     return raw.translate(_WORDS).split()
 
 
+def uncontained(found: list[tuple]) -> list[tuple]:
+    """Of detections (start, end, priority, label, confidence) those that no other contains; of equal places the first by priority.
+
+    In order of starts, the longer first, one is contained if an end before it reaches as far.
+    """
+    out, reach = [], -1
+    for x in sorted(set(found), key=lambda x: (x[0], -x[1], -x[2], x[3], -x[4])):
+        if x[1] > reach:
+            out.append(x)
+            reach = x[1]
+    return out
+
+
+def by_priority(found: list[tuple]) -> list[tuple]:
+    """Of detections that may overlap those that stay when the highest priority, then the longest, then the first is taken."""
+    starts: list[int] = []
+    ends: list[int] = []
+    kept = []
+    for x in sorted(found, key=lambda x: (-x[2], x[0] - x[1], x[0], x[3])):
+        at = bisect.bisect_left(starts, x[1])
+        # those taken are apart, so that only the last one that starts before this one's end can reach into it
+        if not at or ends[at - 1] <= x[0]:
+            place = bisect.bisect_left(starts, x[0])
+            starts.insert(place, x[0])
+            ends.insert(place, x[1])
+            kept.append(x)
+    return kept
+
+
 def scan(raw: bytes, rules: list[Signature], base=BASE, gated: bool = True) -> dict:
     """Words, base places, and the detections that remain: (first word, word after the last, label, confidence).
 
@@ -141,29 +96,30 @@ def scan(raw: bytes, rules: list[Signature], base=BASE, gated: bool = True) -> d
     words = words_of(raw)
     out = {"n_words": len(words), "base": [], "found": []}
     line = b" " + b" ".join(words) + b" "
-    if gated and not any(g in line for g in (*GATES, *(f" {p} ".encode() for p, _ in base))):
-        return out
+    places: list[tuple[int, str]] = []
     for phrase, label in base:
         sought, at = f" {phrase} ".encode(), -1
         while (at := line.find(sought, at + 1)) >= 0:
-            out["base"].append((line.count(b" ", 0, at), label))
+            places.append((at, label))
+    holds: dict[bytes, bool] = {}
     taken: list[tuple[int, int, int, str, float]] = []
     for r in rules:
-        if gated and r.keyword not in line:
-            continue
-        for m in r.pattern.finditer(line):
-            taken.append((m.start(), m.end(), r.priority, r.label, r.confidence))
-    # the longest first, so that what a longer one contains goes; of others that overlap, the lower priority
-    alive: list[tuple[int, int, int, str, float]] = []
-    for x in sorted(set(taken), key=lambda x: (x[0] - x[1], -x[2], x[0], x[3])):
-        if any(y[0] <= x[0] and x[1] <= y[1] for y in alive):
-            continue
-        alive.append(x)
-    kept: list[tuple[int, int, int, str, float]] = []
-    for x in sorted(alive, key=lambda x: (-x[2], x[0] - x[1], x[0], x[3])):
-        if all(x[1] <= y[0] or y[1] <= x[0] for y in kept):
-            kept.append(x)
-    out["found"] = sorted((line.count(b" ", 0, a) - 1, line.count(b" ", 0, b), label, c) for a, b, _, label, c in kept)
+        if gated:
+            for k in r.keywords:
+                if k not in holds:
+                    holds[k] = k in line
+                if not holds[k]:
+                    break
+            else:
+                taken += [(m.start(), m.end(), r.priority, r.label, r.confidence) for m in r.pattern.finditer(line)]
+        else:
+            taken += [(m.start(), m.end(), r.priority, r.label, r.confidence) for m in r.pattern.finditer(line)]
+    if places or taken:
+        # words before a place are counted for all places at once
+        spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+        word = lambda at: int(np.searchsorted(spaces, at))
+        out["base"] = [(word(at), label) for at, label in places]
+        out["found"] = sorted((word(a) - 1, word(b), label, c) for a, b, _, label, c in by_priority(uncontained(taken)))
     return out
 
 
@@ -171,7 +127,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``id_col``, ``keep``, ``n_words``, ``base`` and ``found``: arrays of detections in words from 0, end exclusive.
 
     Null and empty texts have no words and no detections. Null ids stay; repeated rows are scanned each; an empty table
-    gives an empty one. Whole texts are scanned.
+    gives an empty one. Of detections of one place and priority the label first in the alphabet stays. Very long texts are scanned
+    whole, in time that grows with their length. An output replaces a column of its name among ``keep``.
     """
     rules = signatures()
 
