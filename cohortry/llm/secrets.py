@@ -8,6 +8,7 @@ names, dates). Spans that patterns find (assignments, access keys, long hex runs
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 
@@ -35,8 +36,8 @@ ALLOW = (
     re.compile(r"[A-Za-z_-]+"),
     re.compile(r"[A-Za-z]+([-_][A-Za-z0-9]{1,12})+"),
     re.compile(r"(.)\1*"),
-    re.compile(r"[=_+/-]+.{0,8}[=_+/-]+"),
 )
+_SIGNS = "=_+/-"
 #: Paths by their outer form; their segments are looked at one by one.
 _PATH = re.compile(r"/?([A-Za-z0-9_-]{1,36}/)+[A-Za-z0-9_-]*")
 _PLAIN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,8}")
@@ -87,9 +88,14 @@ def is_path(s: str) -> bool:
     return sum(map(len, odd)) < 20 and all(max_entropy(x, 16) <= 3.0 for x in odd)
 
 
+def ruled(s: str) -> bool:
+    """True for a rule of signs with a short title in it."""
+    return s[0] in _SIGNS and s[-1] in _SIGNS and len(s.strip(_SIGNS)) <= 8
+
+
 def allowed(s: str, before: str) -> bool:
     """True for forms that look random but name no secret; ``before`` is what stands in front of ``s``."""
-    return any(p.fullmatch(s) for p in ALLOW) or is_path(s) or bool(_NAMED.search(before))
+    return ruled(s) or any(p.fullmatch(s) for p in ALLOW) or is_path(s) or bool(_NAMED.search(before))
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -118,10 +124,13 @@ def entropy_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int
     whole is one secret around a key or hex run, unless the rest is word-like.
     """
     out = []
+    # spans of one kind are apart and in order, so that those that a candidate touches are neighbours
+    kinds = [[x for x in base if x[2] == k] for k in KINDS]
+    bounds = [([x[0] for x in own], [x[1] for x in own]) for own in kinds]
     for m in _CANDIDATE.finditer(text):
         s, e = m.span()
         before = text[max(0, s - 24) : s]
-        cuts = [x for x in base if x[0] < e and s < x[1]]
+        cuts = [x for own, (starts, ends) in zip(kinds, bounds) if own for x in own[bisect.bisect_right(ends, s) : bisect.bisect_left(starts, e)]]
         if not cuts:
             if (name := _suspect(m.group())) and not allowed(m.group(), before):
                 out.append((s, e, f"entropy_{name}"))
@@ -132,7 +141,7 @@ def entropy_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int
             part = text[at : max(at, a)]
             if len(part) >= 20 and (name := _suspect(part)) and not allowed(part, text[max(0, at - 24) : at]):
                 out.append((at, a, f"entropy_{name}"))
-            elif one and (core := part.strip("=_+/-")) and not wordlike(core) and not any(p.fullmatch(core) for p in ALLOW):
+            elif one and (core := part.strip(_SIGNS)) and not wordlike(core) and not any(p.fullmatch(core) for p in ALLOW):
                 start = at + part.index(core)
                 out.append((start, start + len(core), f"entropy_{next(c[0] for c in CLASSES if c[1].fullmatch(core))}"))
             at = max(at, b)
@@ -143,7 +152,8 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``id_col``, ``keep``, ``base`` and ``added``: arrays of spans in code points, end exclusive, in order.
 
     Null and empty texts have no spans. Null ids stay; repeated rows are scanned each; an empty table gives an empty
-    one. Whole texts are scanned, in slices of bounded size; time is linear in a text's length.
+    one. Spans that start at one place are in the order of the kinds. Very long texts are scanned whole, in slices of bounded
+    size and time that grows with their length. An output replaces a column of its name among ``keep``.
     """
 
     def each(texts: list[str]) -> dict[str, list]:

@@ -10,6 +10,7 @@ learn their side by that table, without a shuffle, and a level is written before
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
@@ -49,8 +50,10 @@ def _code(c: str, skip: int) -> Column:
 
 
 def _small(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
-    """A table of a row a node: its size is bounded by the number of shards."""
-    return F.broadcast(spark.createDataFrame(rows, ddl))
+    """A table of a row a node, from one literal: its size is bounded by the number of shards."""
+    names = [x.split()[0] for x in ddl.split(", ")]
+    text = json.dumps([dict(zip(names, r)) for r in rows])
+    return F.broadcast(spark.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{ddl}>>"))))
 
 
 def _key() -> Column:

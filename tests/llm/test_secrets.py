@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 from cohortry.llm import secrets
@@ -85,3 +86,74 @@ def test_parts_of_a_candidate_outside_base_spans():
 
 def test_odd_rows(odd, none):
     assert secrets.secret_scan(odd, keep=("size",)).count() == odd.count() and secrets.secret_scan(none).count() == 0
+
+
+def plain_spans(text):
+    """Candidates, cuts and entropies by plain loops: every base span is compared with every candidate, every window counted."""
+    base = brute(text)
+
+    def entropy(x, window):
+        n = min(window, len(x))
+        return max(-sum(c / n * math.log2(c / n) for c in Counter(x[i : i + n]).values()) for i in range(len(x) - n + 1))
+
+    def suspect(x):
+        if not any(c.isdigit() for c in x) or not any(c.isalpha() for c in x):
+            return None
+        name, window, bits = next((n, w, b) for n, p, w, b in secrets.CLASSES if p.fullmatch(x))
+        return name if entropy(x, window) >= bits else None
+
+    out = []
+    for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text):
+        s, e = m.span()
+        cuts = sorted(x for x in base if x[0] < e and s < x[1])
+        free = [i for i in range(s, e) if not any(a <= i < b for a, b, _ in cuts)]
+        whole = suspect(m.group()) and not secrets.allowed(m.group(), text[max(0, s - 24) : s])
+        if not cuts:
+            out += [(s, e, f"entropy_{suspect(m.group())}")] if whole else []
+            continue
+        one = whole and all(k != "assign" for *_, k in cuts)
+        runs = []
+        for i in free:
+            if runs and runs[-1][1] == i:
+                runs[-1][1] = i + 1
+            else:
+                runs.append([i, i + 1])
+        for a, b in runs:
+            part = text[a:b]
+            core = part.strip("=_+/-")
+            if len(part) >= 20 and suspect(part) and not secrets.allowed(part, text[max(0, a - 24) : a]):
+                out.append((a, b, f"entropy_{suspect(part)}"))
+            elif one and core and not secrets.wordlike(core) and not any(p.fullmatch(core) for p in secrets.ALLOW):
+                at = a + part.index(core)
+                out.append((at, at + len(core), f"entropy_{next(c[0] for c in secrets.CLASSES if c[1].fullmatch(core))}"))
+    return out
+
+
+def test_added_spans_against_plain_loops():
+    r = random.Random(8)
+    keys = lambda k, chars: "".join(r.choice(chars) for _ in range(k))
+    every = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for _ in range(1500):
+        parts = [r.choice((keys(r.randint(5, 40), every), keys(r.randint(10, 40), "0123456789abcdef"), "AKIA" + keys(16, every[:26]), "secret=", "token: ", "/", "-", "_", "=", " ", "a_word_or_two", "====", "\n", ".")) for _ in range(r.randint(1, 9))]
+        text = "".join(parts)
+        assert secrets.entropy_spans(text, secrets.base_spans(text)) == plain_spans(text), text
+
+
+def test_time_grows_with_the_text():
+    """Lines of keys, one value that covers many candidates, and one endless rule of signs."""
+    line = "token=hJ8kQ2vX9zT4mW7pL1sD6fG3 0123456789abcdef0123 wJalrXUtnFEMIK7MDENGbPxRfiCYEX\n"
+    covered = "secret=" + "0123456789abcdef0123.hJ8kQ2vX9zT4mW7pL1sD6fG3." * 10
+    for make in (lambda n: line * n, lambda n: covered * n, lambda n: "=" * (60 * n) + "x" * 9):
+        took = []
+        for n in (1500, 3000, 6000):
+            text = make(n)
+            began = time.perf_counter()
+            secrets.entropy_spans(text, secrets.base_spans(text))
+            took.append(time.perf_counter() - began)
+        assert took[2] < 3 * took[1] + 0.3 and took[1] < 3 * took[0] + 0.3, took
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "key hJ8kQ2vX9zT4mW7pL1sD6fG3", "x", 2)], "doc_id long, text string, added string, base int")
+    got = secrets.secret_scan(df, keep=("added", "base"))
+    assert got.columns == ["doc_id", "base", "added"] and len(got.first()["added"]) == 1
