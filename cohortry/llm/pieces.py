@@ -1,10 +1,11 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-A text becomes atoms: runs that no piece can reach across, told from the piece table itself. Distinct atoms are counted
+A text becomes atoms: it is cut between any two characters that stand side by side in no piece. Distinct atoms are counted
 over the corpus, and only they are segmented: their bounded-length substrings are exploded and equi-joined to the
 piece table (of fixed size, broadcast), edges are gathered by atom, and a higher-order aggregate folds them into the best path. For
 unigram tables that fold is Viterbi's. The scores of BPE tables are merge ranks, whose best sum is not what the
-format's encoder gives; there the same lattice is folded in rank order, merging where an edge spans two neighbours.
+format's encoder gives; there the same lattice is folded in rank order, merging where an edge spans two neighbours. Atoms of over 60
+characters go through the lattice in windows, and the fold runs over their edges in Arrow batches.
 
 Known atoms go to all tasks as arrays, up to a fixed number of them, the most frequent ones (4 million take some 80 MB).
 Where there are more, texts become codes of atoms, and the rare ones are joined to blocks of documents by a shuffle,
@@ -65,27 +66,9 @@ class PieceTable:
             names.index("<0x00>") if m.trainer_spec.byte_fallback else -1, next((i for i, p in enumerate(m.pieces) if p.type == 2), 0), n.add_dummy_prefix,
         )
 
-    def kinds(self) -> np.ndarray:
-        """A class for each code point: atoms are runs of one class, with the spaces (class 0) before them.
-
-        Characters are letters (ASCII, and non-ASCII not found beside ASCII punctuation in a piece), digits, or others.
-        Should a piece mix classes or hold a space after another character, the table gets the coarser classes that it
-        allows: no piece ever reaches across atoms.
-        """
-        out = np.ones(0x110000, np.uint8)
-        used = [p for p, n in zip(self.pieces, self.normal) if n and len(p) > 1]
-        if any(SPACE in p.lstrip(SPACE) for p in used):
-            return out
-        out[ord(SPACE)] = 0
-        ascii_kind = lambda c: 1 if c.isalpha() else 2 if c.isdigit() else 3
-        pairs = {(a, b) for p in used for a, b in zip(p, p[1:]) if a != SPACE}
-        other = {y for a, b in pairs for x, y in ((a, b), (b, a)) if x < "\x80" <= y and ascii_kind(x) == 3}
-        while more := {y for a, b in pairs for x, y in ((a, b), (b, a)) if x in other and y >= "\x80"} - other:
-            other |= more
-        fine = out.copy()
-        fine[:128] = [ascii_kind(chr(i)) for i in range(128)]
-        fine[[ord(c) for c in other]] = 3
-        return fine if all(fine[ord(a)] == fine[ord(b)] for a, b in pairs) else out
+    def cuts(self) -> "Cuts":
+        """Where texts may be cut: between two characters that stand side by side in no piece, which none can reach across."""
+        return Cuts({(x, y) for p, n in zip(self.pieces, self.normal) if n for x, y in zip(p, p[1:])})
 
     def decode(self, ids) -> str:
         """The text of ``ids``: bytes joined and read as UTF-8, control and unknown ids left out."""
@@ -105,6 +88,35 @@ class PieceTable:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
+class Cuts:
+    """The pairs of characters that pieces hold, over the small alphabet of such characters."""
+
+    #: Up to so many characters the pairs are a table of bits; beyond, a sorted list of codes.
+    _DENSE = 4096
+
+    def __init__(self, pairs: set[tuple[str, str]]):
+        letters = sorted({c for p in pairs for c in p})
+        number = {c: i + 1 for i, c in enumerate(letters)}
+        self.n = len(letters) + 1
+        self.number = np.zeros(0x110000, np.uint16 if self.n < 65536 else np.int32)
+        self.number[[ord(c) for c in letters]] = np.arange(1, self.n)
+        codes = np.array(sorted(number[x] * self.n + number[y] for x, y in pairs), np.int64)
+        self.codes, self.dense = codes, None
+        if self.n <= self._DENSE:
+            self.dense = np.zeros(self.n * self.n, bool)
+            self.dense[codes] = True
+
+    def between(self, points: np.ndarray) -> np.ndarray:
+        """For each place between two code points whether it may be cut."""
+        k = self.number[points].astype(np.int64)
+        code = k[:-1] * self.n + k[1:]
+        if self.dense is not None:
+            return ~self.dense[code]
+        if not len(self.codes):
+            return np.ones(len(code), bool)
+        return self.codes[np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)] != code
+
+
 @contextlib.contextmanager
 def _setting(spark: SparkSession, key: str, value: str):
     was = spark.conf.get(key, None)
@@ -115,22 +127,44 @@ def _setting(spark: SparkSession, key: str, value: str):
         spark.conf.unset(key) if was is None else spark.conf.set(key, was)
 
 
-def edges(words: DataFrame, table: PieceTable) -> DataFrame:
-    """The columns of ``words`` and (start, end, rank, score, id): each piece at each place of a distinct word, and one row with id -1 for each word.
-
-    ``rank`` numbers distinct scores, the highest first.
-    """
-    spark = words.sparkSession
+def ranked(table: PieceTable) -> list[tuple[str, int, int, float]]:
+    """(piece, id, rank, score) of the normal pieces; ``rank`` numbers distinct scores, the highest first."""
     ranks = {s: i for i, s in enumerate(sorted({s for s, n in zip(table.scores, table.normal) if n}, reverse=True))}
-    rows = [(p, i, ranks[s], float(s)) for i, (p, s, n) in enumerate(zip(table.pieces, table.scores, table.normal)) if n]
-    pieces = spark.createDataFrame(pd.DataFrame([*rows, ("", -1, 0, 0.0)], columns=["piece", "id", "rank", "score"]), "piece string, id int, rank int, score double")
+    return [(p, i, ranks[s], float(s)) for i, (p, s, n) in enumerate(zip(table.pieces, table.scores, table.normal)) if n]
+
+
+def _pieces(spark: SparkSession, table: PieceTable) -> DataFrame:
+    """The piece table and an empty piece of id -1. It has a fixed size, that of the vocabulary, and is broadcast."""
+    rows = pd.DataFrame([*ranked(table), ("", -1, 0, 0.0)], columns=["piece", "id", "rank", "score"])
+    return F.broadcast(spark.createDataFrame(rows, "piece string, id int, rank int, score double"))
+
+
+def edges(words: DataFrame, table: PieceTable) -> DataFrame:
+    """The columns of ``words`` and (start, end, rank, score, id): each piece at each place of a distinct short word, and one row with id -1 for each word."""
     n = F.length("word")
     own = words.columns
     at = words.select(*own, n.alias("__n"), F.explode(F.sequence(F.lit(1), n)).alias("s"))
     at = at.select(*own, "s", F.explode(F.sequence(F.when(F.col("s") == 1, 0).otherwise(1), F.least(F.lit(table.width), F.col("__n") - F.col("s") + 1))).alias("k"))
     at = at.withColumn("piece", F.col("word").substr(F.col("s"), F.col("k")))
-    # the piece table has a fixed size, that of the vocabulary
-    return at.join(F.broadcast(pieces), "piece").select(*own, (F.col("s") - 1).alias("start"), (F.col("s") + F.col("k") - 1).alias("end"), "rank", "score", "id")
+    return at.join(_pieces(words.sparkSession, table), "piece").select(*own, (F.col("s") - 1).alias("start"), (F.col("s") + F.col("k") - 1).alias("end"), "rank", "score", "id")
+
+
+def long_edges(words: DataFrame, table: PieceTable) -> DataFrame:
+    """(wid, edges) of words of any length: each edge as start << 8 | length, and rank << 32 | id.
+
+    A word is cut into windows that reach a piece's length into the next one. The rows of the lattice carry a window and
+    the word's hash, not the word, so that their bytes grow with its length.
+    """
+    step, over = max(_SHORT, table.width), table.width - 1
+    chunks = words.select("wid", F.regexp_extract_all("word", F.lit(f"(?s).{{1,{step}}}"), F.lit(0)).alias("c"))
+    windows = F.transform("c", lambda x, i: F.struct((i * step).alias("from"), F.length(x).alias("n"), F.concat(x, F.coalesce(F.left(F.get("c", i + 1), F.lit(over)), F.lit(""))).alias("part")))
+    rows = chunks.select("wid", F.inline(windows))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("s"))
+    rows = rows.select("wid", "from", "part", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(table.width), F.length("part") - F.col("s") + 1))).alias("k"))
+    rows = rows.select("wid", (F.col("from") + F.col("s") - 1).alias("start"), "k", F.col("part").substr(F.col("s"), F.col("k")).alias("piece"))
+    place = F.shiftleft(F.col("start").cast("long"), 8).bitwiseOR(F.col("k").cast("long"))
+    what = F.shiftleft(F.col("rank").cast("long"), 32).bitwiseOR(F.col("id").cast("long"))
+    return rows.join(_pieces(words.sparkSession, table), "piece").groupBy("wid").agg(F.collect_list(F.struct(place.alias("place"), what.alias("what"))).alias("edges"))
 
 
 def _single(i: Column, table: PieceTable) -> Column:
@@ -186,31 +220,68 @@ def _own(rows: DataFrame) -> list[str]:
     return [c for c in rows.columns if c not in ("start", "end", "rank", "score", "id")]
 
 
-def _merge_long(rows: DataFrame, table: PieceTable) -> DataFrame:
-    """The same fold for long atoms, over an array of boundaries."""
-
-    @F.pandas_udf("array<int>")
-    def fold(words: pd.Series, lists: pd.Series) -> pd.Series:
-        out = []
-        for word, es in zip(words, lists):
-            n = len(word)
-            bound = bytearray([1] * (n + 1))
-            es = sorted((e["rank"], e["start"], e["end"], e["id"]) for e in es)
-            for _, s, e, _ in es:
-                if bound[s] and bound[e] and sum(bound[s + 1 : e]) == 1:
-                    bound[s + 1 : e] = bytes(e - s - 1)
-            named = {(s, e): i for _, s, e, i in es}
-            at, ids = 0, []
-            for b in range(1, n + 1):
-                if bound[b]:
-                    i = named.get((at, b))
-                    ids += [i] if i is not None else [table.bytes_at + c for c in word[at:b].encode()] if table.bytes_at >= 0 else [table.unk]
-                    at = b
-            out.append(ids)
-        return pd.Series(out)
+def merged_path(n: int, start: np.ndarray, size: np.ndarray, rank: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of the parts that are left when edges are applied in rank order over an array of boundaries."""
+    bound = bytearray([1]) * (n + 1)
+    order = np.lexsort((start, rank))
+    for s, k in zip(start[order].tolist(), size[order].tolist()):
+        if bound[s] and bound[s + k] and bound.count(1, s + 1, s + k) == 1:
+            bound[s + 1 : s + k] = bytes(k - 1)
+    at = [i for i in range(n + 1) if bound[i]]
+    return list(zip(at, at[1:]))
+
+
+def best_path(n: int, start: np.ndarray, size: np.ndarray, score: np.ndarray, low: float) -> list[tuple[int, int]]:
+    """(start, end) of the parts of the best sum; a character that no edge takes costs ``low``. Ties go to the edge that starts first."""
+    best, back = [0.0] + [float("-inf")] * n, [0] * (n + 1)
+    order = np.lexsort((start, start + size))
+    s_, e_, w_ = start[order].tolist(), (start + size)[order].tolist(), score[order].tolist()
+    i = 0
+    for t in range(1, n + 1):
+        one = best[t - 1] + low
+        while i < len(e_) and e_[i] == t:
+            if best[s_[i]] + w_[i] > best[t]:
+                best[t], back[t] = best[s_[i]] + w_[i], s_[i]
+            i += 1
+        if one > best[t]:
+            best[t], back[t] = one, t - 1
+    out, t = [], n
+    while t:
+        out.append((back[t], t))
+        t = back[t]
+    return out[::-1]
+
+
+def _fold_long(words: DataFrame, table: PieceTable) -> DataFrame:
+    """The same folds for long words, in time that grows with their length. ``words`` has ``word`` and ``wid``."""
+    own = [c for c in words.columns if c != "wid"]
+    rows = words.join(long_edges(words, table), "wid", "left").select(*own, "edges")
+    unigram, fallback, unk = table.kind == "unigram", table.bytes_at, table.unk
+    scores = np.array(sorted({s for s, n in zip(table.scores, table.normal) if n}, reverse=True), np.float64)
+    low = float(scores.min(initial=0.0)) - 10.0
+    at = own.index("word")
+
+    def ids_of(word: str, place: np.ndarray, what: np.ndarray) -> list[int]:
+        start, size, rank = place >> 8, place & 255, what >> 32
+        named = dict(zip(place.tolist(), (what & 0xFFFFFFFF).tolist()))
+        path = best_path(len(word), start, size, scores[rank], low) if unigram else merged_path(len(word), start, size, rank)
+        out: list[int] = []
+        for a, z in path:
+            i = named.get(a << 8 | z - a) if z - a < 256 else None
+            out += [i] if i is not None else [fallback + c for c in word[a:z].encode()] if fallback >= 0 else [unk]
+        return out
+
+    def fold(batches):
+        for b in batches:
+            lists = b.column(len(own))
+            got = []
+            for word, cell in zip(b.column(at).to_pylist(), lists):
+                e = cell.values
+                place, what = (np.empty(0, np.int64),) * 2 if e is None else (e.field(0).to_numpy(), e.field(1).to_numpy())
+                got.append(ids_of(word, place, what))
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(own))), pa.array(got, pa.list_(pa.int32()))], names=[*own, "ids"])
 
-    own = _own(rows)
-    return rows.groupBy(*own).agg(F.collect_list(F.struct("rank", "start", "end", "id")).alias("edges")).select(*own, fold("word", F.filter("edges", lambda e: e["id"] >= 0)).alias("ids"))
+    return rows.mapInArrow(fold, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema[:-1]) + ", ids array<int>")
 
 
 def _viterbi(rows: DataFrame, table: PieceTable) -> DataFrame:
@@ -248,14 +319,16 @@ def _viterbi(rows: DataFrame, table: PieceTable) -> DataFrame:
 
 def segment(words: DataFrame, table: PieceTable) -> DataFrame:
     """The columns of ``words`` and ``ids``, for distinct non-empty words in escaped form in column ``word``."""
-    if table.kind == "unigram":
-        if table.width > _SHORT:
-            raise ValueError("pieces are too long")
-        return _viterbi(edges(words, table), table)
+    if table.width > _SHORT:
+        raise ValueError("pieces are too long")
     short = words.where(F.length("word") <= _SHORT)
-    packed = edges(short, table).select(*words.columns, F.when(F.col("id") >= 0, F.shiftleft(F.col("rank").cast("long"), 36).bitwiseOR(F.shiftleft(F.col("start").cast("long"), 30)).bitwiseOR(F.shiftleft(F.col("end").cast("long"), 24)).bitwiseOR(F.col("id").cast("long"))).alias("e"))
-    grouped = packed.groupBy(*words.columns).agg(F.sort_array(F.collect_list("e")).alias("edges"))
-    return _merge_short(grouped, table).unionByName(_merge_long(edges(words.where(F.length("word") > _SHORT), table), table))
+    long = words.where(F.length("word") > _SHORT).withColumn("wid", F.xxhash64("word"))
+    if table.kind == "unigram":
+        done = _viterbi(edges(short, table), table)
+    else:
+        packed = edges(short, table).select(*words.columns, F.when(F.col("id") >= 0, F.shiftleft(F.col("rank").cast("long"), 36).bitwiseOR(F.shiftleft(F.col("start").cast("long"), 30)).bitwiseOR(F.shiftleft(F.col("end").cast("long"), 24)).bitwiseOR(F.col("id").cast("long"))).alias("e"))
+        done = _merge_short(packed.groupBy(*words.columns).agg(F.sort_array(F.collect_list("e")).alias("edges")), table)
+    return done.unionByName(_fold_long(long, table))
 
 
 @dataclass
@@ -272,7 +345,7 @@ class Atoms:
         return self.points[self.start[i] : self.end[i]].tobytes().decode("utf-32-le")
 
 
-def atoms_of(texts: list[str], kinds: np.ndarray, prefix: bool) -> Atoms:
+def atoms_of(texts: list[str], cuts: Cuts, prefix: bool) -> Atoms:
     """All texts are cut and hashed together: the hash of an atom is the difference of two prefix sums of values of code
     points times powers, taken back to the same power."""
     own = [SPACE + t if prefix and t else t for t in texts]
@@ -280,10 +353,8 @@ def atoms_of(texts: list[str], kinds: np.ndarray, prefix: bool) -> Atoms:
     points[points == 32] = ord(SPACE)
     n = len(points)
     bounds = np.cumsum([0, *map(len, own)])
-    kind = kinds[points]
     first = np.empty(n + 1, bool)
-    np.not_equal(kind[1:], kind[:-1], out=first[1:n])
-    first[1:n] &= kind[:-1] != 0
+    first[1:n] = cuts.between(points)
     first[bounds] = True
     first[n] = True
     cut = np.flatnonzero(first)
@@ -352,17 +423,19 @@ def encode(
     bytes, with the CRC-32, of the text (with its space signs as spaces).
 
     Null and empty texts have no tokens and decode to the empty text. Null ids stay; repeated rows are encoded each; an
-    empty table gives an empty one. Whole texts are encoded. A text with the space sign of the format decodes to one
+    empty table gives an empty one. Very long texts, and texts without a place to cut, are encoded whole, in time that grows with
+    their length. Paths of equal scores are told apart as the format's library does: the earlier place first. Other columns are not
+    read and may have any names. A text with the space sign of the format decodes to one
     with a space there, as in the format's own library. ``frequent`` bounds what all tasks are sent; the ids do not depend on it.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    kinds, prefix = table.kinds(), table.prefix
+    cuts, prefix = table.cuts(), table.prefix
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"))
     id_type = source.schema["id"].dataType.simpleString()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # repartitioned by word, so that edges need no further exchange to be gathered
-    counted = source.mapInArrow(_counter(kinds, prefix), "word string, n long").repartition(parts, "word").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = source.mapInArrow(_counter(cuts, prefix), "word string, n long").repartition(parts, "word").groupBy("word").agg(F.sum("n").alias("n"))
     words = Written(counted, "words")
     total = words.df.count()
     whole = total <= frequent
@@ -381,15 +454,15 @@ def encode(
                 least = r["n"] + 1
                 break
         known = pieced.df.where(F.col("n") >= least)
-    index = spark.sparkContext.broadcast(_index(known.select("word", "ids").mapInArrow(_hasher(kinds), "h long, ids array<int>").toArrow()))
+    index = spark.sparkContext.broadcast(_index(known.select("word", "ids").mapInArrow(_hasher(cuts), "h long, ids array<int>").toArrow()))
     read = _reader(table)
     columns = f"id {id_type}, n_tokens long, ids array<int>" + ", round_trip boolean" * check
     if whole:
         pieced.drop()
-        out = source.mapInArrow(_encoder(kinds, prefix, index, read if check else None, id_type), columns)
+        out = source.mapInArrow(_encoder(cuts, prefix, index, read if check else None, id_type), columns)
         return out.withColumnRenamed("id", id_col)
     kind = f"block long, ids array<{id_type}>, ends array<int>, blob binary, rare array<string>, sums array<long>"
-    coded = Written(source.mapInArrow(_coder(kinds, prefix, index, block_atoms, id_type), kind), "coded")
+    coded = Written(source.mapInArrow(_coder(cuts, prefix, index, block_atoms, id_type), kind), "coded")
     rare = coded.df.select("block", F.posexplode("rare").alias("k", "word")).join(pieced.df.select("word", "ids"), "word")
     rare = rare.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("k", F.col("ids").alias("own")))).alias("r"))
     rare = rare.select("block", F.transform("r", lambda x: x["own"]).alias("rare_ids"))
@@ -405,7 +478,7 @@ def _slices(b: pa.RecordBatch):
         yield s.column(0).to_pylist(), s.column(1).to_pylist()
 
 
-def _counter(kinds: np.ndarray, prefix: bool):
+def _counter(cuts: Cuts, prefix: bool):
     """Distinct atoms of a task with their counts, sent on whenever there are very many."""
 
     def run(batches):
@@ -416,7 +489,7 @@ def _counter(kinds: np.ndarray, prefix: bool):
 
         for b in batches:
             for _, texts in _slices(b):
-                a = atoms_of(texts, kinds, prefix)
+                a = atoms_of(texts, cuts, prefix)
                 h, at, n = np.unique(a.hashes, return_index=True, return_counts=True)
                 place = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
                 old = known[place] == h if len(known) else np.zeros(len(h), bool)
@@ -439,12 +512,12 @@ def _counter(kinds: np.ndarray, prefix: bool):
     return run
 
 
-def _hasher(kinds: np.ndarray):
+def _hasher(cuts: Cuts):
     """Atoms as their hashes."""
 
     def run(batches):
         for b in batches:
-            a = atoms_of(b.column(0).to_pylist(), kinds, False)
+            a = atoms_of(b.column(0).to_pylist(), cuts, False)
             yield pa.RecordBatch.from_arrays([pa.array(a.hashes.view(np.int64)), b.column(1)], names=["h", "ids"])
 
     return run
@@ -494,7 +567,7 @@ def _batch(ids, cut, tokens, sums, read, to) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(cols, names=["id", "n_tokens", "ids", "round_trip"][: len(cols)])
 
 
-def _encoder(kinds, prefix, index, read, id_type):
+def _encoder(cuts, prefix, index, read, id_type):
     """Ids where all atoms are known."""
     to = _type(id_type)
 
@@ -502,7 +575,7 @@ def _encoder(kinds, prefix, index, read, id_type):
         known = index.value
         for b in batches:
             for ids, texts in _slices(b):
-                a = atoms_of(texts, kinds, prefix)
+                a = atoms_of(texts, cuts, prefix)
                 code = known.find(a.hashes)
                 if (code < 0).any():
                     raise RuntimeError("an atom is unknown that was counted before: the input has changed")
@@ -514,7 +587,7 @@ def _encoder(kinds, prefix, index, read, id_type):
     return run
 
 
-def _coder(kinds, prefix, index, block_atoms, id_type):
+def _coder(cuts, prefix, index, block_atoms, id_type):
     """Blocks of documents as codes of atoms; atoms not in the index are listed with the block."""
     to = _type(id_type)
 
@@ -524,7 +597,7 @@ def _coder(kinds, prefix, index, block_atoms, id_type):
         task, blocks, known = TaskContext.get().partitionId(), 0, index.value
         for b in batches:
             for ids, texts in _slices(b):
-                a = atoms_of(texts, kinds, prefix)
+                a = atoms_of(texts, cuts, prefix)
                 lo = 0
                 while lo < len(ids):
                     hi = max(lo + 1, int(np.searchsorted(a.before, a.before[lo] + block_atoms, "right")) - 1)

@@ -1,11 +1,13 @@
 import itertools
 import os
 import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortry.llm.pieces import SPACE, PieceTable, decode, encode, segment
+from cohortry.llm.pieces import SPACE, Cuts, PieceTable, atoms_of, best_path, decode, encode, segment
 from cohortry.llm.queries import PIECE_MODEL, op3_sentencepiece
 
 needs_model = pytest.mark.skipif(not os.path.exists(PIECE_MODEL), reason="no model file")
@@ -89,3 +91,47 @@ def test_viterbi_on_a_long_word(spark):
     words = ["ab" * 2100, "ab" * 2050 + "?" + "ab" * 40]
     got = {x["word"]: x["ids"] for x in segment(spark.createDataFrame([(w,) for w in words], ["word"]), t).collect()}
     assert got[words[0]] == [1] * 2100 and got[words[1]] == [1] * 2050 + [0] + [1] * 40
+
+
+def test_the_fold_of_long_words_is_the_best_path():
+    """The fold over arrays against all ways to cut, ties included: the first of equal paths from the left."""
+    r = random.Random(16)
+    for _ in range(150):
+        own = {"".join(r.choice("abc") for _ in range(r.randint(1, 4))): -float(r.randint(1, 6)) for _ in range(14)}
+        low = min(own.values()) - 10
+        w = "".join(r.choice("abcd") for _ in range(r.randint(1, 10)))
+        at = [(i, k) for i in range(len(w)) for k in range(1, 5) if w[i : i + k] in own and i + k <= len(w)]
+        start, size = np.array([i for i, _ in at], np.int64), np.array([k for _, k in at], np.int64)
+        path = best_path(len(w), start, size, np.array([own[w[i : i + k]] for i, k in at]), low)
+        assert "".join(w[a:z] for a, z in path) == w
+        assert abs(sum(own.get(w[a:z], low) for a, z in path) - best(w, own, low)) < 1e-9
+
+
+def test_atoms_are_cut_where_no_piece_crosses():
+    cuts = Cuts({("a", "b"), ("b", "a"), (SPACE, "a")})
+    a = atoms_of(["ab ba1ab", "", "cc"], cuts, False)
+    assert [a.word(i) for i in range(len(a.start))] == ["ab", SPACE, "ba", "1", "ab", "c", "c"] and a.before.tolist() == [0, 5, 5, 7]
+    many = Cuts({(chr(300 + i), chr(301 + i)) for i in range(5000)})
+    assert many.dense is None and many.between(np.array([300, 301, 305, 306])).tolist() == [False, True, False]
+
+
+@needs_model
+def test_long_atoms_are_those_of_the_library(spark, table, library):
+    """Words of letters alone, of up to 40,000 characters, in time that grows with their length."""
+    r = random.Random(12)
+    took = []
+    for n in (10_000, 20_000, 40_000):
+        word = "".join(r.choice("etaoinshr") for _ in range(n))
+        df = spark.createDataFrame([(1, word), (2, "日本語テキスト。" * (n // 8)), (3, word[:61]), (4, word[:60])], "doc_id long, text string")
+        began = time.perf_counter()
+        rows = encode(df, table, check=True).collect()
+        took.append(time.perf_counter() - began)
+        for x in rows:
+            assert list(x["ids"]) == library.encode({1: word, 2: "日本語テキスト。" * (n // 8), 3: word[:61], 4: word[:60]}[x["doc_id"]]) and x["round_trip"]
+    assert took[2] < 2.5 * took[1] + 2, took
+
+
+@needs_model
+def test_clashing_columns(spark, table, library):
+    df = spark.createDataFrame([(1, "some words", "x", 2, "w"), (1, "some words", "x", 2, "w")], "doc_id long, text string, ids string, n_tokens int, word string")
+    assert [list(r["ids"]) for r in encode(df, table).collect()] == [library.encode("some words")] * 2
