@@ -86,7 +86,7 @@ def node_of(grams: np.ndarray) -> int | None:
 
 
 def _sets(b: pa.RecordBatch, width: int):
-    """(id, set) of the rows of (id, text), hashed in slices of some 1 MB."""
+    """(row key, set) of the rows of (row key, text, ...), hashed in slices of some 1 MB."""
     step = max(1, b.num_rows * (1 << 20) // max(1, b.nbytes))
     for at in range(0, b.num_rows, step):
         s = b.slice(at, step)
@@ -100,8 +100,8 @@ def _marks(heavy: np.ndarray) -> np.ndarray:
     return out
 
 
-def prefix_of(grams: np.ndarray, num: int, den: int, heavy: np.ndarray, weight: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    """The first n-grams of a set in the common order: unlisted ones by hash, then ``heavy`` ones by weight and hash."""
+def prefix_of(grams: np.ndarray, num: int, den: int, heavy: np.ndarray, weight: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first n-grams of a set in the common order, unlisted ones by hash, then ``heavy`` ones by weight and hash; and their weights, 0 if unlisted."""
     n = len(grams)
     p = n + (-num * n // den) + 1  # n - ceil(num n / den) + 1
     may = np.flatnonzero(marks[grams >> np.uint64(44)])
@@ -111,20 +111,21 @@ def prefix_of(grams: np.ndarray, num: int, den: int, heavy: np.ndarray, weight:
         if on.any():
             own, w = grams[may[on]], weight[at[on]]
             light = np.delete(grams, may[on])
-            if len(light) >= p:
-                return light[:p]
-            return np.concatenate([light, own[np.lexsort((own, w))]])[:p]
-    return grams[:p]
+            if len(light) < p:
+                order = np.lexsort((own, w))
+                return np.concatenate([light, own[order]])[:p], np.concatenate([np.zeros(len(light), np.int64), w[order]])[:p]
+            grams = light
+    return grams[:p], np.zeros(p, np.int64)
 
 
 def _slot(bits: int):
     """1 to ``bits``: bit ``slot + 32767`` of the bitmap, as the bitmap functions number buckets from 1."""
-    return F.pmod(F.xxhash64("id"), F.lit(bits)) + 1
+    return F.pmod(F.xxhash64("rk"), F.lit(bits)) + 1
 
 
-def _bloom(ids: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of ``bits`` bits, one of them set for each id: its size does not depend on the number of ids."""
-    rows = ids.select(_slot(bits).alias("h")).groupBy(F.expr("bitmap_bucket_number(h)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("m")).collect()
+def _bloom(keys: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of ``bits`` bits, one of them set for each row key: its size does not depend on the number of keys."""
+    rows = keys.select(_slot(bits).alias("h")).groupBy(F.expr("bitmap_bucket_number(h)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("m")).collect()
     out = np.zeros((bits // 32768 + 2, 4096), np.uint8)
     for r in rows:
         out[r["k"]] = np.frombuffer(r["m"], np.uint8)
@@ -132,11 +133,13 @@ def _bloom(ids: DataFrame, bits: int) -> np.ndarray:
 
 
 class _Join:
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int, listed: int, bloom_bits: int, few: int, block: int):
-        self.few, self.block = few, block
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int, listed: int, bloom_bits: int, few: int, block: int, hot: int):
+        self.few, self.block, self.hot = few, block, hot
         self.spark = docs.sparkSession
         bounded_batches(self.spark)
-        self.docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("t"))
+        rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("t"))
+        # a row is found again by its id and text together: ids may be null or repeat
+        self.docs = rows.select(F.xxhash64("id", "t").alias("rk"), "t", "id")
         self.width, self.num, self.den, self.listed, self.bits = width, num, den, listed, bloom_bits
         self.id_type = self.docs.schema["id"].dataType.simpleString()
 
@@ -149,7 +152,7 @@ class _Join:
         return f"{self.num + self.den} * (c + greatest({rest('na')}, {rest('nb')})) >= {self.num} * (na + nb)"
 
     def read(self) -> Written:
-        """Rows of documents (id, n, node), and rows of n-grams that a task found in several sets (gram, n)."""
+        """Rows of documents (id, rk, n, node), and rows of n-grams that a task found in several sets (gram, n)."""
         width = self.width
 
         def run(batches):
@@ -161,13 +164,14 @@ class _Join:
             def counts():
                 g, c = np.unique(np.concatenate(own), return_counts=True)
                 g, c = g[c > 2], c[c > 2]
-                return pa.RecordBatch.from_arrays([pa.nulls(len(g), arrow.field(0).type), pa.array(c, pa.int64()), pa.nulls(len(g), pa.int64()), pa.array(g.view(np.int64))], schema=arrow)
+                none = pa.nulls(len(g), pa.int64())
+                return pa.RecordBatch.from_arrays([pa.nulls(len(g), arrow.field(0).type), none, pa.array(c, pa.int64()), none, pa.array(g.view(np.int64))], schema=arrow)
 
             for b in batches:
-                ids, ns, nodes = [], [], []
-                for i, grams in _sets(b, width):
+                ns, nodes = [], []
+                for _, grams in _sets(b, width):
                     node = node_of(grams)
-                    ids.append(i), ns.append(len(grams)), nodes.append(node)
+                    ns.append(len(grams)), nodes.append(node)
                     if node is not None and node not in seen:
                         seen.add(node)
                         own.append(grams)
@@ -175,11 +179,11 @@ class _Join:
                         if held > _CHUNK:
                             yield counts()
                             own, held = [], 0
-                yield pa.RecordBatch.from_arrays([pa.array(ids, arrow.field(0).type), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(len(ids), pa.int64())], schema=arrow)
+                yield pa.RecordBatch.from_arrays([b.column(2), b.column(0), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(len(ns), pa.int64())], schema=arrow)
             if own:
                 yield counts()
 
-        schema = self.spark.createDataFrame([], f"id {self.id_type}, n long, node long, gram long").schema
+        schema = self.spark.createDataFrame([], f"id {self.id_type}, rk long, n long, node long, gram long").schema
         return Written(self.docs.mapInArrow(run, schema), "ngrams")
 
     def heavy(self, read: DataFrame):
@@ -190,82 +194,89 @@ class _Join:
         return self.spark.sparkContext.broadcast((g[order], w[order]))
 
     def incidence(self, heavy) -> Written:
-        """(gram, node, n, lead, n_lead): prefix n-grams that several nodes hold, each with its smallest node."""
-        width, num, den = self.width, self.num, self.den
+        """(gram, node, n, lead, n_lead): prefix n-grams that several nodes hold, each with its smallest node.
+
+        An n-gram that may stand in the prefixes of over ``hot`` nodes is dealt out in parts by a hash of the node. Each
+        part has a lead of its own, and keeps its rows even where it has one node.
+        """
+        width, num, den, hot = self.width, self.num, self.den, self.hot
 
         def prefixes(batches):
             seen = set()
             table, weight = heavy.value
             marks = _marks(table)
             for b in batches:
-                grams, nodes, ns, held = [], [], [], 0
+                grams, nodes, ns, parts, held = [], [], [], [], 0
 
                 def out():
                     k = np.fromiter(map(len, grams), np.int64, len(grams))
-                    cols = (np.concatenate(grams).view(np.int64), np.repeat(np.array(nodes, np.int64), k), np.repeat(np.array(ns, np.int32), k))
-                    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["gram", "node", "n"])
+                    cols = (np.concatenate(grams).view(np.int64), np.concatenate(parts), np.repeat(np.array(nodes, np.int64), k), np.repeat(np.array(ns, np.int32), k))
+                    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["gram", "part", "node", "n"])
 
                 for _, g in _sets(b, width):
                     node = node_of(g)
                     if node is None or node in seen:
                         continue
                     seen.add(node)
-                    grams.append(prefix_of(g, num, den, table, weight, marks)), nodes.append(node), ns.append(len(g))
-                    held += len(grams[-1])
+                    own, w = prefix_of(g, num, den, table, weight, marks)
+                    grams.append(own), nodes.append(node), ns.append(len(g))
+                    # from 1 on in parts, 0 for an n-gram in one piece
+                    parts.append(np.where(w > hot, 1 + (node & 0x7FFFFFFF) % (w // hot + 1), 0).astype(np.int32))
+                    held += len(own)
                     if held > 200_000:
                         yield out()
-                        grams, nodes, ns, held = [], [], [], 0
+                        grams, nodes, ns, parts, held = [], [], [], [], 0
                 if grams:
                     yield out()
 
         def shared(batches):
-            """Of rows sorted by (gram, node): those whose neighbour has the same gram, with the gram's first node. One row is held back."""
-            last = np.empty((0, 3), np.int64)
-            lead = (0, 0, 0, False)  # gram, node, n of the current gram's first row; whether the last row was let out
+            """Of rows sorted by (gram, part, node): those whose neighbour has the same gram and part, with their first node. One row is held back."""
+            last = np.empty((0, 4), np.int64)
+            lead = (0, 0, 0, 0, False)  # gram, part, node, n of the current part's first row; whether the last row was let out
             names = ["gram", "node", "n", "lead", "n_lead"]
 
             def make(rows, after):
                 nonlocal lead
-                g = rows[:, 0]
-                first = np.ones(len(g), bool)
-                first[1:] = g[1:] != g[:-1]
-                first[0] = not (lead[3] and lead[0] == g[0])
-                at = np.maximum.accumulate(np.where(first, np.arange(len(g)), -1))
-                node = np.where(at >= 0, rows[at, 1], lead[1])
-                n = np.where(at >= 0, rows[at, 2], lead[2])
-                same = np.zeros(len(g), bool)
+                first = np.ones(len(rows), bool)
+                first[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
+                first[0] = not (lead[4] and lead[0] == rows[0, 0] and lead[1] == rows[0, 1])
+                at = np.maximum.accumulate(np.where(first, np.arange(len(rows)), -1))
+                node = np.where(at >= 0, rows[at, 2], lead[2])
+                n = np.where(at >= 0, rows[at, 3], lead[3])
+                same = rows[:, 1] > 0
                 same[1:] |= ~first[1:]
                 same[:-1] |= ~first[1:]
                 same[0] |= not first[0]
-                same[-1] |= after == g[-1] if after is not None else False
-                lead = (g[-1], node[-1], n[-1], True)
-                return pa.RecordBatch.from_arrays([pa.array(rows[same, 0]), pa.array(rows[same, 1]), pa.array(rows[same, 2].astype(np.int32)), pa.array(node[same]), pa.array(n[same].astype(np.int32))], names=names)
+                same[-1] |= after is not None and bool((after == rows[-1, :2]).all())
+                lead = (rows[-1, 0], rows[-1, 1], node[-1], n[-1], True)
+                return pa.RecordBatch.from_arrays([pa.array(rows[same, 0]), pa.array(rows[same, 2]), pa.array(rows[same, 3].astype(np.int32)), pa.array(node[same]), pa.array(n[same].astype(np.int32))], names=names)
 
             for b in batches:
                 if not b.num_rows:
                     continue
-                rows = np.concatenate([last, np.stack([b.column(i).to_numpy() for i in range(3)], axis=1).astype(np.int64)])
+                rows = np.concatenate([last, np.stack([b.column(i).to_numpy() for i in range(4)], axis=1).astype(np.int64)])
                 keep = np.ones(len(rows), bool)  # several tasks may have sent the same node
-                keep[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
+                keep[1:] = (rows[1:, :3] != rows[:-1, :3]).any(axis=1)
                 rows = rows[keep]
                 if len(rows) > 1:
-                    yield make(rows[:-1], rows[-1, 0])
+                    yield make(rows[:-1], rows[-1, :2])
                 last = rows[-1:]
             if len(last):
                 yield make(last, None)
 
-        p = self.docs.mapInArrow(prefixes, "gram long, node long, n int")
-        p = p.repartition("gram").sortWithinPartitions("gram", "node")
+        p = self.docs.mapInArrow(prefixes, "gram long, part int, node long, n int")
+        p = p.repartition("gram", "part").sortWithinPartitions("gram", "part", "node")
         return Written(p.mapInArrow(shared, "gram long, node long, n int, lead long, n_lead int"), "incidence")
 
     def sets(self, nodes: DataFrame, reps: DataFrame) -> Written:
-        """(node, grams): the whole sets of ``nodes``. Of all texts only those that a bitmap of their ids lets through are hashed again."""
+        """(node, grams): the whole sets of ``nodes``. Of all texts only those that a bitmap of their row keys lets through are hashed again."""
         asked = Written(nodes.join(reps, "node"), "asked")
         bits, width = self.bits, self.width
-        bloom = self.spark.sparkContext.broadcast(_bloom(asked.df.select("id"), bits).tobytes())
+        bloom = self.spark.sparkContext.broadcast(_bloom(asked.df.select("rk"), bits).tobytes())
 
         def read(batches):
             mask = np.frombuffer(bloom.value, np.uint8)
+            seen = set()
             for b in batches:
                 h = b.column(2).to_numpy() + 32767
                 on = np.flatnonzero(mask[h // 8] >> (h % 8).astype(np.uint8) & 1)
@@ -273,21 +284,24 @@ class _Join:
                     continue
                 b = b.take(pa.array(on))
                 for at in range(0, len(on), 500):
-                    rows = [(i, node_of(g), g) for i, g in _sets(b.slice(at, 500), width) if len(g)]
+                    rows = []
+                    for k, g in _sets(b.slice(at, 500), width):
+                        if len(g) and (own := (k, node_of(g))) not in seen:
+                            seen.add(own)
+                            rows.append((*own, g))
                     if rows:
                         off = np.cumsum([0, *(len(g) for *_, g in rows)]).astype(np.int32)
                         flat = np.concatenate([g for *_, g in rows]).view(np.int64)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([i for i, *_ in rows], to.field(0).type), pa.array([k for _, k, _ in rows], pa.int64()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], names=["id", "node", "grams"]
-                        )
-
-        from pyspark.sql.pandas.types import to_arrow_schema
+                        yield pa.RecordBatch.from_arrays([pa.array([k for k, *_ in rows], pa.int64()), pa.array([x for _, x, _ in rows], pa.int64()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], names=["rk", "node", "grams"])
 
-        schema = self.spark.createDataFrame([], f"id {self.id_type}, node long, grams array<long>").schema
-        to = to_arrow_schema(schema)
-        found = self.docs.select("id", "t", _slot(bits).alias("h")).mapInArrow(read, schema)
-        out = Written(found.join(asked.df, ["id", "node"], "left_semi").select("node", "grams"), "sets")
+        found = self.docs.select("rk", "t", _slot(bits).alias("h")).mapInArrow(read, "rk long, node long, grams array<long>")
+        out = Written(found.join(asked.df, ["rk", "node"], "left_semi").select("node", "grams"), "sets")
         asked.drop(), bloom.destroy()
+        size = out.df.agg(F.count("*").alias("rows"), F.count_distinct("node").alias("nodes")).first()
+        if size["rows"] > size["nodes"]:
+            # rows equal in id and text, read by several tasks
+            every, out = out, Written(out.df.dropDuplicates(["node"]), "sets")
+            every.drop()
         return out
 
     def verified(self, pairs: DataFrame, reps: DataFrame) -> Written:
@@ -303,9 +317,9 @@ class _Join:
 
     def classes(self, stars: int = 5) -> DataFrame:
         read = self.read()
-        docs = read.df.where("gram is null").select("id", "n", "node")
+        docs = read.df.where("gram is null").select("id", "rk", "n", "node")
         heavy = self.heavy(read.df)
-        reps = Written(docs.where("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("id")), "reps")
+        reps = Written(docs.where("node is not null").groupBy("node").agg(F.min("rk").alias("rk")), "reps")
         inc = self.incidence(heavy)
         heavy.destroy()
         rows = inc.df.count()
@@ -423,16 +437,17 @@ class _Join:
 
 
 def ngram_classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 3, den: int = 4, listed: int = 1 << 18, bloom_bits: int = 1 << 26, few: int = 64, block: int = 500
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 3, den: int = 4, listed: int = 1 << 18, bloom_bits: int = 1 << 26, few: int = 64, block: int = 500, hot: int = 200_000
 ) -> DataFrame:
     """``id_col``, ``n_shingles`` (size of the set) and ``component_id`` (smallest id reachable by links, itself included).
 
     Rows link when their sets' Jaccard similarity is at least ``num / den``, compared in integers. Rows without words
     (null or empty texts) have an empty set and link with nothing; texts of fewer than ``width`` words have one n-gram,
-    the whole sequence. Repeated rows and rows of equal sets are one class. Rows with a null id keep their row and take
-    the class's smallest id, or null; a set that only such rows hold is not read again and links with nothing but its equals. An empty table gives an empty one. Sets are told apart by 64-bit hashes of n-grams.
+    the whole sequence. Repeated rows and rows of equal sets are one class. Rows with a null id link like others and take
+    the class's smallest id, or null where no row of it has one. Very long texts are read whole. Pairs that tie at the threshold link. Other
+    columns are not read and may have any names. An empty table gives an empty one. Sets are told apart by 64-bit hashes of n-grams.
     ``listed`` bounds the ordering hint, ``bloom_bits`` the filter before verification, ``few`` the nodes of an n-gram that is
-    joined and ``block`` those of a block of the product; none of them changes the result.
+    joined, ``block`` those of a block of the product, and ``hot`` those of an n-gram that one task sorts; none of them changes the result.
     """
-    got = _Join(docs, id_col, text_col, width, num, den, listed, bloom_bits, few, block).classes()
+    got = _Join(docs, id_col, text_col, width, num, den, listed, bloom_bits, few, block, hot).classes()
     return got.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("first").alias("component_id"))

@@ -34,11 +34,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates: the one with the smallest id, once.
 
-    Documents without an id cannot be named as anyone's duplicate and stay; so do different texts of one id.
+    A document is an id with a text, so that rows without an id, and different texts of one id, are told apart; rows with
+    an id come before those without. Of rows equal in both one stays.
     """
-    first = ngram_classes(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first.hint("shuffle_hash"), "doc_id", "left_semi").select(*COLUMNS, F.xxhash64("text").alias("__text"))
-    return kept.dropDuplicates(["doc_id", "__text"]).drop("__text").unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text")).alias("key")
+    keyed = docs.select(*COLUMNS, key)
+    first = ngram_classes(keyed, id_col="key").where("key = component_id").select("key").distinct()
+    # keys of the documents that stay, of some bytes each, against their texts: hashed, so that texts are not sorted
+    kept = keyed.join(first.hint("shuffle_hash"), "key", "left_semi")
+    return kept.dropDuplicates(["key"]).select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

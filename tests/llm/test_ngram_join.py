@@ -28,23 +28,36 @@ class Classes(dict):
         self[max(a, b)] = min(a, b)
 
 
-def brute(rows, num=3, den=4):
-    """(id, text) to {id: (size, class)}."""
-    sets = [(i, grams(t)) for i, t in rows]
+def classed(rows, num=3, den=4):
+    """(id, size, class) of each of ``rows`` (id, text); rows are told apart by their place, so that ids may be null or repeat."""
+    sets = [grams(t) for _, t in rows]
     held = defaultdict(list)
-    for k, (_, s) in enumerate(sets):
+    for k, s in enumerate(sets):
         for g in s:
             held[g].append(k)
     common = Counter(p for ks in held.values() for p in itertools.combinations(ks, 2))
     classes = Classes()
     for (a, b), c in common.items():
-        if den * c >= num * (len(sets[a][1]) + len(sets[b][1]) - c) and None not in (sets[a][0], sets[b][0]):
-            classes.join(sets[a][0], sets[b][0])
-    return {i: (len(s), classes.find(i)) for i, s in sets if i is not None}
+        if den * c >= num * (len(sets[a]) + len(sets[b]) - c):
+            classes.join(a, b)
+    first = {}
+    for k, (i, _) in enumerate(rows):
+        root = classes.find(k)
+        first[root] = min((x for x in (first.get(root), i) if x is not None), default=None)
+    return [(i, len(sets[k]), first[classes.find(k)]) for k, (i, _) in enumerate(rows)]
+
+
+def brute(rows):
+    """{id: (size, class)} of rows whose ids are unique."""
+    return {i: (n, c) for i, n, c in classed(rows)}
 
 
 def got(df, **kw):
-    return {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_classes(df, **kw).collect() if r["doc_id"] is not None}
+    return {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_classes(df, **kw).collect()}
+
+
+def got_rows(df, **kw):
+    return sorted([(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_classes(df, **kw).collect()], key=repr)
 
 
 def near_copies(n, seed, change):
@@ -84,11 +97,40 @@ def test_threshold_is_inclusive(spark):
 
 def test_odd_rows(odd, none):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
-    assert got(odd) == brute(rows)
-    assert ngram_classes(odd).count() == odd.count()
+    # rows of one id are one document: its texts' sets are those of one class
+    assert got_rows(odd) == sorted(classed(rows), key=repr)
     assert ngram_classes(none).count() == 0
 
 
+def test_null_and_repeated_ids(spark):
+    """A chain whose middle has no id, a class without any id, repeated rows, and one id with two texts."""
+    w = [f"a{i}" for i in range(60)]
+    chain = [" ".join(w), " ".join([*w[:-7], *(f"b{i}" for i in range(7))]), " ".join([*(f"c{i}" for i in range(6)), *w[6:-7], *(f"b{i}" for i in range(7))])]
+    lone = " ".join(f"n{i}" for i in range(30))
+    rows = [(1, chain[0]), (None, chain[1]), (3, chain[2]), (None, lone), (None, lone + " z"), (None, lone), (7, "x y z u v w"), (7, "x y z u v w"), (9, "q r s t u v"), (9, chain[0] + " end")]
+    want = classed(rows)
+    assert want[2][2] == 1 and want[3][2] is None and classed([rows[0], rows[2]])[1][2] == 3
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert got_rows(df) == sorted(want, key=repr)
+    assert got_rows(df, few=1, block=2, hot=1) == sorted(want, key=repr)
+
+
+def test_hot_ngrams_are_dealt_out(spark):
+    """A passage in most documents, so that it stands in their prefixes, in parts of a few nodes."""
+    r = random.Random(21)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, passage + " " + " ".join(f"t{i}x{k}" for k in range(r.randint(0, 30)))) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert got(df, hot=5, few=10, block=40) == brute(rows)
+
+
+def test_clashing_columns_and_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, long, 5, 6, "a"), (2, long + " end", 7, 8, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, node long, component_id long, rk string")
+    assert got(df) == {1: (59_996, 1), 2: (59_997, 1)}
+
+
 def test_hashes_keep_words_apart():
     assert [len(x) for n in range(5) for x in ngram_sets([b"a " * n], 5)] == [0, 1, 1, 1, 1]
     assert ngram_sets([b""], 5)[0].size == 0 and ngram_sets([], 5) == []
@@ -108,6 +150,8 @@ def test_components(spark):
     out = components(spark.createDataFrame(edges, "a long, b long")).df
     assert {x["node"]: x["root"] for x in out.collect()} == {k: classes.find(k) for k in list(classes)}
     assert components(spark.createDataFrame([], "a long, b long")).df.count() == 0
+    with pytest.raises(RuntimeError):
+        components(spark.createDataFrame(edges, "a long, b long"), max_rounds=1)
 
 
 def test_query(spark, sf, small):

@@ -35,10 +35,10 @@ def test_run(spark, sf):
 
 def test_near_duplicates_keep_what_has_no_id(spark):
     text = "one two three four five six seven"
-    rows = [(1, text), (2, text), (2, text), (None, text), (5, "a b c d e f"), (5, "u v w x y z"), (6, None), (7, "")]
+    rows = [(1, text), (2, text), (2, text), (None, text), (None, "no id and no copy"), (5, "a b c d e f"), (5, "u v w x y z"), (6, None), (7, "")]
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted(((r["doc_id"], r["text"]) for r in p.near_duplicates(spark, docs, "").collect()), key=repr)
-    assert got == sorted([(1, text), (None, text), (5, "a b c d e f"), (5, "u v w x y z"), (6, None), (7, "")], key=repr)
+    assert got == sorted([(1, text), (None, "no id and no copy"), (5, "a b c d e f"), (5, "u v w x y z"), (6, None), (7, "")], key=repr)
 
 
 def test_odd_and_empty(spark, odd, none):
