@@ -21,6 +21,9 @@ from .common import map_texts
 
 _SPACE = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
+_ELLIPSES, _BULLETS = (b"...", "…".encode()), (b"-", b"*", "•".encode())
+#: Letters and bytes beyond ASCII as a, white space as it is, all else as 0.
+_LETTERED = bytes(97 if c >= 128 or 65 <= c <= 90 or 97 <= c <= 122 else c if c in _SPACE else 48 for c in range(256))
 _UPPER, _LETTERS = bytes(range(65, 91)), bytes([*range(65, 91), *range(97, 123)])
 
 #: Scripts that do not part words by spaces: Thai to Myanmar, Khmer, Tai, Balinese, kana, ideographs, Yi, Javanese.
@@ -74,6 +77,17 @@ class Text:
         own = [x for x in self.raw.split(b"\n") if x.strip(_SPACE)]
         return len(own), len(own) - len(set(own))
 
+    @cached_property
+    def line_forms(self) -> tuple[int, int]:
+        """Lines with a word that end in an ellipsis, and those that start with a bullet."""
+        own = [x.strip(_SPACE) for x in self.raw.split(b"\n")]
+        return sum(x.endswith(_ELLIPSES) for x in own), sum(x.startswith(_BULLETS) for x in own)
+
+    @cached_property
+    def n_lettered(self) -> int:
+        """Words with an ASCII letter or a character beyond ASCII."""
+        return sum(b"a" in w for w in self.raw.translate(_LETTERED).split())
+
     @property
     def n_dup_lines(self) -> int:
         return self.lines[1]
@@ -115,6 +129,9 @@ RULES = (
     Rule("exclaims", lambda t: 10 * t.n_exclaims > 4 * t.n_words),
     Rule("word_length", lambda t: t.word_chars < 2 * t.n_words or t.word_chars > 25 * t.n_words and t.spaced),
     Rule("dup_lines", lambda t: 10 * t.lines[1] > 5 * t.lines[0]),
+    Rule("ellipses", lambda t: 10 * t.line_forms[0] > 5 * t.lines[0]),
+    Rule("bullets", lambda t: 10 * t.line_forms[1] > 9 * t.lines[0] and t.lines[0] >= 5),
+    Rule("letterless", lambda t: 10 * t.n_lettered < 6 * t.n_words),
 )
 
 
@@ -161,7 +178,9 @@ def quality_cascade(
     ``first`` are the rules whose failing sets ``base_failed``; all rules are ordered together by the sample. Null and
     empty texts have no words and fail the base. Repeated rows get equal verdicts; null ids stay; an empty table gives
     an empty one. Whole texts are read, in slices of bounded size. Without ``measures`` a text stops at its first
-    failing rule, and ``base_failed`` then tells whether that rule is one of ``first``.
+    failing rule, and ``base_failed`` then tells whether that rule is one of ``first``. Rules of equal gain keep their
+    given order. Of a very long text every measure is taken in time that grows with its length. An output replaces a column of its name
+    among ``keep``.
     """
     order = rule_order(docs, (*first, *rules), text_col, sample_rows)
     base = {r.name for r in first}

@@ -127,18 +127,20 @@ ORACLES = {
     "op2_quality_rules": rf"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, {_WORDS} AS ws FROM t),
-ls AS (SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT l) AS dup FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM t) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY 1),
+ls AS (SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT l) AS dup, count(*) FILTER (regexp_matches(l, '(\.\.\.|…)[\x20\x09-\x0D]*$')) AS dots, count(*) FILTER (regexp_matches(l, '^[\x20\x09-\x0D]*[-*•]')) AS bullets FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM t) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY 1),
 p AS (SELECT doc_id, generate_subscripts(ws, 1) AS i, unnest(ws) AS x FROM w),
 g AS (SELECT doc_id, i, x, lead(x, 1) OVER o AS y, lead(x, 2) OVER o AS z FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, x, y, z) AS c FROM g WHERE z IS NOT NULL) WHERE c > 1),
 cover AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, range(3) s(k) GROUP BY 1),
 m AS (SELECT w.doc_id, len(ws) AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
-  coalesce(dup, 0) AS n_dup_lines, coalesce(cover.n, 0) AS n_repeat_words, coalesce(ls.n, 0) AS n_lines, length(text) - length(replace(text, '!', '')) AS exclaims,
+  coalesce(dup, 0) AS n_dup_lines, coalesce(cover.n, 0) AS n_repeat_words, coalesce(ls.n, 0) AS n_lines, coalesce(dots, 0) AS dots, coalesce(bullets, 0) AS bullets,
+  len(list_filter(ws, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS lettered, length(text) - length(replace(text, '!', '')) AS exclaims,
   length(text) - length(regexp_replace(text, '[A-Za-z]', '', 'g')) AS letters, length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS upper
   FROM w LEFT JOIN ls USING (doc_id) LEFT JOIN cover USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > 3 * n_words OR letters >= 50 AND 10 * upper > 6 * letters OR 10 * exclaims > 4 * n_words
-    OR word_chars < 2 * n_words OR word_chars > 25 * n_words OR 10 * n_dup_lines > 5 * n_lines) AS kept
+    OR word_chars < 2 * n_words OR word_chars > 25 * n_words OR 10 * n_dup_lines > 5 * n_lines
+    OR 10 * dots > 5 * n_lines OR 10 * bullets > 9 * n_lines AND n_lines >= 5 OR 10 * lettered < 6 * n_words) AS kept
 FROM m""",
     "op4_cover_tree": f"""
 WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),

@@ -1,4 +1,5 @@
 import re
+import time
 from collections import Counter
 
 from cohortry.llm.quality import BASE_RULES, RULES, Rule, Text, quality_cascade, rule_order
@@ -79,3 +80,33 @@ def test_short_circuit():
     t = Text(b"a b c")
     rules = (Rule("a", lambda t: ran.append("a") or True), Rule("b", lambda t: ran.append("b") or True))
     assert next(r.name for r in rules if r.rejects(t)) == "a" and ran == ["a"]
+
+
+def test_forms_of_lines_and_words(spark):
+    """Rules beyond the base, each on a text that it alone rejects, against prose that keeps below its bound."""
+    w = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)]
+    prose = "\n".join(" ".join(w[i : i + 8]) for i in range(0, 400, 8))
+    texts = {
+        "ellipses": "\n".join(" ".join(w[i : i + 8]) + "... " for i in range(0, 400, 8)),
+        "bullets": "\n".join(" • " + " ".join(w[i : i + 8]) for i in range(0, 400, 8)),
+        "letterless": " ".join(f"{x} {i} {i * 37}" for i, x in enumerate(w)),
+        None: prose + "\n - one\n more...\n 12 34",
+    }
+    rows = quality_cascade(spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["rejected_by"] for r in rows] == list(texts)
+    assert Text("1 a É ٣ -".encode()).n_lettered == 3
+
+
+def test_time_grows_with_the_text():
+    took = []
+    for n in (20_000, 40_000, 80_000):
+        t = Text(("some words of a line 12345678\n" * n + "7" * 10 * n).encode())
+        began = time.perf_counter()
+        assert not [r.name for r in RULES if r.rejects(t) and r.name != "dup_lines"] and t.n_repeat_words > 0
+        took.append(time.perf_counter() - began)
+    assert took[2] < 3 * took[1] + 0.3, took
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b", 5, "x")], "doc_id long, text string, n_words int, kept string")
+    assert quality_cascade(df, keep=("n_words", "kept")).columns.count("n_words") == 1
