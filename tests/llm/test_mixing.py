@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortry.llm.mixing import mix, rake, scale_for
+from cohortry.llm.mixing import array_sums, mix, rake, scale_for
 from cohortry.llm.queries import op6_mixing
 
 
@@ -19,8 +19,10 @@ def test_raking_meets_its_targets():
 
 def test_scale_meets_the_budget():
     rate, mass = np.array([4.0, 1.0, 0.1]), np.array([10.0, 50.0, 40.0])
-    s = scale_for(rate, mass, 60.0)
-    assert abs((np.minimum(1, s * rate) * mass).sum() - 60) < 1e-9
+    for budget in (1.0, 60.0, 61.5, 99.0):
+        s = scale_for(array_sums(rate, mass), budget)
+        assert abs((np.minimum(1, s * rate) * mass).sum() - budget) < 1e-9
+    assert scale_for(array_sums(rate, mass), 100.5) == scale_for(array_sums(np.zeros(2), np.ones(2)), 1.0) == float("inf")
 
 
 def test_probabilities_give_the_targets(small):
@@ -66,6 +68,14 @@ def test_odd_rows_by_both_ways(odd, targets):
     assert any(r["probability"] > 0 for r in a)
 
 
+def test_rows_without_ids_and_reserved_names(spark):
+    rows = [(None, f"text number {i}", "a", "en", i, "x", "y", "z", "w") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, __source int, __lang string, __p string, p string, row string")
+    got = mix(df, keep_share=0.5).collect()
+    assert 60 < sum(r["sampled"] for r in got) < 140 and sorted(r["__source"] for r in got) == list(range(200)) and {r["row"] for r in got} == {"w"}
+    assert [r["sampled"] for r in sorted(mix(df.union(df), keep_share=0.5).collect(), key=lambda r: r["__source"])][::2] == [r["sampled"] for r in sorted(got, key=lambda r: r["__source"])]
+
+
 def test_query(spark, sf):
     got = op6_mixing(spark, sf)
     assert got.count() == 200 and 0 < got.where("sampled").count() < 200
