@@ -14,15 +14,18 @@ from cohortry.llm.line_dedup import drop_common_lines
 from cohortry.llm.mixing import mix
 from cohortry.llm.ngram_join import ngram_classes
 from cohortry.llm.pieces import encode
-from cohortry.llm.quality import quality_cascade
+from cohortry.llm.quality import BASE_RULES, Rule, quality_cascade
 from cohortry.llm.queries import piece_table
 
+#: Fewer words tell nothing; the other rule of the base is taken as it is.
+MIN_WORDS = 3
+FIRST_RULES = (Rule("too_short", lambda t: t.n_words < MIN_WORDS), *(r for r in BASE_RULES if r.name != "too_short"))
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no rule rejects."""
-    return quality_cascade(docs, keep=COLUMNS, measures=False).where("kept").select(*COLUMNS)
+    """Documents that no rule rejects. A short text is no junk: of the base the stage takes repetition, and asks for a few words only."""
+    return quality_cascade(docs, first=FIRST_RULES, keep=COLUMNS, measures=False).where("kept").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
