@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import argmax, clip, normalized, relative_distance, sigmoid
 from .features import standardize
+from .quantiles import column_quantiles
 
 
 def anchors(score: Column, low: float, high: float) -> tuple[Column, Column]:
@@ -19,11 +20,13 @@ def anchors(score: Column, low: float, high: float) -> tuple[Column, Column]:
 def anchors_with_fallback(df: DataFrame, score: str, positive: Column, negative: Column, least: int = 10, q_low: float = 0.25, q_high: float = 0.75) -> DataFrame:
     """``anchor_pos`` and ``anchor_neg``; a side with fewer than ``least`` rows is taken by a quantile of the score."""
     out = df.withColumn("anchor_pos", positive).withColumn("anchor_neg", negative)
-    n = out.agg(F.count_if("anchor_pos").alias("p"), F.count_if("anchor_neg").alias("n"), F.percentile(score, F.lit(q_high)).alias("hi"), F.percentile(score, F.lit(q_low)).alias("lo")).first()
-    if n["p"] < least:
-        out = out.withColumn("anchor_pos", F.col(score) >= n["hi"])
-    if n["n"] < least:
-        out = out.withColumn("anchor_neg", F.col(score) <= n["lo"])
+    n = out.agg(F.count_if("anchor_pos").alias("p"), F.count_if("anchor_neg").alias("n")).first()
+    if min(n["p"], n["n"]) < least:
+        lo, hi = column_quantiles(out, [score], [q_low, q_high])[score]
+        if n["p"] < least:
+            out = out.withColumn("anchor_pos", F.col(score) >= hi)
+        if n["n"] < least:
+            out = out.withColumn("anchor_neg", F.col(score) <= lo)
     return out
 
 
@@ -36,20 +39,22 @@ def stage1_scores(df: DataFrame, heuristic: str, d_pos: str, d_neg: str, density
 
 
 def balanced_cut(df: DataFrame, prob: str, pos: str, neg: str, points: int = 61, lo: float = 0.2, hi: float = 0.8) -> DataFrame:
-    """(t, balanced_accuracy) at each point of the grid: one pass over the anchors, counted by the points below each row."""
+    """(np, nq, t, balanced_accuracy) at each point of the grid: one pass counts the anchors by the grid points that they reach,
+    and each point adds up these few counts."""
     grid = [lo + (hi - lo) * i / (points - 1) for i in range(points)]
     p, q = F.col(pos).cast("boolean"), F.col(neg).cast("boolean")
-    aggs = [F.count_if(p).alias("np"), F.count_if(q).alias("nq")]
-    for i, t in enumerate(grid):
-        aggs += [F.count_if(p & (F.col(prob) >= t)).alias(f"a{i}"), F.count_if(q & (F.col(prob) < t)).alias(f"b{i}")]
-    row = df.agg(*aggs)
-    return row.select("np", "nq", F.inline(F.array(*[F.struct(F.lit(t).alias("t"), ((F.try_divide(F.col(f"a{i}"), F.col("np")) + F.try_divide(F.col(f"b{i}"), F.col("nq"))) / 2).alias("balanced_accuracy")) for i, t in enumerate(grid)])))
+    reached = F.size(F.filter(F.array(*[F.lit(t) for t in grid]), lambda t: t <= F.col(prob)))
+    counts = df.groupBy(reached.alias("reached")).agg(F.count_if(p).alias("p"), F.count_if(q).alias("q"))
+    each = counts.select("*", F.posexplode(F.array(*[F.lit(t) for t in grid])).alias("i", "t"))
+    hit, total = lambda c, when: F.sum(F.when(when, F.col(c)).otherwise(0)), lambda c: F.sum(c)
+    sums = each.groupBy("i", "t").agg(total("p").alias("np"), total("q").alias("nq"), hit("p", F.col("reached") > F.col("i")).alias("a"), hit("q", F.col("reached") <= F.col("i")).alias("b"))
+    return sums.select("np", "nq", "t", ((F.try_divide(F.col("a"), F.col("np")) + F.try_divide(F.col("b"), F.col("nq"))) / 2).alias("balanced_accuracy"))
 
 
 def threshold_search(df: DataFrame, prob: str, pos: str, neg: str, least: int = 5, floor: float = 0.3, ceiling: float = 0.75) -> float:
     """The grid's first best point within bounds; 0.5 with fewer than ``least`` anchors on a side."""
     rows = balanced_cut(df, prob, pos, neg).collect()
-    if rows[0]["np"] < least or rows[0]["nq"] < least:
+    if not rows or rows[0]["np"] < least or rows[0]["nq"] < least:
         return 0.5
     best = max(rows, key=lambda r: (r["balanced_accuracy"], -r["t"]))
     return min(max(best["t"], floor), ceiling)
@@ -57,8 +62,8 @@ def threshold_search(df: DataFrame, prob: str, pos: str, neg: str, least: int =
 
 def guarded_threshold(df: DataFrame, prob: str, t: float, least: int = 30, spare: int = 15, q: float = 0.3) -> float:
     """``t``, or a quantile of the probabilities where it would leave too few rows on a side."""
-    r = df.agg(F.count("*").alias("n"), F.count_if(F.col(prob) >= t).alias("p"), F.percentile(prob, F.lit(q)).alias("q")).first()
-    return r["q"] if r["p"] < least or r["p"] > r["n"] - spare else t
+    r = df.agg(F.count("*").alias("n"), F.count_if(F.col(prob) >= t).alias("p")).first()
+    return column_quantiles(df, [prob], [q])[prob][0] if r["p"] < least or r["p"] > r["n"] - spare else t
 
 
 def votes(df: DataFrame, models: list[str], k: int) -> DataFrame:
@@ -75,15 +80,32 @@ def size_ranks(df: DataFrame, cluster: str, k: int) -> DataFrame:
     return sizes.withColumn("drug_index", F.row_number().over(Window.orderBy(F.desc("n"), cluster)))
 
 
-def align_labels(df: DataFrame, ref: str, cand: str, k: int) -> DataFrame:
-    """(permutation, matches): rows on which a permuted candidate agrees with the reference, for all k! permutations."""
-    counts = {(r[0], r[1]): r[2] for r in df.groupBy(ref, cand).count().collect() if r[0] is not None and r[1] is not None}
-    rows = [(i, list(p), sum(n for (a, b), n in counts.items() if 0 <= b < k and p[b] == a)) for i, p in enumerate(itertools.permutations(range(k)))]
-    return df.sparkSession.createDataFrame(rows, "ordinal int, permutation array<int>, matches long")
+def _agreements(df: DataFrame, ref: str, cands: list[str], k: int) -> dict[str, list[tuple[list[int], int]]]:
+    """For each candidate all k! permutations in order, with the rows on which the permuted candidate agrees: one pass for all of them.
+
+    Of the labels 0 to k - 1 the counts come to the driver, k times k for each candidate.
+    """
+    labels = list(range(k))
+    each = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("int").alias("b")) for i, c in enumerate(cands)])
+    met = df.where(F.col(ref).isin(labels)).select(F.col(ref).cast("int").alias("a"), F.inline(each)).where(F.col("b").isin(labels))
+    counts = {(r["i"], r["a"], r["b"]): r["count"] for r in met.groupBy("i", "a", "b").count().collect()}
+    return {c: [(list(p), sum(counts.get((i, p[b], b), 0) for b in labels)) for p in itertools.permutations(labels)] for i, c in enumerate(cands)}
+
+
+def align_labels(df: DataFrame, ref: str, cand: str | list[str], k: int) -> DataFrame:
+    """(model, ordinal, permutation, matches): rows on which a permuted candidate agrees with the reference, for all k! permutations."""
+    cands = [cand] if isinstance(cand, str) else cand
+    rows = [(c, i, p, n) for c, own in _agreements(df, ref, cands, k).items() for i, (p, n) in enumerate(own)]
+    return df.sparkSession.createDataFrame(rows, "model string, ordinal int, permutation array<int>, matches long")
+
+
+def best_permutations(df: DataFrame, ref: str, cands: list[str], k: int) -> dict[str, list[int]]:
+    """The permutation of each candidate that agrees the most; of equal ones the first."""
+    return {c: max(own, key=lambda x: x[1])[0] for c, own in _agreements(df, ref, cands, k).items()}
 
 
 def best_permutation(df: DataFrame, ref: str, cand: str, k: int) -> list[int]:
-    return align_labels(df, ref, cand, k).orderBy(F.desc("matches"), "ordinal").first()["permutation"]
+    return best_permutations(df, ref, [cand], k)[cand]
 
 
 def relabel(c: Column, permutation: list[int]) -> Column:
@@ -95,25 +117,25 @@ def _pairs(c: Column) -> Column:
     return c * (c - 1) / 2.0
 
 
-def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
-    """One row ``ari``: from counts of the contingency table, its margins and the total."""
-    cells = df.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
-    rows = cells.groupBy("a").agg(F.sum("n").alias("n")).agg(F.sum(_pairs(F.col("n"))).alias("sa"))
-    cols = cells.groupBy("b").agg(F.sum("n").alias("n")).agg(F.sum(_pairs(F.col("n"))).alias("sb"))
-    both = cells.agg(F.sum(_pairs(F.col("n"))).alias("s"), F.sum("n").alias("n"))
-    one = both.join(rows, how="cross").join(cols, how="cross")
+def pairwise_ari(df: DataFrame, models: list[str]) -> DataFrame:
+    """(model_a, model_b, ari) for all pairs of models: one pass counts the contingency tables of all, and their margins and totals follow."""
+    pairs = list(itertools.combinations(range(len(models)), 2))
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "model_a string, model_b string, ari double")
+    each = F.array(*[F.struct(F.lit(models[i]).alias("model_a"), F.lit(models[j]).alias("model_b"), F.col(models[i]).alias("a"), F.col(models[j]).alias("b")) for i, j in pairs])
+    key = ["model_a", "model_b"]
+    cells = df.select(F.inline(each)).groupBy(*key, "a", "b").agg(F.count("*").alias("n"))
+    rows = cells.groupBy(*key, "a").agg(F.sum("n").alias("n")).groupBy(*key).agg(F.sum(_pairs(F.col("n"))).alias("sa"))
+    cols = cells.groupBy(*key, "b").agg(F.sum("n").alias("n")).groupBy(*key).agg(F.sum(_pairs(F.col("n"))).alias("sb"))
+    one = cells.groupBy(*key).agg(F.sum(_pairs(F.col("n"))).alias("s"), F.sum("n").alias("n")).join(rows, key).join(cols, key)
     expected = F.col("sa") * F.col("sb") / F.greatest(_pairs(F.col("n")), F.lit(1e-300))
     top = (F.col("sa") + F.col("sb")) / 2.0
-    return one.select(F.when(top == expected, 1.0).otherwise((F.col("s") - expected) / (top - expected)).alias("ari"))
+    return one.select(*key, F.when(top == expected, 1.0).otherwise((F.col("s") - expected) / (top - expected)).alias("ari"))
 
 
-def pairwise_ari(df: DataFrame, models: list[str]) -> DataFrame:
-    """(model_a, model_b, ari) for all pairs of models."""
-    out = None
-    for a, b in itertools.combinations(models, 2):
-        one = adjusted_rand(df, a, b).select(F.lit(a).alias("model_a"), F.lit(b).alias("model_b"), "ari")
-        out = one if out is None else out.unionByName(one)
-    return out
+def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
+    """One row ``ari`` of two labelings."""
+    return pairwise_ari(df, [a, b]).select("ari")
 
 
 def blend(df: DataFrame, prob: str, label: str, shares: str, affinity: str, order: list[int], w: float = 0.7) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import slug
@@ -89,6 +89,30 @@ def leaking_columns(columns: list[str], patterns: tuple[str, ...] = LEAKAGE, kee
     return sorted(c for c in columns if c not in keep and any(re.search(p, c.lower()) for p in patterns))
 
 
+def only_columns(df: DataFrame, key: str, allowed: list[str], patterns: tuple[str, ...] = LEAKAGE) -> DataFrame:
+    """The key and ``allowed`` columns, all of which must be there; fails should one of them look like leakage."""
+    require_columns(df, [key, *allowed])
+    out = df.select(key, *[F.col(f"`{c}`") for c in allowed if c != key])
+    if left := leaking_columns(out.columns, patterns, (key,)):
+        raise ContractError(f"leaking columns remain: {left}")
+    return out
+
+
+def first_by_key(df: DataFrame, key: str, *order: str) -> DataFrame:
+    """Of the rows of each key the first in ``order``, which should tell all rows apart."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    return df.withColumn("__place", place).where("__place = 1").drop("__place")
+
+
+def capped(df: DataFrame, rows: int | None, *order: str) -> DataFrame:
+    """The first ``rows`` rows in ``order``; all without a number. The number must be above 0."""
+    if rows is None:
+        return df
+    if rows <= 0:
+        raise ContractError(f"the number of rows must be above 0, not {rows}")
+    return df.orderBy(*order).limit(rows)
+
+
 def without_leakage(df: DataFrame, patterns: tuple[str, ...] = LEAKAGE, prefixes: tuple[str, ...] = (), keep: tuple[str, ...] = ()) -> DataFrame:
     """Without the columns that patterns or prefixes name; fails should any remain."""
     out = df.drop(*[c for c in df.columns if c not in keep and (c in leaking_columns([c], patterns) or c.startswith(prefixes or "\0"))])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import argmax, normalized
+from .quantiles import running_sums
 
 
 def class_weights(df: DataFrame, label: str, classes: list) -> DataFrame:
@@ -98,40 +99,23 @@ def _score_counts(df: DataFrame, positive: Column, score: Column) -> DataFrame:
     return df.groupBy(score.alias("s")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n"))
 
 
-def running_sums(df: DataFrame, order: str, values: dict[str, str], descending: bool = False, inclusive: bool = True, buckets: int = 16) -> DataFrame:
-    """Adds, for each name, the sum of the column it names over all rows up to this one in the order (which is unique).
-
-    Rows are dealt into ranges by approximate quantiles; a range is summed by a window of its own, and ranges before it
-    add a total each, so that no task sorts all rows.
-    """
-    bounds = sorted(set(df.agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 1000)).first()[0] or []))
-    x = F.col(order)
-    bucket = F.coalesce(*[F.when(x > b, i + 1) for i, b in reversed(list(enumerate(bounds)))], F.lit(0))
-    cut = df.withColumn("__b", -bucket if descending else bucket)
-    totals = cut.select(F.col("__b").alias("__q"), *[F.col(c).alias(f"__v_{n}") for n, c in values.items()]).groupBy("__q").agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in values])
-    before = Window.orderBy("__q").rowsBetween(Window.unboundedPreceding, -1)  # at most one row a range
-    totals = totals.select("__q", *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__{n}") for n in values])
-    inside = Window.partitionBy("__b").orderBy(F.desc(order) if descending else F.asc(order)).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    own = cut.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(n) for n, c in values.items()])
-    joined = own.join(F.broadcast(totals), F.col("__b") == F.col("__q"))
-    return joined.withColumns({n: F.col(n) + F.col(f"__{n}") for n in values}).drop("__b", "__q", *[f"__{n}" for n in values])
+def _areas(counts: DataFrame, by: str | None = None) -> DataFrame:
+    """``auroc`` of counts (s, p, n), for each value of ``by``: a negative below counts 1, one of equal score a half."""
+    s = running_sums(counts, "s", {"below": "n"}, inclusive=False, by=by)
+    t = s.groupBy(*([by] if by else [])).agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2.0)).alias("u"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    return t.select(*([by] if by else []), F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("u") / (F.col("p") * F.col("n"))).alias("auroc"))
 
 
 def auroc(df: DataFrame, positive: Column, score: Column) -> DataFrame:
-    """Area under the curve by average ranks: a negative below counts 1, one of equal score a half. Null with one class only.
-    """
-    s = running_sums(_score_counts(df, positive, score), "s", {"below": "n"}, inclusive=False)
-    t = s.agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2.0)).alias("u"), F.sum("p").alias("p"), F.sum("n").alias("n"))
-    return t.select(F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("u") / (F.col("p") * F.col("n"))).alias("auroc"))
+    """Area under the curve by average ranks. Null with one class only."""
+    return _areas(_score_counts(df, positive, score))
 
 
 def macro_auroc(df: DataFrame, truth_index: str, probs: str, classes: int) -> DataFrame:
-    """Mean of one-against-rest areas; null should one be undefined."""
-    out = None
-    for c in range(classes):
-        one = auroc(df, F.col(truth_index) == c, F.get(probs, F.lit(c)))
-        out = one if out is None else out.unionByName(one)
-    return out.agg(F.when(F.count("auroc") == classes, F.avg("auroc")).alias("macro_auroc"))
+    """Mean of one-against-rest areas, all classes in one pass; null should one be undefined."""
+    each = F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda c: F.struct(c.alias("class"), F.get(F.col(probs), c).alias("s"), (F.col(truth_index) == c).alias("hit")))
+    counts = df.select(F.inline(each)).groupBy("class", "s").agg(F.count_if("hit").alias("p"), F.count_if(~F.col("hit")).alias("n"))
+    return _areas(counts, "class").agg(F.when(F.count("auroc") == classes, F.avg("auroc")).alias("macro_auroc"))
 
 
 def average_precision(df: DataFrame, positive: Column, score: Column) -> DataFrame:

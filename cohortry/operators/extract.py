@@ -46,11 +46,39 @@ def coerce(raw: Column) -> Column:
     return F.struct(fixed.alias("symptoms"), *rest, _minutes(raw["time_prior_to_arrival_minutes"]).alias("time_prior_to_arrival_minutes"), F.coalesce(raw["confidence"].try_cast("double"), F.lit(0.0)).alias("confidence"))
 
 
-def read_extraction(text: Column) -> Column:
-    """JSON text to a coerced record; unreadable text gives the default one."""
+def unreadable(text: Column) -> Column:
+    """True for a response that is null, blank, or no JSON object."""
+    return F.coalesce(F.json_object_keys(text).isNull(), F.lit(True))
+
+
+def read_extraction(text: Column, strict: bool = False) -> Column:
+    """JSON text to a coerced record. Unreadable text gives the default one, or fails the query if ``strict``."""
+    if strict:
+        text = F.when(unreadable(text), F.raise_error(F.concat(F.lit("no JSON object: "), F.coalesce(F.left(text, F.lit(80)), F.lit("null")))).cast("string")).otherwise(text)
     return coerce(F.from_json(F.coalesce(text, F.lit("{}")), RAW))
 
 
+#: Fields that a record must have, all of them and no others.
+FIELDS = ("symptoms", "arrival_mode", "patient_origin", "time_prior_to_arrival_minutes", "suspected_substance_exposure", "mental_status", "confidence")
+SYMPTOM_FIELDS = ("name", "polarity", "severity", "duration_minutes", "onset")
+
+
+def schema_violations(text: Column) -> Column:
+    """What the schema finds wrong in a response, in order: ``unreadable``, or fields missing, unknown, or with a value not allowed."""
+    array = lambda names: F.array(*[F.lit(n) for n in names])
+    label = lambda kind, names: F.transform(names, lambda n: F.concat(F.lit(f"{kind}:"), n))
+    keys = F.json_object_keys(text)
+    items = F.coalesce(F.from_json(F.get_json_object(text, "$.symptoms"), "array<map<string,string>>"), F.array().cast("array<map<string,string>>"))
+    inner = F.transform(items, lambda m: F.map_keys(m))
+    absent = F.array_distinct(F.flatten(F.transform(inner, lambda k: F.array_except(array(SYMPTOM_FIELDS), k))))
+    extra = F.array_distinct(F.flatten(F.transform(inner, lambda k: F.array_except(k, array(SYMPTOM_FIELDS)))))
+    found = F.concat(
+        label("missing", F.array_except(array(FIELDS), keys)), label("unknown", F.array_except(keys, array(FIELDS))), label("missing", F.transform(F.array_sort(absent), lambda n: F.concat(F.lit("symptoms."), n))),
+        label("unknown", F.transform(F.array_sort(extra), lambda n: F.concat(F.lit("symptoms."), n))), label("value", violations(F.from_json(text, RAW))),
+    )
+    return F.when(unreadable(text), F.array(F.lit("unreadable"))).otherwise(found)
+
+
 def violations(record: Column) -> Column:
     """Names of the fields whose value the schema does not allow."""
     top = [F.when(~record[k].isin(*ENUMS[k]), F.lit(k)) for k in DEFAULTS]
@@ -65,9 +93,11 @@ def entity_summary(record: Column) -> Column:
 
 
 def multi_hot(df: DataFrame, record: str, max_names: int = 10_000) -> list[Column]:
-    """``symptom:<name>`` for every name found, in order; polarity is not looked at."""
+    """``symptom:<name>`` for every name found, in order; polarity is not looked at. Fails beyond ``max_names``, as each becomes a column."""
     names = F.transform(F.col(record)["symptoms"], lambda s: F.lower(F.trim(s["name"])))
-    found = sorted(r[0] for r in df.select(F.explode(names)).distinct().limit(max_names).collect())
+    found = sorted(r[0] for r in df.select(F.explode(names)).distinct().limit(max_names + 1).collect())
+    if len(found) > max_names:
+        raise ValueError(f"more than {max_names} symptom names")
     return [F.array_contains(names, n).cast("double").alias(f"symptom:{n}") for n in found]
 
 

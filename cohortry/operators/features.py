@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import finite_or_null
+from .quantiles import column_quantiles
 
 
 def categories(df: DataFrame, column: str, limit: int = 10_000) -> list:
@@ -33,8 +34,8 @@ def date_parts(c: Column, prefix: str) -> list[Column]:
 
 def medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
     """Exact medians of finite values, in one pass; 0.0 for a column without any."""
-    row = df.agg(*[F.median(finite_or_null(F.col(f"`{c}`"))).alias(f"m{i}") for i, c in enumerate(columns)]).first()
-    return {c: row[f"m{i}"] if row[f"m{i}"] is not None else 0.0 for i, c in enumerate(columns)}
+    finite = df.select(*[finite_or_null(F.col(f"`{c}`")).alias(c) for c in columns])
+    return {c: 0.0 for c in columns} | {c: q[0] for c, q in column_quantiles(finite, columns, [0.5]).items()}
 
 
 def impute_median(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
-from pyspark.ml.feature import IDF, PCA, CountVectorizer, NGram, Normalizer, RegexTokenizer
+from pyspark.ml.feature import IDF, PCA, CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,12 +67,19 @@ def _ward(x: np.ndarray, k: int) -> np.ndarray:
     return np.array([first.setdefault(m, len(first)) for m in member])
 
 
-def ward(df: DataFrame, key: str, array: str, k: int, seed: int = 42, name: str = "cluster") -> DataFrame:
-    """Agglomerative clustering by Ward's criterion, for up to ``MAX_WARD`` rows, which are checked, in one task; beyond that
-    ``BisectingKMeans``, which is distributed."""
+def bisecting(df: DataFrame, key: str, array: str, k: int, seed: int = 42, name: str = "cluster") -> DataFrame:
+    """Divisive clustering by repeated two-means, distributed, for any number of rows."""
+    rows = with_vector(df, array)
+    return BisectingKMeans(k=k, seed=seed, featuresCol="features", predictionCol=name).fit(rows).transform(rows).drop("features")
+
+
+def ward(df: DataFrame, key: str, array: str, k: int, name: str = "cluster") -> DataFrame:
+    """Agglomerative clustering by Ward's criterion in one task, which keeps all distances: more than ``MAX_WARD`` rows are refused.
+
+    For more rows there is ``bisecting``, another method with other labels.
+    """
     if df.limit(MAX_WARD + 1).count() > MAX_WARD:
-        rows = with_vector(df, array)
-        return BisectingKMeans(k=k, seed=seed, featuresCol="features", predictionCol=name).fit(rows).transform(rows).drop("features")
+        raise ValueError(f"Ward's clustering takes up to {MAX_WARD} rows; bisecting() takes any number")
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("k")
@@ -80,8 +90,22 @@ def ward(df: DataFrame, key: str, array: str, k: int, seed: int = 42, name: str
     return df.join(got.withColumnRenamed("k", key), key)
 
 
+def tfidf(words: DataFrame, counts: CountVectorizer) -> tuple[DataFrame, int]:
+    """Rows with unit vectors ``__n`` of the terms of ``__t``, and the size of the vocabulary.
+
+    The library's inverse frequency is ln((1 + n) / (1 + df)); one more keeps terms that all texts have.
+    """
+    counter = counts.fit(words)
+    counted = counter.transform(words)
+    idf = IDF(inputCol="__c", outputCol="__i").fit(counted).idf
+    scale = ElementwiseProduct(scalingVec=Vectors.dense([x + 1.0 for x in idf]), inputCol="__c", outputCol="__i")
+    return Normalizer(inputCol="__i", outputCol="__n").transform(scale.transform(counted)), len(counter.vocabulary)
+
+
 def tfidf_svd(df: DataFrame, key: str, text: str, components: int = 128, min_df: int = 2, vocabulary: int = 12_000, name: str = "embedding") -> DataFrame:
-    """Words and word pairs by smoothed inverse frequency, unit rows, projected to the first singular vectors, unit again."""
+    """Words and word pairs by smoothed inverse frequency, ln((1 + n) / (1 + df)) + 1, unit rows, projected to the first singular
+    vectors, unit again.
+    """
     from pyspark.mllib.linalg.distributed import RowMatrix
     from pyspark.mllib.util import MLUtils
 
@@ -91,11 +115,13 @@ def tfidf_svd(df: DataFrame, key: str, text: str, components: int = 128, min_df:
     ]
     words = Pipeline(stages=stages).fit(df).transform(df).withColumn("__t", F.concat("__w", "__b"))
     counts = CountVectorizer(inputCol="__t", outputCol="__c", minDF=min_df, vocabSize=vocabulary)
-    model = Pipeline(stages=[counts, IDF(inputCol="__c", outputCol="__i"), Normalizer(inputCol="__i", outputCol="__n")]).fit(words)
-    rows = model.transform(words).select(key, "__n").cache()
-    width = len(model.stages[0].vocabulary)
+    rows, width = tfidf(words, counts)
+    rows = rows.select(key, "__n").cache()
     k = max(1, min(components, width, rows.count()))
-    svd = RowMatrix(MLUtils.convertVectorColumnsFromML(rows.select("__n"), "__n").rdd.map(lambda r: r[0])).computeSVD(k)
+    # read once a step of the iteration
+    matrix = MLUtils.convertVectorColumnsFromML(rows.select("__n"), "__n").rdd.map(lambda r: r[0]).cache()
+    svd = RowMatrix(matrix).computeSVD(k)
+    matrix.unpersist()
     v = svd.V.toArray()
     held = df.sparkSession.sparkContext.broadcast(v)
 
@@ -124,6 +150,44 @@ def classifier(kind: str = "mlp", inputs: int = 0, classes: int = 2, seed: int =
     return RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=50, seed=seed)
 
 
+def balanced_rows(df: DataFrame, key: str, weight: str) -> DataFrame:
+    """Rows repeated by their weight over the smallest one: whole parts as copies, the rest by a hash of the key.
+
+    A loss over these rows is on average the weighted loss, for models that take no weights.
+    """
+    least = df.agg(F.min(weight)).first()[0] or 1.0
+    ratio = F.col(weight) / F.lit(least)
+    u = F.conv(F.substring(F.md5(F.concat(F.lit("balance|"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    copies = (F.floor(ratio) + (u < ratio - F.floor(ratio)).cast("long")).cast("int")
+    return df.withColumn("__copy", F.explode(F.sequence(F.lit(1), copies))).drop("__copy")
+
+
+def checkpointed_network(train: DataFrame, valid: DataFrame, key: str, inputs: int, classes: int, score: Callable[[DataFrame], float], hidden: tuple[int, ...] = (256, 256, 256), weight: str | None = "weight", rounds: int = 8, steps: int = 15, patience: int = 3, seed: int = 42):
+    """(model, score, rounds run): a network trained in rounds of ``steps`` iterations, each from the weights of the one before.
+
+    After each round ``score`` of the predictions on ``valid`` decides: the best round's model is kept, and training stops
+    once ``patience`` rounds have not bettered it. Classes count by ``weight``, as ``balanced_rows`` makes it count. Rows have ``features``
+    and ``label``.
+    """
+    rows = (balanced_rows(train, key, weight) if weight else train).select("features", "label").cache()
+    best, top, since, weights, ran = None, float("-inf"), 0, None, 0
+    for ran in range(1, rounds + 1):
+        net = MultilayerPerceptronClassifier(layers=[inputs, *hidden, classes], seed=seed, maxIter=steps, featuresCol="features", labelCol="label")
+        if weights is not None:
+            net = net.setInitialWeights(weights)
+        fitted = net.fit(rows)
+        weights = fitted.weights
+        now = score(fitted.transform(valid))
+        if best is None or now > top:
+            best, top, since = fitted, now, 0
+        else:
+            since += 1
+            if since >= patience:
+                break
+    rows.unpersist()
+    return best, top, ran
+
+
 def cross_validate(df: DataFrame, array: str, label: str, fold: str, make) -> DataFrame:
     """Out-of-fold rows with ``probs`` and ``prediction``: a model for each fold, fitted on the others."""
     rows = with_vector(df, array).withColumn("label", F.col(label).cast("double"))
@@ -144,4 +208,4 @@ def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-__all__ = ["classifier", "cross_validate", "gaussian_mixture", "kmeans", "load", "pca", "save", "tfidf_svd", "ward", "with_vector"]
+__all__ = ["balanced_rows", "bisecting", "checkpointed_network", "classifier", "cross_validate", "gaussian_mixture", "kmeans", "load", "pca", "save", "tfidf_svd", "ward", "with_vector"]

@@ -26,15 +26,20 @@ def json_form(cell: Column) -> Column:
 
 def parse_nested(cell: Column, strict: bool = False, schema: str = ITEMS) -> Column:
     """A cell's list of dicts with built-in functions: blank, null and unreadable cells give an empty list, and a single
-    dict a list of it (an empty one if ``strict``). A list that mixes dicts with other items is unreadable here; see
-    ``parse_literals`` for one that keeps its dicts.
+    dict a list of it (an empty one if ``strict``). Of a list that mixes dicts with other items the dicts stay; if ``strict``,
+    other items stay as nulls, so that they count. Cells that are no JSON even after ``json_form`` need ``parse_literals``.
     """
+    options = {"mode": "PERMISSIVE", "allowNonNumericNumbers": "false"}
     text = F.trim(cell)
     text = F.when(text.startswith("{"), F.concat(F.lit("["), text, F.lit("]"))).otherwise(text)
-    parsed = F.coalesce(F.from_json(json_form(text), schema, {"mode": "PERMISSIVE", "allowNonNumericNumbers": "false"}), F.array().cast(schema))
-    known = F.filter(parsed, lambda x: x.isNotNull())
+    form = json_form(text)
+    item = schema.removeprefix("array<").removesuffix(">")
+    # items one by one, as text, where the list as a whole does not fit
+    mixed = F.transform(F.from_json(form, "array<string>", options), lambda x: F.when(F.ltrim(x).startswith("{"), F.get(F.from_json(F.concat(F.lit("["), x, F.lit("]")), f"array<{item}>", options), F.lit(0))))
+    parsed = F.coalesce(F.from_json(form, schema, options), mixed, F.array().cast(schema))
     lone = F.trim(cell).startswith("{")
-    return F.when(text.startswith("[") & ~(F.lit(strict) & lone), known).otherwise(F.array().cast(schema))
+    kept = parsed if strict else F.filter(parsed, lambda x: x.isNotNull())
+    return F.when(text.startswith("[") & ~(F.lit(strict) & lone), kept).otherwise(F.array().cast(schema))
 
 
 def _literal(text: str | None, strict: bool):
@@ -51,7 +56,7 @@ def _literal(text: str | None, strict: bool):
         return [] if strict else [got]
     if not isinstance(got, list):
         return []
-    return [x for x in got if isinstance(x, dict)]
+    return [x if isinstance(x, dict) else None for x in got if strict or isinstance(x, dict)]
 
 
 @F.pandas_udf(_ITEMS_TYPE)
@@ -61,7 +66,7 @@ def _lenient(cells: pd.Series) -> pd.Series:
 
 @F.pandas_udf(_ITEMS_TYPE)
 def _strict(cells: pd.Series) -> pd.Series:
-    return cells.map(lambda t: [{str(k): None if v is None else str(v) for k, v in d.items()} for d in _literal(t, True)])
+    return cells.map(lambda t: [None if d is None else {str(k): None if v is None else str(v) for k, v in d.items()} for d in _literal(t, True)])
 
 
 def parse_literals(cell: Column, strict: bool = False) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .quantiles import quantiles
+
 
 def numeric_columns(df: DataFrame) -> list[str]:
     """Numbers, without booleans."""
@@ -34,19 +36,17 @@ QUANTILES = (("p01", 0.01), ("p05", 0.05), ("p50", 0.5), ("p95", 0.95), ("p99",
 
 
 def numeric_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Count, mean, sample deviation, minimum, quantiles (linear) and maximum of each numeric column, in one pass.
-
-    Quantiles are exact: they keep counts of distinct values, which suits measured columns; for keys and other columns of
-    very many distinct values take ``percentile_approx``.
+    """Count, mean, sample deviation, minimum, quantiles (exact, linear) and maximum of each numeric column: one aggregate of
+    a row, and one pass for the quantiles of all columns, whose distinct values are counted and summed up by ranges.
     """
     names = columns or numeric_columns(df)
     aggs = []
     for i, c in enumerate(names):
         x = F.col(f"`{c}`").cast("double")
-        aggs += [F.count(x).alias(f"{i}_count"), F.avg(x).alias(f"{i}_mean"), F.stddev_samp(x).alias(f"{i}_std"), F.min(x).alias(f"{i}_min"), F.max(x).alias(f"{i}_max"), F.percentile(x, F.array(*[F.lit(q) for _, q in QUANTILES])).alias(f"{i}_q")]
-    row = df.agg(*aggs)
-    row = row.select("*", *[F.col(f"`{i}_q`")[k].alias(f"{i}_{q}") for i in range(len(names)) for k, (q, _) in enumerate(QUANTILES)])
-    return _tall(row, names, [("count", "long"), *[(f, "double") for f in ("mean", "std", "min", *(q for q, _ in QUANTILES), "max")]]).drop("ordinal")
+        aggs += [F.count(x).alias(f"{i}_count"), F.avg(x).alias(f"{i}_mean"), F.stddev_samp(x).alias(f"{i}_std"), F.min(x).alias(f"{i}_min"), F.max(x).alias(f"{i}_max")]
+    tall = _tall(df.agg(*aggs), names, [("count", "long"), *[(f, "double") for f in ("mean", "std", "min", "max")]])
+    own = quantiles(df, names, [q for _, q in QUANTILES]).select("ordinal", *[F.col("q")[k].alias(n) for k, (n, _) in enumerate(QUANTILES)])
+    return tall.join(F.broadcast(own), "ordinal", "left").select("column", "count", "mean", "std", "min", *[n for n, _ in QUANTILES], "max")
 
 
 def _unpivoted(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -58,10 +58,13 @@ def categorical_summary(df: DataFrame, columns: list[str] | None = None, top: in
     """Distinct non-null values, nulls with percentage, and the most frequent values ("k: v", " | " between) by column."""
     names = columns or other_columns(df)
     counts = _unpivoted(df, names).groupBy("column", "value").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), "value"))
-    by = counts.where("value is not null").withColumn("r", rank)
-    tops = by.groupBy("column").agg(F.count("*").alias("n_unique"), F.array_sort(F.collect_list(F.when(F.col("r") <= top, F.struct("r", F.concat_ws(": ", "value", F.col("n").cast("string")).alias("t"))))).alias("l"))
-    alls = counts.groupBy("column").agg(F.sum("n").alias("rows"), F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("missing_count"))
+    order = (F.desc("n"), "value")
+    # the best of parts first, so that no task ranks all values of a column
+    parts = counts.where("value is not null").withColumn("part", F.pmod(F.xxhash64("value"), F.lit(64)))
+    best = parts.withColumn("r", F.row_number().over(Window.partitionBy("column", "part").orderBy(*order))).where(F.col("r") <= top)
+    best = best.withColumn("r", F.row_number().over(Window.partitionBy("column").orderBy(*order))).where(F.col("r") <= top)
+    tops = best.groupBy("column").agg(F.array_sort(F.collect_list(F.struct("r", F.concat_ws(": ", "value", F.col("n").cast("string")).alias("t")))).alias("l"))
+    alls = counts.groupBy("column").agg(F.count("value").alias("n_unique"), F.sum("n").alias("rows"), F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("missing_count"))
     out = alls.join(tops, "column", "left")
     return out.select("column", F.coalesce("n_unique", F.lit(0)).alias("n_unique"), "missing_count", (100.0 * F.col("missing_count") / F.col("rows")).alias("missing_pct"), F.coalesce(F.array_join(F.transform("l", lambda x: x["t"]), " | "), F.lit("")).alias("top_values"))
 
@@ -94,11 +97,14 @@ def pattern_scan(df: DataFrame, columns: list[str], patterns: dict[str, str]) ->
     return row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(p).alias("pattern"), F.col(f"n{i}").alias("count")) for i, (c, p) in enumerate(names)])))
 
 
-def crosstab_long(df: DataFrame, row: str, column: str) -> DataFrame:
+def crosstab_long(df: DataFrame, row: str, column: str, max_cells: int = 10_000_000) -> DataFrame:
     """All pairs of a row's and a column's values with count and row percentage; pairs that never meet count 0.
 
-    Pairs come from the distinct values of both, which are small dimensions; rows with a null in either are left out.
+    Pairs come from the distinct values of both; more than ``max_cells`` pairs are refused. Rows with a null in either are left out.
     """
+    size = df.agg(F.count_distinct(row).alias("r"), F.count_distinct(column).alias("c")).first()
+    if size["r"] * size["c"] > max_cells:
+        raise ValueError(f"{size['r']} x {size['c']} cells are more than {max_cells}")
     own = df.where(F.col(row).isNotNull() & F.col(column).isNotNull())
     counts = own.groupBy(row, column).agg(F.count("*").alias("n"))
     grid = counts.select(row).distinct().join(counts.select(column).distinct(), how="cross")

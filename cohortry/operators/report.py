@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +19,10 @@ def category_order(label: Column) -> list[Column]:
 
 
 def choose_categories(df: DataFrame, label: str, wanted: list[str] | None = None, prefix: str | None = None, limit: int = 10_000) -> list[str]:
-    """Categories in order, or ``wanted`` ones, which must exist."""
-    found = [r[0] for r in df.select(label).where(F.col(label).isNotNull()).distinct().orderBy(*category_order(F.col(label))).limit(limit).collect()]
+    """Categories in order, or ``wanted`` ones, which must exist; fails beyond ``limit``, as each becomes a section."""
+    found = [r[0] for r in df.select(label).where(F.col(label).isNotNull()).distinct().orderBy(*category_order(F.col(label))).limit(limit + 1).collect()]
+    if len(found) > limit:
+        raise ContractError(f"{label} has more than {limit} categories")
     if wanted is not None:
         if odd := [w for w in wanted if w not in found]:
             raise ContractError(f"no such category: {odd}")
@@ -45,11 +49,12 @@ def vitals_shorthand(hr: Column, rr: Column, sbp: Column, dbp: Column, spo2: Col
 
 
 def markdown_table(df: DataFrame, limit: int = 200) -> str:
-    """A small table as Markdown."""
+    """A small table as Markdown; a last line says how many rows it leaves out, if any."""
     rows = df.limit(limit).collect()
+    more = df.count() - limit if len(rows) == limit else 0
     text = lambda v: "" if v is None else f"{v:.6g}" if isinstance(v, float) else str(v).replace("|", "\\|")
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    return "\n".join([*lines, *("| " + " | ".join(map(text, r)) + " |" for r in rows)])
+    return "\n".join([*lines, *("| " + " | ".join(map(text, r)) + " |" for r in rows), *([f"\n{more} more rows"] if more > 0 else [])])
 
 
 def metric_table(df: DataFrame, as_text: bool = False) -> DataFrame:
@@ -58,11 +63,24 @@ def metric_table(df: DataFrame, as_text: bool = False) -> DataFrame:
     return df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(f"`{c}`").cast(kind).alias("value")) for c in df.columns])))
 
 
-def examples_report(df: DataFrame, category: str, fields: list[str], title: str) -> str:
-    """Markdown with a section for each category in order; ``df`` has the few rows to show, with a ``rank``."""
+def console_summary(metrics: DataFrame, title: str = "", say: Callable[[str], None] = print) -> None:
+    """Rows (metric, value) as aligned lines between rules, for a terminal."""
+    rows = [(str(r["metric"]), "" if r["value"] is None else f"{r['value']:.6f}" if isinstance(r["value"], float) else str(r["value"])) for r in metrics.select("metric", "value").collect()]
+    wide = max([len(m) for m, _ in rows], default=0)
+    say("---")
+    for line in ([title] if title else []) + [f"{m + ':':<{wide + 1}} {v}" for m, v in rows]:
+        say(line)
+    say("---")
+
+
+def examples_report(df: DataFrame, category: str, fields: list[str], title: str, most: int = 10_000) -> str:
+    """Markdown with a section for each category in order; ``df`` has the few rows to show, ``most`` at most, with a ``rank``."""
+    rows = df.orderBy("rank").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ContractError(f"more than {most} examples")
     out = [f"# {title}"]
     for c in choose_categories(df, category):
         out += ["", f"## {c}"]
-        for r in df.where(F.col(category) == c).orderBy("rank").limit(1000).collect():
+        for r in (x for x in rows if x[category] == c):
             out += ["", f"### {r['rank']}", *[f"- {f}: {r[f]}" for f in fields]]
     return "\n".join(out)

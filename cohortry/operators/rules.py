@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import argmax, clip, nonzero
+from .model import kmeans
 from .vectors import similarities
 
 # Names, patterns and weights of symptoms, severities and onsets, prototypes and scales.
@@ -47,6 +48,14 @@ def symptom_triples(text: Column, symptoms=SYMPTOMS) -> Column:
     return F.array_compact(F.array(*found))
 
 
+def with_triples(df: DataFrame, text: Column, name: str = "triples", symptoms=SYMPTOMS) -> DataFrame:
+    """The same as a column, in steps that a plan keeps apart: each expression runs once a text, not once a symptom or a reader."""
+    low = df.withColumn("__low", F.lower(F.coalesce(text, F.lit(""))))
+    told = low.withColumns({"__severity": first_match(F.col("__low"), SEVERITY), "__onset": first_match(F.col("__low"), ONSET)})
+    found = [F.when(F.col("__low").rlike("|".join(f"(?:{p})" for p in ps)), F.struct(F.lit(n).alias("symptom"), F.col("__severity").alias("severity"), F.col("__onset").alias("onset_timing"))) for n, ps, _ in symptoms]
+    return told.withColumn(name, F.array_compact(F.array(*found))).drop("__low", "__severity", "__onset")
+
+
 def symptom_vector(triples: Column, symptoms=SYMPTOMS) -> Column:
     """For each symptom its weight times the highest scale of its severities, or 0."""
     scale = lambda t: F.coalesce(*[F.when(t["severity"] == s, F.lit(x)) for s, x in SEVERITY_SCALE.items()], F.lit(1.0))
@@ -68,21 +77,21 @@ def prototype_match(df: DataFrame, vector: str, prototypes=None, least_similarit
     return out.withColumn("label", F.when(none, NO_PARTY).otherwise(best)).withColumn("residual", ~none & (F.col("confidence") < low_confidence))
 
 
-def residual_labels(df: DataFrame, key: str, vector: str, text_vector: str, least: int = 9, k: int = 3, seed: int = 42, prototypes=None) -> DataFrame:
-    """``prototype_match`` with low-confidence rows relabelled: clustered, each cluster by its center's nearest prototype."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+def residual_labels(df: DataFrame, key: str, vector: str, text_vector: str, least: int = 9, k: int = 3, seeds: tuple[int, ...] = (42, 43, 44), prototypes=None) -> DataFrame:
+    """``prototype_match`` with low-confidence rows relabelled: clustered, each cluster by its center's nearest prototype.
 
+    Fewer than ``least`` such rows keep their label.
+    """
     own = prototypes or PROTOTYPES
-    matched = prototype_match(df, vector, own)
-    low = matched.where("residual").withColumn("features", array_to_vector(F.concat(F.col(vector), F.col(text_vector).cast("array<double>"))))
+    matched = prototype_match(df, vector, own).cache()  # read by each start of the clustering, and by the join
+    low = matched.where("residual").select(key, F.concat(F.col(vector), F.col(text_vector).cast("array<double>")).alias("both"))
     if low.limit(least).count() < least:
         return matched
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(low)
+    model, clustered = kmeans(low, "both", k, seeds)
     rows, names, labels = prototype_rows(own), list(own), []
     for c in model.clusterCenters():
         c = [float(x) for x in c[: len(rows[0])]]
         cos = [sum(a * b for a, b in zip(c, p)) / ((sum(a * a for a in c) * sum(b * b for b in p)) ** 0.5 or 1.0) for p in rows]
         labels.append(names[cos.index(max(cos))])
-    named = model.transform(low).select(key, F.get(F.array(*[F.lit(x) for x in labels]), F.col("cluster")).alias("relabel"))
+    named = clustered.select(key, F.get(F.array(*[F.lit(x) for x in labels]), F.col("cluster")).alias("relabel"))
     return matched.join(named, key, "left").withColumn("label", F.coalesce("relabel", "label")).drop("relabel")

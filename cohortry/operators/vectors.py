@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import cosine, euclidean, softmax
+from .quantiles import column_quantiles
 
 #: Sets of up to so many vectors are fitted, sent to all tasks, and searched exactly.
 MAX_FIT = 200_000
@@ -52,7 +53,7 @@ def knn_mean_distance(queries: DataFrame, fit: DataFrame, key: str, vector: str,
 
         return queries.select(F.col(key).alias("k"), F.col(vector).alias("v")).mapInPandas(run, f"`{key}` {kind}, `{name}` double")
     parts = -(-n // MAX_FIT)
-    blocks = fit.select(F.col(vector).alias("v"), F.pmod(F.xxhash64(vector), F.lit(parts)).cast("int").alias("b"), F.lit(False).alias("q"), F.lit(None).cast(kind).alias("k"))
+    blocks = fit.select(F.col(vector).alias("v"), F.floor(F.rand(5) * parts).cast("int").alias("b"), F.lit(False).alias("q"), F.lit(None).cast(kind).alias("k"))
     spread = queries.select(F.col(vector).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("b"), F.lit(True).alias("q"), F.col(key).alias("k"))
     salted = spread.withColumn("s", F.pmod(F.xxhash64("k"), F.lit(64)).cast("int")).unionByName(blocks.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(63)))))
 
@@ -100,5 +101,5 @@ def similarities(vector: Column, prototypes: list[list[float]]) -> Column:
 def affinity(df: DataFrame, vector: str, centers: list[list[float]], name: str = "affinity") -> DataFrame:
     """Softmax of the negative distances to centers over the median of all distances (1 if that is 0)."""
     with_d = df.withColumn("__d", distances(F.col(vector), centers))
-    t = with_d.select(F.explode("__d").alias("d")).agg(F.percentile("d", F.lit(0.5))).first()[0] or 1.0
+    t = column_quantiles(with_d.select(F.explode("__d").alias("d")), ["d"], [0.5]).get("d", [0.0])[0] or 1.0
     return with_d.withColumn(name, softmax(F.transform("__d", lambda x: -x), t)).drop("__d")

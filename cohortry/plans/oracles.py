@@ -224,9 +224,9 @@ SELECT doc_id, round(coalesce(quality, q)::DOUBLE, 6) AS quality, round(coalesce
   CASE WHEN c_custkey % 3 = 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS confidence FROM customer""",
     "knn_mean_distance": _knn("", 12),
     "knn_to_anchor": _knn("WHERE f.label < 3", 18),
-    "centroid_affinity": f"""WITH {_EMB}, {_CENTERS}, d AS (SELECT vec_id, {', '.join(f"list_distance(v, (SELECT c FROM c WHERE label = {i})) AS d{i}" for i in range(3))} FROM e),
-t AS (SELECT quantile_cont(x, 0.5) AS t FROM (SELECT d0 AS x FROM d UNION ALL SELECT d1 FROM d UNION ALL SELECT d2 FROM d)), w AS (SELECT vec_id, {', '.join(f"exp((least(d0, d1, d2) - d{i}) / t) AS w{i}" for i in range(3))} FROM d, t)
-SELECT vec_id, {', '.join(f"round(w{i} / (w0 + w1 + w2), 6) AS a{i}" for i in range(3))} FROM w""",
+    "centroid_affinity": f"""WITH {_EMB}, {_CENTERS}, d AS (SELECT vec_id, {', '.join(f"list_distance(v, (SELECT c FROM c WHERE label = {i})) AS d{i}" for i in range(10))} FROM e),
+t AS (SELECT quantile_cont(x, 0.5) AS t FROM ({' UNION ALL '.join(f"SELECT d{i} AS x FROM d" for i in range(10))})), w AS (SELECT vec_id, {', '.join(f"exp((least({', '.join(f'd{k}' for k in range(10))}) - d{i}) / t) AS w{i}" for i in range(10))} FROM d, t)
+SELECT vec_id, {', '.join(f"round(w{i} / ({' + '.join(f'w{k}' for k in range(10))}), 6) AS a{i}" for i in range(10))} FROM w""",
     "cosine_prototypes": f"""WITH {_EMB}, {_CENTERS}, s AS (SELECT vec_id, c.label AS k, list_cosine_similarity(v, c.c) AS s FROM e CROSS JOIN c),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, k) AS r FROM s) SELECT vec_id, round(s, 6) AS similarity, k::BIGINT AS prototype FROM r WHERE r = 1""",
     "stage1_scores": f"WITH {_STAGE1} SELECT doc_id, round(s, 6) AS score_raw, round(1 / (1 + exp(-s)), 6) AS prob FROM z",
@@ -254,6 +254,10 @@ SELECT y, n, round(CASE WHEN n > 0 THEN (SELECT sum(n) FROM c) / ((SELECT count(
 c AS (SELECT p, sum(p) OVER w AS tp, sum(n) OVER w AS k FROM s WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING)) SELECT round(sum(p * tp / k) / sum(p), 6) AS average_precision FROM c""",
     "logloss": f"WITH {_SCORED} SELECT round(-avg(ln(CASE y WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END / (p0 + p1 + p2))), 6) AS log_loss FROM scored",
     "fold_aggregate": f"WITH {_FOLDS}, s AS (SELECT fold, avg(quality) AS share, avg(doc_id) AS key FROM folds GROUP BY 1) " + " UNION ALL ".join(f"SELECT '{m}' AS metric, round(avg({m}), 6) AS mean, round(stddev_pop({m}), 6) AS std, round(min({m}), 6) AS min FROM s" for m in ("share", "key")),
+    "group_folds": """WITH RECURSIVE g AS (SELECT coalesce(source, '__NA__') AS source, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, coalesce(source, '__NA__')) AS r FROM documents GROUP BY 1),
+s AS (SELECT 0::BIGINT AS r, [0, 0, 0, 0, 0]::BIGINT[] AS loads, NULL::VARCHAR AS source, 0::BIGINT AS n, 0::BIGINT AS fold
+  UNION ALL SELECT g.r, list_transform(range(1, 6), lambda i: loads[i] + CASE WHEN i = list_position(loads, list_min(loads)) THEN g.n ELSE 0 END)::BIGINT[], g.source, g.n, list_position(loads, list_min(loads)) - 1 FROM s JOIN g ON g.r = s.r + 1)
+SELECT source, n, fold::INT AS fold FROM s WHERE r > 0""",
     "top_k_examples": "SELECT * FROM (SELECT lang, doc_id, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents) WHERE rank <= 5",
     "hash_sample_examples": """WITH p AS (SELECT lang, doc_id, n_chars, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id::VARCHAR || '|42'), doc_id) AS r FROM documents)
 SELECT lang, doc_id, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM p WHERE r <= 5""",

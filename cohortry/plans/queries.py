@@ -27,7 +27,7 @@ def crosstab_nation_balance(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def missingness_docs_labels(spark: SparkSession, sf: str) -> DataFrame:
-    joined = contracts.one_to_one_join(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id", "left", check=False)
+    joined = contracts.one_to_one_join(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id", "left")
     return _rounded(profile.missingness(joined), "missing_pct")
 
 
@@ -94,8 +94,7 @@ def missing_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def distinct_first_by_key(spark: SparkSession, sf: str) -> DataFrame:
-    first = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
-    return table(spark, sf, "orders").withColumn("r", first).where("r = 1").select("o_custkey", "o_orderkey", "o_orderstatus")
+    return contracts.first_by_key(table(spark, sf, "orders"), "o_custkey", "o_orderdate", "o_orderkey").select("o_custkey", "o_orderkey", "o_orderstatus")
 
 
 # ---- text
@@ -127,7 +126,7 @@ COMMUNITY = ["que", "sch", "home", "street"]
 
 def term_hits_score(spark: SparkSession, sf: str) -> DataFrame:
     """Weak scores: term hits, an arrival flag, and a place taken from the text."""
-    d = table(spark, sf, "documents").withColumn("hpi", F.concat(F.lit("came from "), F.col("source"), F.lit(" with "), F.col("lang"), F.lit(", "), F.substring("text", 1, 60)))
+    d = table(spark, sf, "documents").withColumn("hpi", F.concat(F.lit("came from "), F.col("source"), F.lit(" with "), F.col("lang"), F.lit(", "), F.col("text")))
     place = F.regexp_extract(F.lower("hpi"), "from ([^,]+) with", 1)
     a, b = X.term_hits(F.col("text"), FESTIVAL), X.term_hits(F.col("text"), COMMUNITY)
     arrival, near, far = X.matches(F.col("lang"), "en"), X.matches(place, "src1|src2"), X.matches(place, "src3|src4")
@@ -218,12 +217,11 @@ def top_categories(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def symptom_triples(spark: SparkSession, sf: str) -> DataFrame:
-    n = encounter.notes(spark, sf)
-    return n.select("c_custkey", F.inline(rules.symptom_triples(F.col("note"))))
+    return rules.with_triples(encounter.notes(spark, sf), F.col("note")).select("c_custkey", F.inline("triples"))
 
 
 def prototype_match(spark: SparkSession, sf: str) -> DataFrame:
-    n = encounter.notes(spark, sf).withColumn("v", rules.symptom_vector(rules.symptom_triples(F.col("note"))))
+    n = rules.with_triples(encounter.notes(spark, sf), F.col("note")).withColumn("v", rules.symptom_vector(F.col("triples")))
     got = rules.prototype_match(n, "v")
     return got.select("c_custkey", F.col("evidence").cast("long").alias("evidence"), R6("max_similarity").alias("max_similarity"), R6("confidence").alias("confidence"), "label", "residual")
 
@@ -260,8 +258,8 @@ def _centers(e: DataFrame) -> list[list[float]]:
 
 def centroid_affinity(spark: SparkSession, sf: str) -> DataFrame:
     e = _embeddings(spark, sf)
-    got = vectors.affinity(e, "v", _centers(e)[:3])
-    return got.select("vec_id", *[F.round(F.get("affinity", F.lit(i)), 6).alias(f"a{i}") for i in range(3)])
+    got = vectors.affinity(e, "v", _centers(e))
+    return got.select("vec_id", *[F.round(F.get("affinity", F.lit(i)), 6).alias(f"a{i}") for i in range(10)])
 
 
 def cosine_prototypes(spark: SparkSession, sf: str) -> DataFrame:
@@ -295,16 +293,14 @@ MODELS = [f"m{i}" for i in range(5)]
 
 
 def label_alignment(spark: SparkSession, sf: str) -> DataFrame:
-    v, out = encounter.voters(spark, sf), None
-    for m in MODELS:
-        one = consensus.align_labels(v, "m0", m, 3).select(F.lit(m).alias("model"), F.array_join(F.col("permutation").cast("array<string>"), "").alias("permutation"), "matches")
-        out = one if out is None else out.unionByName(one)
-    return out
+    got = consensus.align_labels(encounter.voters(spark, sf), "m0", MODELS, 3)
+    return got.select("model", F.array_join(F.col("permutation").cast("array<string>"), "").alias("permutation"), "matches")
 
 
 def _aligned(spark: SparkSession, sf: str) -> DataFrame:
     v = encounter.voters(spark, sf)
-    return v.select("doc_id", *[consensus.relabel(F.col(m), consensus.best_permutation(v, "m0", m, 3)).alias(m) for m in MODELS])
+    best = consensus.best_permutations(v, "m0", MODELS, 3)
+    return v.select("doc_id", *[consensus.relabel(F.col(m), best[m]).alias(m) for m in MODELS])
 
 
 def consensus_votes(spark: SparkSession, sf: str) -> DataFrame:
@@ -429,7 +425,7 @@ def ward_clusters(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tfidf_svd(spark: SparkSession, sf: str) -> DataFrame:
-    return model.tfidf_svd(table(spark, sf, "benchmark"), "item_id", "text", components=16)
+    return model.tfidf_svd(table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", "text", components=8, vocabulary=2000)
 
 
 def classifier_folds(spark: SparkSession, sf: str) -> DataFrame:

@@ -103,34 +103,98 @@ def stage_one(df: DataFrame, key: str, vector: str, score: str, positive: Column
     return scored.withColumn("label", (F.col("prob") >= t).cast("int")), t
 
 
-def two_stage(df: DataFrame, key: str, vector: str, score: str, positive: Column, negative: Column, k: int = 3, components: int = 28) -> TwoStage:
-    """Weak labels, then the consensus of five clusterings among positive rows, then blended probabilities."""
-    one, t = stage_one(df, key, vector, score, positive, negative)
-    one = one.cache()
-    inside = one.where("label = 1").select(key, vector)
+def stage_two(df: DataFrame, key: str, vector: str, k: int = 3, components: int = 28, hierarchical=model.ward) -> tuple[DataFrame, DataFrame]:
+    """(aligned, agreed): the labels of five clusterings by key, aligned to the first, and their votes.
+
+    ``hierarchical`` is the last of the five, ``model.ward`` with its bound on rows, or ``model.bisecting``.
+    """
+    inside = df.select(key, vector)
     width = len(inside.first()[vector])
     small = model.pca(inside, vector, min(components, width)).select(key, "projected").cache()
     runs = {f"kmeans_{s}": model.kmeans(small, "projected", k, (s,))[1] for s in (13, 47, 97)}
-    runs |= {"gmm": model.gaussian_mixture(small, "projected", k), "ward": model.ward(small, key, "projected", k)}
+    runs |= {"gmm": model.gaussian_mixture(small, "projected", k), "hierarchical": hierarchical(small, key, "projected", k)}
     votes = small
     for name, got in runs.items():
         votes = votes.join(got.select(key, F.col("cluster").alias(name)), key)
     votes = votes.cache()
     names = list(runs)
-    aligned = votes.select(key, "projected", *[consensus.relabel(F.col(m), consensus.best_permutation(votes, names[0], m, k)).alias(m) for m in names])
-    agreed = consensus.votes(aligned, names, k).cache()
+    best = consensus.best_permutations(votes, names[0], names, k)
+    aligned = votes.select(key, "projected", *[consensus.relabel(F.col(m), best[m]).alias(m) for m in names])
+    return aligned, consensus.votes(aligned, names, k).cache()
+
+
+def two_stage(df: DataFrame, key: str, vector: str, score: str, positive: Column, negative: Column, k: int = 3, components: int = 28, hierarchical=model.ward) -> TwoStage:
+    """Weak labels, then the consensus of five clusterings among positive rows, then blended probabilities."""
+    one, t = stage_one(df, key, vector, score, positive, negative)
+    one = one.cache()
+    aligned, agreed = stage_two(one.where("label = 1"), key, vector, k, components, hierarchical)
     order = [r["cluster_consensus"] for r in consensus.size_ranks(agreed, "cluster_consensus", k).orderBy("drug_index").collect()]
     centers = vectors.dense_centroids(agreed.join(one.select(key, vector), key), "cluster_consensus", vector, list(range(k)))
     soft = vectors.affinity(one, vector, centers)
     shares = agreed.select(key, "vote_shares", "cluster_consensus", "confidence")
     whole = soft.join(shares, key, "left").withColumn("vote_shares", F.coalesce("vote_shares", "affinity"))
+    names = [c for c in aligned.columns if c not in (key, "projected")]
     return TwoStage(one, agreed, consensus.blend(whole, "prob", "label", "vote_shares", "affinity", order), consensus.pairwise_ari(aligned, names), t)
 
 
-def symptom_labels(df: DataFrame, key: str, text: Column) -> DataFrame:
-    """Triples, vectors and prototype labels of notes."""
-    work = df.select(key, text.alias("note")).withColumn("triples", rules.symptom_triples(F.col("note"))).withColumn("v", rules.symptom_vector(F.col("triples")))
-    return rules.prototype_match(work, "v").withColumn("triples", F.to_json("triples"))
+def leakage_sensitivity(base: TwoStage, wider: DataFrame, key: str, vector: str, score: str, positive: Column, negative: Column, k: int = 3, least: int = 12, components: int = 28, hierarchical=model.ward) -> DataFrame:
+    """(check, value): how far labels move when vectors come from ``wider``, which holds text that may tell the outcome.
+
+    Both stages run again on ``wider``. The first is compared over all rows; the second over the rows that the base labels
+    positive, its clusters aligned to the base's. With fewer than ``least`` such rows the second stage's values are null.
+    """
+    other, _ = stage_one(wider, key, vector, score, positive, negative)
+    both = base.stage1.select(key, "label", "prob").join(other.select(key, F.col("label").alias("label_w"), F.col("prob").alias("prob_w")), key)
+    first = consensus.shift_metrics(both, "label_w", "label", "prob_w", "prob").first()
+    flips = agreement = None
+    inside = base.stage1.where("label = 1").select(key)
+    if inside.limit(least).count() >= least:
+        _, again = stage_two(wider.join(inside, key, "left_semi"), key, vector, k, components, hierarchical)
+        two = base.votes.select(key, F.col("cluster_consensus").alias("a")).join(again.select(key, F.col("cluster_consensus").alias("b")), key)
+        two = two.withColumn("b", consensus.relabel(F.col("b"), consensus.best_permutation(two, "a", "b", k))).cache()
+        flips = two.agg(F.avg((F.col("a") != F.col("b")).cast("double"))).first()[0]
+        agreement = consensus.adjusted_rand(two, "a", "b").first()["ari"]
+    rows = [
+        ("stage1_label_flip_rate", first["flip_rate"]), ("stage1_mean_abs_prob_shift", first["mean_abs_shift"]),
+        ("stage2_flip_rate_on_base_positives", flips), ("stage2_ari_on_base_positives", agreement),
+    ]
+    return both.sparkSession.createDataFrame(rows, "check string, value double")
+
+
+def leakage_safe(tables: dict[str, DataFrame], key: str, whole: str, narrow: dict[str, list[str]]) -> DataFrame:
+    """One table for labels that must not see the outcome: ``whole`` without leaking columns, and of ``narrow`` tables only the columns listed.
+
+    Keys must be unique on all sides; a listed column that looks like leakage is refused, and so is what remains in the end.
+    """
+    out = contracts.without_leakage(tables[whole], keep=(key,))
+    for name, allowed in narrow.items():
+        out = contracts.one_to_one_join(out, contracts.prefixed(contracts.only_columns(tables[name], key, allowed), out.columns, key, name), key)
+    return contracts.without_leakage(out, keep=(key,))
+
+
+def example_report(df: DataFrame, label: str, confidence: str, key: str, fields: list[str], k: int = 5, mode: str = "top", categories: list[str] | None = None, prefix: str | None = None, seed: int = 42, title: str = "Examples") -> str:
+    """Markdown of ``k`` rows a category, the most confident or (``mode="sample"``) drawn by a hash, after a table of the categories' sizes.
+
+    ``categories`` that no row has are an error; without them all are shown, or those that start with ``prefix``.
+    """
+    if mode not in ("top", "sample"):
+        raise contracts.ContractError(f"no such mode: {mode}")
+    if k <= 0:
+        raise contracts.ContractError(f"the number of examples must be above 0, not {k}")
+    contracts.require_columns(df, [label, confidence, key, *fields])
+    chosen = report.choose_categories(df, label, categories, prefix)
+    own = df.where(F.col(label).isin(chosen))
+    some = report.top_examples(own, label, confidence, key, k) if mode == "top" else report.sampled_examples(own, label, confidence, key, k, seed)
+    sizes = profile.value_counts(own, label).orderBy(*report.category_order(F.col(label)))
+    return report.examples_report(some, label, [key, confidence, *fields], title) + "\n\n## Sizes\n\n" + report.markdown_table(sizes, 10_000)
+
+
+def symptom_labels(df: DataFrame, key: str, text: Column, text_vector: str | None = None, seeds: tuple[int, ...] = (42, 43, 44)) -> DataFrame:
+    """Triples, vectors and prototype labels of notes; with the name of an embedding column, low-confidence rows are clustered and labelled by cluster."""
+    extra = [text_vector] if text_vector else []
+    work = rules.with_triples(df.select(key, text.alias("note"), *extra), F.col("note")).withColumn("v", rules.symptom_vector(F.col("triples")))
+    out = rules.residual_labels(work, key, "v", text_vector, seeds=seeds) if text_vector else rules.prototype_match(work, "v")
+    return out.withColumn("triples", F.to_json("triples"))
 
 
 def extraction_labels(df: DataFrame, key: str, columns: list[str], client=extract.rule_client, k: int = 4, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -153,8 +217,12 @@ def extraction_labels(df: DataFrame, key: str, columns: list[str], client=extrac
     return labels, got.where("error is not null").select(key, "error")
 
 
-def cross_validated(df: DataFrame, key: str, label: str, classes: list, exclude: tuple[str, ...] = (), folds: int = 5, kind: str = "logistic", seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(out-of-fold predictions, metrics by fold) of a classifier on assembled features; labels must be among ``classes``."""
+def cross_validated(df: DataFrame, key: str, label: str, classes: list, exclude: tuple[str, ...] = (), folds: int = 5, kind: str = "logistic", seed: int = 42, hidden: tuple[int, ...] = (256, 256, 256)) -> tuple[DataFrame, DataFrame]:
+    """(out-of-fold predictions, metrics by fold) of a classifier on assembled features; labels must be among ``classes``.
+
+    ``kind`` is one of ``model.classifier``, or "network": classes count by weight, and the round that does best on the fold
+    left out is kept, so that its metrics are those of a chosen checkpoint.
+    """
     contracts.require_unique(contracts.require_labels(df, label, classes), key)
     index = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label)).cast("int") - 1
     y = df.select(key, index.alias("y"))
@@ -163,13 +231,18 @@ def cross_validated(df: DataFrame, key: str, label: str, classes: list, exclude:
     k = evaluate.usable_folds(y, "y", folds)
     rows = evaluate.stratified_folds(y, key, "y", k, seed).join(wide, key).cache()
     weights = evaluate.class_weights(y, "y", list(range(len(classes)))).select("y", "weight")
+    macro_f1 = lambda d: evaluate.basic_metrics(d.withColumn("prediction", F.col("prediction").cast("int")), "y", "prediction").first()["macro_f1"]
     out = None
     for f in range(k):
         own = features.standardize(rows, names, fit=rows.where(F.col("fold") != f), least=1e-6)
         ready = features.assemble(own, key, names).join(rows.select(key, "y", "fold"), key).join(F.broadcast(weights), "y")
         ready = model.with_vector(ready, "features", "vec").drop("features").withColumnRenamed("vec", "features").withColumn("label", F.col("y").cast("double"))
-        fitted = model.classifier(kind, len(names), len(classes), seed, "weight" if kind == "logistic" else None).fit(ready.where(F.col("fold") != f))
-        one = fitted.transform(ready.where(F.col("fold") == f)).select(key, "y", "fold", model.vector_to_array("probability").alias("probs"), F.col("prediction").cast("int").alias("prediction"))
+        train, valid = ready.where(F.col("fold") != f), ready.where(F.col("fold") == f)
+        if kind == "network":
+            fitted = model.checkpointed_network(train, valid, key, len(names), len(classes), macro_f1, hidden, seed=seed + f)[0]
+        else:
+            fitted = model.classifier(kind, len(names), len(classes), seed, "weight" if kind == "logistic" else None).fit(train)
+        one = fitted.transform(valid).select(key, "y", "fold", model.vector_to_array("probability").alias("probs"), F.col("prediction").cast("int").alias("prediction"))
         out = one if out is None else out.unionByName(one)
     out, scores = out.cache(), None
     for f in range(k):

@@ -5,6 +5,7 @@ import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
+os.environ.setdefault("COHORTRY_SHUFFLE", "3")  # small tables: more partitions only cost tasks
 
 
 @pytest.fixture(scope="session")

@@ -1,12 +1,15 @@
 import ast
+import json
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cohortry.functions import numeric as N
 from cohortry.functions import text as X
-from cohortry.operators import consensus, contracts, evaluate, extract, features, model, nested, profile, report, rules, simulate, vectors
+from cohortry.operators import consensus, contracts, evaluate, extract, features, model, nested, profile, quantiles, report, rules, simulate, vectors
 
 
 def one(spark, col, **values):
@@ -189,6 +192,14 @@ def test_folds_do_not_depend_on_blocks(spark):
     assert a == b
 
 
+def test_ward_refuses_what_it_cannot_hold(spark, monkeypatch):
+    df = spark.createDataFrame([(i, [float(i % 7), float(i % 5)]) for i in range(30)], "k long, v array<double>")
+    monkeypatch.setattr(model, "MAX_WARD", 20)
+    with pytest.raises(ValueError, match="20 rows"):
+        model.ward(df, "k", "v", 3)
+    assert len({r["cluster"] for r in model.bisecting(df, "k", "v", 3).collect()}) == 3
+
+
 def test_ward(spark):
     pts = [(i, [float(i // 10) * 10, float(i % 3)]) for i in range(30)]
     got = {r["k"]: r["cluster"] for r in model.ward(spark.createDataFrame(pts, "k long, v array<double>"), "k", "v", 3).collect()}
@@ -209,3 +220,148 @@ def test_reports(spark):
 def test_simulation(spark):
     s = simulate.time_summary(simulate.simulate(spark, 20, 30), "total_seconds").first()
     assert s["mean"] >= 60 and s["p50"] <= s["p99"]
+
+
+def test_quantiles_against_sorting(spark):
+    r = random.Random(3)
+    rows = [(r.choice((None, 1.0, 2.5, float("nan"))) if i % 3 == 0 else r.random() * 10, None, float(i % 4)) for i in range(500)]
+    df = spark.createDataFrame(rows, "a double, b double, c double").repartition(5)
+    got = quantiles.column_quantiles(df, ["a", "b", "c"], [0.0, 0.01, 0.5, 0.95, 1.0])
+    for k, c in ((0, "a"), (2, "c")):
+        values = [x[k] for x in rows if x[k] is not None and not math.isnan(x[k])]
+        assert np.allclose(got[c], np.quantile(values, [0.0, 0.01, 0.5, 0.95, 1.0]))
+    assert "b" not in got and features.medians(df, ["b"]) == {"b": 0.0}
+    counts = spark.createDataFrame([(g, float(i), i + g) for g in range(3) for i in range(50)], "g int, x double, n long")
+    run = quantiles.running_sums(counts, "x", {"below": "n"}, inclusive=False, by="g").collect()
+    assert all(x["below"] == sum(i + x["g"] for i in range(int(x["x"]))) for x in run) and len(run) == 150
+
+
+def test_one_pass_for_all_pairs_and_classes(spark):
+    r = random.Random(5)
+    rows = [(i, r.randrange(3), r.randrange(3), r.choice((None, 0, 1)), [r.choice((0.1, 0.5, 0.4)) for _ in range(3)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "k int, a int, b int, c int, p array<double>")
+    pairs = {(x["model_a"], x["model_b"]): x["ari"] for x in consensus.pairwise_ari(df, ["a", "b", "c"]).collect()}
+    assert len(pairs) == 3 and all(abs(pairs[q] - consensus.adjusted_rand(df, *q).first()["ari"]) < 1e-12 for q in pairs)
+
+    def area(c):
+        pos, neg = ([x[4][c] for x in rows if (x[1] == c) == side] for side in (True, False))
+        return sum((p > n) + (p == n) / 2 for p in pos for n in neg) / len(pos) / len(neg)
+
+    assert math.isclose(evaluate.macro_auroc(df, "a", "p", 3).first()[0], sum(map(area, range(3))) / 3)
+    best = consensus.best_permutations(df, "a", ["a", "b", "c"], 3)
+    assert best["a"] == [0, 1, 2] and best["b"] == consensus.best_permutation(df, "a", "b", 3)
+
+
+def test_nothing_is_cut_in_silence(spark):
+    names = [f"n{i:05d}" for i in range(12)]
+    record = "struct<symptoms:array<struct<name:string,polarity:string,severity:string,duration_minutes:long,onset:string>>>"
+    df = spark.createDataFrame([([(n, None, None, None, None) for n in names],)], "s array<struct<name:string,polarity:string,severity:string,duration_minutes:long,onset:string>>").select(F.struct(F.col("s").alias("symptoms")).alias("r"))
+    assert record and len(extract.multi_hot(df, "r", 12)) == 12
+    with pytest.raises(ValueError, match="11 symptom names"):
+        extract.multi_hot(df, "r", 11)
+    many = spark.range(30).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("c"), F.lit(1).alias("rank"))
+    with pytest.raises(contracts.ContractError):
+        report.choose_categories(many, "c", limit=29)
+    with pytest.raises(contracts.ContractError):
+        report.examples_report(many, "c", ["c"], "t", most=29)
+    assert report.markdown_table(many, 10).endswith("20 more rows") and "more rows" not in report.markdown_table(many, 30)
+    with pytest.raises(ValueError):
+        profile.crosstab_long(spark.range(30).select("id", F.col("id").alias("b")), "id", "b", max_cells=899)
+
+
+def test_contracts_of_columns_and_rows(spark):
+    df = spark.createDataFrame([(i, i % 3, "x") for i in range(9)], "encounter_id int, age int, final_disposition string")
+    assert contracts.only_columns(df, "encounter_id", ["age"]).columns == ["encounter_id", "age"]
+    for bad in (["final_disposition"], ["nope"]):
+        with pytest.raises(contracts.ContractError):
+            contracts.only_columns(df, "encounter_id", bad)
+    assert [r[0] for r in contracts.capped(df, 2, "encounter_id").select("encounter_id").collect()] == [0, 1] and contracts.capped(df, None).count() == 9
+    with pytest.raises(contracts.ContractError):
+        contracts.capped(df, 0)
+    assert sorted(r["encounter_id"] for r in contracts.first_by_key(df, "age", "encounter_id").collect()) == [0, 1, 2]
+
+
+def test_mixed_lists(spark):
+    cells = ["[1, {'a': 2}, 'x', {'a': None}]", "[{'a': 1}]", "{'a': 3}", "[1, 2]", "nothing", None]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, c string")
+    loose, strict = ([[None if d is None else d.get("a") for d in r[0]] for r in df.orderBy("i").select(nested.parse_nested(F.col("c"), strict=s)).collect()] for s in (False, True))
+    assert loose == [["2", None], ["1"], ["3"], [], [], []] and strict == [[None, "2", None, None], ["1"], [], [None, None], [], []]
+    py = [[None if d is None else d.get("a") for d in r[0]] for r in df.orderBy("i").select(nested.parse_literals(F.col("c"), strict=True)).collect()]
+    assert py == strict
+
+
+def test_schema_of_extractions(spark):
+    full = {"symptoms": [{"name": "A", "polarity": "present", "severity": "mild", "duration_minutes": 3, "onset": "sudden"}], "arrival_mode": "ems", "patient_origin": "offsite", "time_prior_to_arrival_minutes": None, "suspected_substance_exposure": "yes", "mental_status": "normal", "confidence": 0.5}
+    less = {k: v for k, v in full.items() if k != "mental_status"} | {"extra": 1, "symptoms": [{"name": "A", "severity": "awful", "polarity": "present", "onset": "sudden", "more": 1}]}
+    texts = [json.dumps(full), json.dumps(less), "", None, "[1]", "broken"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [list(r[0]) for r in df.orderBy("i").select(extract.schema_violations(F.col("t"))).collect()]
+    assert got[0] == [] and set(got[1]) == {"missing:mental_status", "unknown:extra", "missing:symptoms.duration_minutes", "unknown:symptoms.more", "value:symptoms.severity"}
+    assert got[2:] == [["unreadable"]] * 4
+    assert df.where("i = 0").select(extract.read_extraction(F.col("t"), strict=True)).first()[0]["mental_status"] == "normal"
+    with pytest.raises(Exception, match="no JSON object"):
+        df.select(extract.read_extraction(F.col("t"), strict=True)).collect()
+    record = df.where("i = 0").select(extract.read_extraction(F.col("t")).alias("r"))
+    assert record.select(extract.entity_summary(F.col("r"))).first()[0] == "symptoms: a | origin: offsite | arrival: ems"
+
+
+def test_tfidf_weights(spark):
+    """Against the formula: ln((1 + n) / (1 + df)) + 1 times the count, rows of unit length; a term of all texts keeps a weight."""
+    from pyspark.ml.feature import CountVectorizer
+
+    texts = [["all", "one", "one"], ["all", "two"], ["all", "two", "three"]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, __t array<string>")
+    rows, width = model.tfidf(df, CountVectorizer(inputCol="__t", outputCol="__c", minDF=1))
+    assert width == 4
+    weight = {t: math.log(4 / (1 + sum(t in x for x in texts))) + 1 for t in ("all", "one", "two", "three")}
+    for r in rows.select("k", "__n").collect():
+        own = {t: texts[r["k"]].count(t) * weight[t] for t in set(texts[r["k"]])}
+        norm = math.sqrt(sum(v * v for v in own.values()))
+        assert np.allclose(sorted(x for x in r["__n"].toArray() if x), sorted(v / norm for v in own.values()))
+
+
+def test_projections_and_clusters(spark):
+    """Known structure comes out: three far blobs, and two directions that carry the variance."""
+    r = random.Random(2)
+    pts = [(i, [100.0 * (i % 3) + r.random(), -50.0 * (i % 3) + r.random(), r.random(), r.random()]) for i in range(90)]
+    df = spark.createDataFrame(pts, "k long, v array<double>")
+    named = {x["k"]: x["cluster"] for x in model.kmeans(df, "v", 3)[1].select("k", "cluster").collect()}
+    assert len(set(named.values())) == 3 and all(len({named[i] for i in range(g, 90, 3)}) == 1 for g in range(3))
+    assert {x["cluster"] for x in model.gaussian_mixture(df, "v", 3).collect()} <= {0, 1, 2}
+    x = np.array([v for _, v in pts])
+    flat = np.array([p["projected"] for p in model.pca(df, "v", 2).orderBy("k").collect()])
+    centered = x - x.mean(axis=0)
+    want = centered @ np.linalg.svd(centered, full_matrices=False)[2][:2].T
+    assert np.allclose(np.abs(flat - flat.mean(axis=0)), np.abs(want), atol=1e-6)
+    texts = [(i, " ".join(["red apple pie", "blue sea wave"][i % 2] for _ in range(3))) for i in range(10)]
+    e = {t["k"]: np.array(t["embedding"]) for t in model.tfidf_svd(spark.createDataFrame(texts, "k long, t string"), "k", "t", components=2).collect()}
+    assert abs(e[0] @ e[2] - 1) < 1e-9 and abs(e[0] @ e[1]) < 1e-9
+
+
+def test_network_with_weights_and_checkpoint(spark, tmp_path):
+    r = random.Random(4)
+    rows = [(i, [r.gauss(2.0 if i % 10 == 0 else 0.0, 0.4), r.gauss(0, 1)], float(i % 10 == 0)) for i in range(400)]
+    df = model.with_vector(spark.createDataFrame(rows, "k long, v array<double>, label double"), "v")
+    weighted = df.withColumn("weight", F.when(F.col("label") == 1, 5.0).otherwise(400 / 720))
+    n = {x["label"]: x["count"] for x in model.balanced_rows(weighted, "k", "weight").groupBy("label").count().collect()}
+    assert abs(n[0.0] - n[1.0]) < 10
+    recall = lambda d: d.where("label = 1").agg(F.avg((F.col("prediction") == 1).cast("double"))).first()[0]
+    train, valid = weighted.where("k % 4 != 0 or k % 20 = 0 and k < 200"), weighted.where("k % 4 = 0")
+    best, top, ran = model.checkpointed_network(train, valid, "k", 2, 2, recall, (8,), rounds=5, steps=5, patience=2)
+    assert top >= 0.8 and 1 <= ran <= 5 and recall(best.transform(valid)) == top
+    model.save(best, str(tmp_path / "net"))
+    again = type(best).load(str(tmp_path / "net"))
+    assert np.allclose(again.weights.toArray(), best.weights.toArray())
+
+
+def test_console_summary(spark):
+    said = []
+    report.console_summary(spark.createDataFrame([("rows", 3.0), ("longer_name", None)], "metric string, value double"), "run", said.append)
+    assert said == ["---", "run", "rows:        3.000000", "longer_name: ", "---"]
+
+
+def test_merging_and_appending(spark):
+    a = spark.createDataFrame([(1,), (2,)], "k int")
+    b = spark.createDataFrame([(1, 5.0)], "k int, x double")
+    assert {r["k"]: r["x"] for r in nested.merge_summaries(a, [b], "k").collect()} == {1: 5.0, 2: None}
+    assert one(spark, features.append_arrays(F.array(F.lit(1)), F.array(F.lit(2.5)))) == [1.0, 2.5]
