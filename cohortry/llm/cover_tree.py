@@ -1,8 +1,9 @@
 """Embedding near-dedup: exact threshold pairs by dual traversal of cover trees.
 
 On the unit sphere a cosine of at least t is a distance of at most sqrt(2 - 2t). Equal vectors are one point with a
-multiplicity. The upper level has cells: points by their nearest pivot (pivots are a bounded sample of large labels),
-with exact covering radii; pairs of cells whose radii and distance rule out a link are pruned. Cells are split into
+multiplicity. Points of large labels fall into cells around pivots, a bounded sample; the upper levels of a label's cover tree are
+nested nets over its pivots, with radii that cover the cells' points. Executors walk down these levels for each cell
+and let out the pairs of cells that the bounds leave. Cells are split into
 blocks of bounded size, and for every pair of blocks left a task builds two cover trees with nested levels of halving
 radii and walks down both: node pairs farther apart than their radii and the threshold allow are pruned, pairs of leaves
 compared in double precision. A task sends one row per linked point and a spanning forest, not the pairs.
@@ -86,6 +87,36 @@ def dual_links(x: np.ndarray, y: np.ndarray, cosine: float, tx: Node | None = No
     return out
 
 
+class Levels:
+    """The upper levels over a label's cells: a cover tree of pivots whose nodes know how far the points below them reach."""
+
+    def __init__(self, pivots: np.ndarray, radii: np.ndarray):
+        self.pivots, self.radii = pivots, radii
+        self.root = cover_tree(pivots)
+        todo = [self.root]
+        self.far: dict[int, float] = {}
+        while todo:
+            n = todo.pop()
+            self.far[id(n)] = float((np.sqrt(((pivots[n.points] - n.center) ** 2).sum(axis=1)) + radii[n.points]).max())
+            todo += n.children
+
+    def near(self, cell: int, reach: float) -> np.ndarray:
+        """Cells that may hold a point within ``reach`` of a point of ``cell``, itself left out."""
+        x, r = self.pivots[cell], self.radii[cell]
+        out, todo = [], [self.root]
+        while todo:
+            n = todo.pop()
+            if math.sqrt(float(((x - n.center) ** 2).sum())) > r + self.far[id(n)] + reach:
+                continue
+            if n.children:
+                todo += n.children
+            else:
+                d = np.sqrt(((self.pivots[n.points] - x) ** 2).sum(axis=1))
+                out.append(n.points[d <= r + self.radii[n.points] + reach])
+        found = np.concatenate(out) if out else np.empty(0, np.int64)
+        return np.sort(found[found != cell])
+
+
 def _forest(m: np.ndarray, same: bool) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the bipartite matrix (columns numbered after rows), or of a symmetric one."""
     n = len(m)
@@ -121,8 +152,9 @@ def embedding_links(
     Two rows link if their labels are equal and not null, their vectors as long, and the cosine in double precision is
     at least ``cosine``. Vectors that are null, empty, zero, or hold nulls or non-finite numbers link with nothing; such
     rows, and rows with a null label, have no links and their own id as component. Repeated rows link with each other.
-    A null id links but names no component. An empty table gives an empty one. ``max_pivots`` bounds the sample of
-    pivots, over all labels; every point is in a cell, whatever the sample, and all links are found.
+    A null id links but names no component. Of equal ids and of cosines that tie at the threshold nothing is left out. Other columns are not
+    read and may have any names. Vectors of any length are compared whole. An empty table gives an empty one. ``max_pivots`` bounds the
+    sample of pivots, over all labels; every point is in a cell, whatever the sample, and all links are found.
     """
     v = F.col("v")
     rows = vectors.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"), F.col(f"`{label_col}`").alias("label"))
@@ -147,30 +179,48 @@ def embedding_links(
 
     def place(frames):
         for f in frames:
-            x = [np.asarray(u, np.float64) for u in f["v"]]
-            cell, far = np.zeros(len(f), np.int32), np.zeros(len(f))
-            for i, u in enumerate(x):
-                u = u / math.sqrt(float(u @ u))
-                c = centers.get((f["label"].iat[i], int(f["d"].iat[i])))
+            cell, far, own = np.zeros(len(f), np.int32), np.zeros(len(f)), np.zeros(len(f), bool)
+            for k, at in f.groupby(["label", "d"], sort=False).indices.items():
+                x = _unit(f["v"].iloc[at])
+                c = centers.get(tuple(k))
                 if c is None:
-                    far[i] = math.sqrt(max(0.0, 2 - 2 * u[0]))  # one cell, around the first axis
+                    far[at] = np.sqrt(np.maximum(0.0, 2 - 2 * x[:, 0]))  # one cell, around the first axis
                 else:
-                    d = ((c - u) ** 2).sum(axis=1)
-                    cell[i] = int(d.argmin())
-                    far[i] = math.sqrt(d[cell[i]])
-            yield f.assign(cell=cell, far=far)
+                    nearest = (x @ c.T).argmax(axis=1)
+                    cell[at], own[at] = nearest, True
+                    far[at] = np.sqrt(((c[nearest] - x) ** 2).sum(axis=1))
+            yield f.assign(cell=cell, far=far, own=own)
 
     kind = points.df.schema["g"].dataType["label"].dataType.simpleString()
     flat = points.df.select("p", "id", "m", "v", F.col("g.label").alias("label"), F.col("g.d").alias("d"), "k1", "k2")
-    placed = Written(flat.mapInPandas(place, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in flat.schema) + ", cell int, far double"), "placed")
-    cells = placed.df.groupBy("label", "d", "cell").agg(F.count("*").alias("n"), F.max("far").alias("r"))
+    placed = Written(flat.mapInPandas(place, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in flat.schema) + ", cell int, far double, own boolean"), "placed")
+    cells = placed.df.groupBy("label", "d", "cell").agg(F.count("*").alias("n"), F.max("far").alias("r"), F.bool_or("own").alias("own"))
     cells = Written(cells.withColumn("s", F.ceil(F.col("n") / block).cast("int")), "cells")
     # pairs of cells: every one with itself; others of a label only where the bounds allow a link
     reach = math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-9
-    near = [(k[0], k[1], i, j, float(np.sqrt(((c[i] - c[j]) ** 2).sum()))) for k, c in centers.items() for i in range(len(c)) for j in range(len(c)) if i != j]
-    near = spark.createDataFrame(near, f"label {kind}, d int, cell int, other int, dist double")
-    a, b = cells.df.select("label", "d", "cell", "r"), cells.df.select("label", "d", F.col("cell").alias("other"), F.col("r").alias("ro"), F.col("s").alias("so"))
-    pairs = near.join(a, ["label", "d", "cell"]).join(b, ["label", "d", "other"]).where(F.col("dist") <= F.col("r") + F.col("ro") + reach).select("label", "d", "cell", "other", "so")
+    # one row a cell with a pivot, so that their number is that of the pivots at most
+    radii = {k: np.full(len(c), -np.inf) for k, c in centers.items()}
+    for r in cells.df.where("own").select("label", "d", "cell", "r").collect():
+        radii[(r["label"], r["d"])][r["cell"]] = r["r"]
+
+    def walk(frames):
+        levels: dict[tuple, Levels] = {}
+        for f in frames:
+            for label, d, cell in zip(f["label"], f["d"], f["cell"]):
+                k = (label, int(d))
+                if k not in levels:
+                    # pivots that no point is nearest to cover nothing
+                    held = np.flatnonzero(radii[k] > -np.inf)
+                    levels[k] = (Levels(centers[k][held], radii[k][held]), held)
+                tree, held = levels[k]
+                other = held[tree.near(int(np.searchsorted(held, cell)), reach)]
+                if len(other):
+                    yield pd.DataFrame({"label": [label] * len(other), "d": int(d), "cell": int(cell), "other": other})
+
+    walked = cells.df.where("own").select("label", "d", "cell").repartition(max(1, sum(map(len, centers.values())) // 64))
+    near = walked.mapInPandas(walk, f"label {kind}, d int, cell int, other int")
+    there = cells.df.select("label", "d", F.col("cell").alias("other"), F.col("s").alias("so"))
+    pairs = near.join(there, ["label", "d", "other"]).select("label", "d", "cell", "other", "so")
     pairs = pairs.union(cells.df.select("label", "d", "cell", F.col("cell").alias("other"), F.col("s").alias("so")))
     pairs = pairs.join(cells.df.select("label", "d", "cell", "s"), ["label", "d", "cell"])
     mine = placed.df.join(Written(pairs, "cellpairs").df, ["label", "d", "cell"]).withColumn("salt", F.pmod(F.hash("k2", "k1"), F.col("s")))

@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from cohortry.llm.cover_tree import cover_tree, dual_links, embedding_links
+from cohortry.llm.cover_tree import Levels, cover_tree, dual_links, embedding_links
 from cohortry.llm.queries import op4_cover_tree
 
 
@@ -75,6 +75,38 @@ def test_tree_covers_and_halves():
         todo += n.children
 
 
+def test_upper_levels_lose_no_pair_of_cells():
+    """Walks against all pairs of cells; with clusters most pairs are never looked at."""
+    x = clustered(600, 8, 5).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    radii = np.abs(np.random.default_rng(6).normal(size=600)) * 0.1
+    tree, reach = Levels(x, radii), math.sqrt(2 - 2 * 0.93)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    want = d <= radii[:, None] + radii[None] + reach
+    for i in range(600):
+        assert tree.near(i, reach).tolist() == [j for j in np.flatnonzero(want[i]) if j != i]
+
+
+def test_null_ids_link(spark):
+    rows = [(None, [1.0, 0.0], 1), (4, [1.0, 0.01], 1), (5, [0.0, 1.0], 1), (None, [0.0, 1.0], 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in embedding_links(df).collect()), key=repr)
+    assert got == sorted([(None, 1, 4), (4, 1, 4), (5, 0, 5), (None, 0, None)], key=repr)
+
+
+def test_many_pivots_on_a_small_driver():
+    """4,096 pivots: the levels take a few MB, and pairs are made one cell at a time."""
+    import tracemalloc
+
+    x = np.random.default_rng(7).normal(size=(4096, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    tracemalloc.start()
+    tree = Levels(x, np.full(4096, 0.3))
+    found = [len(tree.near(i, 0.38)) for i in range(0, 4096, 64)]
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20 and len(found) == 64
+    tracemalloc.stop()
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, None, 1), (4, [], 1), (5, [0.0, 0.0], 1), (6, [nan, 1.0], 1), (7, [inf, 1.0], 1), (8, [1.0, None], 1), (9, [1.0, 0.0], None), (10, [1.0, 0.0, 0.0], 1), (11, [1.0, 0.001], 2), (12, [1.0, 0.0], 2)]
