@@ -56,10 +56,13 @@ def drop_common_lines(
     common = Written(owners.groupBy("h").count().where(F.col("count") >= min_docs).select("h"), "common")
     drops = Written(hits.df.join(common.df, "h").groupBy("k1", "k2").agg(F.array_sort(F.collect_set("at")).alias("drop")), "drops")
     # one array of positions a row, in all at most a number a line: a part of the text that it is joined to
-    joined = rows.join(drops.df.hint("shuffle_hash"), ["k1", "k2"], "left").select("row", "drop", lines.alias("lines"))
+    joined = rows.join(drops.df.hint("shuffle_hash"), ["k1", "k2"], "left").select("row", "drop", F.when(F.col("drop").isNotNull(), lines).alias("lines"))
     for old in (held, many, hits, common):
         old.drop()
-    kept = F.when(F.col("drop").isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join(_without(F.col("lines"), F.col("drop")), "\n"))
+    # only texts that lose a line are taken apart
+    whole = F.coalesce(text, F.lit(""))
+    kept = F.when(F.col("drop").isNull(), whole).otherwise(F.array_join(_without(F.col("lines"), F.col("drop")), "\n"))
     dropped = F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop"))
-    outputs = {"kept_text": kept, "n_lines": F.size("lines").cast("long"), "n_dropped": dropped.cast("long")}
+    n = F.when(F.col("drop").isNull(), F.octet_length(whole) - F.octet_length(F.translate(whole, "\n", "")) + 1).otherwise(F.size("lines"))
+    outputs = {"kept_text": kept, "n_lines": n.cast("long"), "n_dropped": dropped.cast("long")}
     return joined.select(*with_outputs(docs, "row", outputs))
