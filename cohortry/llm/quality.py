@@ -24,6 +24,7 @@ _SYMBOLS = b"#*$%&|<>"
 _ELLIPSES, _BULLETS = (b"...", "…".encode()), (b"-", b"*", "•".encode())
 #: Letters and bytes beyond ASCII as a, white space as it is, all else as 0.
 _LETTERED = bytes(97 if c >= 128 or 65 <= c <= 90 or 97 <= c <= 122 else c if c in _SPACE else 48 for c in range(256))
+_NO_SIGNS = bytes(c for c in range(256) if _LETTERED[c] != 48)
 _UPPER, _LETTERS = bytes(range(65, 91)), bytes([*range(65, 91), *range(97, 123)])
 
 #: Scripts that do not part words by spaces: Thai to Myanmar, Khmer, Tai, Balinese, kana, ideographs, Yi, Javanese.
@@ -80,9 +81,16 @@ class Text:
     @cached_property
     def line_forms(self) -> tuple[int, int]:
         """Lines with a word that end in an ellipsis, and those that start with a bullet."""
+        if not any(x in self.raw for x in (*_ELLIPSES, *_BULLETS)):
+            return 0, 0
         own = [x.strip(_SPACE) for x in self.raw.split(b"\n")]
         return sum(x.endswith(_ELLIPSES) for x in own), sum(x.startswith(_BULLETS) for x in own)
 
+    @cached_property
+    def n_signs(self) -> int:
+        """ASCII characters that are neither letters nor white space: a word without a letter has one at least."""
+        return len(self.raw.translate(None, _NO_SIGNS))
+
     @cached_property
     def n_lettered(self) -> int:
         """Words with an ASCII letter or a character beyond ASCII."""
@@ -131,7 +139,7 @@ RULES = (
     Rule("dup_lines", lambda t: 10 * t.lines[1] > 5 * t.lines[0]),
     Rule("ellipses", lambda t: 10 * t.line_forms[0] > 5 * t.lines[0]),
     Rule("bullets", lambda t: 10 * t.line_forms[1] > 9 * t.lines[0] and t.lines[0] >= 5),
-    Rule("letterless", lambda t: 10 * t.n_lettered < 6 * t.n_words),
+    Rule("letterless", lambda t: 10 * t.n_signs > 4 * t.n_words and 10 * t.n_lettered < 6 * t.n_words),
 )
 
 
