@@ -206,12 +206,13 @@ class _Join:
             table, weight = heavy.value
             marks = _marks(table)
             for b in batches:
-                grams, nodes, ns, parts, held = [], [], [], [], 0
+                # part << 32 | n in one column, as each column of a row costs 8 bytes
+                grams, nodes, ns, held = [], [], [], 0
 
                 def out():
                     k = np.fromiter(map(len, grams), np.int64, len(grams))
-                    cols = (np.concatenate(grams).view(np.int64), np.concatenate(parts), np.repeat(np.array(nodes, np.int64), k), np.repeat(np.array(ns, np.int32), k))
-                    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["gram", "part", "node", "n"])
+                    cols = (np.concatenate(grams).view(np.int64), np.repeat(np.array(nodes, np.int64), k), np.concatenate(ns))
+                    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["gram", "node", "n"])
 
                 for _, g in _sets(b, width):
                     node = node_of(g)
@@ -219,13 +220,13 @@ class _Join:
                         continue
                     seen.add(node)
                     own, w = prefix_of(g, num, den, table, weight, marks)
-                    grams.append(own), nodes.append(node), ns.append(len(g))
+                    grams.append(own), nodes.append(node)
                     # from 1 on in parts, 0 for an n-gram in one piece
-                    parts.append(np.where(w > hot, 1 + (node & 0x7FFFFFFF) % (w // hot + 1), 0).astype(np.int32))
+                    ns.append(np.where(w > hot, 1 + (node & 0x7FFFFFFF) % (w // hot + 1), 0) << 32 | len(g))
                     held += len(own)
                     if held > 200_000:
                         yield out()
-                        grams, nodes, ns, parts, held = [], [], [], [], 0
+                        grams, nodes, ns, held = [], [], [], 0
                 if grams:
                     yield out()
 
@@ -254,7 +255,8 @@ class _Join:
             for b in batches:
                 if not b.num_rows:
                     continue
-                rows = np.concatenate([last, np.stack([b.column(i).to_numpy() for i in range(4)], axis=1).astype(np.int64)])
+                gram, node, n = (b.column(i).to_numpy() for i in range(3))
+                rows = np.concatenate([last, np.stack([gram, n >> 32, node, n & 0xFFFFFFFF], axis=1)])
                 keep = np.ones(len(rows), bool)  # several tasks may have sent the same node
                 keep[1:] = (rows[1:, :3] != rows[:-1, :3]).any(axis=1)
                 rows = rows[keep]
@@ -264,8 +266,9 @@ class _Join:
             if len(last):
                 yield make(last, None)
 
-        p = self.docs.mapInArrow(prefixes, "gram long, part int, node long, n int")
-        p = p.repartition("gram", "part").sortWithinPartitions("gram", "part", "node")
+        p = self.docs.mapInArrow(prefixes, "gram long, node long, n long")
+        part = F.shiftright("n", 32)
+        p = p.repartition("gram", part).sortWithinPartitions("gram", part, "node")
         return Written(p.mapInArrow(shared, "gram long, node long, n int, lead long, n_lead int"), "incidence")
 
     def sets(self, nodes: DataFrame, reps: DataFrame) -> Written:
@@ -295,7 +298,10 @@ class _Join:
                         yield pa.RecordBatch.from_arrays([pa.array([k for k, *_ in rows], pa.int64()), pa.array([x for _, x, _ in rows], pa.int64()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], names=["rk", "node", "grams"])
 
         found = self.docs.select("rk", "t", _slot(bits).alias("h")).mapInArrow(read, "rk long, node long, grams array<long>")
-        out = Written(found.join(asked.df, ["rk", "node"], "left_semi").select("node", "grams"), "sets")
+        if asked.df.count() * 16 > bits:
+            # a full bitmap lets through much that nobody asked for; what a sparse one lets through meets no pair
+            found = found.join(asked.df, ["rk", "node"], "left_semi")
+        out = Written(found.select("node", "grams"), "sets")
         asked.drop(), bloom.destroy()
         size = out.df.agg(F.count("*").alias("rows"), F.count_distinct("node").alias("nodes")).first()
         if size["rows"] > size["nodes"]:
