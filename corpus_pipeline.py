@@ -24,12 +24,21 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no rule rejects. A short text is no junk: of the base the stage takes repetition, and asks for a few words only."""
+    """Documents that no rule rejects. A short text is no junk: of the base the stage takes repetition, and asks for a few words only.
+
+    Null and empty texts have no words and go; so do all copies of a text that is rejected, as repeated rows get equal verdicts. Null ids
+    are judged like others, very long texts whole. An empty table gives an empty one; other columns than ``COLUMNS`` are left out.
+    """
     return quality_cascade(docs, first=FIRST_RULES, keep=COLUMNS, measures=False).where("kept").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that ten documents or more hold; ``n_chars`` follows the text."""
+    """Texts without the lines that ten documents or more hold; ``n_chars`` follows the text.
+
+    No row goes: a text all of whose lines go, and a null one, become empty. Rows of one id are one document, rows without an id
+    count as none but lose lines as well. Lines that ten documents hold exactly go. Very long texts are read whole; an empty table gives an
+    empty one.
+    """
     got = drop_common_lines(docs.select(*COLUMNS))
     return got.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast("long")).select(*COLUMNS)
 
@@ -38,7 +47,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each class of near-duplicates: the one with the smallest id, once.
 
     A document is an id with a text, so that rows without an id, and different texts of one id, are told apart; rows with
-    an id come before those without. Of rows equal in both one stays.
+    an id come before those without. Of rows equal in both one stays. Texts without words link with nothing and stay, null ones too;
+    pairs at the threshold itself are near-duplicates. Very long texts are compared whole; an empty table gives an empty one.
     """
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text")).alias("key")
     keyed = docs.select(*COLUMNS, key)
@@ -49,12 +59,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose sources, languages and topics are raked to tempered shares."""
+    """A sample whose sources, languages and topics are raked to tempered shares.
+
+    Null sources and languages are values like others. Texts without words take their cell's probability, or 1 in a cell without any.
+    Repeated rows are drawn alike, rows without an id by their text. An empty table gives an empty one.
+    """
     return mix(docs.select(*COLUMNS)).where("sampled").select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of pieces of each document."""
+    """Ids of pieces of each document: ``doc_id``, ``n_tokens``, ``ids``. Null and empty texts have none; null ids and repeated rows stay; an empty table
+    gives an empty one."""
     return encode(docs, piece_table())
 
 
