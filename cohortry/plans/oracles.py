@@ -230,6 +230,12 @@ SELECT vec_id, {', '.join(f"round(w{i} / ({' + '.join(f'w{k}' for k in range(10)
     "cosine_prototypes": f"""WITH {_EMB}, {_CENTERS}, s AS (SELECT vec_id, c.label AS k, list_cosine_similarity(v, c.c) AS s FROM e CROSS JOIN c),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, k) AS r FROM s) SELECT vec_id, round(s, 6) AS similarity, k::BIGINT AS prototype FROM r WHERE r = 1""",
     "stage1_scores": f"WITH {_STAGE1} SELECT doc_id, round(s, 6) AS score_raw, round(1 / (1 + exp(-s)), 6) AS prob FROM z",
+    "stage1_embeddings": f"""WITH {_EMB}, a AS (SELECT vec_id, v, (vec_id % 7 - 3)::DOUBLE AS h FROM e), d AS (SELECT q.vec_id, f.h, list_distance(q.v, f.v) AS d FROM a q CROSS JOIN a f),
+n AS (SELECT vec_id, h, d, row_number() OVER (PARTITION BY vec_id, h >= 2 ORDER BY d) AS rp, row_number() OVER (PARTITION BY vec_id, h <= -2 ORDER BY d) AS rn, row_number() OVER (PARTITION BY vec_id ORDER BY d) AS rk FROM d),
+m AS (SELECT vec_id, avg(d) FILTER (h >= 2 AND rp <= 12) AS dp, avg(d) FILTER (h <= -2 AND rn <= 12) AS dn, avg(d) FILTER (rk <= 18) AS k FROM n GROUP BY 1),
+r AS (SELECT vec_id, h, dp, dn, k, (dn - dp) / greatest(abs(dn) + abs(dp), 1e-6) AS rel FROM m JOIN a USING (vec_id)),
+z AS (SELECT vec_id, dp, dn, 0.55 * (h - avg(h) OVER ()) / stddev_pop(h) OVER () + 0.30 * (rel - avg(rel) OVER ()) / stddev_pop(rel) OVER () - 0.15 * (k - avg(k) OVER ()) / stddev_pop(k) OVER () AS s FROM r)
+SELECT vec_id, round(dp, 6) AS d_pos, round(dn, 6) AS d_neg, round(s, 6) AS score_raw, round(1 / (1 + exp(-s)), 6) AS prob FROM z""",
     "threshold_search": f"""WITH {_STAGE1}, p AS (SELECT round(1 / (1 + exp(-s)), 9) AS prob, h >= 2 AS pos, h <= -2 AS neg FROM z), g AS (SELECT 0.2::DOUBLE + (0.8::DOUBLE - 0.2::DOUBLE) * i / 60 AS t FROM range(61) r(i)),
 b AS (SELECT t, ((count(*) FILTER (pos AND prob >= t)) / (count(*) FILTER (pos)) + (count(*) FILTER (neg AND prob < t)) / (count(*) FILTER (neg))) / 2 AS ba FROM p, g GROUP BY t),
 w AS (SELECT least(greatest(t, 0.3), 0.75) AS t FROM b ORDER BY ba DESC, t LIMIT 1)

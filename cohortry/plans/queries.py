@@ -282,6 +282,16 @@ def stage1_scores(spark: SparkSession, sf: str) -> DataFrame:
     return _stage1(spark, sf).select("doc_id", R6("score_raw").alias("score_raw"), R6("prob").alias("prob"))
 
 
+def stage1_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    """The first stage over distances of vectors: to both anchors and to all rows, then scores, threshold and label."""
+    e = _embeddings(spark, sf).select("vec_id", "v", (F.col("vec_id") % 7 - 3).cast("double").alias("h"))
+    work = e.withColumn("pos", F.col("h") >= 2).withColumn("neg", F.col("h") <= -2)
+    for name, fit, k in (("dp", work.where("pos"), 12), ("dn", work.where("neg"), 12), ("k", work, 18)):
+        work = work.join(vectors.knn_mean_distance(e, fit, "vec_id", "v", k, name), "vec_id")
+    got = consensus.stage1_scores(work, "h", "dp", "dn", "k")
+    return got.select("vec_id", R6("dp").alias("d_pos"), R6("dn").alias("d_neg"), R6("score_raw").alias("score_raw"), R6("prob").alias("prob"))
+
+
 def threshold_search(spark: SparkSession, sf: str) -> DataFrame:
     s = _stage1(spark, sf).withColumn("prob", F.round("prob", 9))
     t = consensus.threshold_search(s, "prob", "pos", "neg")
@@ -441,7 +451,7 @@ QUERIES = {
         pattern_scan_documents, group_sizes_with_nulls, mode_consistency, one_to_one_join_encounter, left_join_customer_orders, dup_key_check, missing_keys, distinct_first_by_key,
         column_slugify, normalize_ws, text_corpus, conversation_corpus, term_hits_score, date_parts_orders, vitals_shorthand, one_hot_segment, impute_median, standardize_ddof0,
         train_fold_standardize, nested_len_hist, nested_event_counts, nested_summary_full, nested_summary_reduced, parse_nested_cells, props_key_types, top_categories,
-        symptom_triples, prototype_match, extraction_coerce, knn_mean_distance, knn_to_anchor, centroid_affinity, cosine_prototypes, stage1_scores, threshold_search,
+        symptom_triples, prototype_match, extraction_coerce, knn_mean_distance, knn_to_anchor, centroid_affinity, cosine_prototypes, stage1_scores, stage1_embeddings, threshold_search,
         label_alignment, consensus_votes, ari_pairs, blend_outputs, shift_metrics, class_weights, stratified_folds, fold_class_counts, group_folds, metrics_basic,
         class_precision_recall, auroc, macro_auroc, avg_precision, logloss, fold_aggregate, top_k_examples, hash_sample_examples, category_order, retry_simulation_expected,
         metric_value_summary, kmeans_ensemble, gmm_clusters, pca_projection, ward_clusters, tfidf_svd, classifier_folds,
