@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running_sums(df: DataFrame, order: str, values: dict[str, str], descending: bool = False, inclusive: bool = True, buckets: int = 16, by: str | None = None) -> DataFrame:
+def running_sums(df: DataFrame, order: str, values: dict[str, str], descending: bool = False, inclusive: bool = True, buckets: int = 16, by: str | None = None, totals_too: bool = False) -> DataFrame:
     """Adds, for each name, the sum of the column it names over all rows up to this one in the order (which is unique).
 
     Rows are dealt into ranges by approximate quantiles; a range is summed by a window of its own, and ranges before it
     add a total each, so that no task sorts all rows. With ``by`` each of its values has sums and ranges of its own, in
-    the same pass; its values are few.
+    the same pass; its values are few. With ``totals_too`` each name has a column ``name_total`` of the sum over all rows.
     """
     keyed = df.withColumn("__g", F.col(by) if by else F.lit(0))
-    bounds = keyed.groupBy(F.col("__g").alias("__by")).agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 1000).alias("__bounds"))
+    bounds = keyed.groupBy(F.col("__g").alias("__by")).agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 1000).alias("__bounds"), *[F.sum(c).alias(f"{n}_total") for n, c in values.items() if totals_too])
     # one row a value of ``by``, with a fixed number of bounds
     cut = keyed.join(F.broadcast(bounds), F.col("__g").eqNullSafe(F.col("__by")))
     bucket = F.size(F.filter("__bounds", lambda b: b < F.col(order)))
@@ -37,9 +37,7 @@ def quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> DataFra
     """
     parts = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.col(f"`{c}`").cast("double").alias("x")) for i, c in enumerate(columns)])
     counts = df.select(F.inline(parts)).where("x is not null and not isnan(x)").groupBy("ordinal", "x").agg(F.count("*").alias("k"))
-    run = running_sums(counts, "x", {"until": "k"}, by="ordinal")
-    total = counts.groupBy(F.col("ordinal").alias("o")).agg(F.sum("k").alias("n"))
-    run = run.join(F.broadcast(total), F.col("ordinal") == F.col("o"))
+    run = running_sums(counts, "x", {"until": "k"}, by="ordinal", totals_too=True).withColumnRenamed("until_total", "n")
     at = [F.lit(float(q)) * (F.col("n") - 1) for q in shares]
     ends = [F.min(F.when(F.col("until") > f(h), F.col("x"))).alias(f"{k}{i}") for i, h in enumerate(at) for k, f in (("a", F.floor), ("b", F.ceil))]
     found = run.groupBy("ordinal", "n").agg(*ends)
