@@ -50,7 +50,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     an id come before those without. Of rows equal in both one stays. Texts without words link with nothing and stay, null ones too;
     pairs at the threshold itself are near-duplicates. Very long texts are compared whole; an empty table gives an empty one.
     """
-    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text")).alias("key")
+    # cast to what it is read back as, so that texts are dealt by it once
+    kind = f"struct<none:boolean,doc_id:{docs.schema['doc_id'].dataType.simpleString()},text:bigint>"
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text")).cast(kind).alias("key")
     keyed = docs.select(*COLUMNS, key)
     first = ngram_classes(keyed, id_col="key").where("key = component_id").select("key").distinct()
     # keys of the documents that stay, of some bytes each, against their texts: hashed, so that texts are not sorted
