@@ -46,10 +46,10 @@ def bounded_batches(spark: SparkSession) -> None:
 class Written:
     """A DataFrame written to the shared folder and read again: lineage is cut and lost executors cost nothing."""
 
-    def __init__(self, df: DataFrame, label: str):
+    def __init__(self, df: DataFrame, label: str, compression: str | None = None):
         spark = df.sparkSession
         self.path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        df.write.parquet(self.path, compression=compression)
         self.df = spark.read.schema(df.schema).parquet(self.path)
         self._spark = spark
         self._fs().deleteOnExit(self._path())

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from cohortry.session import table
 
+from .bytelevel import ByteLevel, vocabulary
 from .cover_tree import embedding_links
 from .licenses import license_scan
 from .line_dedup import drop_common_lines
 from .mixing import mix
 from .ngram_join import ngram_classes
+from .packing import pack
 from .pieces import PieceTable, encode
 from .pii import KINDS as PII_KINDS
 from .pii import pii_scan
@@ -99,7 +101,12 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", *[_of_kind("base", k).alias(f"n_{k}") for k in ("assign", "access", "hex")], F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(keyed).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_kd_shards, op2_quality_rules, op3_sentencepiece, op4_cover_tree, op5_license_scan, op6_mixing, op7_ngram_jaccard, op8_line_dedup, op9_pii, op10_secrets)}
+def op11_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = pack(table(spark, sf_dir, "documents"), ByteLevel.load(vocabulary("byte_bpe_50k.json")), capacity=2048, end_id=1)
+    return got.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES = {f.__name__: f for f in (op1_kd_shards, op2_quality_rules, op3_sentencepiece, op4_cover_tree, op5_license_scan, op6_mixing, op7_ngram_jaccard, op8_line_dedup, op9_pii, op10_secrets, op11_bin_slack_packing)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _KEY = _LOWER.format(r"trim(l, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")
