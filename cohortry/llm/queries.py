@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cohortry.session import table
 
 from .bytelevel import ByteLevel, vocabulary
+from .collocations import collocations
 from .cover_tree import embedding_links
 from .licenses import license_scan
 from .line_dedup import drop_common_lines
@@ -106,7 +107,11 @@ def op11_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_kd_shards, op2_quality_rules, op3_sentencepiece, op4_cover_tree, op5_license_scan, op6_mixing, op7_ngram_jaccard, op8_line_dedup, op9_pii, op10_secrets, op11_bin_slack_packing)}
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_kd_shards, op2_quality_rules, op3_sentencepiece, op4_cover_tree, op5_license_scan, op6_mixing, op7_ngram_jaccard, op8_line_dedup, op9_pii, op10_secrets, op11_bin_slack_packing, op12_collocations)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _KEY = _LOWER.format(r"trim(l, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")
@@ -173,6 +178,19 @@ c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.
 links AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
 {_CLASSES}
 SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(y, doc_id)) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN first ON x = doc_id""",
+    "op12_collocations": rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS ws FROM p),
+f AS (SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase, count(*) AS f FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM w, range(1, 6) s(m)) GROUP BY 1, 2, 3),
+n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY 1),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE m >= 2 AND f >= 100),
+cut AS (SELECT c.*, k, array_to_string(ws[1:k], ' ') AS head, array_to_string(ws[k + 1:], ' ') AS tail FROM c, range(1, 5) s(k) WHERE k < m),
+scored AS (SELECT cut.lang, cut.phrase, a, k, h.f AS l, t.f AS r, n, (1000::HUGEINT * a * n // (h.f::HUGEINT * t.f))::BIGINT AS score
+  FROM cut JOIN f h ON h.lang = cut.lang AND h.phrase = head JOIN f t ON t.lang = cut.lang AND t.phrase = tail JOIN n ON n.lang = cut.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT lang, array_to_string(ws[i:i + k - 1], ' ') AS phrase, max(a) AS longer FROM (SELECT c.*, k, unnest(range(1, m - k + 2)) AS i FROM c, range(2, 5) s(k) WHERE k < m) GROUP BY 1, 2)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a QUALIFY rank <= 2000""",
     "op8_line_dedup": f"""
 WITH lines AS (
   SELECT doc_id, generate_subscripts(ls, 1) AS pos, unnest(ls) AS l
