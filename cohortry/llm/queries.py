@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortry.session import table
 
+from .alignment import ByteSide, PieceSide, align
 from .bytelevel import ByteLevel, vocabulary
 from .collocations import collocations
 from .cover_tree import embedding_links
@@ -111,7 +112,12 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_kd_shards, op2_quality_rules, op3_sentencepiece, op4_cover_tree, op5_license_scan, op6_mixing, op7_ngram_jaccard, op8_line_dedup, op9_pii, op10_secrets, op11_bin_slack_packing, op12_collocations)}
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = ByteSide(ByteLevel.load(vocabulary("byte_bpe_50k.json"))), PieceSide.load(PIECE_MODEL)
+    return align(table(spark, sf_dir, "documents"), a, b)
+
+
+QUERIES = {f.__name__: f for f in (op1_kd_shards, op2_quality_rules, op3_sentencepiece, op4_cover_tree, op5_license_scan, op6_mixing, op7_ngram_jaccard, op8_line_dedup, op9_pii, op10_secrets, op11_bin_slack_packing, op12_collocations, op13_token_alignment)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _KEY = _LOWER.format(r"trim(l, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")
