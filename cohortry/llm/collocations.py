@@ -36,79 +36,128 @@ def _sections(texts: list[bytes]):
         at = end + 1
 
 
+class _Codes(dict):
+    """Codes of words from 1 on, given as they are met."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = code = len(self)
+        return code
+
+
 class _Coder:
-    """Codes of words from 1 on, 0 for a break, and a hash of each; forgotten between sections once there are many."""
+    """Codes of words, 0 for a break, and a hash of each; forgotten between sections once there are many."""
 
     def __init__(self):
         self.clear()
 
     def clear(self):
-        self.code, self.words, self.hashes = {b"\n": 0}, [b""], [0]
+        self.code, self.hashes = _Codes({b"\n": 0}), np.zeros(1, np.uint64)
+
+    @property
+    def words(self) -> list[bytes]:
+        return list(self.code)
 
     def codes(self, data: bytes) -> np.ndarray:
         import xxhash
 
-        if len(self.words) > _WORDS:
+        if len(self.code) > _WORDS:
             self.clear()
-        code, out = self.code, []
-        for w in words_of(data):
-            c = code.get(w)
-            if c is None:
-                c = code[w] = len(self.words)
-                self.words.append(w)
-                self.hashes.append(xxhash.xxh64_intdigest(w))
-            out.append(c)
-        return np.array(out, np.int64)
+        words = words_of(data)
+        out = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
+        new = self.words[len(self.hashes) :]
+        self.hashes = np.concatenate([self.hashes, np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))])
+        return out
 
 
-def _pairs(codes: np.ndarray, coder: _Coder, lang: str) -> tuple[np.ndarray, np.ndarray]:
-    """(whether each word but the last is followed by one of its piece, hashes of these pairs)."""
+def _seed(lang: str) -> np.uint64:
     import xxhash
 
-    h = np.array(coder.hashes, np.uint64)[codes]
+    return np.uint64(xxhash.xxh64_intdigest(lang))
+
+
+def _words(coder: _Coder, lang: str) -> np.ndarray:
+    """A hash of each coded word in its language."""
+    return mixed(coder.hashes ^ _seed(lang))
+
+
+def _pairs(codes: np.ndarray, coder: _Coder, lang: str) -> tuple[np.ndarray, np.ndarray]:
+    """(whether each word but the last is followed by one of its piece, hashes of these pairs)."""
+    h = coder.hashes[codes]
     on = (codes[:-1] > 0) & (codes[1:] > 0)
-    return on, mixed((h[:-1] * np.uint64(ROOT) + h[1:]) ^ np.uint64(xxhash.xxh64_intdigest(lang)))
+    return on, mixed((h[:-1] * np.uint64(ROOT) + h[1:]) ^ _seed(lang))
 
 
 def _by_lang(batches):
+    """(language, section): texts of a language are gathered over batches, of all languages four sections at most."""
+    held: dict[str, list[bytes]] = {}
+    size = 0
     for b in batches:
         langs = np.array(b.column(0).to_pylist(), object)
         for lang in sorted(set(langs)):
-            at = np.flatnonzero(langs == lang)
-            own = b.column(1).take(pa.array(at)).to_pylist()
-            yield from ((lang, s) for s in _sections(own))
+            held.setdefault(lang, []).extend(b.column(1).take(pa.array(np.flatnonzero(langs == lang))).to_pylist())
+        size += b.nbytes
+        if size > 4 * _SECTION:
+            yield from ((lang, s) for lang, own in held.items() for s in _sections(own))
+            held, size = {}, 0
+    yield from ((lang, s) for lang, own in held.items() for s in _sections(own))
 
 
 def _pair_counts(batches):
     coder = _Coder()
     for lang, section in _by_lang(batches):
-        on, pairs = _pairs(coder.codes(section), coder, lang)
+        codes = coder.codes(section)
+        on, pairs = _pairs(codes, coder, lang)
         h, n = np.unique(pairs[on], return_counts=True)
+        single = np.bincount(codes)
+        single[0] = 0
+        met = np.flatnonzero(single)
+        h, n = np.concatenate([h, _words(coder, lang)[met]]), np.concatenate([n, single[met]])
         yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names=["h", "n"])
 
 
 def _windows(bitmap, bits: int, longest: int):
-    """Windows of ``longest`` words from each word on, padded with "" behind the piece's end and behind a pair that cannot be frequent."""
-    import pandas as pd
+    """Windows of ``longest`` words from each word on, padded with "" behind the piece's end and behind a pair that cannot be frequent.
+
+    Of a word that cannot be frequent itself the window is all padding: it counts among the language's words alone.
+    """
 
     def run(batches):
         mask = np.frombuffer(bitmap.value, np.uint8)
         coder = _Coder()
+
+        def may(h: np.ndarray) -> np.ndarray:
+            slot = (h & np.uint64(bits - 1)).view(np.int64)
+            return (mask[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+
         for lang, section in _by_lang(batches):
             codes = coder.codes(section)
+            if not len(codes):
+                continue
             on, pairs = _pairs(codes, coder, lang)
-            slot = (pairs & np.uint64(bits - 1)).view(np.int64)
-            on &= (mask[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
-            lead, going = [codes], np.append(on, False)
+            on &= may(pairs)
+            going = np.append(on, False)
+            alone = np.bincount(codes[~going])
+            alone[0] = 0
+            first = np.flatnonzero(going)
+            lead = [codes[first]]
             for k in range(1, longest):
                 # the word k places on, as long as all pairs up to it hold
-                lead.append(np.where(going, np.append(codes[k:], np.zeros(min(k, len(codes)), np.int64)), 0))
-                going = going & np.append(on[k:], np.zeros(min(k + 1, len(codes)), bool))[: len(codes)]
-            frame = pd.DataFrame({f"w{i + 1}": c for i, c in enumerate(lead)})[codes > 0]
-            got = frame.groupby(list(frame.columns), sort=False).size().reset_index(name="n")
-            words = pa.array(coder.words, pa.binary()).cast(pa.string())
-            cols = [pa.array([lang] * len(got), pa.string()), *[words.take(pa.array(got[c].to_numpy())) for c in frame.columns], pa.array(got["n"], pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, names=["lang", *frame.columns, "n"])
+                open_ = going[first] if k == 1 else open_ & going[np.minimum(first + k - 1, len(codes) - 1)]
+                lead.append(np.where(open_, codes[np.minimum(first + k, len(codes) - 1)], 0))
+            order = np.lexsort(lead[::-1])
+            rows = [c[order] for c in lead]
+            new = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in rows], axis=0)]) if len(order) else np.zeros(0, np.int64)
+            n = np.diff(np.r_[new, len(order)])
+            own = np.flatnonzero(alone)
+            rare = ~may(_words(coder, lang)[own])
+            single, k = own[~rare], alone[own[~rare]]
+            words = pa.array([b"", *coder.words[1:]], pa.binary()).cast(pa.string())
+            zeros = np.zeros(len(single) + 1, np.int64)
+            heads = np.r_[rows[0][new], single, 0]
+            cols = [heads, *[np.r_[c[new], zeros] for c in rows[1:]]]
+            cols = [words.take(pa.array(c)) for c in cols]
+            n = np.r_[n, k, alone[own[rare]].sum()].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), *cols, pa.array(n)], names=["lang", *[f"w{i + 1}" for i in range(longest)], "n"])
 
     return run
 
@@ -129,7 +178,7 @@ def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
 
     Windows of the longest size are counted alone; a roll-up over their words sums up the counts of all prefixes. A phrase is as frequent as its
     rarest pair of neighbours at most: a first pass counts pairs by 64-bit hashes, and windows end before a pair whose bit is not set. Pairs that
-    share a bit or a hash with a frequent one only make a window longer than it need be, so counts are exact.
+    share a bit or a hash with a frequent one only make a window longer than it need be, so counts are exact. Words are filtered alike.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -143,7 +192,7 @@ def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
     # the columns that are summed over are the last ones: g has a bit for each
     m = longest - F.length(F.regexp_replace(F.bin("g"), "0", ""))
     last = F.get(F.array(F.lit("all"), *ws), F.col("m"))
-    phrases = rolled.where(F.col("g") < (1 << longest)).withColumn("m", m).where((F.col("m") == 0) | ((F.col("f") >= least) & (last != "")))
+    phrases = rolled.where(F.col("g") < (1 << longest)).withColumn("m", m).where((F.col("m") == 0) & (F.col("f") > 0) | ((F.col("f") >= least) & (last != "")))
     held = Written(phrases.select("lang", "m", F.concat_ws(" ", *ws).alias("phrase"), "f"), "phrases")
     bitmap.destroy()
     return held
