@@ -272,7 +272,7 @@ class _Join:
         return Written(p.mapInArrow(shared, "gram long, node long, n int, lead long, n_lead int"), "incidence")
 
     def sets(self, nodes: DataFrame, reps: DataFrame) -> Written:
-        """(node, grams): the whole sets of ``nodes``. Of all texts only those that a bitmap of their row keys lets through are hashed again."""
+        """(node, grams): the whole sets of ``nodes``, and of up to a sixteenth of all others. Of all texts only those that a bitmap of their row keys lets through are hashed again."""
         asked = Written(nodes.join(reps, "node"), "asked")
         bits, width = self.bits, self.width
         bloom = self.spark.sparkContext.broadcast(_bloom(asked.df.select("rk"), bits).tobytes())
@@ -299,7 +299,7 @@ class _Join:
 
         found = self.docs.select("rk", "t", _slot(bits).alias("h")).mapInArrow(read, "rk long, node long, grams array<long>")
         if asked.df.count() * 16 > bits:
-            # a full bitmap lets through much that nobody asked for; what a sparse one lets through meets no pair
+            # a full bitmap lets through much that nobody asked for; the few that a sparse one lets through meet no pair
             found = found.join(asked.df, ["rk", "node"], "left_semi")
         out = Written(found.select("node", "grams"), "sets")
         asked.drop(), bloom.destroy()
@@ -368,6 +368,13 @@ class _Join:
             old.drop()
         return named.join(first.df, "root", "left").select("id", "n", F.coalesce("first", "id").alias("first"))
 
+    def dense_sets(self, nodes: DataFrame, reps: DataFrame) -> Written:
+        """The sets of ``nodes`` and of no other node, as blocks are made for so many."""
+        every = self.sets(nodes, reps)
+        own = Written(every.df.join(nodes, "node", "left_semi"), "denses")
+        every.drop()
+        return own
+
     @staticmethod
     def counted(pairs: DataFrame) -> DataFrame:
         return pairs.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("na").cast("long").alias("na"), F.max("nb").cast("long").alias("nb"))
@@ -393,7 +400,7 @@ class _Join:
             dense.drop()
             return out
         blocks = max(-(-size["nodes"] // self.block), -(-size["grams"] // 500_000))
-        found = self.sets(dense.df.select("node"), reps)
+        found = self.dense_sets(dense.df.select("node"), reps)
         own = found.df.withColumn("i", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         spread = own.select("node", "grams", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), (F.col("i") > F.col("j")).alias("second"))
         num, den = self.num, self.den

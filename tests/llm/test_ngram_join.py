@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from cohortry.llm.components import components
-from cohortry.llm.ngram_join import ngram_classes, ngram_sets
+from cohortry.llm.ngram_join import _Join, ngram_classes, ngram_sets
 from cohortry.llm.queries import op7_ngram_jaccard
 
 
@@ -124,6 +124,18 @@ def test_hot_ngrams_are_dealt_out(spark):
     assert got(df, hot=5, few=10, block=40) == brute(rows)
 
 
+def test_blocks_hold_no_node_that_nobody_asked_for(spark):
+    """A bitmap of few bits lets other rows through; none of them goes into the block product."""
+    rows = [(i, " ".join(f"t{i}x{k}" for k in range(12))) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    join = _Join(df, "doc_id", "text", 5, 3, 4, 1 << 18, 1 << 15, 64, 500, 200_000)
+    read = join.read().df.where("gram is null")
+    reps = read.select("node", "rk")
+    asked = reps.orderBy("node").limit(300).select("node")
+    assert join.sets(asked, reps).df.count() > 300
+    assert sorted(r["node"] for r in join.dense_sets(asked, reps).df.collect()) == sorted(r["node"] for r in asked.collect())
+
+
 def test_clashing_columns_and_long_texts(spark):
     long = " ".join(f"w{i}" for i in range(60_000))
     rows = [(1, long, 5, 6, "a"), (2, long + " end", 7, 8, "b")]
