@@ -174,3 +174,22 @@ def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "call (415) 555-0132", "x", 2)], "doc_id long, text string, added string, base int")
     got = pii.pii_scan(df, keep=("added", "base"))
     assert got.columns == ["doc_id", "base", "added"] and len(got.first()["added"]) == 1
+
+
+def test_long_runs_of_digits_and_dots():
+    """Time grows with the text: a run of a million digits, and many runs, take no more than a few times those of half the length."""
+
+    def seconds(text):
+        began = time.perf_counter()
+        pii.base_spans(text)
+        return time.perf_counter() - began
+
+    for unit in ("7", "1.", "12.3.", "1.1.1.x"):
+        short, long = (min(seconds(unit * (n // len(unit))) for _ in range(3)) for n in (500_000, 1_000_000))
+        assert long < max(4 * short, 0.5), unit
+    assert [(s, e) for s, e, k in pii.base_spans("x1.2.3.4.5.6.7.8 256.1.1.1 1.1.1.256.9 9.9.9") if k == "ip"] == [(1, 8), (9, 16)]
+    r = random.Random(4)
+    plain = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    for _ in range(3000):
+        t = "".join(r.choice("0123.. a") for _ in range(r.randint(0, 40)))
+        assert [m.span() for m in pii._IP.finditer(t)] == [m.span() for m in plain.finditer(t)]
