@@ -15,8 +15,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Ward's clustering keeps all distances of its rows.
-MAX_WARD = 4_000
+from .metric import ward_clusters
 
 
 def with_vector(df: DataFrame, array: str, name: str = "features") -> DataFrame:
@@ -43,51 +42,19 @@ def gaussian_mixture(df: DataFrame, array: str, k: int, seed: int = 42, name: st
     return GaussianMixture(k=k, seed=seed, featuresCol="features", predictionCol=name, probabilityCol="__p").fit(rows).transform(rows).drop("features", "__p")
 
 
-def _ward(x: np.ndarray, k: int) -> np.ndarray:
-    """Labels after merging, again and again, the two clusters whose union adds the least squared error."""
-    n = len(x)
-    size, alive = np.ones(n), np.ones(n, bool)
-    d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2) / 2
-    np.fill_diagonal(d, np.inf)
-    member = np.arange(n)
-    for _ in range(n - k):
-        i, j = divmod(int(d.argmin()), n)
-        i, j = min(i, j), max(i, j)
-        rest = alive.copy()
-        rest[[i, j]] = False
-        s = size[rest]
-        # the cost of merging with the union, from the costs with either part
-        new = ((size[i] + s) * d[i, rest] + (size[j] + s) * d[j, rest] - s * d[i, j]) / (size[i] + size[j] + s)
-        d[i, rest] = d[rest, i] = new
-        d[j, :] = d[:, j] = np.inf
-        size[i] += size[j]
-        alive[j] = False
-        member[member == j] = i
-    first: dict[int, int] = {}
-    return np.array([first.setdefault(m, len(first)) for m in member])
-
-
 def bisecting(df: DataFrame, key: str, array: str, k: int, seed: int = 42, name: str = "cluster") -> DataFrame:
     """Divisive clustering by repeated two-means, distributed, for any number of rows."""
     rows = with_vector(df, array)
     return BisectingKMeans(k=k, seed=seed, featuresCol="features", predictionCol=name).fit(rows).transform(rows).drop("features")
 
 
-def ward(df: DataFrame, key: str, array: str, k: int, name: str = "cluster") -> DataFrame:
-    """Agglomerative clustering by Ward's criterion in one task, which keeps all distances: more than ``MAX_WARD`` rows are refused.
+def ward(df: DataFrame, key: str, array: str, k: int, name: str = "cluster", local: int = 2000) -> DataFrame:
+    """Agglomerative clustering by Ward's criterion, for any number of rows: rounds in which all clusters that choose each other merge.
 
-    For more rows there is ``bisecting``, another method with other labels.
+    See ``metric.ward_clusters``; ``local`` clusters at most are merged in one piece at the end.
     """
-    if df.limit(MAX_WARD + 1).count() > MAX_WARD:
-        raise ValueError(f"Ward's clustering takes up to {MAX_WARD} rows; bisecting() takes any number")
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("k")
-        return pd.DataFrame({"k": f["k"], name: _ward(np.array([np.asarray(v, np.float64) for v in f["v"]]), min(k, len(f)))})
-
-    kind = df.schema[key].dataType.simpleString()
-    got = df.select(F.col(key).alias("k"), F.col(array).alias("v"), F.lit(0).alias("g")).groupBy("g").applyInPandas(run, f"k {kind}, {name} int")
-    return df.join(got.withColumnRenamed("k", key), key)
+    got = ward_clusters(df, key, array, k, local)
+    return df.join(got.withColumnRenamed("cluster", name), key)
 
 
 def tfidf(words: DataFrame, counts: CountVectorizer) -> tuple[DataFrame, int]:

@@ -2,72 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import cosine, euclidean, softmax
+from .metric import knn_join, matrix, squares
 from .quantiles import column_quantiles
 
-#: Sets of up to so many vectors are fitted, sent to all tasks, and searched exactly.
-MAX_FIT = 200_000
+#: Fitted vectors of up to so many bytes are sent to all tasks and searched there.
+MAX_SENT = 32 << 20
 
 
 def knn_mean_distance(queries: DataFrame, fit: DataFrame, key: str, vector: str, k: int, name: str = "knn_distance", block: int = 512) -> DataFrame:
     """Mean Euclidean distance of each query to its ``k`` nearest rows of ``fit`` (itself included, if it is one).
 
-    ``k`` is at least 2 and at most the number of fitted rows. The fitted side is checked to be at most ``MAX_FIT`` rows and goes to all tasks;
-    queries stream past it in blocks, so that memory is bounded on either side. Beyond that bound ``fit`` is dealt into
-    blocks of rows, queries meet each block, and the best ``k`` of all blocks are kept by an aggregate of k numbers a query.
+    ``k`` is at least 2 and at most the number of fitted rows. Fitted vectors of up to ``MAX_SENT`` bytes, which are counted first, go to all tasks, and
+    queries stream past them in blocks. Beyond that ``knn_join`` deals both sides to cells and compares only those that bounds leave. Null vectors
+    are no neighbours and have no distance.
     """
-    import numpy as np
-    import pandas as pd
-
-    n = fit.count()
+    size = fit.where(F.col(vector).isNotNull()).agg(F.count("*").alias("n"), F.sum(8 * F.size(vector)).alias("bytes")).first()
+    n = size["n"]
     if not n:
         return queries.select(key, F.lit(None).cast("double").alias(name))
     k = max(2, min(k, n))
-    spark = queries.sparkSession
+    if size["bytes"] > MAX_SENT:
+        near = knn_join(queries, fit, key, vector, k)
+        return near.select(key, (F.aggregate("distances", F.lit(0.0), lambda s, x: s + x) / F.size("distances")).alias(name))
     kind = queries.schema[key].dataType.simpleString()
-
-    def nearest(x: "np.ndarray", y: "np.ndarray") -> "np.ndarray":
-        out = []
-        for at in range(0, len(x), block):
-            a = x[at : at + block]
-            # by the product first, then exact differences for the few that may be near
-            d2 = (a * a).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * a @ y.T
-            m = min(k + 8, len(y))
-            some = np.argpartition(d2, m - 1, axis=1)[:, :m]
-            exact = np.sqrt(((a[:, None, :] - y[some]) ** 2).sum(axis=2))
-            out.append(np.sort(exact, axis=1)[:, : min(k, len(y))])
-        return np.concatenate(out)
-
-    if n <= MAX_FIT:
-        held = spark.sparkContext.broadcast(np.array([np.asarray(r[0], np.float64) for r in fit.select(vector).collect()]))
-
-        def run(frames):
-            y = held.value
-            for f in frames:
-                if len(f):
-                    x = np.array([np.asarray(v, np.float64) for v in f["v"]])
-                    yield pd.DataFrame({key: f["k"], name: nearest(x, y).mean(axis=1)})
-
-        return queries.select(F.col(key).alias("k"), F.col(vector).alias("v")).mapInPandas(run, f"`{key}` {kind}, `{name}` double")
-    parts = -(-n // MAX_FIT)
-    blocks = fit.select(F.col(vector).alias("v"), F.floor(F.rand(5) * parts).cast("int").alias("b"), F.lit(False).alias("q"), F.lit(None).cast(kind).alias("k"))
-    spread = queries.select(F.col(vector).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("b"), F.lit(True).alias("q"), F.col(key).alias("k"))
-    salted = spread.withColumn("s", F.pmod(F.xxhash64("k"), F.lit(64)).cast("int")).unionByName(blocks.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(63)))))
-
-    def meet(f: "pd.DataFrame") -> "pd.DataFrame":
-        y = np.array([np.asarray(v, np.float64) for v in f.loc[~f["q"], "v"]])
-        q = f[f["q"]]
-        if not len(q) or not len(y):
-            return pd.DataFrame({"k": pd.Series([], dtype=object), "d": pd.Series([], dtype=object)})
-        x = np.array([np.asarray(v, np.float64) for v in q["v"]])
-        return pd.DataFrame({"k": q["k"].to_numpy(), "d": list(nearest(x, y))})
-
-    met = salted.groupBy("b", "s").applyInPandas(meet, f"k {kind}, d array<double>")
-    best = met.groupBy("k").agg(F.slice(F.array_sort(F.flatten(F.collect_list("d"))), 1, k).alias("d"))
-    return best.select(F.col("k").alias(key), (F.aggregate("d", F.lit(0.0), lambda s, x: s + x) / k).alias(name))
+    held = fit.select(F.col(vector).cast("array<double>").alias("v")).where("v is not null").toArrow().column("v").combine_chunks()
+    y = held.values.to_numpy(zero_copy_only=False).reshape(n, -1)
+    sent = queries.sparkSession.sparkContext.broadcast(y)
+    k = min(k, n)
+
+    def run(frames):
+        y = sent.value
+        for f in frames:
+            out = np.full(len(f), np.nan)
+            has = np.flatnonzero(f["v"].notna().to_numpy())
+            for at in range(0, len(has), block):
+                x = matrix(f["v"].iloc[has[at : at + block]])
+                d2, err = squares(x, y)
+                top = np.partition(d2 + err, k - 1, axis=1)[:, k - 1]
+                # by the product first, then exact differences for those that may be near
+                q, j = np.nonzero(d2 - err <= top[:, None])
+                exact = np.sqrt(((x[q] - y[j]) ** 2).sum(axis=1))
+                order = np.lexsort((exact, q))
+                start = np.searchsorted(q, q)
+                on = np.arange(len(q)) - start < k
+                out[has[at : at + block]] = np.bincount(q[on], exact[order][on], len(x)) / k
+            yield pd.DataFrame({key: f["k"], name: pd.Series(out).where(f["v"].notna().to_numpy(), None)})
+
+    return queries.select(F.col(key).alias("k"), F.col(vector).alias("v")).mapInPandas(run, f"`{key}` {kind}, `{name}` double")
 
 
 def centroids(df: DataFrame, label: str, vector: str) -> DataFrame:

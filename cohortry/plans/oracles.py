@@ -223,6 +223,7 @@ SELECT doc_id, round(coalesce(quality, q)::DOUBLE, 6) AS quality, round(coalesce
   CASE WHEN c_custkey % 4 = 0 OR c_custkey % 5 IN (0, 1) THEN NULL ELSE c_custkey % 50 END AS minutes, CASE WHEN c_custkey % 2 = 0 THEN 'ems' ELSE 'unknown' END AS arrival_mode, 'unknown' AS mental_status,
   CASE WHEN c_custkey % 3 = 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS confidence FROM customer""",
     "knn_mean_distance": _knn("", 12),
+    "knn_pivot_join": _knn("", 12),
     "knn_to_anchor": _knn("WHERE f.label < 3", 18),
     "centroid_affinity": f"""WITH {_EMB}, {_CENTERS}, d AS (SELECT vec_id, {', '.join(f"list_distance(v, (SELECT c FROM c WHERE label = {i})) AS d{i}" for i in range(10))} FROM e),
 t AS (SELECT quantile_cont(x, 0.5) AS t FROM ({' UNION ALL '.join(f"SELECT d{i} AS x FROM d" for i in range(10))})), w AS (SELECT vec_id, {', '.join(f"exp((least({', '.join(f'd{k}' for k in range(10))}) - d{i}) / t) AS w{i}" for i in range(10))} FROM d, t)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import text as X
-from ..operators import consensus, contracts, evaluate, extract, features, model, nested, profile, report, rules, simulate, vectors
+from ..operators import consensus, contracts, evaluate, extract, features, metric, model, nested, profile, report, rules, simulate, vectors
 from ..session import table
 from . import encounter
 
@@ -247,6 +247,13 @@ def knn_mean_distance(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(vectors.knn_mean_distance(e, e, "vec_id", "v", 12), "knn_distance")
 
 
+def knn_pivot_join(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by cells and bounds, as it runs where the fitted side is too large to be sent."""
+    e = _embeddings(spark, sf)
+    got = metric.knn_join(e, e, "vec_id", "v", 12, block=128)
+    return _rounded(got.select("vec_id", (F.aggregate("distances", F.lit(0.0), lambda s, x: s + x) / 12).alias("knn_distance")), "knn_distance")
+
+
 def knn_to_anchor(spark: SparkSession, sf: str) -> DataFrame:
     e = _embeddings(spark, sf)
     return _rounded(vectors.knn_mean_distance(e, e.where("label < 3"), "vec_id", "v", 18), "knn_distance")
@@ -431,7 +438,8 @@ def pca_projection(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ward_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    return model.ward(_embeddings(spark, sf).select("vec_id", "v"), "vec_id", "v", 3).select("vec_id", "cluster")
+    """Rounds over the table until 200 clusters are left, so that they are in use on small tables too."""
+    return model.ward(_embeddings(spark, sf).select("vec_id", "v"), "vec_id", "v", 3, local=200).select("vec_id", "cluster")
 
 
 def tfidf_svd(spark: SparkSession, sf: str) -> DataFrame:
@@ -451,7 +459,7 @@ QUERIES = {
         pattern_scan_documents, group_sizes_with_nulls, mode_consistency, one_to_one_join_encounter, left_join_customer_orders, dup_key_check, missing_keys, distinct_first_by_key,
         column_slugify, normalize_ws, text_corpus, conversation_corpus, term_hits_score, date_parts_orders, vitals_shorthand, one_hot_segment, impute_median, standardize_ddof0,
         train_fold_standardize, nested_len_hist, nested_event_counts, nested_summary_full, nested_summary_reduced, parse_nested_cells, props_key_types, top_categories,
-        symptom_triples, prototype_match, extraction_coerce, knn_mean_distance, knn_to_anchor, centroid_affinity, cosine_prototypes, stage1_scores, stage1_embeddings, threshold_search,
+        symptom_triples, prototype_match, extraction_coerce, knn_mean_distance, knn_pivot_join, knn_to_anchor, centroid_affinity, cosine_prototypes, stage1_scores, stage1_embeddings, threshold_search,
         label_alignment, consensus_votes, ari_pairs, blend_outputs, shift_metrics, class_weights, stratified_folds, fold_class_counts, group_folds, metrics_basic,
         class_precision_recall, auroc, macro_auroc, avg_precision, logloss, fold_aggregate, top_k_examples, hash_sample_examples, category_order, retry_simulation_expected,
         metric_value_summary, kmeans_ensemble, gmm_clusters, pca_projection, ward_clusters, tfidf_svd, classifier_folds,

@@ -106,7 +106,7 @@ def stage_one(df: DataFrame, key: str, vector: str, score: str, positive: Column
 def stage_two(df: DataFrame, key: str, vector: str, k: int = 3, components: int = 28, hierarchical=model.ward) -> tuple[DataFrame, DataFrame]:
     """(aligned, agreed): the labels of five clusterings by key, aligned to the first, and their votes.
 
-    ``hierarchical`` is the last of the five, ``model.ward`` with its bound on rows, or ``model.bisecting``.
+    ``hierarchical`` is the last of the five, ``model.ward`` or ``model.bisecting``.
     """
     inside = df.select(key, vector)
     width = len(inside.first()[vector])

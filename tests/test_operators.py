@@ -116,7 +116,7 @@ def test_knn_in_blocks_is_the_same(spark, monkeypatch):
     r = random.Random(3)
     df = spark.createDataFrame([(i, [r.random() for _ in range(4)]) for i in range(60)], "k long, v array<double>")
     whole = {x[0]: x[1] for x in vectors.knn_mean_distance(df, df, "k", "v", 5).collect()}
-    monkeypatch.setattr(vectors, "MAX_FIT", 17)
+    monkeypatch.setattr(vectors, "MAX_SENT", 17)
     parts = {x[0]: x[1] for x in vectors.knn_mean_distance(df, df, "k", "v", 5).collect()}
     assert whole.keys() == parts.keys() and all(math.isclose(whole[k], parts[k]) for k in whole)
 
@@ -192,11 +192,8 @@ def test_folds_do_not_depend_on_blocks(spark):
     assert a == b
 
 
-def test_ward_refuses_what_it_cannot_hold(spark, monkeypatch):
+def test_bisecting(spark):
     df = spark.createDataFrame([(i, [float(i % 7), float(i % 5)]) for i in range(30)], "k long, v array<double>")
-    monkeypatch.setattr(model, "MAX_WARD", 20)
-    with pytest.raises(ValueError, match="20 rows"):
-        model.ward(df, "k", "v", 3)
     assert len({r["cluster"] for r in model.bisecting(df, "k", "v", 3).collect()}) == 3
 
 
