@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
@@ -117,44 +115,6 @@ def classifier(kind: str = "mlp", inputs: int = 0, classes: int = 2, seed: int =
     return RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=50, seed=seed)
 
 
-def balanced_rows(df: DataFrame, key: str, weight: str) -> DataFrame:
-    """Rows repeated by their weight over the smallest one: whole parts as copies, the rest by a hash of the key.
-
-    A loss over these rows is on average the weighted loss, for models that take no weights.
-    """
-    least = df.agg(F.min(weight)).first()[0] or 1.0
-    ratio = F.col(weight) / F.lit(least)
-    u = F.conv(F.substring(F.md5(F.concat(F.lit("balance|"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    copies = (F.floor(ratio) + (u < ratio - F.floor(ratio)).cast("long")).cast("int")
-    return df.withColumn("__copy", F.explode(F.sequence(F.lit(1), copies))).drop("__copy")
-
-
-def checkpointed_network(train: DataFrame, valid: DataFrame, key: str, inputs: int, classes: int, score: Callable[[DataFrame], float], hidden: tuple[int, ...] = (256, 256, 256), weight: str | None = "weight", rounds: int = 8, steps: int = 15, patience: int = 3, seed: int = 42):
-    """(model, score, rounds run): a network trained in rounds of ``steps`` iterations, each from the weights of the one before.
-
-    After each round ``score`` of the predictions on ``valid`` decides: the best round's model is kept, and training stops
-    once ``patience`` rounds have not bettered it. Classes count by ``weight``, as ``balanced_rows`` makes it count. Rows have ``features``
-    and ``label``.
-    """
-    rows = (balanced_rows(train, key, weight) if weight else train).select("features", "label").cache()
-    best, top, since, weights, ran = None, float("-inf"), 0, None, 0
-    for ran in range(1, rounds + 1):
-        net = MultilayerPerceptronClassifier(layers=[inputs, *hidden, classes], seed=seed, maxIter=steps, featuresCol="features", labelCol="label")
-        if weights is not None:
-            net = net.setInitialWeights(weights)
-        fitted = net.fit(rows)
-        weights = fitted.weights
-        now = score(fitted.transform(valid))
-        if best is None or now > top:
-            best, top, since = fitted, now, 0
-        else:
-            since += 1
-            if since >= patience:
-                break
-    rows.unpersist()
-    return best, top, ran
-
-
 def cross_validate(df: DataFrame, array: str, label: str, fold: str, make) -> DataFrame:
     """Out-of-fold rows with ``probs`` and ``prediction``: a model for each fold, fitted on the others."""
     rows = with_vector(df, array).withColumn("label", F.col(label).cast("double"))
@@ -175,4 +135,4 @@ def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-__all__ = ["balanced_rows", "bisecting", "checkpointed_network", "classifier", "cross_validate", "gaussian_mixture", "kmeans", "load", "pca", "save", "tfidf_svd", "ward", "with_vector"]
+__all__ = ["bisecting", "classifier", "cross_validate", "gaussian_mixture", "kmeans", "load", "pca", "save", "tfidf_svd", "ward", "with_vector"]

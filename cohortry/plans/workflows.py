@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
-from ..operators import consensus, contracts, evaluate, extract, features, model, nested, profile, report, rules, vectors
+from ..operators import consensus, contracts, evaluate, extract, features, model, nested, network, profile, report, rules, vectors
 
 # Terms of the weak score, its weights, and places in a history's "from ... with".
 FESTIVAL_TERMS = ["festival", "main stage", "campground", "vip tent", "beach shuttle", "medical tent", "rave", "dance", "dj"]
@@ -220,7 +220,7 @@ def extraction_labels(df: DataFrame, key: str, columns: list[str], client=extrac
 def cross_validated(df: DataFrame, key: str, label: str, classes: list, exclude: tuple[str, ...] = (), folds: int = 5, kind: str = "logistic", seed: int = 42, hidden: tuple[int, ...] = (256, 256, 256)) -> tuple[DataFrame, DataFrame]:
     """(out-of-fold predictions, metrics by fold) of a classifier on assembled features; labels must be among ``classes``.
 
-    ``kind`` is one of ``model.classifier``, or "network": classes count by weight, and the round that does best on the fold
+    ``kind`` is one of ``model.classifier``, or "network": classes count by weight, and the checkpoint that does best on the fold
     left out is kept, so that its metrics are those of a chosen checkpoint.
     """
     contracts.require_unique(contracts.require_labels(df, label, classes), key)
@@ -231,18 +231,21 @@ def cross_validated(df: DataFrame, key: str, label: str, classes: list, exclude:
     k = evaluate.usable_folds(y, "y", folds)
     rows = evaluate.stratified_folds(y, key, "y", k, seed).join(wide, key).cache()
     weights = evaluate.class_weights(y, "y", list(range(len(classes)))).select("y", "weight")
-    macro_f1 = lambda d: evaluate.basic_metrics(d.withColumn("prediction", F.col("prediction").cast("int")), "y", "prediction").first()["macro_f1"]
     out = None
     for f in range(k):
         own = features.standardize(rows, names, fit=rows.where(F.col("fold") != f), least=1e-6)
         ready = features.assemble(own, key, names).join(rows.select(key, "y", "fold"), key).join(F.broadcast(weights), "y")
-        ready = model.with_vector(ready, "features", "vec").drop("features").withColumnRenamed("vec", "features").withColumn("label", F.col("y").cast("double"))
-        train, valid = ready.where(F.col("fold") != f), ready.where(F.col("fold") == f)
+        ready = ready.withColumn("label", F.col("y").cast("double"))
         if kind == "network":
-            fitted = model.checkpointed_network(train, valid, key, len(names), len(classes), macro_f1, hidden, seed=seed + f)[0]
+            valid = ready.where(F.col("fold") == f).cache()
+            macro_f1 = lambda net, d=valid: evaluate.basic_metrics(net.transform(d), "y", "prediction").first()["macro_f1"]
+            fitted = network.fit(ready.where(F.col("fold") != f), key, network.Network(len(names), len(classes), hidden, seed=seed + f), macro_f1)[0]
+            one = fitted.transform(valid).select(key, "y", "fold", "probs", "prediction")
         else:
+            ready = model.with_vector(ready, "features", "vec").drop("features").withColumnRenamed("vec", "features")
+            train, valid = ready.where(F.col("fold") != f), ready.where(F.col("fold") == f)
             fitted = model.classifier(kind, len(names), len(classes), seed, "weight" if kind == "logistic" else None).fit(train)
-        one = fitted.transform(valid).select(key, "y", "fold", model.vector_to_array("probability").alias("probs"), F.col("prediction").cast("int").alias("prediction"))
+            one = fitted.transform(valid).select(key, "y", "fold", model.vector_to_array("probability").alias("probs"), F.col("prediction").cast("int").alias("prediction"))
         out = one if out is None else out.unionByName(one)
     out, scores = out.cache(), None
     for f in range(k):

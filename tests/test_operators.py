@@ -335,22 +335,6 @@ def test_projections_and_clusters(spark):
     assert abs(e[0] @ e[2] - 1) < 1e-9 and abs(e[0] @ e[1]) < 1e-9
 
 
-def test_network_with_weights_and_checkpoint(spark, tmp_path):
-    r = random.Random(4)
-    rows = [(i, [r.gauss(2.0 if i % 10 == 0 else 0.0, 0.4), r.gauss(0, 1)], float(i % 10 == 0)) for i in range(400)]
-    df = model.with_vector(spark.createDataFrame(rows, "k long, v array<double>, label double"), "v")
-    weighted = df.withColumn("weight", F.when(F.col("label") == 1, 5.0).otherwise(400 / 720))
-    n = {x["label"]: x["count"] for x in model.balanced_rows(weighted, "k", "weight").groupBy("label").count().collect()}
-    assert abs(n[0.0] - n[1.0]) < 10
-    recall = lambda d: d.where("label = 1").agg(F.avg((F.col("prediction") == 1).cast("double"))).first()[0]
-    train, valid = weighted.where("k % 4 != 0 or k % 20 = 0 and k < 200"), weighted.where("k % 4 = 0")
-    best, top, ran = model.checkpointed_network(train, valid, "k", 2, 2, recall, (8,), rounds=5, steps=5, patience=2)
-    assert top >= 0.8 and 1 <= ran <= 5 and recall(best.transform(valid)) == top
-    model.save(best, str(tmp_path / "net"))
-    again = type(best).load(str(tmp_path / "net"))
-    assert np.allclose(again.weights.toArray(), best.weights.toArray())
-
-
 def test_console_summary(spark):
     said = []
     report.console_summary(spark.createDataFrame([("rows", 3.0), ("longer_name", None)], "metric string, value double"), "run", said.append)
