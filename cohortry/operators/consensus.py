@@ -80,28 +80,97 @@ def size_ranks(df: DataFrame, cluster: str, k: int) -> DataFrame:
     return sizes.withColumn("drug_index", F.row_number().over(Window.orderBy(F.desc("n"), cluster)))
 
 
-def _agreements(df: DataFrame, ref: str, cands: list[str], k: int) -> dict[str, list[tuple[list[int], int]]]:
-    """For each candidate all k! permutations in order, with the rows on which the permuted candidate agrees: one pass for all of them.
-
-    Of the labels 0 to k - 1 the counts come to the driver, k times k for each candidate.
-    """
+def _tables(df: DataFrame, ref: str, cands: list[str], k: int) -> dict[str, list[list[int]]]:
+    """Of each candidate the rows of each label (down) and reference label (across), of the labels 0 to k - 1: one pass, k times k counts to the driver."""
     labels = list(range(k))
     each = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("int").alias("b")) for i, c in enumerate(cands)])
     met = df.where(F.col(ref).isin(labels)).select(F.col(ref).cast("int").alias("a"), F.inline(each)).where(F.col("b").isin(labels))
     counts = {(r["i"], r["a"], r["b"]): r["count"] for r in met.groupBy("i", "a", "b").count().collect()}
-    return {c: [(list(p), sum(counts.get((i, p[b], b), 0) for b in labels)) for p in itertools.permutations(labels)] for i, c in enumerate(cands)}
+    return {c: [[counts.get((i, a, b), 0) for a in labels] for b in labels] for i, c in enumerate(cands)}
 
 
 def align_labels(df: DataFrame, ref: str, cand: str | list[str], k: int) -> DataFrame:
-    """(model, ordinal, permutation, matches): rows on which a permuted candidate agrees with the reference, for all k! permutations."""
+    """(model, ordinal, permutation, matches): rows on which a permuted candidate agrees with the reference, for all k! permutations.
+
+    A report for few labels; ``best_permutations`` finds the best for any number.
+    """
     cands = [cand] if isinstance(cand, str) else cand
-    rows = [(c, i, p, n) for c, own in _agreements(df, ref, cands, k).items() for i, (p, n) in enumerate(own)]
+    rows = [(c, i, list(p), sum(t[b][p[b]] for b in range(k))) for c, t in _tables(df, ref, cands, k).items() for i, p in enumerate(itertools.permutations(range(k)))]
     return df.sparkSession.createDataFrame(rows, "model string, ordinal int, permutation array<int>, matches long")
 
 
+def best_assignment(gain: list[list[int]]) -> list[int]:
+    """The column of each row, all different, of the greatest summed gain; of equal ones the first in the order of the lists.
+
+    Prices are raised along shortest augmenting paths (the Hungarian method). The assignments of greatest gain are those of edges whose price is met exactly,
+    so each row in turn takes its first such column that still leaves an assignment for all.
+    """
+    k = len(gain)
+    u, v, row_of = [0] * k, [0] * k, [-1] * k
+    for start in range(k):
+        least, way, done, at, col = [None] * k, [-1] * k, [False] * k, start, -1
+        while True:
+            step, nxt = None, -1
+            for j in range(k):
+                if not done[j]:
+                    cost = -gain[at][j] - u[at] - v[j]
+                    if least[j] is None or cost < least[j]:
+                        least[j], way[j] = cost, col
+                    if step is None or least[j] < step:
+                        step, nxt = least[j], j
+            u[start] += step
+            for j in range(k):
+                if done[j]:
+                    u[row_of[j]] += step
+                    v[j] -= step
+                else:
+                    least[j] -= step
+            done[nxt], col = True, nxt
+            if row_of[nxt] < 0:
+                break
+            at = row_of[nxt]
+        while col >= 0:
+            row_of[col] = row_of[way[col]] if way[col] >= 0 else start
+            col = way[col]
+    tight = [[j for j in range(k) if -gain[i][j] == u[i] + v[j]] for i in range(k)]
+    out = [0] * k
+    for j, i in enumerate(row_of):
+        out[i] = j
+    for i in range(k):
+        for j in tight[i]:
+            if j == out[i]:
+                break
+            if j not in out[:i] and (moved := _rematched(tight, out, i, j)):
+                out = moved
+                break
+    return out
+
+
+def _rematched(tight: list[list[int]], out: list[int], row: int, col: int) -> list[int] | None:
+    """``out`` with ``col`` for ``row``, earlier rows as they are and later ones moved along an alternating path, if there is one."""
+    lost, free = out.index(col), out[row]
+    came, todo = {lost: None}, [lost]
+    while todo:
+        i = todo.pop(0)
+        for j in tight[i]:
+            if j == col or j in out[:row]:
+                continue
+            if j == free:
+                got = list(out)
+                got[row] = col
+                while i is not None:
+                    j, got[i], i = got[i], j, came[i]
+                return got
+            other = out.index(j)
+            if other not in came:
+                came[other] = i
+                todo.append(other)
+    return None
+
+
 def best_permutations(df: DataFrame, ref: str, cands: list[str], k: int) -> dict[str, list[int]]:
-    """The permutation of each candidate that agrees the most; of equal ones the first."""
-    return {c: max(own, key=lambda x: x[1])[0] for c, own in _agreements(df, ref, cands, k).items()}
+    """The permutation of each candidate that agrees the most; of equal ones the first in order."""
+    return {c: best_assignment(t) for c, t in _tables(df, ref, cands, k).items()}
 
 
 def best_permutation(df: DataFrame, ref: str, cand: str, k: int) -> list[int]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import argmax, normalized
+from .metric import scratch
 from .quantiles import running_sums
 
 
@@ -42,22 +43,58 @@ def usable_folds(df: DataFrame, label: str, k: int) -> int:
     return min(max(2, k), max(2, rarest))
 
 
-def group_folds(df: DataFrame, group: str, k: int, max_groups: int = 5_000_000) -> DataFrame:
+def greedy_turns(loads: list[int], size: int, count: int) -> list[tuple[int, int, list[int]]]:
+    """(start, length, folds): how ``count`` groups of one size go to the folds with the fewest rows (the first of equal ones); changes ``loads``.
+
+    Groups go round among the folds that are within one group of the lowest, in the order of their rows, until the next fold is reached, which then
+    joins in. So there are at most as many turns as folds, whatever the count.
+    """
+    order = sorted(range(len(loads)), key=lambda i: (loads[i], i))
+    active, waiting, start, out = order[:1], order[1:], 0, []
+    while start < count:
+        active.sort(key=lambda i: (loads[i], i))
+        if waiting:
+            m = waiting[0]
+            gaps = [loads[m] - loads[i] for i in active]
+            # groups that a fold takes before the waiting one has fewer rows, or as few and comes first
+            many = sum(0 if g < 0 else -(-g // size) + (g % size == 0 and i < m) for g, i in zip(gaps, active))
+        else:
+            many = count - start
+        many = min(many, count - start)
+        if many:
+            out.append((start, many, list(active)))
+            for place, i in enumerate(active):
+                loads[i] += size * ((many - place + len(active) - 1) // len(active))
+        start += many
+        if waiting:
+            active.append(waiting.pop(0))
+    return out
+
+
+def group_folds(df: DataFrame, group: str, k: int) -> DataFrame:
     """(group, n, fold): whole groups, the largest first, each to the fold with the fewest rows so far. Null is a group.
 
-    Group sizes come to the driver; their number is checked.
+    Groups of equal size differ only by their place among them, in the order of names, and where a run of them goes has a closed form. So the
+    driver sees the number of groups of each size and no group; groups are ranked by ranges, so that no task sorts all of those of a size.
     """
-    sizes = df.groupBy(F.coalesce(F.col(group).cast("string"), F.lit("__NA__")).alias(group)).agg(F.count("*").alias("n"))
-    rows = sizes.orderBy(F.desc("n"), group).limit(max_groups + 1).collect()
-    if len(rows) > max_groups:
-        raise ValueError(f"more than {max_groups} groups")
-    k = max(1, min(k, len(rows)))
-    load, out = [0] * k, []
-    for r in rows:
-        i = load.index(min(load))
-        load[i] += r["n"]
-        out.append((r[group], r["n"], i))
-    return df.sparkSession.createDataFrame(out, f"`{group}` string, n long, fold int")
+    spark = df.sparkSession
+    sizes = scratch(df.groupBy(F.coalesce(F.col(group).cast("string"), F.lit("__NA__")).alias("g")).agg(F.count("*").alias("n")), "sizes")
+    counts = sorted(((r["n"], r["count"]) for r in sizes.groupBy("n").count().collect()), reverse=True)
+    total = sum(c for _, c in counts)
+    k = max(1, min(k, total))
+    loads, turns, before = [0] * k, [], 0
+    for n, c in counts:
+        turns += [(n, before + start, before + start + length, folds) for start, length, folds in greedy_turns(loads, n, c)]
+        before += c
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = scratch(sizes.repartitionByRange(parts, F.desc("n"), F.asc("g")).select("g", "n", F.spark_partition_id().alias("p")), "ranged")
+    ahead = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    starts = ranged.groupBy("p").count().select("p", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("ahead"))
+    placed = ranged.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy(F.desc("n"), "g")) - 1).join(F.broadcast(starts), "p").withColumn("r", F.col("r") + F.col("ahead"))
+    table = spark.createDataFrame(turns, "n long, lo long, hi long, folds array<int>")
+    table = F.broadcast(table) if len(turns) <= 100_000 else table
+    found = placed.join(table, "n").where("r >= lo and r < hi")
+    return found.select(F.col("g").alias(group), "n", F.get("folds", ((F.col("r") - F.col("lo")) % F.size("folds")).cast("int")).alias("fold"))
 
 
 def fold_class_counts(df: DataFrame, fold: str, label: str, classes: list) -> DataFrame:

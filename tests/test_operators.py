@@ -346,3 +346,57 @@ def test_merging_and_appending(spark):
     b = spark.createDataFrame([(1, 5.0)], "k int, x double")
     assert {r["k"]: r["x"] for r in nested.merge_summaries(a, [b], "k").collect()} == {1: 5.0, 2: None}
     assert one(spark, features.append_arrays(F.array(F.lit(1)), F.array(F.lit(2.5)))) == [1.0, 2.5]
+
+
+def test_best_assignment():
+    """The greatest gain, and of equal ones the first of all permutations; fifty labels in a moment."""
+    import itertools
+    import time
+
+    r = random.Random(8)
+    for _ in range(400):
+        k = r.randint(1, 6)
+        gain = [[r.randint(0, r.choice([1, 3, 20])) for _ in range(k)] for _ in range(k)]
+        want = max(itertools.permutations(range(k)), key=lambda p: sum(gain[i][p[i]] for i in range(k)))
+        assert consensus.best_assignment(gain) == list(want)
+    p = r.sample(range(50), 50)
+    gain = [[100 if p[i] == j else r.randint(0, 30) for j in range(50)] for i in range(50)]
+    began = time.perf_counter()
+    assert consensus.best_assignment(gain) == p
+    assert sorted(consensus.best_assignment([[0] * 50 for _ in range(50)])) == list(range(50)) and time.perf_counter() - began < 2
+
+
+def greedy(groups, k):
+    load, out = [0] * k, {}
+    for g, n in sorted(groups.items(), key=lambda x: (-x[1], x[0])):
+        i = load.index(min(load))
+        load[i] += n
+        out[g] = i
+    return out
+
+
+def test_turns_are_the_greedy_rule():
+    r = random.Random(6)
+    for _ in range(500):
+        loads, sizes = [r.randint(0, 30) for _ in range(r.randint(1, 6))], (r.randint(1, 9), r.randint(0, 40))
+        plain, want = list(loads), []
+        for _ in range(sizes[1]):
+            i = plain.index(min(plain))
+            plain[i] += sizes[0]
+            want.append(i)
+        got = [folds[j % len(folds)] for _, n, folds in evaluate.greedy_turns(loads, *sizes) for j in range(n)]
+        assert got == want and loads == plain
+    loads = [0, 10**15, 3]
+    assert len(evaluate.greedy_turns(loads, 1, 10**12)) <= 3
+
+
+def test_group_folds_by_runs(spark):
+    r = random.Random(9)
+    groups = {f"g{i:03}": r.choice([1, 1, 1, 2, 3, 9, 40]) for i in range(200)} | {"big": 300, "__NA__": 4}
+    rows = [(None if g == "__NA__" else g,) for g, n in groups.items() for _ in range(n)]
+    df = spark.createDataFrame(rows, "g string").repartition(5)
+    for k in (1, 3, 7):
+        got = {x["g"]: x["fold"] for x in evaluate.group_folds(df, "g", k).collect()}
+        assert got == greedy(groups, k)
+    assert evaluate.group_folds(df.limit(0), "g", 4).count() == 0
+    assert {x["fold"] for x in evaluate.group_folds(spark.createDataFrame([("a",), ("b",)], "g string"), "g", 9).collect()} == {0, 1}
