@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .metric import scratch
+
 
 def running_sums(df: DataFrame, order: str, values: dict[str, str], descending: bool = False, inclusive: bool = True, buckets: int = 16, by: str | None = None, totals_too: bool = False) -> DataFrame:
     """Adds, for each name, the sum of the column it names over all rows up to this one in the order (which is unique).
@@ -12,8 +14,9 @@ def running_sums(df: DataFrame, order: str, values: dict[str, str], descending:
     Rows are dealt into ranges by approximate quantiles; a range is summed by a window of its own, and ranges before it
     add a total each, so that no task sorts all rows. With ``by`` each of its values has sums and ranges of its own, in
     the same pass; its values are few. With ``totals_too`` each name has a column ``name_total`` of the sum over all rows.
+    The input is written once, as bounds, totals and sums read it each.
     """
-    keyed = df.withColumn("__g", F.col(by) if by else F.lit(0))
+    keyed = scratch(df.withColumn("__g", F.col(by) if by else F.lit(0)), "sums")
     bounds = keyed.groupBy(F.col("__g").alias("__by")).agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 1000).alias("__bounds"), *[F.sum(c).alias(f"{n}_total") for n, c in values.items() if totals_too])
     # one row a value of ``by``, with a fixed number of bounds
     cut = keyed.join(F.broadcast(bounds), F.col("__g").eqNullSafe(F.col("__by")))
@@ -28,9 +31,10 @@ def running_sums(df: DataFrame, order: str, values: dict[str, str], descending:
     return joined.withColumns({n: F.col(n) + F.col(f"__{n}") for n in values}).drop("__g", "__b", "__by", "__q", *[f"__{n}" for n in values])
 
 
-def quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> DataFrame:
+def quantiles(df: DataFrame, columns: list[str], shares: list[float], exclusive: bool = False) -> DataFrame:
     """(ordinal, n, q): of each column, by its place in ``columns``, the non-null and non-NaN values and their exact quantiles,
-    linear between neighbours; all columns in one pass.
+    linear between neighbours; all columns in one pass. A share q lies at place q (n - 1) from 0, or at q (n + 1) - 1 if ``exclusive``, where
+    shares beyond the outermost places go on along the line through the last two values.
 
     Distinct values are counted by column, with partial counts, and counts are summed up by ranges. A column without
     values has no row.
@@ -38,10 +42,12 @@ def quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> DataFra
     parts = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.col(f"`{c}`").cast("double").alias("x")) for i, c in enumerate(columns)])
     counts = df.select(F.inline(parts)).where("x is not null and not isnan(x)").groupBy("ordinal", "x").agg(F.count("*").alias("k"))
     run = running_sums(counts, "x", {"until": "k"}, by="ordinal", totals_too=True).withColumnRenamed("until_total", "n")
-    at = [F.lit(float(q)) * (F.col("n") - 1) for q in shares]
-    ends = [F.min(F.when(F.col("until") > f(h), F.col("x"))).alias(f"{k}{i}") for i, h in enumerate(at) for k, f in (("a", F.floor), ("b", F.ceil))]
+    at = [F.lit(float(q)) * (F.col("n") + 1) - 1 if exclusive else F.lit(float(q)) * (F.col("n") - 1) for q in shares]
+    low = [F.greatest(F.lit(0), F.least(F.floor(h), F.col("n") - 2)) if exclusive else F.floor(h) for h in at]
+    high = [F.least(x + 1, F.col("n") - 1) if exclusive else F.ceil(h) for x, h in zip(low, at)]
+    ends = [F.min(F.when(F.col("until") > p, F.col("x"))).alias(f"{k}{i}") for i, both in enumerate(zip(low, high)) for k, p in zip("ab", both)]
     found = run.groupBy("ordinal", "n").agg(*ends)
-    between = [F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * (h - F.floor(h)) for i, h in enumerate(at)]
+    between = [F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * (h - x) for i, (h, x) in enumerate(zip(at, low))]
     # equal neighbours, infinite ones too, need no interpolation
     return found.select("ordinal", "n", F.array(*[F.when(F.col(f"a{i}") == F.col(f"b{i}"), F.col(f"a{i}")).otherwise(x) for i, x in enumerate(between)]).alias("q"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import cosine, euclidean, softmax
-from .metric import knn_join, matrix, squares
+from .metric import knn_join, matrix, scratch, squares
 from .quantiles import column_quantiles
 
 #: Fitted vectors of up to so many bytes are sent to all tasks and searched there.
@@ -86,7 +86,7 @@ def similarities(vector: Column, prototypes: list[list[float]]) -> Column:
 
 
 def affinity(df: DataFrame, vector: str, centers: list[list[float]], name: str = "affinity") -> DataFrame:
-    """Softmax of the negative distances to centers over the median of all distances (1 if that is 0)."""
-    with_d = df.withColumn("__d", distances(F.col(vector), centers))
+    """Softmax of the negative distances to centers over the median of all distances (1 if that is 0). Distances are written once."""
+    with_d = scratch(df.withColumn("__d", distances(F.col(vector), centers)), "distances")
     t = column_quantiles(with_d.select(F.explode("__d").alias("d")), ["d"], [0.5]).get("d", [0.0])[0] or 1.0
     return with_d.withColumn(name, softmax(F.transform("__d", lambda x: -x), t)).drop("__d")

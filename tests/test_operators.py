@@ -217,6 +217,16 @@ def test_reports(spark):
 def test_simulation(spark):
     s = simulate.time_summary(simulate.simulate(spark, 20, 30), "total_seconds").first()
     assert s["mean"] >= 60 and s["p50"] <= s["p99"]
+    import statistics
+
+    r = random.Random(1)
+    for n in (2, 3, 7, 150):
+        values = [r.choice((1.5, r.random() * 9)) for _ in range(n)]
+        got = simulate.time_summary(spark.createDataFrame([(v,) for v in values], "s double"), "s").first()
+        want = statistics.quantiles(values, n=100)
+        assert np.allclose([got[f"p{q}"] for q in (50, 90, 95, 99)], [want[q - 1] for q in (50, 90, 95, 99)])
+    one_row = simulate.time_summary(spark.createDataFrame([(4.0,)], "s double"), "s").first()
+    assert one_row["mean"] == one_row["p50"] == one_row["p99"] == 4.0
 
 
 def test_quantiles_against_sorting(spark):
