@@ -2,31 +2,33 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
-from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
-from pyspark.ml.feature import IDF, PCA, CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer
+from pyspark.ml.clustering import BisectingKMeans
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .metric import ward_clusters
+from .cluster import expectation_maximization, lloyd, text_embedding
+from .metric import scratch, ward_clusters
 
 
 def with_vector(df: DataFrame, array: str, name: str = "features") -> DataFrame:
     return df.withColumn(name, array_to_vector(F.col(array).cast("array<double>")))
 
 
-def kmeans(df: DataFrame, array: str, k: int, seeds: tuple[int, ...] = (13, 47, 97), name: str = "cluster"):
-    """The best of several starts by training cost: (model, rows with ``name``)."""
-    rows = with_vector(df, array).cache()
-    models = [KMeans(k=k, seed=s, initMode="k-means||", featuresCol="features", predictionCol=name).fit(rows) for s in seeds]
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    rows.unpersist()
-    return best, best.transform(with_vector(df, array)).drop("features")
+def _keyed(df: DataFrame, array: str, key: str | None) -> DataFrame:
+    """(id, v), written; without a key the vector itself stands for it."""
+    v = F.col(array).cast("array<double>")
+    return scratch(df.select((F.col(key) if key else F.to_json(F.struct(v))).alias("id"), v.alias("v")).where("v is not null"), "vectors")
+
+
+def kmeans(df: DataFrame, array: str, k: int, seeds: tuple[int, ...] = (13, 47, 97), name: str = "cluster", key: str | None = None, rounds: int = 100):
+    """The best of several starts by the summed squared distance: (centers, rows with ``name``). Starts are drawn by hashes of ``key``."""
+    rows = _keyed(df, array, key)
+    best = min((lloyd(rows, k, s, rounds) for s in seeds), key=lambda m: m.cost)
+    return best, best.transform(df, array, name)
 
 
 def pca(df: DataFrame, array: str, k: int, name: str = "projected") -> DataFrame:
@@ -35,9 +37,9 @@ def pca(df: DataFrame, array: str, k: int, name: str = "projected") -> DataFrame
     return model.transform(rows).withColumn(name, vector_to_array("__p")).drop("features", "__p")
 
 
-def gaussian_mixture(df: DataFrame, array: str, k: int, seed: int = 42, name: str = "cluster") -> DataFrame:
-    rows = with_vector(df, array)
-    return GaussianMixture(k=k, seed=seed, featuresCol="features", predictionCol=name, probabilityCol="__p").fit(rows).transform(rows).drop("features", "__p")
+def gaussian_mixture(df: DataFrame, array: str, k: int, seed: int = 42, name: str = "cluster", key: str | None = None, rounds: int = 100) -> DataFrame:
+    """Rows with the most likely component of a mixture of full covariances."""
+    return expectation_maximization(_keyed(df, array, key), k, seed, rounds).transform(df, array, name)
 
 
 def bisecting(df: DataFrame, key: str, array: str, k: int, seed: int = 42, name: str = "cluster") -> DataFrame:
@@ -55,54 +57,9 @@ def ward(df: DataFrame, key: str, array: str, k: int, name: str = "cluster", loc
     return df.join(got.withColumnRenamed("cluster", name), key)
 
 
-def tfidf(words: DataFrame, counts: CountVectorizer) -> tuple[DataFrame, int]:
-    """Rows with unit vectors ``__n`` of the terms of ``__t``, and the size of the vocabulary.
-
-    The library's inverse frequency is ln((1 + n) / (1 + df)); one more keeps terms that all texts have.
-    """
-    counter = counts.fit(words)
-    counted = counter.transform(words)
-    idf = IDF(inputCol="__c", outputCol="__i").fit(counted).idf
-    scale = ElementwiseProduct(scalingVec=Vectors.dense([x + 1.0 for x in idf]), inputCol="__c", outputCol="__i")
-    return Normalizer(inputCol="__i", outputCol="__n").transform(scale.transform(counted)), len(counter.vocabulary)
-
-
 def tfidf_svd(df: DataFrame, key: str, text: str, components: int = 128, min_df: int = 2, vocabulary: int = 12_000, name: str = "embedding") -> DataFrame:
-    """Words and word pairs by smoothed inverse frequency, ln((1 + n) / (1 + df)) + 1, unit rows, projected to the first singular
-    vectors, unit again.
-    """
-    from pyspark.mllib.linalg.distributed import RowMatrix
-    from pyspark.mllib.util import MLUtils
-
-    stages = [
-        RegexTokenizer(inputCol=text, outputCol="__w", pattern=r"(?U)\b\w\w+\b", gaps=False),
-        NGram(n=2, inputCol="__w", outputCol="__b"),
-    ]
-    words = Pipeline(stages=stages).fit(df).transform(df).withColumn("__t", F.concat("__w", "__b"))
-    counts = CountVectorizer(inputCol="__t", outputCol="__c", minDF=min_df, vocabSize=vocabulary)
-    rows, width = tfidf(words, counts)
-    rows = rows.select(key, "__n").cache()
-    k = max(1, min(components, width, rows.count()))
-    # read once a step of the iteration
-    matrix = MLUtils.convertVectorColumnsFromML(rows.select("__n"), "__n").rdd.map(lambda r: r[0]).cache()
-    svd = RowMatrix(matrix).computeSVD(k)
-    matrix.unpersist()
-    v = svd.V.toArray()
-    held = df.sparkSession.sparkContext.broadcast(v)
-
-    def project(frames):
-        for f in frames:
-            out = []
-            for ix, val in zip(f["i"], f["x"]):
-                e = np.asarray(val) @ held.value[np.asarray(ix, int)] if len(ix) else np.zeros(held.value.shape[1])
-                n = np.sqrt(e @ e)
-                out.append((e / n if n else e).tolist())
-            yield pd.DataFrame({key: f["k"], name: out})
-
-    sparse = rows.select(F.col(key).alias("k"), "__n").rdd.map(lambda r: (r[0], r[1].indices.tolist(), r[1].values.tolist()))
-    kind = df.schema[key].dataType.simpleString()
-    flat = df.sparkSession.createDataFrame(sparse, f"k {kind}, i array<int>, x array<double>")
-    return flat.mapInPandas(project, f"`{key}` {kind}, `{name}` array<double>")
+    """Words and word pairs by smoothed inverse frequency, unit rows, projected to the first singular vectors, unit again; see ``cluster``."""
+    return text_embedding(df, key, text, components, min_df, vocabulary, name)
 
 
 def classifier(kind: str = "mlp", inputs: int = 0, classes: int = 2, seed: int = 42, weight: str | None = None):

@@ -114,6 +114,40 @@ SELECT vec_id, round(avg(d), 6) AS knn_distance FROM r WHERE r <= {k} GROUP BY v
 _CENTERS = """l AS (SELECT vec_id, label, generate_subscripts(v, 1) AS pos, unnest(v) AS x FROM e),
 c AS (SELECT label, list(x ORDER BY pos) AS c FROM (SELECT label, pos, avg(x) AS x FROM l GROUP BY 1, 2) GROUP BY 1)"""
 
+def _lloyd(source: str, seed: int, k: int, rounds: int, dim: int, tag: str) -> str:
+    """Tables of k-means over ``source`` (vec_id, v): ``{tag}c`` are the last centers (i, v), ``{tag}a`` the rows with their center i and squared distance d."""
+    out = [f"{tag}0 AS (SELECT 0 AS i, arg_min(v, ({_unit('vec_id', f'{seed}|0')}, vec_id)) AS v FROM {source})"]
+    for j in range(1, k):
+        u = _unit("vec_id", f"{seed}|{j}")
+        out.append(f"{tag}{j} AS MATERIALIZED (SELECT * FROM {tag}{j - 1} UNION ALL SELECT {j}, arg_min(v, (-ln(u) / d, vec_id)) FROM (SELECT vec_id, e.v, {u} AS u, min(list_distance(e.v, c.v) ** 2) AS d FROM {source} e, {tag}{j - 1} c GROUP BY 1, 2) WHERE d > 0)")
+    near = lambda c: f"SELECT vec_id, e.v, i, list_distance(e.v, c.v) ** 2 AS d FROM {source} e, {c} c QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, i) = 1"
+    last = f"{tag}{k - 1}"
+    for r in range(rounds):
+        out.append(f"{tag}m{r} AS MATERIALIZED (SELECT i, list(m ORDER BY p) AS v FROM (SELECT i, p, avg(v[p]) AS m FROM ({near(last)}), range(1, {dim + 1}) s(p) GROUP BY 1, 2) GROUP BY 1)")
+        last = f"{tag}m{r}"
+    return ",\n".join([*out, f"{tag}a AS MATERIALIZED ({near(last)})"])
+
+
+def _ensemble() -> str:
+    seeds = (13, 47, 97)
+    runs = ",\n".join(_lloyd("e", s, 3, 8, 64, f"k{s}_") for s in seeds)
+    costs = " UNION ALL ".join(f"SELECT {n} AS run, sum(d) AS cost FROM k{s}_a" for n, s in enumerate(seeds))
+    rows = " UNION ALL ".join(f"SELECT {n} AS run, vec_id, i::INT AS cluster FROM k{s}_a" for n, s in enumerate(seeds))
+    return f"WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),\n{runs},\nbest AS (SELECT arg_min(run, (cost, run)) AS run FROM ({costs}))\nSELECT vec_id, cluster FROM ({rows}) JOIN best USING (run)"
+
+
+def _mixture(rounds: int = 10) -> str:
+    """Components (i, w, mx, my, a, b, c): weight, means, and the covariance ((a, b), (b, c))."""
+    state = lambda source: f"""SELECT i, n / total AS w, mx, my, a + 1e-6 AS a, b, c + 1e-6 AS c FROM (SELECT i, n, mx, my, sum(n) OVER () AS total, sum_a / n AS a, sum_b / n AS b, sum_c / n AS c
+  FROM (SELECT i, sum(r) AS n, any_value(mx) AS mx, any_value(my) AS my, sum(r * (v[1] - mx) ** 2) AS sum_a, sum(r * (v[1] - mx) * (v[2] - my)) AS sum_b, sum(r * (v[2] - my) ** 2) AS sum_c
+  FROM (SELECT *, sum(r * v[1]) OVER (PARTITION BY i) / sum(r) OVER (PARTITION BY i) AS mx, sum(r * v[2]) OVER (PARTITION BY i) / sum(r) OVER (PARTITION BY i) AS my FROM {source}) GROUP BY i))"""
+    share = lambda c: f"""SELECT vec_id, v, i, exp(g - max(g) OVER o) / sum(exp(g)) OVER o * exp(max(g) OVER o) AS r, g FROM (SELECT vec_id, v, i,
+  ln(w) - 0.5 * ln(a * c - b * b) - 0.5 * (c * (v[1] - mx) ** 2 - 2 * b * (v[1] - mx) * (v[2] - my) + a * (v[2] - my) ** 2) / (a * c - b * b) AS g FROM e, {c}) WINDOW o AS (PARTITION BY vec_id)"""
+    out = [f"e AS (SELECT vec_id, embedding[1:2]::DOUBLE[] AS v FROM embeddings)", _lloyd("e", 42, 3, 8, 2, "g"), f"s0 AS MATERIALIZED ({state('(SELECT vec_id, v, i, 1.0::DOUBLE AS r FROM ga)')})"]
+    out += [f"s{n + 1} AS MATERIALIZED ({state(f'({share(f"s{n}")})')})" for n in range(rounds)]
+    return "WITH " + ",\n".join(out) + f"\nSELECT vec_id, i::INT AS cluster FROM ({share(f's{rounds}')}) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY g DESC, i) = 1"
+
+
 _STAGE1 = f"""d AS (SELECT doc_id, (doc_id % 7 - 3)::DOUBLE AS h, {_unit('doc_id', 'dp')} AS dp, {_unit('doc_id', 'dn')} AS dn, {_unit('doc_id', 'k')} AS k FROM documents),
 r AS (SELECT *, (dn - dp) / greatest(abs(dn) + abs(dp), 1e-6) AS rel FROM d),
 z AS (SELECT doc_id, h, 0.55 * (h - avg(h) OVER ()) / stddev_pop(h) OVER () + 0.30 * (rel - avg(rel) OVER ()) / stddev_pop(rel) OVER () - 0.15 * (k - avg(k) OVER ()) / stddev_pop(k) OVER () AS s FROM r)"""
@@ -223,6 +257,8 @@ SELECT doc_id, round(coalesce(quality, q)::DOUBLE, 6) AS quality, round(coalesce
   CASE WHEN c_custkey % 4 = 0 OR c_custkey % 5 IN (0, 1) THEN NULL ELSE c_custkey % 50 END AS minutes, CASE WHEN c_custkey % 2 = 0 THEN 'ems' ELSE 'unknown' END AS arrival_mode, 'unknown' AS mental_status,
   CASE WHEN c_custkey % 3 = 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS confidence FROM customer""",
     "knn_mean_distance": _knn("", 12),
+    "kmeans_ensemble": _ensemble(),
+    "gmm_plane": _mixture(),
     "knn_pivot_join": _knn("", 12),
     "knn_to_anchor": _knn("WHERE f.label < 3", 18),
     "centroid_affinity": f"""WITH {_EMB}, {_CENTERS}, d AS (SELECT vec_id, {', '.join(f"list_distance(v, (SELECT c FROM c WHERE label = {i})) AS d{i}" for i in range(10))} FROM e),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import text as X
-from ..operators import consensus, contracts, evaluate, extract, features, metric, model, nested, profile, report, rules, simulate, vectors
+from ..operators import cluster, consensus, contracts, evaluate, extract, features, metric, model, nested, profile, report, rules, simulate, vectors
 from ..session import table
 from . import encounter
 
@@ -426,7 +426,14 @@ def metric_value_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def kmeans_ensemble(spark: SparkSession, sf: str) -> DataFrame:
-    return model.kmeans(_embeddings(spark, sf).select("vec_id", "v"), "v", 3)[1].select("vec_id", "cluster")
+    return model.kmeans(_embeddings(spark, sf).select("vec_id", "v"), "v", 3, key="vec_id", rounds=8)[1].select("vec_id", "cluster")
+
+
+def gmm_plane(spark: SparkSession, sf: str) -> DataFrame:
+    """A mixture over the first two numbers of each vector, ten rounds from eight of k-means."""
+    plane = _embeddings(spark, sf).select("vec_id", F.slice("v", 1, 2).alias("p"))
+    rows = plane.select(F.col("vec_id").alias("id"), F.col("p").alias("v"))
+    return cluster.expectation_maximization(rows, 3, 42, rounds=10, tolerance=0.0, start_rounds=8).transform(plane, "p").select("vec_id", "cluster")
 
 
 def gmm_clusters(spark: SparkSession, sf: str) -> DataFrame:
@@ -462,6 +469,6 @@ QUERIES = {
         symptom_triples, prototype_match, extraction_coerce, knn_mean_distance, knn_pivot_join, knn_to_anchor, centroid_affinity, cosine_prototypes, stage1_scores, stage1_embeddings, threshold_search,
         label_alignment, consensus_votes, ari_pairs, blend_outputs, shift_metrics, class_weights, stratified_folds, fold_class_counts, group_folds, metrics_basic,
         class_precision_recall, auroc, macro_auroc, avg_precision, logloss, fold_aggregate, top_k_examples, hash_sample_examples, category_order, retry_simulation_expected,
-        metric_value_summary, kmeans_ensemble, gmm_clusters, pca_projection, ward_clusters, tfidf_svd, classifier_folds,
+        metric_value_summary, kmeans_ensemble, gmm_plane, gmm_clusters, pca_projection, ward_clusters, tfidf_svd, classifier_folds,
     )
 }
