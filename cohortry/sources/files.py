@@ -30,6 +30,13 @@ def _path(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def require_inputs(spark: SparkSession, *paths: str) -> None:
+    """Fails with the names of all inputs that are not there, before any work begins."""
+    gone = [p for p in paths if not (at := _path(spark, p))[1].exists(at[0])]
+    if gone:
+        raise FileNotFoundError(f"missing input: {', '.join(gone)}")
+
+
 def write_text(spark: SparkSession, text: str, path: str) -> None:
     """A small text (a report, metadata) to any file system that Spark reads."""
     p, fs = _path(spark, path)

@@ -1,5 +1,7 @@
 import zipfile
 
+import pytest
+
 from cohortry.sources import files, office
 
 
@@ -51,3 +53,10 @@ def test_files(spark, tmp_path):
     (tmp_path / "env").write_text("# c\nA=1\nB = 'x'\n")
     own = {"A": "0"}
     assert files.load_settings(str(tmp_path / "env"), own) == {"A": "1", "B": "x"} and own == {"A": "0", "B": "x"}
+
+
+def test_missing_inputs(spark, tmp_path):
+    (tmp_path / "here").write_text("x")
+    files.require_inputs(spark, str(tmp_path / "here"), f"file://{tmp_path}/here")
+    with pytest.raises(FileNotFoundError, match="missing input: .*/one, .*/two$"):
+        files.require_inputs(spark, str(tmp_path / "one"), str(tmp_path / "here"), str(tmp_path / "two"))
