@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .metric import scratch
+
 #: One dict of scalars, as text by key; values are read as numbers where they are some.
 ITEMS = "array<map<string,string>>"
 _ITEMS_TYPE = T.ArrayType(T.MapType(T.StringType(), T.StringType()))
@@ -74,16 +76,48 @@ def parse_literals(cell: Column, strict: bool = False) -> Column:
     return (_strict if strict else _lenient)(cell)
 
 
-def discover_nested(df: DataFrame, preferred: tuple[str, ...] = (), sample: int = 25, share: float = 0.6) -> list[str]:
-    """String columns that look nested: ``preferred`` ones, then those of which a sample mostly starts with a bracket."""
+def discover_nested(df: DataFrame, preferred: tuple[str, ...] = (), share: float = 0.6) -> list[str]:
+    """String columns that look nested: ``preferred`` ones, then those whose non-null cells mostly start with a bracket. One aggregate over all
+    rows and columns."""
     found = [c for c in preferred if c in df.columns]
-    for c in [f.name for f in df.schema.fields if f.dataType.simpleString() == "string" and f.name not in found]:
-        r = df.select(F.col(f"`{c}`").alias("c")).where("c is not null").limit(sample).agg(F.count("*").alias("n"), F.avg(F.trim("c").startswith("[").cast("double")).alias("p")).first()
-        if r["n"] and r["p"] >= share:
-            found.append(c)
+    rest = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string" and f.name not in found]
+    if rest:
+        row = df.agg(*[F.avg(F.trim(F.col(f"`{c}`")).startswith("[").cast("double")).alias(f"s{i}") for i, c in enumerate(rest)]).first()
+        found += [c for c, p in zip(rest, row) if p is not None and p >= share]
     return found
 
 
+def variant_list(cell: Column) -> Column:
+    """A cell's list as a VARIANT, a single dict as a list of it; null for cells that are blank or no list of JSON even after ``json_form``."""
+    text = F.trim(cell)
+    text = F.when(text.startswith("{"), F.concat(F.lit("["), text, F.lit("]"))).when(text.startswith("["), text)
+    return F.from_json(json_form(text), "variant", {"mode": "PERMISSIVE", "allowNonNumericNumbers": "false"})
+
+
+def nested_profile(df: DataFrame, columns: list[str], top: int = 8, skip: tuple[str, ...] = ("encounter_id", "minute")) -> DataFrame:
+    """(column, key, n_numeric, n_other, types, values): what the dicts of nested columns hold, all columns in one scan.
+
+    Numbers and truth values count as numeric, all else, nulls too, as other. ``types`` are the kinds of values that are there, in order; ``values`` the ``top`` most frequent
+    texts among the others, of equal ones the first. Items that are no dicts are passed over; keys of ``skip`` are left out.
+    """
+    spark = df.sparkSession
+    cells = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("cell")) for c in columns])))
+    lists = cells.select("column", variant_list(F.col("cell")).alias("list")).where(F.schema_of_variant("list").startswith("ARRAY"))
+    items = lists.lateralJoin(spark.tvf.variant_explode(F.col("list").outer())).select("column", F.col("value").alias("item")).where(F.schema_of_variant("item").startswith("OBJECT"))
+    pairs = items.lateralJoin(spark.tvf.variant_explode(F.col("item").outer())).select("column", "key", F.regexp_extract(F.schema_of_variant("value"), "^[A-Z]+", 0).alias("type"), F.col("value").cast("string").alias("text"))
+    numeric = F.col("type").isin("BIGINT", "DOUBLE", "DECIMAL", "FLOAT", "BOOLEAN")
+    # a row a distinct value: partial counts go through the shuffle
+    text = F.when(~numeric & (F.trim("text") != ""), F.trim("text"))
+    counts = scratch(pairs.where(~F.col("key").isin(*skip) if skip else F.lit(True)).groupBy("column", "key", "type", text.alias("text")).agg(F.count("*").alias("n")), "values")
+    own = counts.groupBy("column", "key").agg(F.sum(F.when(numeric, F.col("n")).otherwise(0)).alias("n_numeric"), F.sum(F.when(numeric, 0).otherwise(F.col("n"))).alias("n_other"), F.collect_set("type").alias("t"))
+    # the limit is on the rank alone, so that each task sends ``top`` texts of a key at most
+    texts = counts.where("text is not null").groupBy("column", "key", "text").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("column", "key").orderBy(F.desc("n"), "text"))
+    first = texts.withColumn("r", place).where(F.col("r") <= top).groupBy("column", "key").agg(F.collect_list(F.struct("r", F.col("text").alias("s"))).alias("v"))
+    own = own.join(first, ["column", "key"], "left").withColumn("v", F.coalesce("v", F.array().cast("array<struct<r:int,s:string>>")))
+    return own.select("column", "key", "n_numeric", "n_other", F.array_sort("t").alias("types"), F.transform(F.array_sort("v"), lambda x: x["s"]).alias("values"))
+
+
 def length_histogram(df: DataFrame, items: str) -> DataFrame:
     return df.groupBy(F.size(items).alias("length")).agg(F.count("*").alias("count"))
 

@@ -257,6 +257,15 @@ SELECT doc_id, round(coalesce(quality, q)::DOUBLE, 6) AS quality, round(coalesce
   CASE WHEN c_custkey % 4 = 0 OR c_custkey % 5 IN (0, 1) THEN NULL ELSE c_custkey % 50 END AS minutes, CASE WHEN c_custkey % 2 = 0 THEN 'ems' ELSE 'unknown' END AS arrival_mode, 'unknown' AS mental_status,
   CASE WHEN c_custkey % 3 = 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS confidence FROM customer""",
     "knn_mean_distance": _knn("", 12),
+    "nested_types": """WITH n AS (SELECT count(*) AS n, count(*) FILTER (json_type(props, '$.k') IN ('UBIGINT', 'BIGINT')) AS k FROM events),
+v AS (SELECT string_agg(event_type, ',' ORDER BY c DESC, event_type) AS v FROM (SELECT event_type, count(*) AS c FROM events GROUP BY 1 ORDER BY c DESC, event_type LIMIT 8))
+SELECT 'cell' AS column, 'k' AS key, k AS n_numeric, n - k AS n_other, 'BIGINT' AS types, '' AS values FROM n UNION ALL SELECT 'props', 'k', k, n - k, 'BIGINT', '' FROM n
+UNION ALL SELECT 'cell', 'kind', 0, n, 'STRING', v FROM n, v UNION ALL SELECT 'cell', 'ok', n, 0, 'BOOLEAN', '' FROM n UNION ALL SELECT 'cell', 'note', 0, n, 'VOID', '' FROM n""",
+    "network_gradient": """WITH r AS (SELECT l_quantity / 50 AS x0, l_discount * 10 AS x1, l_tax * 10 AS x2, (l_returnflag = 'R')::INT AS y, CASE WHEN l_returnflag = 'R' THEN 2.0::DOUBLE ELSE 0.75 END AS w FROM lineitem),
+z AS (SELECT *, 0.1 * x0 + 0.3 * x1 - 0.4 * x2 + 0.05 AS z0, -0.2 * x0 + 0.1 * x1 + 0.2 * x2 - 0.05 AS z1 FROM r),
+p AS (SELECT *, exp(z1) / (exp(z0) + exp(z1)) - y AS d, ln(exp(z0) + exp(z1)) - CASE WHEN y = 1 THEN z1 ELSE z0 END AS loss FROM z),
+s AS (SELECT [-sum(w * d * x0), sum(w * d * x0), -sum(w * d * x1), sum(w * d * x1), -sum(w * d * x2), sum(w * d * x2), -sum(w * d), sum(w * d), sum(w * loss)] AS g, sum(w) AS total FROM p)
+SELECT (i - 1)::INT AS place, round(g[i] / total, 6)::DOUBLE AS value FROM s, range(1, 10) t(i)""",
     "kmeans_ensemble": _ensemble(),
     "gmm_plane": _mixture(),
     "knn_pivot_join": _knn("", 12),

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import text as X
-from ..operators import cluster, consensus, contracts, evaluate, extract, features, metric, model, nested, profile, report, rules, simulate, vectors
+from ..operators import cluster, consensus, contracts, evaluate, extract, features, metric, model, nested, network, profile, report, rules, simulate, vectors
 from ..session import table
 from . import encounter
 
@@ -235,6 +236,25 @@ def extraction_coerce(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("c_custkey", F.size(F.col("r")["symptoms"]).cast("long").alias("n_symptoms"), F.lower(F.trim(first["name"])).alias("name"), first["duration_minutes"].alias("minutes"), F.col("r")["arrival_mode"].alias("arrival_mode"), F.col("r")["mental_status"].alias("mental_status"), F.col("r")["confidence"].alias("confidence"))
 
 
+def nested_types(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys, kinds of values and frequent texts of cells written as lists of dicts."""
+    e = table(spark, sf, "events")
+    cell = F.concat(F.lit("["), F.col("props"), F.lit(", {'kind': '"), F.col("event_type"), F.lit("', 'ok': True, 'note': None}]"))
+    got = nested.nested_profile(e.select(cell.alias("cell"), "props"), ["cell", "props"])
+    return got.select("column", "key", "n_numeric", "n_other", F.array_join("types", ",").alias("types"), F.array_join("values", ",").alias("values"))
+
+
+def network_gradient(spark: SparkSession, sf: str) -> DataFrame:
+    """Gradient of the weighted loss of a linear model over all line items, summed from blocks."""
+    l = table(spark, sf, "lineitem")  # noqa: E741
+    x = F.array(F.col("l_quantity") / 50, F.col("l_discount") * 10, F.col("l_tax") * 10)
+    y = (F.col("l_returnflag") == "R").cast("int")
+    rows = l.select(F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey").alias("k"), x.alias("features"), y.alias("label"), F.when(y == 1, 2.0).otherwise(0.75).alias("weight"))
+    net = network.Network(3, 2, (), params=np.array([0.1, -0.2, 0.3, 0.1, -0.4, 0.2, 0.05, -0.05]))
+    loss, total, g, _ = network.gradient_sum(network.blocks(rows, "k", rows=4096), net, 0)
+    return spark.createDataFrame([(i, round(float(v) / total, 6)) for i, v in enumerate([*g, loss])], "place int, value double")
+
+
 # ---- vectors
 
 
@@ -466,7 +486,7 @@ QUERIES = {
         pattern_scan_documents, group_sizes_with_nulls, mode_consistency, one_to_one_join_encounter, left_join_customer_orders, dup_key_check, missing_keys, distinct_first_by_key,
         column_slugify, normalize_ws, text_corpus, conversation_corpus, term_hits_score, date_parts_orders, vitals_shorthand, one_hot_segment, impute_median, standardize_ddof0,
         train_fold_standardize, nested_len_hist, nested_event_counts, nested_summary_full, nested_summary_reduced, parse_nested_cells, props_key_types, top_categories,
-        symptom_triples, prototype_match, extraction_coerce, knn_mean_distance, knn_pivot_join, knn_to_anchor, centroid_affinity, cosine_prototypes, stage1_scores, stage1_embeddings, threshold_search,
+        symptom_triples, prototype_match, extraction_coerce, nested_types, network_gradient, knn_mean_distance, knn_pivot_join, knn_to_anchor, centroid_affinity, cosine_prototypes, stage1_scores, stage1_embeddings, threshold_search,
         label_alignment, consensus_votes, ari_pairs, blend_outputs, shift_metrics, class_weights, stratified_folds, fold_class_counts, group_folds, metrics_basic,
         class_precision_recall, auroc, macro_auroc, avg_precision, logloss, fold_aggregate, top_k_examples, hash_sample_examples, category_order, retry_simulation_expected,
         metric_value_summary, kmeans_ensemble, gmm_plane, gmm_clusters, pca_projection, ward_clusters, tfidf_svd, classifier_folds,

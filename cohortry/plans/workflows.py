@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..operators import consensus, contracts, evaluate, extract, features, model, nested, network, profile, report, rules, vectors
+from ..sources import answers
 
 # Terms of the weak score, its weights, and places in a history's "from ... with".
 FESTIVAL_TERMS = ["festival", "main stage", "campground", "vip tent", "beach shuttle", "medical tent", "rave", "dance", "dj"]
@@ -197,10 +198,13 @@ def symptom_labels(df: DataFrame, key: str, text: Column, text_vector: str | Non
     return out.withColumn("triples", F.to_json("triples"))
 
 
-def extraction_labels(df: DataFrame, key: str, columns: list[str], client=extract.rule_client, k: int = 4, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(labels, errors): prompts to records to features to clusters, with confidence 1 / (1 + distance to the center)."""
+def extraction_labels(df: DataFrame, key: str, columns: list[str], client=extract.rule_client, k: int = 4, seed: int = 42, log: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(labels, errors): prompts to records to features to clusters, with confidence 1 / (1 + distance to the center).
+
+    With the path of a ``log`` no prompt that it answers is asked for again.
+    """
     prompts = df.select(key, extract.prompt_record(columns).alias("prompt"))
-    got = extract.extract_with(prompts, key, "prompt", client).cache()
+    got = answers.extract_once(prompts, key, "prompt", client, log) if log else extract.extract_with(prompts, key, "prompt", client).cache()
     records = got.select(key, extract.read_extraction(F.col("response")).alias("r"))
     cols = extract.multi_hot(records, "r") + extract.numeric_block(F.col("r"))
     wide = records.select(key, *[F.col("r")[c].alias(c) for c in extract.DEFAULTS], *cols)

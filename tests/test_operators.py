@@ -410,3 +410,26 @@ def test_group_folds_by_runs(spark):
         assert got == greedy(groups, k)
     assert evaluate.group_folds(df.limit(0), "g", 4).count() == 0
     assert {x["fold"] for x in evaluate.group_folds(spark.createDataFrame([("a",), ("b",)], "g string"), "g", 9).collect()} == {0, 1}
+
+
+def test_nested_profile(spark):
+    """All kinds of cells of two columns in one pass, against Python's reading of the same cells."""
+    cells = ["[{'a': 1, 'b': 'x'}, {'a': 2.5, 'b': ' x '}]", "{'a': None, 'c': True}", "[1, {'b': 'y'}, 'z']", "", None, "nonsense", "[{'b': \"it's\"}]", "[]", "[{'minute': 3, 'd': [1, 2]}]"]
+    df = spark.createDataFrame([(c, f"[{{'b': '{i}'}}]") for i, c in enumerate(cells)], "n string, m string")
+    assert nested.discover_nested(df.withColumn("plain", F.lit("x")), share=0.5) == ["n", "m"]
+    got = {(r["column"], r["key"]): (r["n_numeric"], r["n_other"], r["types"], r["values"]) for r in nested.nested_profile(df, ["n", "m"], top=2).collect()}
+    assert got == {
+        ("n", "a"): (2, 1, ["BIGINT", "DECIMAL", "VOID"], []), ("n", "b"): (0, 4, ["STRING"], ["x", "it's"]), ("n", "c"): (1, 0, ["BOOLEAN"], []),
+        ("n", "d"): (0, 1, ["ARRAY"], ["[1,2]"]), ("m", "b"): (0, 9, ["STRING"], ["0", "1"]),
+    }
+    assert nested.nested_profile(df.limit(0), ["n"]).count() == 0
+
+
+def test_forest(spark):
+    """Two classes that one cut parts, and a class of its own in a corner: a forest finds both out of fold."""
+    r = random.Random(3)
+    rows = [(i, [r.random(), r.random()]) for i in range(300)]
+    df = spark.createDataFrame([(i, v, 2 if v[0] > 0.7 and v[1] > 0.7 else int(v[0] > 0.5), i % 3) for i, v in rows], "k long, v array<double>, y int, fold int")
+    out = model.cross_validate(df, "v", "y", "fold", lambda: model.classifier("forest", 2, 3))
+    assert out.count() == 300 and out.where("prediction = y").count() > 270
+    assert all(abs(sum(x["probs"]) - 1) < 1e-9 for x in out.limit(20).collect())
