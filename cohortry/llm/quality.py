@@ -28,10 +28,11 @@ _NO_SIGNS = bytes(c for c in range(256) if _LETTERED[c] != 48)
 _UPPER, _LETTERS = bytes(range(65, 91)), bytes([*range(65, 91), *range(97, 123)])
 
 #: Scripts that do not part words by spaces: Thai to Myanmar, Khmer, Tai, Balinese, kana, ideographs, Yi, Javanese.
-_UNSPACED = re.compile(
+UNSPACED = (
     "[\u0e00-\u109f\u1780-\u17ff\u1950-\u19df\u1a20-\u1aaf\u1b00-\u1b7f\u3005-\u3007\u3040-\u312f\u31a0-\u31bf\u31f0-\u31ff"
     "\u3400-\u4dbf\u4e00-\ua4cf\ua980-\ua9df\uaa60-\uaa7f\uf900-\ufaff\uff66-\uff9d\U00020000-\U0003ffff]"
 )
+_UNSPACED = re.compile(UNSPACED)
 
 
 class Text:

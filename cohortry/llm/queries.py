@@ -21,7 +21,7 @@ from .packing import pack
 from .pieces import PieceTable, encode
 from .pii import KINDS as PII_KINDS
 from .pii import pii_scan
-from .quality import quality_cascade
+from .quality import UNSPACED, quality_cascade
 from .secrets import secret_scan
 from .sharding import kd_shards
 
@@ -152,12 +152,13 @@ r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, x, y,
 cover AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, range(3) s(k) GROUP BY 1),
 m AS (SELECT w.doc_id, len(ws) AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
   coalesce(dup, 0) AS n_dup_lines, coalesce(cover.n, 0) AS n_repeat_words, coalesce(ls.n, 0) AS n_lines, coalesce(dots, 0) AS dots, coalesce(bullets, 0) AS bullets,
-  len(list_filter(ws, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS lettered, length(text) - length(replace(text, '!', '')) AS exclaims,
+  len(list_filter(ws, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS lettered,
+  2 * len(list_filter(regexp_extract_all(text, '{UNSPACED}'), lambda x: regexp_matches(x, '\p{{L}}'))) <= len(regexp_extract_all(text, '\p{{L}}')) AS spaced, length(text) - length(replace(text, '!', '')) AS exclaims,
   length(text) - length(regexp_replace(text, '[A-Za-z]', '', 'g')) AS letters, length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS upper
   FROM w LEFT JOIN ls USING (doc_id) LEFT JOIN cover USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > 3 * n_words OR letters >= 50 AND 10 * upper > 6 * letters OR 10 * exclaims > 4 * n_words
-    OR word_chars < 2 * n_words OR word_chars > 25 * n_words OR 10 * n_dup_lines > 5 * n_lines
+    OR word_chars < 2 * n_words OR word_chars > 25 * n_words AND spaced OR 10 * n_dup_lines > 5 * n_lines
     OR 10 * dots > 5 * n_lines OR 10 * bullets > 9 * n_lines AND n_lines >= 5 OR 10 * lettered < 6 * n_words) AS kept
 FROM m""",
     "op4_cover_tree": f"""

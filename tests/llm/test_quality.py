@@ -110,3 +110,21 @@ def test_time_grows_with_the_text():
 def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a b", 5, "x")], "doc_id long, text string, n_words int, kept string")
     assert quality_cascade(df, keep=("n_words", "kept")).columns.count("n_words") == 1
+
+
+def test_sql_on_scripts_without_spaces(spark, tmp_path):
+    """The registered SQL and the code agree on Chinese, Thai and Japanese texts, and on long words of scripts with spaces."""
+    import duckdb
+
+    from cohortry.llm.queries import ORACLES
+
+    run = lambda lo, n, k: "".join(chr(lo + (7 * i + k) % n) for i in range(33))
+    texts = [" ".join(run(lo, n, k) for k in range(60)) for lo, n in ((0x4E00, 3000), (0x0E01, 46), (0x3042, 80), (0x61, 26), (0x430, 32))]
+    texts += [texts[0][:1200] + " " + texts[4][:800], "", None, texts[1] + " 123 ,,, "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df.coalesce(1).write.parquet(str(tmp_path / "d"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    want = {r[0]: r[-1] for r in db.execute(ORACLES["op2_quality_rules"]).fetchall()}
+    got = {r["doc_id"]: r["kept"] for r in quality_cascade(df).collect()}
+    assert got == want and got[0] and got[1] and got[2] and not got[3] and not got[4]

@@ -6,6 +6,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(__file__))
 
+from cohortry.llm.quality import UNSPACED  # noqa: E402
 from test_line_dedup import brute as _lines  # noqa: E402
 from test_ngram_join import brute as brute_classes  # noqa: E402, F401
 from test_quality import brute as _quality  # noqa: E402
@@ -28,5 +29,5 @@ def brute_kept(text):
     lettered = [w for w in words if re.search(r"[A-Za-z]|[^\x00-\x7F]", w)]
     return not (
         n < 3 or 100 * repeat > 50 * n or 10 * symbols > 3 * n or len(letters) >= 50 and 10 * len(upper) > 6 * len(letters) or 10 * t.count("!") > 4 * n
-        or chars < 2 * n or chars > 25 * n or 10 * dup > 5 * len(lines) or 10 * len(dots) > 5 * len(lines) or 10 * len(bullets) > 9 * len(lines) and len(lines) >= 5 or 10 * len(lettered) < 6 * n
+        or chars < 2 * n or chars > 25 * n and 2 * sum(map(str.isalpha, re.findall(UNSPACED, t))) <= sum(map(str.isalpha, t)) or 10 * dup > 5 * len(lines) or 10 * len(dots) > 5 * len(lines) or 10 * len(bullets) > 9 * len(lines) and len(lines) >= 5 or 10 * len(lettered) < 6 * n
     )
