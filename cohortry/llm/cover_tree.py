@@ -144,6 +144,101 @@ def _unit(vectors) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
+def _net(x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """(center's place, distance to it) of each point: centers lie more than ``radius`` apart, and each point is within it of its own."""
+    own, far, left = np.full(len(x), -1), np.zeros(len(x)), np.arange(len(x))
+    while len(left):
+        d = np.sqrt(((x[left] - x[left[0]]) ** 2).sum(axis=1))
+        on = d <= radius
+        own[left[on]], far[left[on]] = left[0], d[on]
+        left = left[~on]
+    return own, far
+
+
+def _near_points(placed: DataFrame, centers: dict[tuple, np.ndarray], reach: float, block: int, kind: str) -> DataFrame:
+    """(label, d, x, y, second, p, m, v): the points that each pair of blocks has to compare, ``second`` those of ``y``; pairs of a block with itself have all its points.
+
+    Cells are parted into blocks around pivots of their own, and each block has a net of centers, a level of small radius whose members lie close to their center.
+    Bounds of whole blocks decide which centers meet, and bounds of centers which points do: a point goes to another block only if a center there may have a partner of its center.
+    """
+    spark = placed.sparkSession
+    group = ["label", "d", "cell"]
+    cells = Written(placed.groupBy(*group).agg(F.count("*").alias("n"), F.max("far").alias("r"), F.bool_or("own").alias("own")), "cells").df
+    # one row a cell with a pivot, so that their number is that of the pivots at most
+    radii = {k: np.full(len(c), -np.inf) for k, c in centers.items()}
+    for r in cells.where("own").select("label", "d", "cell", "r").collect():
+        radii[(r["label"], r["d"])][r["cell"]] = r["r"]
+
+    def walk(frames):
+        levels: dict[tuple, tuple[Levels, np.ndarray]] = {}
+        for f in frames:
+            for label, d, cell in zip(f["label"], f["d"], f["cell"]):
+                k = (label, int(d))
+                if k not in levels:
+                    # pivots that no point is nearest to cover nothing
+                    held = np.flatnonzero(radii[k] > -np.inf)
+                    levels[k] = (Levels(centers[k][held], radii[k][held]), held)
+                tree, held = levels[k]
+                other = held[tree.near(int(np.searchsorted(held, cell)), reach)]
+                if len(other):
+                    yield pd.DataFrame({"label": [label] * len(other), "d": int(d), "cell": int(cell), "other": other})
+
+    walked = cells.where("own").select(*group).repartition(max(1, sum(map(len, centers.values())) // 64))
+    near = walked.mapInPandas(walk, f"label {kind}, d int, cell int, other int").union(cells.select(*group, F.col("cell").alias("other")))
+
+    # pivots of large cells, some 1,024 at most, against parts of the cell
+    h = F.pmod(F.xxhash64("k2", "k1"), F.lit(1 << 30))
+    large = cells.where(F.col("n") > block).select(*group, "n", F.least(F.lit(1024), F.ceil(2 * F.col("n") / block)).alias("want"), F.ceil(F.col("n") / 16384).alias("times"))
+    here = Written(placed.join(large, group, "left"), "here").df
+    pivots = here.where(F.col("want").isNotNull() & (h < F.col("want") / F.col("n") * (1 << 30))).select(*group, "v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)).alias("part"))
+    points = here.where("want is not null").select(*group, F.pmod(F.hash("k1", "k2"), F.col("times")).alias("part"), "p", "m", "v")
+    flat = f"label {kind}, d int, cell int, p long, m long, v array<double>"
+
+    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        sub = (_unit(a["v"]) @ _unit(b["v"]).T).argmax(axis=1) if len(a) and len(b) else np.zeros(len(a))
+        return a.drop(columns="part").assign(sub=sub.astype(np.int32))[[*group, "p", "m", "v", "sub"]]
+
+    key = [*group, "part"]
+    parted = points.groupBy(*key).cogroup(pivots.select(*key, "v").groupBy(*key)).applyInPandas(nearest, f"{flat}, sub int")
+    parted = Written(parted.unionByName(here.where("want is null").select(*group, "p", "m", "v", F.lit(0).alias("sub"))), "parted").df
+    many = parted.groupBy(*group, "sub").agg(F.ceil(F.count("*") / (2 * block)).alias("salts"))
+    salted = parted.join(many, [*group, "sub"]).withColumn("block", F.xxhash64(*group, "sub", F.pmod(F.xxhash64("p"), F.col("salts"))))
+
+    def net(f: pd.DataFrame) -> pd.DataFrame:
+        x = _unit(f["v"])
+        own, far = _net(x, reach / 4)
+        middle = x.mean(axis=0)
+        wide = float(np.sqrt(((x - middle) ** 2).sum(axis=1)).max())
+        balls = [middle] + [None] * (len(f) - 1)
+        return f[[*group, "block", "p", "m", "v"]].assign(c=f["p"].to_numpy()[own], far=far, middle=balls, wide=[wide] + [None] * (len(f) - 1))
+
+    netted = Written(salted.select(*group, "block", "p", "m", "v").groupBy(*group, "block").applyInPandas(net, f"label {kind}, d int, cell int, block long, p long, m long, v array<double>, c long, far double, middle array<double>, wide double"), "netted").df
+    ball = netted.where("middle is not null").select(*group, "block", "middle", "wide")
+    one, two = (ball.select("label", "d", F.col("cell").alias(c), F.col("block").alias(k), F.col("middle").alias(f"m{k}"), F.col("wide").alias(f"w{k}")) for c, k in (("cell", "x"), ("other", "y")))
+    apart = F.sqrt(F.aggregate(F.zip_with("mx", "my", lambda s, t: (s - t) * (s - t)), F.lit(0.0), lambda s, t: s + t))
+    pairs = near.join(one, group).join(two, ["label", "d", "other"]).where(F.col("x") < F.col("y")).where(apart <= F.col("wx") + F.col("wy") + reach + 1e-9)
+    pairs = Written(pairs.select("label", "d", "x", "y").distinct(), "blockpairs").df
+
+    # centers of both blocks meet; of each the ones that may have a partner come back
+    reps = netted.groupBy("label", "d", "block", "c").agg(F.max("far").alias("r")).join(netted.select("label", "d", "block", F.col("p").alias("c"), "v"), ["label", "d", "block", "c"])
+    reps = Written(reps, "reps").df
+    sent = [pairs.select("label", "d", "x", "y", F.col(k).alias("block"), F.lit(k == "y").alias("second")) for k in "xy"]
+    meet = sent[0].union(sent[1]).join(reps, ["label", "d", "block"])
+
+    def touch(f: pd.DataFrame) -> pd.DataFrame:
+        a, b = f[~f["second"]], f[f["second"]]
+        x, y = _unit(a["v"]), _unit(b["v"])
+        d = np.sqrt(np.maximum(0.0, 2 - 2 * x @ y.T))
+        on = d <= a["r"].to_numpy()[:, None] + b["r"].to_numpy()[None, :] + reach + 1e-7
+        got = pd.concat([a[on.any(axis=1)], b[on.any(axis=0)]])
+        return got[["label", "d", "x", "y", "block", "second", "c"]]
+
+    touched = meet.groupBy("label", "d", "x", "y").applyInPandas(touch, f"label {kind}, d int, x long, y long, block long, second boolean, c long")
+    across = touched.join(netted.select("label", "d", "block", "c", "p", "m", "v"), ["label", "d", "block", "c"]).select("label", "d", "x", "y", "second", "p", "m", "v")
+    inside = netted.select("label", "d", F.col("block").alias("x"), F.col("block").alias("y"), F.lit(False).alias("second"), "p", "m", "v")
+    return Written(across.union(inside), "nearpoints").df
+
+
 def embedding_links(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.93, block: int = 1024, max_pivots: int = 4096
 ) -> DataFrame:
@@ -194,43 +289,16 @@ def embedding_links(
     kind = points.df.schema["g"].dataType["label"].dataType.simpleString()
     flat = points.df.select("p", "id", "m", "v", F.col("g.label").alias("label"), F.col("g.d").alias("d"), "k1", "k2")
     placed = Written(flat.mapInPandas(place, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in flat.schema) + ", cell int, far double, own boolean"), "placed")
-    cells = placed.df.groupBy("label", "d", "cell").agg(F.count("*").alias("n"), F.max("far").alias("r"), F.bool_or("own").alias("own"))
-    cells = Written(cells.withColumn("s", F.ceil(F.col("n") / block).cast("int")), "cells")
-    # pairs of cells: every one with itself; others of a label only where the bounds allow a link
     reach = math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-9
-    # one row a cell with a pivot, so that their number is that of the pivots at most
-    radii = {k: np.full(len(c), -np.inf) for k, c in centers.items()}
-    for r in cells.df.where("own").select("label", "d", "cell", "r").collect():
-        radii[(r["label"], r["d"])][r["cell"]] = r["r"]
-
-    def walk(frames):
-        levels: dict[tuple, Levels] = {}
-        for f in frames:
-            for label, d, cell in zip(f["label"], f["d"], f["cell"]):
-                k = (label, int(d))
-                if k not in levels:
-                    # pivots that no point is nearest to cover nothing
-                    held = np.flatnonzero(radii[k] > -np.inf)
-                    levels[k] = (Levels(centers[k][held], radii[k][held]), held)
-                tree, held = levels[k]
-                other = held[tree.near(int(np.searchsorted(held, cell)), reach)]
-                if len(other):
-                    yield pd.DataFrame({"label": [label] * len(other), "d": int(d), "cell": int(cell), "other": other})
-
-    walked = cells.df.where("own").select("label", "d", "cell").repartition(max(1, sum(map(len, centers.values())) // 64))
-    near = walked.mapInPandas(walk, f"label {kind}, d int, cell int, other int")
-    there = cells.df.select("label", "d", F.col("cell").alias("other"), F.col("s").alias("so"))
-    pairs = near.join(there, ["label", "d", "other"]).select("label", "d", "cell", "other", "so")
-    pairs = pairs.union(cells.df.select("label", "d", "cell", F.col("cell").alias("other"), F.col("s").alias("so")))
-    pairs = pairs.join(cells.df.select("label", "d", "cell", "s"), ["label", "d", "cell"])
-    mine = placed.df.join(Written(pairs, "cellpairs").df, ["label", "d", "cell"]).withColumn("salt", F.pmod(F.hash("k2", "k1"), F.col("s")))
-    mine = mine.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("so") - 1)))
-    here, there = F.struct("cell", F.col("salt").alias("salt")), F.struct(F.col("other").alias("cell"), F.col("j").alias("salt"))
-    mine = mine.select("label", "d", F.least(here, there).alias("x"), F.greatest(here, there).alias("y"), (here > there).alias("second"), "p", "m", "v")
-    mine = mine.select(F.xxhash64("label", "d", "x", "y").alias("task"), "label", "d", "x", "y", (F.col("x") == F.col("y")).alias("same"), "second", "p", "m", "v")
+    if total:
+        mine = _near_points(placed.df, centers, reach, block, kind)
+    else:
+        # every group is a block of its own
+        whole = F.xxhash64("label", "d")
+        mine = placed.df.select("label", "d", whole.alias("x"), whole.alias("y"), F.lit(False).alias("second"), "p", "m", "v")
 
     def link(f: pd.DataFrame) -> pd.DataFrame:
-        same = bool(f["same"].iat[0])
+        same = f["x"].iat[0] == f["y"].iat[0]
         one, two = f[~f["second"]], f[f["second"]]
         if same:
             two = one
@@ -253,7 +321,7 @@ def embedding_links(
             out["to"] = [*([None] * len(on)), *(ids[v] for _, v in edges)]
         return pd.DataFrame({"p": pd.array(out["p"], "Int64"), "links": pd.array(out["links"], "Int64"), "to": pd.array(out["to"], "Int64")})
 
-    got = Written(mine.groupBy("task", "label", "d", "x", "y").applyInPandas(link, "p long, links long, to long"), "embedlinks")
+    got = Written(mine.groupBy("label", "d", "x", "y").applyInPandas(link, "p long, links long, to long"), "embedlinks")
     count = got.df.groupBy("p").agg(F.sum("links").alias("links"))
     roots = components(got.df.where("to is not null").select("p", "to"))
     named = Written(points.df.select("p", "k1", "k2", "id", "m").join(count, "p", "left").join(roots.df.withColumnRenamed("node", "p"), "p", "left").withColumn("root", F.coalesce("root", "p")), "named")

@@ -4,6 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from cohortry.llm import cover_tree as cover_tree_module
 from cohortry.llm.cover_tree import Levels, cover_tree, dual_links, embedding_links
 from cohortry.llm.queries import op4_cover_tree
 
@@ -126,3 +127,16 @@ def test_copies_are_one_point(spark):
 def test_query(spark, sf):
     rows = [(r["vec_id"], r["embedding"], r["label"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in op4_cover_tree(spark, sf).collect()) == brute(rows)
+
+
+def test_points_of_tight_clusters_are_sent_once_or_twice(spark, monkeypatch):
+    """Few cells of many clusters that no bound of cells can part: centers decide, and points stay in their block but for cut clusters."""
+    r = np.random.default_rng(9)
+    c = r.normal(size=(500, 24))
+    x = c[np.arange(2000) % 500] + 0.002 * r.normal(size=(2000, 24))
+    rows = [(i, [float(a) for a in v], 1) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    sent, plain = [], cover_tree_module._near_points
+    monkeypatch.setattr(cover_tree_module, "_near_points", lambda *a: sent.append(plain(*a)) or sent[-1])
+    assert got(df, block=50, max_pivots=3) == brute(rows)
+    assert sent[0].count() < 1.5 * 2000 and sent[0].select("x").distinct().count() > 20
