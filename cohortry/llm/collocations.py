@@ -75,11 +75,6 @@ def _seed(lang: str) -> np.uint64:
     return np.uint64(xxhash.xxh64_intdigest(lang))
 
 
-def _words(coder: _Coder, lang: str) -> np.ndarray:
-    """A hash of each coded word in its language."""
-    return mixed(coder.hashes ^ _seed(lang))
-
-
 def _pairs(codes: np.ndarray, coder: _Coder, lang: str) -> tuple[np.ndarray, np.ndarray]:
     """(whether each word but the last is followed by one of its piece, hashes of these pairs)."""
     h = coder.hashes[codes]
@@ -108,33 +103,23 @@ def _pair_counts(batches):
         codes = coder.codes(section)
         on, pairs = _pairs(codes, coder, lang)
         h, n = np.unique(pairs[on], return_counts=True)
-        single = np.bincount(codes)
-        single[0] = 0
-        met = np.flatnonzero(single)
-        h, n = np.concatenate([h, _words(coder, lang)[met]]), np.concatenate([n, single[met]])
         yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names=["h", "n"])
 
 
 def _windows(bitmap, bits: int, longest: int):
-    """Windows of ``longest`` words from each word on, padded with "" behind the piece's end and behind a pair that cannot be frequent.
-
-    Of a word that cannot be frequent itself the window is all padding: it counts among the language's words alone.
-    """
+    """Windows of ``longest`` words from each word on, padded with "" behind the piece's end and behind a pair that cannot be frequent."""
 
     def run(batches):
         mask = np.frombuffer(bitmap.value, np.uint8)
         coder = _Coder()
 
-        def may(h: np.ndarray) -> np.ndarray:
-            slot = (h & np.uint64(bits - 1)).view(np.int64)
-            return (mask[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
-
         for lang, section in _by_lang(batches):
             codes = coder.codes(section)
             if not len(codes):
                 continue
             on, pairs = _pairs(codes, coder, lang)
-            on &= may(pairs)
+            slot = (pairs & np.uint64(bits - 1)).view(np.int64)
+            on &= (mask[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
             going = np.append(on, False)
             alone = np.bincount(codes[~going])
             alone[0] = 0
@@ -148,15 +133,13 @@ def _windows(bitmap, bits: int, longest: int):
             rows = [c[order] for c in lead]
             new = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in rows], axis=0)]) if len(order) else np.zeros(0, np.int64)
             n = np.diff(np.r_[new, len(order)])
-            own = np.flatnonzero(alone)
-            rare = ~may(_words(coder, lang)[own])
-            single, k = own[~rare], alone[own[~rare]]
+            single = np.flatnonzero(alone)
             words = pa.array([b"", *coder.words[1:]], pa.binary()).cast(pa.string())
-            zeros = np.zeros(len(single) + 1, np.int64)
-            heads = np.r_[rows[0][new], single, 0]
+            zeros = np.zeros(len(single), np.int64)
+            heads = np.r_[rows[0][new], single]
             cols = [heads, *[np.r_[c[new], zeros] for c in rows[1:]]]
             cols = [words.take(pa.array(c)) for c in cols]
-            n = np.r_[n, k, alone[own[rare]].sum()].astype(np.int64)
+            n = np.r_[n, alone[single]].astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), *cols, pa.array(n)], names=["lang", *[f"w{i + 1}" for i in range(longest)], "n"])
 
     return run
@@ -178,7 +161,7 @@ def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
 
     Windows of the longest size are counted alone; a roll-up over their words sums up the counts of all prefixes. A phrase is as frequent as its
     rarest pair of neighbours at most: a first pass counts pairs by 64-bit hashes, and windows end before a pair whose bit is not set. Pairs that
-    share a bit or a hash with a frequent one only make a window longer than it need be, so counts are exact. Words are filtered alike.
+    share a bit or a hash with a frequent one only make a window longer than it need be, so counts are exact.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
