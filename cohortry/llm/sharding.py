@@ -23,7 +23,7 @@ _DIGIT, _PASSES = 13, 4
 _TIE_BITS, _DIM_BITS = 32, 20
 #: A cut is exact enough when what it misses is below this part of its node.
 _MISS = 1e-5
-#: Strings are ordered by this many bytes behind the prefix that all values share, within so many characters.
+#: Strings are ordered by this many bytes behind the prefix that all values share, and kept for that by so many characters.
 _CODE_BYTES, _CODE_CHARS = 6, 64
 
 
@@ -43,6 +43,10 @@ def _shared_prefix(a: str, b: str) -> int:
     return next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
 
 
+def _shared_chars(a: str | None, b: str | None) -> int:
+    return next((i for i, (x, y) in enumerate(zip(a or "", b or "")) if x != y), min(len(a or ""), len(b or "")))
+
+
 def _code(c: str, skip: int) -> Column:
     """Strings as numbers in the order of their bytes."""
     own = F.hex(F.substring(F.col(c).cast("binary"), skip + 1, _CODE_BYTES))
@@ -134,7 +138,7 @@ def kd_shards(
     Give ``shards``, or ``target_bytes`` for as many leaves as the bytes need. Equal texts share a shard, unless together
     they hold over ``slack`` of an average shard: such a group is dealt out in parts of that size, as sizes could not be near
     equal otherwise. A unit of equal texts lies at the smallest of its rows' values in each dimension. Strings are ordered
-    by their bytes behind the prefix that all share; other values are taken as numbers. Dimensions that the table lacks
+    by the first six bytes behind the prefix that all share, however long it is, and by a hash among equal ones; other values are taken as numbers. Dimensions that the table lacks
     are left out; the size is always one. Ties in a dimension are ordered by a hash of the text.
 
     Nulls: a null text has no bytes (size 1, checksum 0) and equals an empty one; a null dimension counts as its smallest value;
@@ -145,7 +149,10 @@ def kd_shards(
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     own = [c for c in dims if c in docs.columns]
     words = {f"c{i + 1}" for i, c in enumerate(own) if dict(docs.dtypes)[c] in ("string", "binary")}
-    value = lambda i, c: F.substring(F.col(f"`{c}`").cast("string"), 1, _CODE_CHARS) if f"c{i + 1}" in words else F.col(f"`{c}`").cast("double")
+    # what all values of a string dimension share, however long, is passed over
+    ends = docs.agg(F.lit(0), *[f(F.col(f"`{c}`").cast("string")) for i, c in enumerate(own) if f"c{i + 1}" in words for f in (F.min, F.max)]).first()[1:]
+    shared = {k: _shared_chars(lo, hi) for k, lo, hi in zip([f"c{i + 1}" for i in range(len(own)) if f"c{i + 1}" in words], ends[::2], ends[1::2])}
+    value = lambda i, c: F.substring(F.col(f"`{c}`").cast("string"), shared[f"c{i + 1}"] + 1, _CODE_CHARS) if f"c{i + 1}" in words else F.col(f"`{c}`").cast("double")
     raw = docs.select(
         F.col(f"`{id_col}`").alias("id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),

@@ -147,3 +147,15 @@ def test_odd_rows(odd, none):
 def test_query(spark, sf):
     got = op1_kd_shards(spark, sf)
     assert got.columns[:7] == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"] and got.count() == 200
+
+
+def test_long_shared_prefixes_part_by_what_follows(spark):
+    """Sources that agree in 200 characters are still a dimension: the first half of their order fills the first shard."""
+    rows = [(i, f"text number {i:04}", "https://host.example/" + "x" * 180 + f"/{chr(97 + i % 20)}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = {r["doc_id"]: r["shard"] for r in kd_shards(df, dims=("source",), shards=2).collect()}
+    by = {}
+    for i, _, s in rows:
+        by.setdefault(s[-1], set()).add(got[i])
+    assert sum(len(v) > 1 for v in by.values()) <= 1 and sorted(map(len, (set(k for k, v in by.items() if v == {n}) for n in (0, 1))))[0] >= 9
+
