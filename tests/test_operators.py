@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortry.functions import numeric as N
 from cohortry.functions import text as X
-from cohortry.operators import consensus, contracts, evaluate, extract, features, model, nested, profile, quantiles, report, rules, simulate, vectors
+from cohortry.operators import cluster, consensus, contracts, evaluate, extract, features, model, nested, profile, quantiles, report, rules, simulate, vectors
 
 
 def one(spark, col, **values):
@@ -314,17 +314,16 @@ def test_schema_of_extractions(spark):
 
 def test_tfidf_weights(spark):
     """Against the formula: ln((1 + n) / (1 + df)) + 1 times the count, rows of unit length; a term of all texts keeps a weight."""
-    from pyspark.ml.feature import CountVectorizer
-
-    texts = [["all", "one", "one"], ["all", "two"], ["all", "two", "three"]]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, __t array<string>")
-    rows, width = model.tfidf(df, CountVectorizer(inputCol="__t", outputCol="__c", minDF=1))
-    assert width == 4
-    weight = {t: math.log(4 / (1 + sum(t in x for x in texts))) + 1 for t in ("all", "one", "two", "three")}
-    for r in rows.select("k", "__n").collect():
-        own = {t: texts[r["k"]].count(t) * weight[t] for t in set(texts[r["k"]])}
+    texts = ["all one one", "all two", "all two three"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    rows, terms = cluster.term_rows(df, "t", min_df=1)
+    units = [t.split() + [" ".join(p) for p in zip(t.split(), t.split()[1:])] for t in texts]
+    assert {r["term"] for r in terms.collect()} == {u for x in units for u in x}
+    weight = {u: math.log(4 / (1 + sum(u in x for x in units))) + 1 for x in units for u in x}
+    for r in rows.collect():
+        own = {u: units[r["id"]].count(u) * weight[u] for u in set(units[r["id"]])}
         norm = math.sqrt(sum(v * v for v in own.values()))
-        assert np.allclose(sorted(x for x in r["__n"].toArray() if x), sorted(v / norm for v in own.values()))
+        assert np.allclose(sorted(r["x"]), sorted(v / norm for v in own.values()))
 
 
 def test_projections_and_clusters(spark):
