@@ -27,7 +27,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that no rule rejects. A short text is no junk: of the base the stage takes repetition, and asks for a few words only.
 
     Null and empty texts have no words and go; so do all copies of a text that is rejected, as repeated rows get equal verdicts. Null ids
-    are judged like others, very long texts whole. An empty table gives an empty one; other columns than ``COLUMNS`` are left out.
+    are judged like others, very long texts whole. A text exactly at a rule's bound stays. An empty table gives an empty one; other columns than ``COLUMNS`` are left out,
+    so that their names do not matter.
     """
     return quality_cascade(docs, first=FIRST_RULES, keep=COLUMNS, measures=False).where("kept").select(*COLUMNS)
 
@@ -37,7 +38,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     No row goes: a text all of whose lines go, and a null one, become empty. Rows of one id are one document, rows without an id
     count as none but lose lines as well. Lines that ten documents hold exactly go. Very long texts are read whole; an empty table gives an
-    empty one.
+    empty one. Other columns than ``COLUMNS`` are left out, so that their names do not matter.
     """
     got = drop_common_lines(docs.select(*COLUMNS))
     return got.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast("long")).select(*COLUMNS)
@@ -48,7 +49,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     A document is an id with a text, so that rows without an id, and different texts of one id, are told apart; rows with
     an id come before those without. Of rows equal in both one stays. Texts without words link with nothing and stay, null ones too;
-    pairs at the threshold itself are near-duplicates. Very long texts are compared whole; an empty table gives an empty one.
+    pairs at the threshold itself are near-duplicates. Very long texts are compared whole; an empty table gives an empty one. Other columns than ``COLUMNS`` are
+    left out, so that their names do not matter.
     """
     # cast to what it is read back as, so that texts are dealt by it once
     kind = f"struct<none:boolean,doc_id:{docs.schema['doc_id'].dataType.simpleString()},text:bigint>"
@@ -64,14 +66,16 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample whose sources, languages and topics are raked to tempered shares.
 
     Null sources and languages are values like others. Texts without words take their cell's probability, or 1 in a cell without any.
-    Repeated rows are drawn alike, rows without an id by their text. An empty table gives an empty one.
+    Repeated rows are drawn alike, rows without an id by their text. A draw equal to the probability does not take the document. Very long texts count by all their words. An empty
+    table gives an empty one; other columns than ``COLUMNS`` are left out, so that their names do not matter.
     """
     return mix(docs.select(*COLUMNS)).where("sampled").select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of pieces of each document: ``doc_id``, ``n_tokens``, ``ids``. Null and empty texts have none; null ids and repeated rows stay; an empty table
-    gives an empty one."""
+    gives an empty one. Paths of equal scores are told apart as the format's library does. Very long texts are encoded whole. Other columns are not read, so that their names do not
+    matter."""
     return encode(docs, piece_table())
 
 
