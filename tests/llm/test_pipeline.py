@@ -63,3 +63,26 @@ def test_odd_and_empty(spark, odd, none):
                 assert {(r["doc_id"], r["text"] or "") for r in rows} <= texts
             docs = spark.createDataFrame(rows, out.schema)
     assert mix(none).count() == 0
+
+
+def test_mixing_as_sql(spark, small, tmp_path):
+    """The stage's sample is that of the query's SQL over the same rows."""
+    import duckdb
+
+    from cohortry.llm.queries import ORACLES
+
+    small.coalesce(1).write.parquet(str(tmp_path / "d"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    got = db.execute(f"SELECT doc_id FROM ({ORACLES['op6_mixing']}) WHERE sampled").fetchall()
+    assert sorted(r["doc_id"] for r in p.mixing(spark, small, "").collect()) == sorted(k for (k,) in got)
+
+
+def test_clashing_columns(spark, small):
+    docs = small.limit(40).cache()
+    wide = docs
+    for name in ("key", "component_id", "kept", "rk", "node", "t", "k0", "topic", "sampled", "n_tokens", "ids", "kept_text", "TEXT2"):
+        wide = wide.selectExpr("*", f"5 as {name}")
+    for _, stage in p.STAGES:
+        a, b = (sorted(map(repr, stage(spark, d, "").collect())) for d in (docs, wide))
+        assert a == b
