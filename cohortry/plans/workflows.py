@@ -215,7 +215,7 @@ def extraction_labels(df: DataFrame, key: str, columns: list[str], client=extrac
     ready = features.assemble(features.standardize(full, names), key, names).cache()
     fitted, rows = model.kmeans(ready, "features", max(1, min(k, ready.count())), (seed,))
     d = F.array_min(vectors.distances(F.col("features"), [[float(x) for x in c] for c in fitted.clusterCenters()]))
-    near = rows.join(ready, key)
+    near = rows
     name = F.concat(F.lit("Drug_"), (F.col("cluster") + 1).cast("string"))
     labels = near.select(key, name.alias("label"), N.inverse_distance_confidence(d).alias("confidence"), "cluster")
     return labels, got.where("error is not null").select(key, "error")
