@@ -62,13 +62,21 @@ def test_nested_features_find_keys_and_values(encounters):
     assert "vitals__hr_std" not in got.columns
 
 
-def test_symptoms_and_extraction(encounters):
+def test_symptoms_and_extraction(encounters, tmp_path):
     s = {r["label"] for r in W.symptom_labels(encounters, "encounter_id", F.col("hpi")).collect()}
     assert "Drug_1" in s and "No_Party_Drug" in s
     labels, errors = W.extraction_labels(encounters, "encounter_id", ["hpi"], k=3)
     assert labels.count() == 90 and errors.count() == 0
     rows = labels.collect()
     assert all(0 < r["confidence"] <= 1 for r in rows) and len({r["label"] for r in rows}) == 3
+    logged = W.extraction_labels(encounters, "encounter_id", ["hpi"], k=3, log=str(tmp_path / "log"))[0]
+    assert sorted(logged.collect()) == sorted(rows)
+
+    def silent(prompt):
+        raise AssertionError("asked again")
+
+    again, errors = W.extraction_labels(encounters, "encounter_id", ["hpi"], client=silent, k=3, log=str(tmp_path / "log"))
+    assert errors.count() == 0 and sorted(again.collect()) == sorted(rows)
 
 
 def test_cross_validation(encounters):
