@@ -16,6 +16,8 @@ n-grams, and only where it can matter:
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +28,8 @@ from .components import components
 from .hashing import ROOT, mixed, powers
 
 _CHUNK = 2_000_000
+#: Bits of the mark of a set, a power of two.
+_BITS = 2048
 
 
 #: A random 64-bit value for each byte, the same for A-Z as for a-z, and none for white space.
@@ -93,6 +97,12 @@ def _sets(b: pa.RecordBatch, width: int):
         yield from zip(s.column(0).to_pylist(), ngram_sets(s.column(1).to_pylist(), width))
 
 
+def mark_of(grams: np.ndarray) -> np.ndarray:
+    """The parity of a set's n-grams in each of ``_BITS`` places: the marks of two sets differ in no more places than the sets in n-grams."""
+    odd = np.bincount((grams & np.uint64(_BITS - 1)).astype(np.int64), minlength=_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _marks(heavy: np.ndarray) -> np.ndarray:
     """Which leading 20 bits ``heavy`` n-grams have: a first test before the search."""
     out = np.zeros(1 << 20, bool)
@@ -272,7 +282,7 @@ class _Join:
         return Written(p.mapInArrow(shared, "gram long, node long, n int, lead long, n_lead int"), "incidence")
 
     def sets(self, nodes: DataFrame, reps: DataFrame) -> Written:
-        """(node, grams): the whole sets of ``nodes``, and of up to a sixteenth of all others. Of all texts only those that a bitmap of their row keys lets through are hashed again."""
+        """(node, grams, mark): the whole sets of ``nodes``, and their marks, and of up to a sixteenth of all others. Of all texts only those that a bitmap of their row keys lets through are hashed again."""
         asked = Written(nodes.join(reps, "node"), "asked")
         bits, width = self.bits, self.width
         bloom = self.spark.sparkContext.broadcast(_bloom(asked.df.select("rk"), bits).tobytes())
@@ -295,13 +305,16 @@ class _Join:
                     if rows:
                         off = np.cumsum([0, *(len(g) for *_, g in rows)]).astype(np.int32)
                         flat = np.concatenate([g for *_, g in rows]).view(np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array([k for k, *_ in rows], pa.int64()), pa.array([x for _, x, _ in rows], pa.int64()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], names=["rk", "node", "grams"])
+                        marks = np.concatenate([mark_of(g) for *_, g in rows])
+                        at_mark = np.arange(len(rows) + 1, dtype=np.int32) * (_BITS // 64)
+                        lists = [pa.ListArray.from_arrays(pa.array(o), pa.array(x)) for o, x in ((off, flat), (at_mark, marks))]
+                        yield pa.RecordBatch.from_arrays([pa.array([k for k, *_ in rows], pa.int64()), pa.array([x for _, x, _ in rows], pa.int64()), *lists], names=["rk", "node", "grams", "mark"])
 
-        found = self.docs.select("rk", "t", _slot(bits).alias("h")).mapInArrow(read, "rk long, node long, grams array<long>")
+        found = self.docs.select("rk", "t", _slot(bits).alias("h")).mapInArrow(read, "rk long, node long, grams array<long>, mark array<long>")
         if asked.df.count() * 16 > bits:
             # a full bitmap lets through much that nobody asked for; the few that a sparse one lets through meet no pair
             found = found.join(asked.df, ["rk", "node"], "left_semi")
-        out = Written(found.select("node", "grams"), "sets")
+        out = Written(found.select("node", "grams", "mark"), "sets")
         asked.drop(), bloom.destroy()
         size = out.df.agg(F.count("*").alias("rows"), F.count_distinct("node").alias("nodes")).first()
         if size["rows"] > 1.1 * size["nodes"]:
@@ -311,14 +324,18 @@ class _Join:
         return out
 
     def verified(self, pairs: DataFrame, reps: DataFrame) -> Written:
-        """Of ``pairs`` (a, b, na, nb) those that reach the threshold on whole sets."""
+        """Of ``pairs`` (a, b, na, nb) those that reach the threshold on whole sets. Pairs whose marks differ in too many places are left out first, as a mark is much smaller than a set."""
         held = Written(pairs, "pairs")
         found = self.sets(held.df.select(F.col("a").alias("node")).union(held.df.select("b")).distinct(), reps)
+        a, b = (found.df.select(F.col("node").alias(k), F.col("mark").alias(f"m{k}")) for k in "ab")
+        apart = F.aggregate(F.zip_with("ma", "mb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        n = (F.col("na") + F.col("nb")).cast("long")
+        near = Written(held.df.join(a, "a").join(b, "b").where((self.num + self.den) * (n - apart) >= 2 * self.num * n).select("a", "b", "na", "nb"), "near")
         a, b = (found.df.select(F.col("node").alias(k), F.col("grams").alias(f"g{k}")) for k in "ab")
-        both = held.df.join(a, "a").join(b, "b")
+        both = near.df.join(a, "a").join(b, "b")
         common = F.size(F.array_intersect("ga", "gb")).cast("long")
         links = Written(both.where((self.num + self.den) * common >= self.num * (F.col("na") + F.col("nb")).cast("long")).select("a", "b").distinct(), "links")
-        held.drop(), found.drop()
+        held.drop(), found.drop(), near.drop()
         return links
 
     def classes(self, stars: int = 5) -> DataFrame:
@@ -336,9 +353,9 @@ class _Join:
         before, base = float("inf"), inc
         for at in range(1, stars + 1):
             # n-grams that one class holds never matter again, as classes only grow: each round reads what the one before left
-            known = base.df.select("gram", "node", "n").join(roots.df, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            several = Written(known.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(F.xxhash64("node", F.lit(at))).alias("o"), F.count("*").alias("k")).where("r0 != r1"), "grams")
-            across = Written(known.join(several.df.select("gram", "o", "k"), "gram"), "across")
+            known = base.df.select("gram", "node", "n", F.lit(1).cast("long").alias("w") if at == 1 else "w").join(roots.df, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            several = self.several(known, at)
+            across = Written(known.drop("w").join(several.df, "gram"), "across")
             by = across.df.groupBy("gram", "root").count().groupBy("gram").agg(F.sum("count").alias("s"), F.sum(F.col("count") * F.col("count")).alias("q"))
             left = by.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0
             # another round of leaders only while rounds halve what is left
@@ -347,9 +364,9 @@ class _Join:
             if left and last:
                 links += self.across_links(across.df, reps.df)
             elif left:
-                lead = Written(across.df.where(F.xxhash64("node", F.lit(at)) == F.col("o")).select("gram", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")), "leads")
+                lead = Written(across.df.where(F.xxhash64("node", F.lit(at)) == F.col("o")).select("gram", "w", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")), "leads")
                 star = across.df.select("gram", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb")).join(lead.df, "gram").where("ra != rb").where(self._sizes("na", "nb"))
-                links.append(self.verified(self.counted(star.select("a", "b", "na", "nb")).where(self._can()), reps.df))
+                links.append(self.verified(self.counted(star.select("a", "b", "na", "nb", "w"), "w").where(self._can()), reps.df))
                 lead.drop()
             if left:
                 old, every = roots, links[0].df
@@ -376,32 +393,56 @@ class _Join:
         return own
 
     @staticmethod
-    def counted(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("na").cast("long").alias("na"), F.max("nb").cast("long").alias("nb"))
+    def several(known: DataFrame, at: int) -> Written:
+        """(gram, w, o, k) of n-grams that nodes of several classes hold: how many n-grams the row stands for, the least hash of its nodes, and their number.
+
+        N-grams that the same nodes hold, as all of a repeated line, are one from the first round on: their pairs are made once, and count ``w`` times. Equal lists are told by
+        their number of nodes and the sums of two hashes of 64 bits. Halves of hashes are added up, so that no sum overflows.
+        """
+        half = lambda h: [F.sum(F.shiftrightunsigned(h, 32)), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF)))]
+        sums = [x.alias(f"s{i}") for i, x in enumerate(half(F.xxhash64("node")) + half(F.xxhash64("node", F.lit("list"))))] if at == 1 else []
+        got = known.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(F.xxhash64("node", F.lit(at))).alias("o"), F.count("*").alias("k"), F.max("w").alias("w"), *sums).where("r0 != r1")
+        if sums:
+            got = got.groupBy("k", "s0", "s1", "s2", "s3").agg(F.min("gram").alias("gram"), F.sum("w").alias("w"), F.min("o").alias("o"))
+        return Written(got.select("gram", "w", "o", "k"), "grams")
+
+    @staticmethod
+    def counted(pairs: DataFrame, weight: str | None = None) -> DataFrame:
+        """Pairs once each, with the number of their common n-grams: a row counts 1, or ``weight``."""
+        return pairs.groupBy("a", "b").agg((F.sum(weight) if weight else F.count("*")).alias("c"), F.max("na").cast("long").alias("na"), F.max("nb").cast("long").alias("nb"))
 
     def across_links(self, across: DataFrame, reps: DataFrame) -> list[Written]:
         """Links between nodes of different classes, all of those that join two classes.
 
         N-grams that few nodes hold are joined, and pairs that may reach the threshold verified. N-grams that more nodes
-        hold would give pairs with the square of their nodes. The nodes that have one are dealt into blocks, and for every
-        two blocks a task multiplies the two parts of the whole incidence matrix, n-grams of two nodes or more, and lets
+        hold would give pairs with the square of their nodes. The nodes that have one are dealt into blocks of like sizes, and for every
+        two blocks whose sizes allow a link a task multiplies the two parts of the whole incidence matrix, n-grams of two nodes or more, and lets
         out a spanning forest of the pairs that reach the threshold. Two nodes that share such an n-gram meet there; all
         other pairs share light n-grams only.
         """
         dense = Written(across.where(F.col("k") > self.few).groupBy("node").agg(F.max("n").alias("n")), "dense")
         light = across.where(F.col("k") <= self.few).join(dense.df.select("node", F.lit(True).alias("dense")), "node", "left").withColumn("dense", F.coalesce("dense", F.lit(False)))
-        light = Written(light.select("gram", "node", "n", "root", "dense"), "light")
-        x, y = (light.df.select("gram", F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("root").alias(f"r{k}"), F.col("dense").alias(f"d{k}")) for k in "ab")
+        light = Written(light.select("gram", "w", "node", "n", "root", "dense"), "light")
+        x, y = (light.df.select("gram", *(["w"] if k == "a" else []), F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("root").alias(f"r{k}"), F.col("dense").alias(f"d{k}")) for k in "ab")
         pairs = x.join(y, "gram").where("a < b and ra != rb and not (da and db)").where(self._sizes("na", "nb"))
-        out = [self.verified(self.counted(pairs.select("a", "b", "na", "nb")).where(self._can()), reps)]
+        out = [self.verified(self.counted(pairs.select("a", "b", "na", "nb", "w"), "w").where(self._can()), reps)]
         light.drop()
-        size = dense.df.agg(F.count("*").alias("nodes"), F.sum("n").alias("grams")).first()
-        if not size["nodes"]:
+        # of two sets that link the smaller has num / den of the other's size: those of one class of sizes meet their own class and its neighbours
+        base = math.log(max(self.den / self.num, 1.05)) * (1 + 1e-9) if self.num else math.inf
+        of_size = F.floor(F.ln("n") / F.lit(base)).cast("int")
+        classes = dense.df.groupBy(of_size.alias("s")).agg(F.count("*").alias("nodes"), F.sum("n").alias("grams")).collect()  # some 50 rows
+        if not classes:
             dense.drop()
             return out
-        blocks = max(-(-size["nodes"] // self.block), -(-size["grams"] // 500_000))
+        span, total = {}, 0
+        for r in sorted(classes, key=lambda r: r["s"]):
+            blocks = max(-(-r["nodes"] // self.block), -(-r["grams"] // 500_000))
+            span[r["s"]] = (total, total := total + blocks)
+        near = [(s, a, b - a, span.get(s - 1, (a, b))[0], span.get(s + 1, (a, b))[1] - 1) for s, (a, b) in span.items()]
+        met = self.spark.createDataFrame(near, "s int, start int, blocks int, lo int, hi int")
         found = self.dense_sets(dense.df.select("node"), reps)
-        own = found.df.withColumn("i", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        own = found.df.withColumn("n", F.size("grams")).withColumn("s", of_size).join(F.broadcast(met), "s")
+        own = own.withColumn("i", F.col("start") + F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence("lo", "hi")))
         spread = own.select("node", "grams", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), (F.col("i") > F.col("j")).alias("second"))
         num, den = self.num, self.den
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from cohortry.llm.components import components
-from cohortry.llm.ngram_join import _Join, ngram_classes, ngram_sets
+from cohortry.llm.ngram_join import _Join, mark_of, ngram_classes, ngram_sets
 from cohortry.llm.queries import op7_ngram_jaccard
 
 
@@ -169,3 +169,29 @@ def test_components(spark):
 def test_query(spark, sf, small):
     want = brute([(r["doc_id"], r["text"]) for r in small.collect()])
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in op7_ngram_jaccard(spark, sf).collect()} == want
+
+
+def test_ngrams_of_the_same_documents_are_one(spark):
+    """All n-grams of a repeated line are held by the same documents: their pairs are made once, with a weight."""
+    rows = [(g, x, 9, x, 1) for g in (1, 2, 3) for x in (10, 20)] + [(4, x, 9, x, 1) for x in (10, 20, 30)] + [(5, x, 9, 10, 1) for x in (10, 40)]
+    found = _Join.several(spark.createDataFrame(rows, "gram long, node long, n long, root long, w long"), 1)
+    assert sorted((r["gram"], r["w"], r["k"]) for r in found.df.collect()) == [(1, 3, 2), (4, 1, 3)]
+
+
+def test_marks_bound_the_difference():
+    r = np.random.default_rng(5)
+    a = r.integers(0, 1 << 63, 400).astype(np.uint64)
+    for moved in (0, 3, 90, 400):
+        b = np.concatenate([a[moved:], r.integers(0, 1 << 63, moved // 2).astype(np.uint64)])
+        apart = sum(bin(int(x)).count("1") for x in (mark_of(a) ^ mark_of(b)).view(np.uint64))
+        assert 0.4 * (moved + moved // 2) <= apart <= moved + moved // 2
+
+
+def test_blocks_of_like_sizes(spark):
+    """A common phrase in texts of many sizes: blocks whose sizes allow no link do not meet, and all links are found."""
+    r, rows = random.Random(8), []
+    for i in range(60):
+        own = "the same five words here " * (1 + i % 2) + " ".join(f"w{r.randrange(10**6)}" for _ in range(r.choice([4, 9, 30, 90])))
+        rows += [(3 * i, own), (3 * i + 1, own + " end"), (3 * i + 2, own + " another end of it")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(df, few=2, block=5) == brute(rows)
