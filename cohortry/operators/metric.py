@@ -1,15 +1,19 @@
-"""Exact nearest-neighbour joins: cells around pivots, rings of a cell, and bounds that decide which rings a query meets.
+"""Exact nearest-neighbour joins: cells around pivots, rings of a cell, and bounds that decide which rings a query meets; a grid of packs where bounds leave most.
 
 Sampled pivots part the fitted points into cells, and quantiles of the distance to the pivot part a cell into rings. A query first meets one
 block of the ring that it lies in itself; the cost found there bounds what may be better. By the triangle inequality no point of a ring is nearer than the gap
 between the query's distance to the pivot and the ring. So the query is sent to the rings whose gap allows something as good, and to no other.
+
+Vectors without clusters are as good as equally far from each other, and no bound leaves out much: each query would be sent to each block. A sample of the queries tells
+how many rows that would be. Where a grid moves fewer, queries and points are dealt into large packs, and each pack of queries meets each pack of points once.
 """
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +28,18 @@ RINGS, PIVOTS = 32, 2048
 _OWN: dict[str, str] = {}
 
 
+@contextlib.contextmanager
+def cleaned(spark) -> Iterator[None]:
+    """Shuffles of a query that runs here are deleted as it ends: what is written is read from its files."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def scratch(df: DataFrame, label: str) -> DataFrame:
     """The rows written to the folder of ``spark.checkpoint.dir`` and read again: lost executors cost nothing, plans stay short, and nothing is worked
     out twice. Only in a session of one process that names no folder a temporary one stands in."""
@@ -37,7 +53,8 @@ def scratch(df: DataFrame, label: str) -> DataFrame:
             _OWN[context.applicationId] = tempfile.mkdtemp(prefix="cohortry-")
         base = _OWN[context.applicationId]
     path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with cleaned(spark):
+        df.write.parquet(path)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
@@ -108,6 +125,36 @@ class Rings:
         return q[0], r[0]
 
 
+#: Bytes of vectors of a pack; a task of the grid holds two packs and a few tiles of distances, whatever the number of rows.
+PACK = 16 << 20
+
+
+def _packs(rows: float, width: int) -> int:
+    """Packs a side: of ``PACK`` bytes at most, and at least six, so that all cores have work, unless packs would be tiny."""
+    return int(max(1, min(6, rows // 500), -(-rows * 8 * max(1, width) // PACK)))
+
+
+def grid(queries: DataFrame, points: DataFrame, best: Callable, out: str, n_queries: int, n_points: int, width: int) -> DataFrame:
+    """Rows of ``best`` for each pack of ``queries`` (id, v, w) and each pack of ``points`` (id, v, w).
+
+    Each row is sent once a pack of the other side, so that the rows moved are the two numbers of rows times the packs: some hundred times fewer than pairs of a query and a small block.
+    """
+    a, b = _packs(n_queries, width), _packs(n_points, width)
+    dealt = lambda n: F.pmod(F.xxhash64("id", F.lit("pack")), F.lit(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select("id", "v", "w", F.lit(float("inf")).alias("cost"), dealt(a).alias("i"), spread(b).alias("j"))
+    # new names of columns, as both sides may be one table
+    f = points.select(*[F.col(c).alias(c) for c in ("id", "v", "w")]).select("id", "v", "w", dealt(b).alias("j"), spread(a).alias("i"))
+    empty = pd.DataFrame({c.split()[0]: [] for c in out.split(", ")})
+
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        return best(x, y) if len(x) and len(y) else empty
+
+    # a task a pair of packs, as adaptive execution would put many pairs of few bytes and much work into one
+    q, f = q.repartition(a * b, "i", "j"), f.repartition(a * b, "i", "j")
+    return q.groupBy("i", "j").cogroup(f.groupBy("i", "j")).applyInPandas(run, out)
+
+
 class Fitted:
     """Points dealt to blocks of rings: ``points`` (id, v, w, ring, part) and the table of rings."""
 
@@ -144,13 +191,13 @@ class Fitted:
         self.rings = Rings(chosen, cuts, col("cell", np.int64), col("ring", np.int64), col("lo"), col("hi"), col("least"), parts, reach)
         place_of = spark.createDataFrame([(r["cell"], r["ring"], i, int(p)) for i, (r, p) in enumerate(zip(rows, parts))] or [(0, 0, 0, 1)], "cell int, ring int, at int, parts int")
         self.points = ringed.join(F.broadcast(place_of), ["cell", "ring"]).select("id", "v", "w", F.col("at").alias("ring"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
-        self.n = n
+        self.n, self.width, self.whole, self.dense = n, chosen.shape[1] if n else 0, points, False
 
     def search(self, queries: DataFrame, best: Callable, out: str, bound: Callable[[DataFrame], DataFrame], q_block: int = 4096) -> tuple[DataFrame, DataFrame]:
         """(rows of ``out``, copies) for ``queries`` (id, v, w).
 
         ``best(q, f)`` gives rows of ``out``, which starts with the query's ``id``, for queries (with ``cost``, infinite at first) and one block of points; ``bound(rows)`` gives (id, cost)
-        of the queries by the rows of the first block met. ``copies`` has the number of blocks that each query was sent to.
+        of the queries by the rows of the first block met. ``copies`` has the number of blocks that each query was sent to, or of packs where the grid is taken, as ``dense`` tells then.
         """
         rings = self.rings
         kind = queries.schema["id"].dataType.simpleString()
@@ -175,12 +222,29 @@ class Fitted:
                     got = g.iloc[q[new]]
                     yield got.assign(ring=r[new].astype(np.int32), part=part[new].astype(np.int32))
 
+        def counts(frames):
+            for f in frames:
+                if len(f):
+                    cell, away = rings.nearest(matrix(f["v"]))
+                    for at in range(0, len(f), 256):
+                        g, c = f.iloc[at : at + 256], f["cost"].to_numpy()[at : at + 256]
+                        q, r = rings.allowed(matrix(g["v"]), g["w"].to_numpy(), c)
+                        yield pd.DataFrame({"copies": np.bincount(q, rings.parts[r], len(g))})
+
         one = scratch(queries.select("id", "v", "w").mapInPandas(first, sent), "first")
         met = scratch(self._meet(one, best, out, q_block), "met")
         known = bound(met)
         # a query whose first block held too little, or whose cell is empty, may go anywhere
         open_ = queries.select("id", "v", "w").join(one.select("id", "ring", "part"), "id", "left").join(known, "id", "left")
         open_ = open_.select("id", "v", "w", F.coalesce("cost", F.lit(float("inf"))).alias("cost"), F.coalesce("ring", F.lit(-1)).alias("ring"), F.coalesce("part", F.lit(-1)).alias("part"))
+        asked = one.count()
+        sample = open_.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(max(1, asked // 1000))) == 0)
+        mean = sample.mapInPandas(counts, "copies double").agg(F.avg("copies")).first()[0] or 0.0
+        a, b = _packs(asked, self.width), _packs(self.n, self.width)
+        self.dense = mean * asked > asked * b + self.n * a
+        if self.dense:
+            rows = grid(queries, self.whole, best, out, asked, self.n, self.width)
+            return rows, queries.select("id", F.lit(b).cast("long").alias("copies"))
         two = scratch(open_.mapInPandas(others, sent), "others")
         rows = met.unionByName(self._meet(two, best, out, q_block))
         copies = one.select("id").union(two.select("id")).groupBy("id").agg(F.count("*").alias("copies"))
@@ -200,24 +264,54 @@ class Fitted:
         return q.groupBy(*key).cogroup(f.groupBy(*key)).applyInPandas(run, out)
 
 
-def _nearest(k: int) -> Callable:
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        y, times, ids, ds = matrix(b["v"]), np.minimum(b["w"].to_numpy(np.int64), k), [], []
-        for at in range(0, len(a), 256):
-            g = a.iloc[at : at + 256]
-            x = matrix(g["v"])
-            d2, err = squares(x, y)
-            m = min(k, len(y)) - 1
-            top = np.partition(d2 + err, m, axis=1)[:, m]
-            q, f = np.nonzero(d2 - err <= np.minimum(top, g["cost"].to_numpy() * (1 + 1e-9))[:, None])
-            exact = np.sqrt(((x[q] - y[f]) ** 2).sum(axis=1))
-            q, exact = np.repeat(q, times[f]), np.repeat(exact, times[f])
+#: Queries and points of a tile of distances: some 8 MB.
+TILE_Q, TILE = 512, 2048
+
+
+def smallest(x: np.ndarray, y: np.ndarray, k: int, times: np.ndarray | None = None, cost: np.ndarray | None = None) -> np.ndarray:
+    """The ``k`` least distances of each row of ``x`` to rows of ``y``, ascending; infinite where there are fewer.
+
+    A row of ``y`` counts ``times``; squared distances above ``cost`` may be left out. Tiles are compared one after the other, so that memory does not grow with either side: products first,
+    then exact differences of the few that may be among the least so far.
+    """
+    found = np.full((len(x), k), np.inf)
+    ys, share = (y * y).sum(axis=1), 4e-16 * (x.shape[1] + 8)
+    for at in range(0, len(x), TILE_Q):
+        own, have = x[at : at + TILE_Q], found[at : at + TILE_Q]
+        xs = (own * own).sum(axis=1)
+        limit = np.full(len(own), np.inf) if cost is None else cost[at : at + TILE_Q] * (1 + 1e-9)
+        twice = -2 * own
+        for to in range(0, len(y), TILE):
+            part, size = y[to : to + TILE], ys[to : to + TILE]
+            low = twice @ part.T
+            low += (1 - share) * size
+            top = limit - (1 - share) * xs
+            if not np.isfinite(have[:, -1]).all():
+                m = min(k, len(part)) - 1
+                top = np.minimum(top, np.partition(low + 2 * share * size, m, axis=1)[:, m] + 2 * share * xs)
+            q, f = np.nonzero(low <= top[:, None])
+            if not len(q):
+                continue
+            exact = np.sqrt(((own[q] - part[f]) ** 2).sum(axis=1))
+            if times is not None:
+                n = times[to + f]
+                q, exact = np.repeat(q, n), np.repeat(exact, n)
+            rows = np.unique(q)
+            q = np.concatenate([np.repeat(rows, k), q])
+            exact = np.concatenate([have[rows].ravel(), exact])
             order = np.lexsort((exact, q))
             q, exact = q[order], exact[order]
-            start = np.searchsorted(q, q)
-            on = np.arange(len(q)) - start < k
-            ids.append(g["id"].to_numpy()[q[on]]), ds.append(exact[on])
-        return pd.DataFrame({"id": np.concatenate(ids), "d": np.concatenate(ds)})
+            on = np.arange(len(q)) - np.searchsorted(q, q) < k
+            have[rows] = exact[on].reshape(len(rows), k)
+            limit = np.minimum(limit, have[:, -1] ** 2 * (1 + 1e-9))
+    return found
+
+
+def _nearest(k: int) -> Callable:
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        d = smallest(matrix(a["v"]), matrix(b["v"]), k, np.minimum(b["w"].to_numpy(np.int64), k), a["cost"].to_numpy())
+        on = np.isfinite(d)
+        return pd.DataFrame({"id": np.repeat(a["id"].to_numpy(), on.sum(axis=1)), "d": d[on]})
 
     return best
 
@@ -243,7 +337,7 @@ def knn_join(queries: DataFrame, fit: DataFrame, key: str, vector: str, k: int,
 
     rows, copies = Fitted(points, block, pivots).search(own, _nearest(k), "id long, d double", bound)
     place = F.row_number().over(Window.partitionBy("id").orderBy("d"))
-    near = rows.withColumn("r", place).where(F.col("r") <= k).groupBy("id").agg(F.sort_array(F.collect_list("d")).alias("distances"))
+    near = scratch(rows.withColumn("r", place).where(F.col("r") <= k).groupBy("id").agg(F.sort_array(F.collect_list("d")).alias("distances")), "near")
     named = own.select("id", "v").join(near, "id").join(copies, "id").select("v", "distances", "copies")
     return asked.join(named, "v", "left").select(F.col("key").alias(key), "distances", F.coalesce("copies", F.lit(0)).alias("copies"))
 
@@ -283,22 +377,26 @@ def _cheapest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
     order = np.argsort(other)
     y, w, other = y[order], w[order], other[order]
     ids, to, cost = [], [], []
-    for at in range(0, len(a), 256):
-        g = a.iloc[at : at + 256]
+    for at in range(0, len(a), TILE_Q):
+        g = a.iloc[at : at + TILE_Q]
         x, s, own = matrix(g["v"]), g["w"].to_numpy()[:, None], g["id"].to_numpy()
-        d2, err = squares(x, y)
-        scale = s * w / (s + w)
-        same = own[:, None] == other
-        low, high = scale * (d2 - err), scale * (d2 + err)
-        low[same] = high[same] = np.inf
-        q, f = np.nonzero(low <= high.min(axis=1)[:, None])
-        exact = scale[q, f] * ((x[q] - y[f]) ** 2).sum(axis=1)
-        on = np.isfinite(low[q, f])
-        q, f, exact = q[on], f[on], exact[on]
-        order = np.lexsort((other[f], exact, q))
+        least, met = np.full(len(g), np.inf), []
+        for lo in range(0, len(y), TILE):
+            part, n, name = y[lo : lo + TILE], w[lo : lo + TILE], other[lo : lo + TILE]
+            d2, err = squares(x, part)
+            scale = s * n / (s + n)
+            low, high = scale * (d2 - err), scale * (d2 + err)
+            place = np.minimum(np.searchsorted(name, own), len(name) - 1)
+            same = np.flatnonzero(name[place] == own)
+            low[same, place[same]] = high[same, place[same]] = np.inf
+            least = np.minimum(least, high.min(axis=1))
+            q, f = np.nonzero((low <= least[:, None]) & np.isfinite(low))
+            met.append((q, name[f], scale[q, f] * ((x[q] - part[f]) ** 2).sum(axis=1)))
+        q, f, exact = (np.concatenate([m[i] for m in met]) for i in range(3))
+        order = np.lexsort((f, exact, q))
         q, f, exact = q[order], f[order], exact[order]
         first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, int)
-        ids.append(own[q[first]]), to.append(other[f[first]]), cost.append(exact[first])
+        ids.append(own[q[first]]), to.append(f[first]), cost.append(exact[first])
     return pd.DataFrame({"id": np.concatenate(ids), "other": np.concatenate(to), "c": np.concatenate(cost)})
 
 
@@ -311,14 +409,20 @@ def ward_tree(points: DataFrame, local: int = 2000, block: int = 1024, rounds: i
     """
     spark = points.sparkSession
     clusters = scratch(points.select("id", "v", "w"), "clusters")
-    chosen, merged = None, []
+    chosen, merged, dense, n, width = None, [], False, clusters.count(), 0
     for step in range(rounds):
-        n = clusters.count()
         if n <= local:
             break
         todo = clusters if chosen is None else clusters.join(chosen.select("id"), "id", "left_anti")
         bound = lambda met: met.groupBy("id").agg(F.min("c").alias("cost"))
-        rows, _ = Fitted(clusters, block).search(todo, _cheapest, "id long, other long, c double", bound)
+        made = "id long, other long, c double"
+        if dense:
+            # centers of clusters that bounds did not part lie closer still
+            rows = grid(todo, clusters, _cheapest, made, n, n, width)
+        else:
+            fitted = Fitted(clusters, block)
+            rows, _ = fitted.search(todo, _cheapest, made, bound)
+            dense, width = fitted.dense, fitted.width
         found = rows.groupBy("id").agg(F.min(F.struct("c", "other")).alias("s")).select("id", F.col("s.other").alias("other"), F.col("s.c").alias("c"))
         found = scratch(found if chosen is None else found.unionByName(chosen), "chosen")
         back = found.select(F.col("id").alias("other"), F.col("other").alias("id"))
@@ -334,6 +438,7 @@ def ward_tree(points: DataFrame, local: int = 2000, block: int = 1024, rounds: i
         # choices that still stand: of clusters that did not merge, for clusters that did not
         away = moved.select("id")
         chosen = found.join(away, "id", "left_anti").join(away.withColumnRenamed("id", "other"), "other", "left_anti").select("id", "other", "c")
+        n = clusters.count()
     else:
         raise RuntimeError(f"{rounds} rounds left {clusters.count()} clusters")
     last = sorted(clusters.collect(), key=lambda r: r["id"])  # ``local`` rows at most

@@ -90,3 +90,24 @@ def test_merges_of_rounds_are_those_of_one_piece(spark):
 def test_roots(spark):
     ways = spark.createDataFrame([(i, i - 1) for i in range(1, 40)] + [(100, 99)], "id long, up long")
     assert {r["id"]: r["root"] for r in metric.roots(ways).collect()} == {**{i: 0 for i in range(1, 40)}, 100: 99}
+
+
+def test_vectors_without_clusters_meet_in_packs(spark, monkeypatch):
+    """Bounds leave out nothing among random directions: rows are sent once a pack, not once a small block."""
+    monkeypatch.setattr(metric, "PACK", 60_000)
+    monkeypatch.setattr(metric, "TILE", 64)
+    x = clustered(4, 1500, 24, 1, 1.0)
+    got = {r["k"]: r for r in metric.knn_join(frame(spark, x), frame(spark, x), "k", "v", 5, block=16).collect()}
+    assert np.allclose([got[i]["distances"] for i in range(1500)], brute_knn(x, x, 5), atol=1e-12)
+    assert {r["copies"] for r in got.values()} == {5}  # of some 94 blocks
+
+
+def test_smallest_in_tiles(monkeypatch):
+    monkeypatch.setattr(metric, "TILE", 7)
+    monkeypatch.setattr(metric, "TILE_Q", 5)
+    r = np.random.default_rng(6)
+    y, times = r.normal(size=(40, 3)), r.integers(1, 4, 40)
+    x = np.concatenate([y[:6], r.normal(size=(7, 3))])
+    got = metric.smallest(x, y, 9, times)
+    assert np.allclose(got, brute_knn(x, np.repeat(y, times, axis=0), 9), atol=1e-12)
+    assert np.isinf(metric.smallest(x, y[:2], 3)[:, 2]).all() and np.allclose(metric.smallest(x, y[:2], 3)[:, :2], brute_knn(x, y[:2], 2))
