@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import cosine, euclidean, softmax
-from .metric import knn_join, matrix, scratch, squares
+from .metric import knn_join, matrix, scratch, smallest
 from .quantiles import column_quantiles
 
 #: Fitted vectors of up to so many bytes are sent to all tasks and searched there.
@@ -42,16 +42,7 @@ def knn_mean_distance(queries: DataFrame, fit: DataFrame, key: str, vector: str,
             out = np.full(len(f), np.nan)
             has = np.flatnonzero(f["v"].notna().to_numpy())
             for at in range(0, len(has), block):
-                x = matrix(f["v"].iloc[has[at : at + block]])
-                d2, err = squares(x, y)
-                top = np.partition(d2 + err, k - 1, axis=1)[:, k - 1]
-                # by the product first, then exact differences for those that may be near
-                q, j = np.nonzero(d2 - err <= top[:, None])
-                exact = np.sqrt(((x[q] - y[j]) ** 2).sum(axis=1))
-                order = np.lexsort((exact, q))
-                start = np.searchsorted(q, q)
-                on = np.arange(len(q)) - start < k
-                out[has[at : at + block]] = np.bincount(q[on], exact[order][on], len(x)) / k
+                out[has[at : at + block]] = smallest(matrix(f["v"].iloc[has[at : at + block]]), y, k).sum(axis=1) / k
             yield pd.DataFrame({key: f["k"], name: pd.Series(out).where(f["v"].notna().to_numpy(), None)})
 
     return queries.select(F.col(key).alias("k"), F.col(vector).alias("v")).mapInPandas(run, f"`{key}` {kind}, `{name}` double")
