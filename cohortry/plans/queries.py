@@ -315,7 +315,8 @@ def stage1_embeddings(spark: SparkSession, sf: str) -> DataFrame:
     work = e.withColumn("pos", F.col("h") >= 2).withColumn("neg", F.col("h") <= -2)
     for name, fit, k in (("dp", work.where("pos"), 12), ("dn", work.where("neg"), 12), ("k", work, 18)):
         work = work.join(vectors.knn_mean_distance(e, fit, "vec_id", "v", k, name), "vec_id")
-    got = consensus.stage1_scores(work, "h", "dp", "dn", "k")
+    # written once, as means and deviations are taken first
+    got = consensus.stage1_scores(metric.scratch(work.select("vec_id", "h", "dp", "dn", "k"), "distances"), "h", "dp", "dn", "k")
     return got.select("vec_id", R6("dp").alias("d_pos"), R6("dn").alias("d_neg"), R6("score_raw").alias("score_raw"), R6("prob").alias("prob"))
 
 
