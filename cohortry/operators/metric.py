@@ -409,20 +409,22 @@ def ward_tree(points: DataFrame, local: int = 2000, block: int = 1024, rounds: i
     """
     spark = points.sparkSession
     clusters = scratch(points.select("id", "v", "w"), "clusters")
-    chosen, merged, dense, n, width = None, [], False, clusters.count(), 0
+    chosen, merged, dense, n = None, [], False, clusters.count()
+    first = clusters.select(F.size("v").alias("width")).first()
+    width = first["width"] if first else 0
     for step in range(rounds):
         if n <= local:
             break
         todo = clusters if chosen is None else clusters.join(chosen.select("id"), "id", "left_anti")
         bound = lambda met: met.groupBy("id").agg(F.min("c").alias("cost"))
         made = "id long, other long, c double"
-        if dense:
-            # centers of clusters that bounds did not part lie closer still
+        if dense or 8 * width * n <= PACK:
+            # centers of clusters that bounds did not part lie closer still; and few clusters cost less than the queries that find bounds
             rows = grid(todo, clusters, _cheapest, made, n, n, width)
         else:
             fitted = Fitted(clusters, block)
             rows, _ = fitted.search(todo, _cheapest, made, bound)
-            dense, width = fitted.dense, fitted.width
+            dense = fitted.dense
         found = rows.groupBy("id").agg(F.min(F.struct("c", "other")).alias("s")).select("id", F.col("s.other").alias("other"), F.col("s.c").alias("c"))
         found = scratch(found if chosen is None else found.unionByName(chosen), "chosen")
         back = found.select(F.col("id").alias("other"), F.col("other").alias("id"))

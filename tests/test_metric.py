@@ -111,3 +111,16 @@ def test_smallest_in_tiles(monkeypatch):
     got = metric.smallest(x, y, 9, times)
     assert np.allclose(got, brute_knn(x, np.repeat(y, times, axis=0), 9), atol=1e-12)
     assert np.isinf(metric.smallest(x, y[:2], 3)[:, 2]).all() and np.allclose(metric.smallest(x, y[:2], 3)[:, :2], brute_knn(x, y[:2], 2))
+
+
+@pytest.mark.parametrize("pack", [0, 2_000])
+def test_ward_by_bounds_and_by_packs(spark, monkeypatch, pack):
+    """Few clusters take no bounds: the rings are used only above a pack, and give the same merges."""
+    seen, plain = [], metric.Fitted
+    monkeypatch.setattr(metric, "PACK", pack)
+    monkeypatch.setattr(metric, "Fitted", lambda *a, **kw: seen.append(1) or plain(*a, **kw))
+    x = clustered(7, 70, 2, 4, 0.3)
+    if not pack:
+        monkeypatch.setattr(metric, "_packs", lambda rows, width: 9)
+    got = {r["k"]: r["cluster"] for r in metric.ward_clusters(frame(spark, x), "k", "v", 4, local=45, block=16).collect()}
+    assert [got[i] for i in range(70)] == plain_ward(x, 4) and bool(seen) == (not pack)
