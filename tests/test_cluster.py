@@ -1,6 +1,7 @@
 """Clusterings and singular vectors by sums over the table, against plain and dense versions."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from cohortry.operators import cluster, model
@@ -77,3 +78,11 @@ def test_text_embedding(spark):
     assert len(got) == 8 and sorted(k for k, _ in got) == [0, 0, 1, 2, 3, 4, 5, 6]
     e = {k: v for k, v in got if k}
     assert not e[4].any() and not e[5].any() and e[1] @ e[3] > 0.9 and abs(np.linalg.norm(e[6]) - 1) < 1e-9
+
+
+def test_sparse_rows_in_dense_blocks():
+    """Blocks hold each entry at its place, repeated ones added up, and are bounded in size."""
+    rows = [([0, 2], [1.0, 2.0]), ([], []), ([1, 1], [3.0, 4.0])]
+    f = pd.DataFrame({"i": [np.array(i, np.int32) for i, _ in rows], "x": [np.array(x) for _, x in rows]})
+    assert np.concatenate(list(cluster._parts(f, 3))).tolist() == [[1, 0, 2], [0, 0, 0], [0, 7, 0]]
+    assert [m.shape for m in cluster._parts(f, 3 << 20)] == [(1, 3 << 20)] * 3
