@@ -247,10 +247,12 @@ def term_rows(df: DataFrame, text: str, min_df: int = 2, vocabulary: int = 12_00
     terms = df.sparkSession.createDataFrame([(r["term"], i, r["df"], math.log((1 + n) / (1 + r["df"])) + 1) for i, r in enumerate(listed)], "term string, i int, df long, idf double")
     counts = each.join(F.broadcast(terms), "term").groupBy("id", "i", "idf").agg(F.count("*").alias("tf"))
     own = counts.select("id", F.struct("i", (F.col("tf") * F.col("idf")).alias("x")).alias("p"))
-    rows = own.groupBy("id").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    rows = own.groupBy("id").agg(F.sort_array(F.collect_list("p")).alias("p"))
     x = F.transform("p", lambda s: s["x"])
     length = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v))
-    return scratch(rows.select("id", F.transform("p", lambda s: s["i"]).alias("i"), F.transform(x, lambda v: v / length).alias("x")), "rows"), terms
+    # as an array of its own, as inside a function it would be worked out again for each entry
+    lengths = F.array_repeat(length, F.size("p"))
+    return scratch(rows.select("id", F.transform("p", lambda s: s["i"]).alias("i"), F.zip_with(x, lengths, lambda v, n: v / n).alias("x")), "rows"), terms
 
 
 def text_embedding(df: DataFrame, key: str, text: str, components: int = 128, min_df: int = 2, vocabulary: int = 12_000, name: str = "embedding") -> DataFrame:
