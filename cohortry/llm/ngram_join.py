@@ -5,8 +5,8 @@ n-grams, and only where it can matter:
 
 * Texts with equal n-gram sets are one node of the graph.
 * Only a prefix of each set is used: of two sets that reach the threshold, the prefixes (a quarter of the set and one
-  more, for 0.75) under one common order share an n-gram. The order puts n-grams that many texts hold last; it is a
-  hint from bounded counts, and any order gives the same result.
+  more, for 0.75) under one common order share an n-gram. The order puts n-grams that many texts hold last, by a
+  bitmap of counts over the whole table and a list of the most frequent; both are hints of bounded size, and any order gives the same result.
 * Blocks of n-grams accumulate overlap counts of pairs, and pairs whose count and sizes show that they cannot reach the
   threshold are dropped. The others are verified on whole sets.
 * First each n-gram pairs its texts with one leader. Texts already in one class need no pair: n-grams that only one
@@ -23,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, bounded_batches
+from .common import Written, bounded_batches, cleaned
 from .components import components
 from .hashing import ROOT, mixed, powers
 
 _CHUNK = 2_000_000
 #: Bits of the mark of a set, a power of two.
 _BITS = 2048
+#: Sets of an n-gram that is put behind others, and leading bits of hashes that the bitmap of such n-grams tells apart.
+_OFTEN, _OFTEN_BITS = 4, 26
 
 
 #: A random 64-bit value for each byte, the same for A-Z as for a-z, and none for white space.
@@ -110,8 +112,17 @@ def _marks(heavy: np.ndarray) -> np.ndarray:
     return out
 
 
-def prefix_of(grams: np.ndarray, num: int, den: int, heavy: np.ndarray, weight: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first n-grams of a set in the common order, unlisted ones by hash, then ``heavy`` ones by weight and hash; and their weights, 0 if unlisted."""
+def _rare_first(grams: np.ndarray, often: np.ndarray | None) -> np.ndarray:
+    """N-grams whose bit of ``often`` is not set, and then the others."""
+    if often is None:
+        return grams
+    slot = (grams >> np.uint64(64 - _OFTEN_BITS)).view(np.int64)
+    on = (often[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+    return np.concatenate([grams[~on], grams[on]])
+
+
+def prefix_of(grams: np.ndarray, num: int, den: int, heavy: np.ndarray, weight: np.ndarray, marks: np.ndarray, often: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The first n-grams of a set in the common order, unlisted ones by hash, those marked in ``often`` behind the others, then ``heavy`` ones by weight and hash; and their weights, 0 if unlisted."""
     n = len(grams)
     p = n + (-num * n // den) + 1  # n - ceil(num n / den) + 1
     may = np.flatnonzero(marks[grams >> np.uint64(44)])
@@ -123,9 +134,10 @@ def prefix_of(grams: np.ndarray, num: int, den: int, heavy: np.ndarray, weight:
             light = np.delete(grams, may[on])
             if len(light) < p:
                 order = np.lexsort((own, w))
+                light = _rare_first(light, often)
                 return np.concatenate([light, own[order]])[:p], np.concatenate([np.zeros(len(light), np.int64), w[order]])[:p]
             grams = light
-    return grams[:p], np.zeros(p, np.int64)
+    return _rare_first(grams, often)[:p], np.zeros(p, np.int64)
 
 
 def _slot(bits: int):
@@ -156,6 +168,11 @@ class _Join:
     def _sizes(self, a: str, b: str) -> str:
         return f"{self.den} * least({a}, {b}) >= {self.num} * greatest({a}, {b})"
 
+    def _early(self) -> str:
+        """True of the first common n-gram of a pair that reaches the threshold: all the common ones are there from its place on, in either set."""
+        need = f"cast(ceil({self.num} * cast(na + nb as long) / {self.num + self.den}) as long)"
+        return f"na - pa >= {need} and nb - pb >= {need}"
+
     def _can(self) -> str:
         """False for pairs whose overlap, the prefixes' common n-grams and all that may follow, stays below the threshold."""
         rest = lambda n: f"(cast(ceil({self.num} * {n} / {self.den}) as long) - 1)"
@@ -203,8 +220,54 @@ class _Join:
         order = np.argsort(g)
         return self.spark.sparkContext.broadcast((g[order], w[order]))
 
-    def incidence(self, heavy) -> Written:
-        """(gram, node, n, lead, n_lead): prefix n-grams that several nodes hold, each with its smallest node.
+    def often(self):
+        """A bitmap of n-grams that at least ``_OFTEN`` sets hold, by their leading bits: an ordering hint as well, whose size does not depend on the table.
+
+        Sets are counted over the whole table, as counts inside a task miss n-grams that many tasks hold once, and groups of such n-grams grow with the table.
+        Hashes are sent by their leading 10 bits, as sorted runs of the next 32; texts read by several tasks count several times.
+        """
+        width = self.width
+
+        def runs(batches):
+            seen, own, held = set(), [], 0
+            first = np.arange(1024, dtype=np.uint64) << np.uint64(54)
+
+            def out():
+                g = np.sort(np.concatenate(own))
+                cut = np.r_[np.searchsorted(g, first), len(g)]
+                data = (g >> np.uint64(22)).astype(np.uint32)
+                return pa.RecordBatch.from_arrays([pa.array(np.arange(1024, dtype=np.int32)), pa.array([data[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:])], pa.binary())], names=["r", "run"])
+
+            for b in batches:
+                for _, grams in _sets(b, width):
+                    node = node_of(grams)
+                    if node is not None and node not in seen:
+                        seen.add(node)
+                        own.append(grams)
+                        held += len(grams)
+                        if held > _CHUNK:
+                            yield out()
+                            own, held = [], 0
+            if own:
+                yield out()
+
+        least = _OFTEN - 1
+
+        def several(group):
+            x = np.sort(np.concatenate([np.frombuffer(run.as_buffer(), np.uint32) for run in group.column("run")]))
+            bits = np.zeros(1 << (_OFTEN_BITS - 10), bool)
+            bits[x[least:][x[least:] == x[: len(x) - least]] >> np.uint32(42 - _OFTEN_BITS)] = True
+            return pa.table({"r": group.column("r")[:1], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+        with cleaned(self.spark):
+            rows = self.docs.mapInArrow(runs, "r int, run binary").groupBy("r").applyInArrow(several, "r int, bits binary").collect()
+        out = np.zeros((1024, 1 << (_OFTEN_BITS - 13)), np.uint8)
+        for r in rows:
+            out[r["r"]] = np.frombuffer(r["bits"], np.uint8)
+        return self.spark.sparkContext.broadcast(out.tobytes())
+
+    def incidence(self, heavy, often) -> Written:
+        """(gram, node, n, pos, lead, n_lead): prefix n-grams that several nodes hold, each with its place in the node's prefix and its smallest node.
 
         An n-gram that may stand in the prefixes of over ``hot`` nodes is dealt out in parts by a hash of the node. Each
         part has a lead of its own, and keeps its rows even where it has one node.
@@ -214,22 +277,23 @@ class _Join:
         def prefixes(batches):
             seen = set()
             table, weight = heavy.value
-            marks = _marks(table)
+            marks, frequent = _marks(table), np.frombuffer(often.value, np.uint8)
             for b in batches:
                 # part << 32 | n in one column, as each column of a row costs 8 bytes
                 grams, nodes, ns, held = [], [], [], 0
 
                 def out():
                     k = np.fromiter(map(len, grams), np.int64, len(grams))
-                    cols = (np.concatenate(grams).view(np.int64), np.repeat(np.array(nodes, np.int64), k), np.concatenate(ns))
-                    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["gram", "node", "n"])
+                    pos = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+                    cols = (np.concatenate(grams).view(np.int64), np.repeat(np.array(nodes, np.int64), k), np.concatenate(ns), pos.astype(np.int32))
+                    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["gram", "node", "n", "pos"])
 
                 for _, g in _sets(b, width):
                     node = node_of(g)
                     if node is None or node in seen:
                         continue
                     seen.add(node)
-                    own, w = prefix_of(g, num, den, table, weight, marks)
+                    own, w = prefix_of(g, num, den, table, weight, marks, frequent)
                     grams.append(own), nodes.append(node)
                     # from 1 on in parts, 0 for an n-gram in one piece
                     ns.append(np.where(w > hot, 1 + (node & 0x7FFFFFFF) % (w // hot + 1), 0) << 32 | len(g))
@@ -242,9 +306,9 @@ class _Join:
 
         def shared(batches):
             """Of rows sorted by (gram, part, node): those whose neighbour has the same gram and part, with their first node. One row is held back."""
-            last = np.empty((0, 4), np.int64)
+            last = np.empty((0, 5), np.int64)
             lead = (0, 0, 0, 0, False)  # gram, part, node, n of the current part's first row; whether the last row was let out
-            names = ["gram", "node", "n", "lead", "n_lead"]
+            names = ["gram", "node", "n", "pos", "lead", "n_lead"]
 
             def make(rows, after):
                 nonlocal lead
@@ -260,13 +324,13 @@ class _Join:
                 same[0] |= not first[0]
                 same[-1] |= after is not None and bool((after == rows[-1, :2]).all())
                 lead = (rows[-1, 0], rows[-1, 1], node[-1], n[-1], True)
-                return pa.RecordBatch.from_arrays([pa.array(rows[same, 0]), pa.array(rows[same, 2]), pa.array(rows[same, 3].astype(np.int32)), pa.array(node[same]), pa.array(n[same].astype(np.int32))], names=names)
+                return pa.RecordBatch.from_arrays([pa.array(rows[same, 0]), pa.array(rows[same, 2]), pa.array(rows[same, 3].astype(np.int32)), pa.array(rows[same, 4].astype(np.int32)), pa.array(node[same]), pa.array(n[same].astype(np.int32))], names=names)
 
             for b in batches:
                 if not b.num_rows:
                     continue
-                gram, node, n = (b.column(i).to_numpy() for i in range(3))
-                rows = np.concatenate([last, np.stack([gram, n >> 32, node, n & 0xFFFFFFFF], axis=1)])
+                gram, node, n, pos = (b.column(i).to_numpy() for i in range(4))
+                rows = np.concatenate([last, np.stack([gram, n >> 32, node, n & 0xFFFFFFFF, pos], axis=1)])
                 keep = np.ones(len(rows), bool)  # several tasks may have sent the same node
                 keep[1:] = (rows[1:, :3] != rows[:-1, :3]).any(axis=1)
                 rows = rows[keep]
@@ -276,10 +340,10 @@ class _Join:
             if len(last):
                 yield make(last, None)
 
-        p = self.docs.mapInArrow(prefixes, "gram long, node long, n long")
+        p = self.docs.mapInArrow(prefixes, "gram long, node long, n long, pos int")
         part = F.shiftright("n", 32)
         p = p.repartition("gram", part).sortWithinPartitions("gram", part, "node")
-        return Written(p.mapInArrow(shared, "gram long, node long, n int, lead long, n_lead int"), "incidence")
+        return Written(p.mapInArrow(shared, "gram long, node long, n int, pos int, lead long, n_lead int"), "incidence")
 
     def sets(self, nodes: DataFrame, reps: DataFrame) -> Written:
         """(node, grams, mark): the whole sets of ``nodes``, and their marks, and of up to a sixteenth of all others. Of all texts only those that a bitmap of their row keys lets through are hashed again."""
@@ -343,8 +407,9 @@ class _Join:
         docs = read.df.where("gram is null").select("id", "rk", "n", "node")
         heavy = self.heavy(read.df)
         reps = Written(docs.where("node is not null").groupBy("node").agg(F.min("rk").alias("rk")), "reps")
-        inc = self.incidence(heavy)
-        heavy.destroy()
+        often = self.often()
+        inc = self.incidence(heavy, often)
+        heavy.destroy(), often.destroy()
         rows = inc.df.count()
         star = inc.df.where("node != lead").where(self._sizes("n", "n_lead"))
         star = star.select(F.col("lead").alias("a"), F.col("node").alias("b"), F.col("n_lead").alias("na"), F.col("n").alias("nb"))
@@ -353,7 +418,7 @@ class _Join:
         before, base = float("inf"), inc
         for at in range(1, stars + 1):
             # n-grams that one class holds never matter again, as classes only grow: each round reads what the one before left
-            known = base.df.select("gram", "node", "n", F.lit(1).cast("long").alias("w") if at == 1 else "w").join(roots.df, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            known = base.df.select("gram", "node", "n", "pos", F.lit(1).cast("long").alias("w") if at == 1 else "w").join(roots.df, "node", "left").withColumn("root", F.coalesce("root", "node"))
             several = self.several(known, at)
             across = Written(known.drop("w").join(several.df, "gram"), "across")
             by = across.df.groupBy("gram", "root").count().groupBy("gram").agg(F.sum("count").alias("s"), F.sum(F.col("count") * F.col("count")).alias("q"))
@@ -397,13 +462,15 @@ class _Join:
         """(gram, w, o, k) of n-grams that nodes of several classes hold: how many n-grams the row stands for, the least hash of its nodes, and their number.
 
         N-grams that the same nodes hold, as all of a repeated line, are one from the first round on: their pairs are made once, and count ``w`` times. Equal lists are told by
-        their number of nodes and the sums of two hashes of 64 bits. Halves of hashes are added up, so that no sum overflows.
+        their number of nodes and the sums of two hashes of 64 bits. Halves of hashes are added up, so that no sum overflows. The first one in the common order stands for all:
+        it comes before the others in each node that holds them.
         """
         half = lambda h: [F.sum(F.shiftrightunsigned(h, 32)), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF)))]
         sums = [x.alias(f"s{i}") for i, x in enumerate(half(F.xxhash64("node")) + half(F.xxhash64("node", F.lit("list"))))] if at == 1 else []
-        got = known.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(F.xxhash64("node", F.lit(at))).alias("o"), F.count("*").alias("k"), F.max("w").alias("w"), *sums).where("r0 != r1")
+        place = "pos" if "pos" in known.columns else "gram"  # without places the smallest one stands for all
+        got = known.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(F.xxhash64("node", F.lit(at))).alias("o"), F.count("*").alias("k"), F.max("w").alias("w"), F.min(place).alias("place"), *sums).where("r0 != r1")
         if sums:
-            got = got.groupBy("k", "s0", "s1", "s2", "s3").agg(F.min("gram").alias("gram"), F.sum("w").alias("w"), F.min("o").alias("o"))
+            got = got.groupBy("k", "s0", "s1", "s2", "s3").agg(F.min_by("gram", "place").alias("gram"), F.sum("w").alias("w"), F.min("o").alias("o"))
         return Written(got.select("gram", "w", "o", "k"), "grams")
 
     @staticmethod
@@ -414,7 +481,7 @@ class _Join:
     def across_links(self, across: DataFrame, reps: DataFrame) -> list[Written]:
         """Links between nodes of different classes, all of those that join two classes.
 
-        N-grams that few nodes hold are joined, and pairs that may reach the threshold verified. N-grams that more nodes
+        N-grams that few nodes hold are joined where they stand early enough in both sets to be the first common one of a link, and these pairs verified. N-grams that more nodes
         hold would give pairs with the square of their nodes. The nodes that have one are dealt into blocks of like sizes, and for every
         two blocks whose sizes allow a link a task multiplies the two parts of the whole incidence matrix, n-grams of two nodes or more, and lets
         out a spanning forest of the pairs that reach the threshold. Two nodes that share such an n-gram meet there; all
@@ -422,10 +489,10 @@ class _Join:
         """
         dense = Written(across.where(F.col("k") > self.few).groupBy("node").agg(F.max("n").alias("n")), "dense")
         light = across.where(F.col("k") <= self.few).join(dense.df.select("node", F.lit(True).alias("dense")), "node", "left").withColumn("dense", F.coalesce("dense", F.lit(False)))
-        light = Written(light.select("gram", "w", "node", "n", "root", "dense"), "light")
-        x, y = (light.df.select("gram", *(["w"] if k == "a" else []), F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("root").alias(f"r{k}"), F.col("dense").alias(f"d{k}")) for k in "ab")
-        pairs = x.join(y, "gram").where("a < b and ra != rb and not (da and db)").where(self._sizes("na", "nb"))
-        out = [self.verified(self.counted(pairs.select("a", "b", "na", "nb", "w"), "w").where(self._can()), reps)]
+        light = Written(light.select("gram", "node", "n", "pos", "root", "dense"), "light")
+        x, y = (light.df.select("gram", F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("pos").alias(f"p{k}"), F.col("root").alias(f"r{k}"), F.col("dense").alias(f"d{k}")) for k in "ab")
+        pairs = x.join(y, "gram").where("a < b and ra != rb and not (da and db)").where(self._sizes("na", "nb")).where(self._early())
+        out = [self.verified(pairs.select("a", "b", "na", "nb").distinct(), reps)]
         light.drop()
         # of two sets that link the smaller has num / den of the other's size: those of one class of sizes meet their own class and its neighbours
         base = math.log(max(self.den / self.num, 1.05)) * (1 + 1e-9) if self.num else math.inf

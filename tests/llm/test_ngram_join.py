@@ -195,3 +195,39 @@ def test_blocks_of_like_sizes(spark):
         rows += [(3 * i, own), (3 * i + 1, own + " end"), (3 * i + 2, own + " another end of it")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert got(df, few=2, block=5) == brute(rows)
+
+
+def test_groups_that_many_tasks_hold_once_make_no_pairs(spark, monkeypatch):
+    """Half of each text is common to 40, of which a task sees one: no n-gram of it may stand in a prefix, and no pair is made of it."""
+    from cohortry.llm import ngram_join as module
+
+    made = {}
+
+    class Counting(module.Written):
+        def __init__(self, df, label, *args):
+            super().__init__(df, label, *args)
+            made[label] = made.get(label, 0) + self.df.count()
+
+    monkeypatch.setattr(module, "Written", Counting)
+    common = " ".join(f"c{i}" for i in range(100))
+    rows = [(i, common + " " + " ".join(f"w{i}x{j}" for j in range(100))) for i in range(40)]
+    rows.append((40, rows[7][1] + " more"))
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "doc_id long, text string")
+    assert got(df) == brute(rows)
+    assert made["incidence"] <= 2 * 50 and made["pairs"] <= 1
+
+
+def test_place_of_the_first_common_ngram(spark):
+    """Pairs around the threshold, of which each has its first common n-gram as late as the threshold allows, or one place later."""
+    r = random.Random(5)
+    rows, at = [], 0
+    for n in (8, 30, 61, 200):
+        for change in (0, 1, n // 8, n // 7, n // 6, n // 4):
+            for cut in (0, n // 7, n // 4):
+                base = [f"t{at}_{j}" for j in range(n)]
+                other = [f"s{at}_{j}" if j < change else w for j, w in enumerate(base)][: n - cut]
+                rows += [(2 * at, " ".join(base)), (2 * at + 1, " ".join(other))]
+                at += 1
+    r.shuffle(rows)
+    for kw in ({}, {"listed": 1, "few": 1}):
+        assert got(spark.createDataFrame(rows, "doc_id long, text string"), **kw) == brute(rows)
