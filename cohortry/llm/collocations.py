@@ -14,7 +14,7 @@ from .hashing import ROOT, mixed
 BREAKS, SPACES = b".,;:!?\n\x0b\x0c\r", b" \t"
 _TO = bytes.maketrans(BREAKS + SPACES, b"\n" * len(BREAKS) + b" " * len(SPACES))
 #: Bytes of text taken at a time, and distinct words that a task remembers.
-_SECTION, _WORDS = 2 << 20, 1 << 17
+_SECTION, _WORDS = 1 << 19, 1 << 16
 
 
 def words_of(data: bytes) -> list[bytes]:
@@ -86,14 +86,17 @@ def _by_lang(batches):
     """(language, section): texts of a language are gathered over batches, of all languages some two sections at most."""
     held: dict[str, list[bytes]] = {}
     size = 0
-    for b in batches:
-        langs = np.array(b.column(0).to_pylist(), object)
-        for lang in sorted(set(langs)):
-            held.setdefault(lang, []).extend(b.column(1).take(pa.array(np.flatnonzero(langs == lang))).to_pylist())
-        size += b.nbytes
-        if size > 2 * _SECTION:
-            yield from ((lang, s) for lang, own in held.items() for s in _sections(own))
-            held, size = {}, 0
+    for whole in batches:
+        step = max(1, whole.num_rows * _SECTION // max(1, whole.nbytes))
+        for at in range(0, whole.num_rows, step):
+            b = whole.slice(at, step)
+            langs = np.array(b.column(0).to_pylist(), object)
+            for lang in sorted(set(langs)):
+                held.setdefault(lang, []).extend(b.column(1).take(pa.array(np.flatnonzero(langs == lang))).to_pylist())
+            size += b.nbytes
+            if size > 2 * _SECTION:
+                yield from ((lang, s) for lang, own in held.items() for s in _sections(own))
+                held, size = {}, 0
     yield from ((lang, s) for lang, own in held.items() for s in _sections(own))
 
 

@@ -91,3 +91,23 @@ def test_as_sql(spark, sf):
     assert got(op12_collocations(spark, sf)) == want and want
     low = spark.read.parquet(f"{sf}/documents.parquet")
     assert got(collocations(low, least=4)) == sorted(db.execute(ORACLES["op12_collocations"].replace(">= 100", ">= 4")).fetchall())
+
+
+def test_memory_of_a_task_is_bounded():
+    """A batch of 8 MB of rare words, as Spark sends them: a task takes it in sections, whose arrays and batches stay small."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(5000)]
+    texts = [" ".join(r.choices(words, k=2000)).encode() for _ in range(700)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(texts)), pa.array(texts, pa.binary())], names=["lang", "t"])
+    assert batch.nbytes > 7 << 20
+    tracemalloc.start()
+    try:
+        most = max(b.nbytes for b in module._windows(SimpleNamespace(value=b"\xff" * (1 << 12)), 1 << 15, 5)(iter([batch])))
+        assert most < 8 << 20 and tracemalloc.get_traced_memory()[1] < 40 << 20
+    finally:
+        tracemalloc.stop()
