@@ -11,7 +11,7 @@ _POWERS: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of an odd number modulo 2^64, and of its inverse."""
     if len(_POWERS.get("up", ())) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 19)
         for name, x in (("up", ROOT), ("down", pow(ROOT, -1, 1 << 64))):
             p = np.full(size, x, np.uint64)
             p[0] = 1

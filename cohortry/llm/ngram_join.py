@@ -27,7 +27,7 @@ from .common import Written, bounded_batches, cleaned
 from .components import components
 from .hashing import ROOT, mixed, powers
 
-_CHUNK = 2_000_000
+_CHUNK = 1_000_000
 #: Bits of the mark of a set, a power of two.
 _BITS = 2048
 #: Sets of an n-gram that is put behind others, and leading bits of hashes that the bitmap of such n-grams tells apart.
@@ -92,8 +92,8 @@ def node_of(grams: np.ndarray) -> int | None:
 
 
 def _sets(b: pa.RecordBatch, width: int):
-    """(row key, set) of the rows of (row key, text, ...), hashed in slices of some 1 MB."""
-    step = max(1, b.num_rows * (1 << 20) // max(1, b.nbytes))
+    """(row key, set) of the rows of (row key, text, ...), hashed in slices of some 256 KB: a byte of text takes some 40 bytes while it is hashed."""
+    step = max(1, b.num_rows * (1 << 18) // max(1, b.nbytes))
     for at in range(0, b.num_rows, step):
         s = b.slice(at, step)
         yield from zip(s.column(0).to_pylist(), ngram_sets(s.column(1).to_pylist(), width))
@@ -245,7 +245,7 @@ class _Join:
                         seen.add(node)
                         own.append(grams)
                         held += len(grams)
-                        if held > _CHUNK:
+                        if held > _CHUNK // 2:
                             yield out()
                             own, held = [], 0
             if own:
