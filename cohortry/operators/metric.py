@@ -126,7 +126,7 @@ class Rings:
 
 
 #: Bytes of vectors of a pack; a task of the grid holds two packs and a few tiles of distances, whatever the number of rows.
-PACK = 16 << 20
+PACK = 32 << 20
 
 
 def _packs(rows: float, width: int) -> int:

@@ -124,3 +124,10 @@ def test_ward_by_bounds_and_by_packs(spark, monkeypatch, pack):
         monkeypatch.setattr(metric, "_packs", lambda rows, width: 9)
     got = {r["k"]: r["cluster"] for r in metric.ward_clusters(frame(spark, x), "k", "v", 4, local=45, block=16).collect()}
     assert [got[i] for i in range(70)] == plain_ward(x, 4) and bool(seen) == (not pack)
+
+
+def test_rows_sent_by_the_grid():
+    """600,000 vectors of 64 numbers are sent some ten times a side, and up to 380,000 no more often than small tables."""
+    from cohortry.operators import metric
+
+    assert metric._packs(600_000, 64) <= 10 and metric._packs(380_000, 64) == 6 == metric._packs(50_000, 64)
