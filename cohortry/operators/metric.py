@@ -18,6 +18,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -193,11 +195,12 @@ class Fitted:
         self.points = ringed.join(F.broadcast(place_of), ["cell", "ring"]).select("id", "v", "w", F.col("at").alias("ring"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
         self.n, self.width, self.whole, self.dense = n, chosen.shape[1] if n else 0, points, False
 
-    def search(self, queries: DataFrame, best: Callable, out: str, bound: Callable[[DataFrame], DataFrame], q_block: int = 4096) -> tuple[DataFrame, DataFrame]:
+    def search(self, queries: DataFrame, best: Callable, out: str, bound: Callable | list[Callable], q_block: int = 4096, packed: Callable | None = None) -> tuple[DataFrame, DataFrame]:
         """(rows of ``out``, copies) for ``queries`` (id, v, w).
 
         ``best(q, f)`` gives rows of ``out``, which starts with the query's ``id``, for queries (with ``cost``, infinite at first) and one block of points; ``bound(rows)`` gives (id, cost)
-        of the queries by the rows of the first block met. ``copies`` has the number of blocks that each query was sent to, or of packs where the grid is taken, as ``dense`` tells then.
+        of the queries by the rows of the first block met. Of several bounds the first that leaves little enough is taken (``known``). ``copies`` has the number of blocks that each query was sent to,
+        or of packs where the grid is taken, with ``packed`` for ``best`` if given, as ``dense`` tells then.
         """
         rings = self.rings
         kind = queries.schema["id"].dataType.simpleString()
@@ -233,17 +236,20 @@ class Fitted:
 
         one = scratch(queries.select("id", "v", "w").mapInPandas(first, sent), "first")
         met = scratch(self._meet(one, best, out, q_block), "met")
-        known = bound(met)
-        # a query whose first block held too little, or whose cell is empty, may go anywhere
-        open_ = queries.select("id", "v", "w").join(one.select("id", "ring", "part"), "id", "left").join(known, "id", "left")
-        open_ = open_.select("id", "v", "w", F.coalesce("cost", F.lit(float("inf"))).alias("cost"), F.coalesce("ring", F.lit(-1)).alias("ring"), F.coalesce("part", F.lit(-1)).alias("part"))
         asked = one.count()
-        sample = open_.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(max(1, asked // 1000))) == 0)
-        mean = sample.mapInPandas(counts, "copies double").agg(F.avg("copies")).first()[0] or 0.0
         a, b = _packs(asked, self.width), _packs(self.n, self.width)
-        self.dense = mean * asked > asked * b + self.n * a
+        for limit in bound if isinstance(bound, list) else [bound]:
+            self.known = limit(met)
+            # a query whose first block held too little, or whose cell is empty, may go anywhere
+            open_ = queries.select("id", "v", "w").join(one.select("id", "ring", "part"), "id", "left").join(self.known, "id", "left")
+            open_ = open_.select("id", "v", "w", F.coalesce("cost", F.lit(float("inf"))).alias("cost"), F.coalesce("ring", F.lit(-1)).alias("ring"), F.coalesce("part", F.lit(-1)).alias("part"))
+            sample = open_.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(max(1, asked // 1000))) == 0)
+            mean = sample.mapInPandas(counts, "copies double").agg(F.avg("copies")).first()[0] or 0.0
+            self.dense = mean * asked > asked * b + self.n * a
+            if not self.dense:
+                break
         if self.dense:
-            rows = grid(queries, self.whole, best, out, asked, self.n, self.width)
+            rows = grid(queries, self.whole, packed or best, out, asked, self.n, self.width)
             return rows, queries.select("id", F.lit(b).cast("long").alias("copies"))
         two = scratch(open_.mapInPandas(others, sent), "others")
         rows = met.unionByName(self._meet(two, best, out, q_block))
@@ -371,82 +377,352 @@ def ward_merges(size: np.ndarray, center: np.ndarray) -> list[tuple[int, int, fl
     return out
 
 
-def _cheapest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-    """Of each cluster the other one of the block whose union adds the least squared error; of equal ones the smallest id."""
-    y, w, other = matrix(b["v"]), b["w"].to_numpy(), b["id"].to_numpy()
-    order = np.argsort(other)
-    y, w, other = y[order], w[order], other[order]
-    ids, to, cost = [], [], []
-    for at in range(0, len(a), TILE_Q):
-        g = a.iloc[at : at + TILE_Q]
-        x, s, own = matrix(g["v"]), g["w"].to_numpy()[:, None], g["id"].to_numpy()
-        least, met = np.full(len(g), np.inf), []
-        for lo in range(0, len(y), TILE):
-            part, n, name = y[lo : lo + TILE], w[lo : lo + TILE], other[lo : lo + TILE]
-            d2, err = squares(x, part)
-            scale = s * n / (s + n)
-            low, high = scale * (d2 - err), scale * (d2 + err)
-            place = np.minimum(np.searchsorted(name, own), len(name) - 1)
-            same = np.flatnonzero(name[place] == own)
-            low[same, place[same]] = high[same, place[same]] = np.inf
-            least = np.minimum(least, high.min(axis=1))
-            q, f = np.nonzero((low <= least[:, None]) & np.isfinite(low))
-            met.append((q, name[f], scale[q, f] * ((x[q] - part[f]) ** 2).sum(axis=1)))
-        q, f, exact = (np.concatenate([m[i] for m in met]) for i in range(3))
-        order = np.lexsort((f, exact, q))
-        q, f, exact = q[order], f[order], exact[order]
-        first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, int)
-        ids.append(own[q[first]]), to.append(f[first]), cost.append(exact[first])
-    return pd.DataFrame({"id": np.concatenate(ids), "other": np.concatenate(to), "c": np.concatenate(cost)})
-
-
-def ward_tree(points: DataFrame, local: int = 2000, block: int = 1024, rounds: int = 400) -> DataFrame:
+#: A cluster's choices that are kept, at least and at most; choices that one task takes; pairs that merge in one round over tasks; share of clusters without choices that a search waits for.
+CHOICES, PIECE, PAIRS, OPEN = (16, 64), 2 << 20, 500_000, 0.3
+
+#: Clusters with their choices in the order of cost and id; what a piece gives: those, merges (id, gone, height, step), or the roots of what merged; what a search gives.
+LISTS = "id long, w double, bound double, others array<long>, costs array<double>, sizes array<double>"
+DONE = f"{LISTS}, gone long, height double, step int, root long"
+FOUND = "id long, w double, other long, c double, size double, upto double"
+
+
+def cheapest(x: np.ndarray, s: np.ndarray, own: np.ndarray, y: np.ndarray, w: np.ndarray, other: np.ndarray, k: int, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of ``x``, row of ``y``, cost) of the ``k`` unions of each ``x`` with a ``y`` of another id that add the least squared error, in the order of cost and id; none above ``cost``.
+
+    ``other`` ascends. What costs at most T is told by a product: |y|^2 - 2xy - T/w <= T/s - |x|^2. It is made in single precision with a bound of its error, in double precision where that leaves
+    many; those left are worked out by differences. T falls as twice the rows are seen.
+    """
+    mean = y.mean(axis=0)
+    yc, ends = y - mean, [512]
+    while ends[-1] < len(y):
+        ends.append(ends[-1] + min(ends[-1], 16 * TILE))
+    ys, inverse = (yc * yc).sum(axis=1), 1 / w
+    right = np.column_stack([yc, ys, inverse])
+    small = right.astype(np.float32) if np.abs(right).max() < 1e15 else None
+    out = []
+    for at in range(0, len(x), TILE_Q):
+        xo, so, name, top = x[at : at + TILE_Q], s[at : at + TILE_Q], own[at : at + TILE_Q], cost[at : at + TILE_Q] * (1 + 1e-9)
+        xc = xo - mean
+        xs = (xc * xc).sum(axis=1)
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        begin = 0
+        for end in ends:
+            new = [held]
+            for lo in range(begin, min(end, len(y)), TILE):
+                hi = min(lo + TILE, end, len(y))
+                known = np.isfinite(top)
+                if not known.all():
+                    # nothing to compare with yet: the k-th of these rows, where there are so many
+                    d2 = np.maximum(xs[:, None] + ys[lo:hi] - 2 * xc @ yc[lo:hi].T, 0.0) + (xs[:, None] + ys[lo:hi]) * (4e-16 * (x.shape[1] + 8))
+                    high = so[:, None] * w[lo:hi] / (so[:, None] + w[lo:hi]) * d2
+                    high[name[:, None] == other[lo:hi]] = np.inf
+                    if k <= hi - lo:
+                        top = np.minimum(top, np.partition(high, k - 1, axis=1)[:, k - 1] * (1 + 1e-9))
+                limit = np.where(np.isfinite(top), top, 0.0)
+                left = np.column_stack([-2 * xc, np.ones(len(xc)), -limit])
+                size = 2 * xs + 2 * ys[lo:hi].max() + limit * inverse[lo:hi].max() + limit / so
+                for kind, part in ((np.float32, small), (np.float64, right)):
+                    if part is None or (kind is np.float32 and not size.max() < 1e30):
+                        continue
+                    room = limit / so - xs + (x.shape[1] + 16) * (6e-8 if kind is np.float32 else 3e-16) * size
+                    room[~np.isfinite(top)] = np.inf
+                    on = left.astype(kind, copy=False) @ part[lo:hi].T <= room.astype(kind)[:, None]
+                    if kind is np.float64 or np.count_nonzero(on) <= on.size // 32:
+                        break
+                q, f = np.divmod(np.flatnonzero(on), hi - lo)
+                f += lo
+                # differences of a bounded number of pairs at a time
+                for i in range(0, len(q), 1 << 16):
+                    a, b = q[i : i + (1 << 16)], f[i : i + (1 << 16)]
+                    a, b = (z[name[a] != other[b]] for z in (a, b))
+                    c = so[a] * w[b] / (so[a] + w[b]) * ((xo[a] - y[b]) ** 2).sum(axis=1)
+                    keep = c <= top[a]
+                    new.append([a[keep], b[keep], c[keep]])
+            begin = end
+            if len(new) > 1:
+                q, f, c = (np.concatenate([n[i] for n in new]) for i in range(3))
+                order = np.lexsort((f, c, q))
+                q, f, c = q[order], f[order], c[order]
+                keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+                held = q, f, c = q[keep], f[keep], c[keep]
+                last = np.flatnonzero(np.arange(len(q)) - np.searchsorted(q, q) == k - 1)
+                top[q[last]] = np.minimum(top[q[last]], c[last])
+        out.append((held[0] + at, held[1], held[2]))
+    return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
+
+
+def _cheapest(k: int) -> Callable:
+    """Rows of ``FOUND``; what a block does not give of a cluster costs at least ``upto``."""
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("id", ignore_index=True)
+        own, s, other, w = a["id"].to_numpy(), a["w"].to_numpy(), b["id"].to_numpy(), b["w"].to_numpy()
+        q, f, c = cheapest(matrix(a["v"]), s, own, matrix(b["v"]), w, other, k, a["cost"].to_numpy(np.float64))
+        upto = np.full(len(a), np.inf)
+        last = np.flatnonzero(np.arange(len(q)) - np.searchsorted(q, q) == k - 1)
+        upto[q[last]] = c[last]
+        return pd.DataFrame({"id": own[q], "w": s[q], "other": other[f], "c": c, "size": w[f], "upto": upto[q]})
+
+    return best
+
+
+def merge_choices(ids: np.ndarray, w: np.ndarray, bound: np.ndarray, near: tuple, pairs: tuple) -> tuple:
+    """(ids, w, bound, near) after all ``pairs`` have merged; ``near`` has (row, other, c, size) of choices, rows of ``ids`` ascending and ids sorted.
+
+    ``pairs`` has (member ascending, into, height, own size, size of the mate), each pair twice; both members are among ``ids`` or neither is. A cluster that is no choice of a row costs at least
+    its ``bound``. By the formula of Lance and Williams the cost of a union follows from the costs of its parts: exactly if both are choices, else a bound that takes the place of the row's if it is lower.
+    """
+    member, into, height, mine, mate = pairs
+
+    def place(name):
+        p = np.minimum(np.searchsorted(member, name), len(member) - 1)
+        return np.where(member[p] == name, p, -1)
+
+    def united(key, name, c, size_a, size_b, size, h, missing):
+        """(first places, costs, both known) of entries that meet, in the order of ``key`` and ``name``."""
+        order = np.lexsort((name, key))
+        k, n = key[order], name[order]
+        start = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (n[1:] != n[:-1])]) if len(k) else np.zeros(0, np.int64)
+        both = np.diff(np.r_[start, len(k)]) == 2
+        one = order[start]
+        total = np.add.reduceat(((size_a + size) * c)[order], start) if len(k) else np.zeros(0)
+        total = total + np.where(both, 0.0, (size_b[one] + size[one]) * missing[one])
+        return one, (total - size[one] * h[one]) / (size_a[one] + size_b[one] + size[one]), both
+
+    row, other, c, size = near
+    p = place(ids)
+    new, x = np.unique(np.where(p >= 0, into[p], ids), return_inverse=True)
+    moved = np.flatnonzero(p >= 0)
+    moved = moved[np.argsort(x[moved], kind="stable")]
+    a, b = moved[::2], moved[1::2]
+    partner = np.arange(len(ids))
+    partner[a], partner[b] = b, a
+    weight = np.bincount(x, w, len(new))
+    least = np.empty(len(new))
+    least[x] = bound
+    least[x[a]] = np.minimum((w[a] * bound[a] + w[b] * bound[b]) / (w[a] + w[b]), bound[a] + bound[b] - height[p[a]])
+
+    # choices of rows that merge
+    on = p[row] >= 0
+    go = on & (other != ids[partner[row]])
+    r = row[go]
+    one, cost, both = united(x[r], other[go], c[go], w[r], w[partner[r]], size[go], height[p[r]], np.maximum(bound[partner[r]], height[p[r]]))
+    np.minimum.at(least, x[r][one[~both]], cost[~both])
+    rows, others, costs, sizes = x[r][one[both]], other[go][one[both]], cost[both], size[go][one[both]]
+    fresh = np.r_[np.zeros(len(row) - on.sum(), bool), np.ones(len(rows), bool)]
+    row, other, c, size = (np.concatenate(z) for z in ((x[row[~on]], rows), (other[~on], others), (c[~on], costs), (size[~on], sizes)))
+
+    # choices that merge
+    q = place(other)
+    on = q >= 0
+    r, m = row[on], q[on]
+    one, cost, both = united(r, into[m], c[on], mine[m], mate[m], weight[r], height[m], np.maximum(least[r], height[m]))
+    np.minimum.at(least, r[one[~both]], cost[~both])
+    rows, m = r[one[both]], m[one[both]]
+    fresh = np.r_[fresh[~on], np.ones(len(rows), bool)]
+    row, other, c, size = (np.concatenate(z) for z in ((row[~on], rows), (other[~on], into[m]), (c[~on], cost[both]), (size[~on], mine[m] + mate[m])))
+    keep = c < least[row]
+    row, other, c, size, fresh = row[keep], other[keep], c[keep], size[keep], fresh[keep]
+    # rows without a new entry are in order
+    touched = np.zeros(len(new), bool)
+    touched[row[fresh]] = True
+    on = touched[row]
+    order = np.concatenate([np.flatnonzero(~on), np.flatnonzero(on)[np.lexsort((other[on], c[on], row[on]))]])
+    order = order[np.argsort(row[order], kind="stable")]
+    return new, weight, least, (row[order], other[order], c[order], size[order])
+
+
+def _opened(t: pa.Table) -> tuple:
+    """Rows of ``LISTS`` as (ids, w, bound, near) of ``merge_choices``."""
+    t = t.take(pa.array(np.argsort(t["id"].to_numpy(), kind="stable")))
+    flat = lambda c: pc.list_flatten(t[c]).to_numpy()
+    row = np.repeat(np.arange(len(t)), pc.list_value_length(t["others"]).to_numpy())
+    return t["id"].to_numpy(), t["w"].to_numpy(), t["bound"].to_numpy(), (row, flat("others"), flat("costs"), flat("sizes"))
+
+
+def _closed(ids: np.ndarray, w: np.ndarray, bound: np.ndarray, near: tuple) -> pa.Table:
+    cut = pa.array(np.searchsorted(near[0], np.arange(len(ids) + 1)).astype(np.int32))
+    lists = {c: pa.ListArray.from_arrays(cut, pa.array(v)) for c, v in zip(("others", "costs", "sizes"), near[1:])}
+    return pa.table({"id": ids, "w": w, "bound": bound, **lists})
+
+
+def mutual(ids: np.ndarray, near: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row kept, row gone, height) of all clusters that are each other's first choice."""
+    row, other, c, _ = near
+    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
+    to = np.full(len(ids), -1)
+    to[row[first]] = np.searchsorted(ids, other[first])
+    cost = np.zeros(len(ids))
+    cost[row[first]] = c[first]
+    kept = np.flatnonzero((to >= 0) & (to[to] == np.arange(len(ids))) & (np.arange(len(ids)) < to))
+    return kept, to[kept], cost[kept]
+
+
+def merged_pairs(kept, gone, height, w_kept, w_gone) -> tuple:
+    """Pairs in the form that ``merge_choices`` takes."""
+    member = np.concatenate([kept, gone])
+    order = np.argsort(member)
+    twice = lambda a, b: np.concatenate([a, b])[order]
+    return member[order], twice(kept, kept), twice(height, height), twice(w_kept, w_gone), twice(w_gone, w_kept)
+
+
+def _piece(local: int, step: int) -> Callable:
+    """Rounds over lists that one task holds: until ``local`` clusters are left, no two chose each other, or too many have no choice left."""
+
+    def run(batches):
+        batches = [b for b in batches if len(b)]
+        if not batches:
+            return
+        ids, w, bound, near = _opened(pa.Table.from_batches(batches))
+        own, root, at = ids, ids, step
+        out = {"id": [], "gone": [], "height": [], "step": []}
+        while len(ids) > local and len(ids) - len(np.unique(near[0])) <= OPEN * len(ids):
+            kept, gone, height = mutual(ids, near)
+            if not len(kept):
+                break
+            for name, v in (("id", ids[kept]), ("gone", ids[gone]), ("height", height), ("step", np.full(len(kept), at, np.int32))):
+                out[name].append(v)
+            pairs = merged_pairs(ids[kept], ids[gone], height, w[kept], w[gone])
+            ids, w, bound, near = merge_choices(ids, w, bound, near, pairs)
+            p = np.minimum(np.searchsorted(pairs[0], root), len(pairs[0]) - 1)
+            root = np.where(pairs[0][p] == root, pairs[1][p], root)
+            at += 1
+        parts = [_closed(ids, w, bound, near)]
+        if out["id"]:
+            moved = np.isin(root, root[root != own])
+            parts += [pa.table({k: np.concatenate(v) for k, v in out.items()}), pa.table({"id": own[moved], "root": root[moved]})]
+        floats, longs = pa.list_(pa.float64()), pa.list_(pa.int64())
+        kinds = dict(id=pa.int64(), w=pa.float64(), bound=pa.float64(), others=longs, costs=floats, sizes=floats, gone=pa.int64(), height=pa.float64(), step=pa.int32(), root=pa.int64())
+        for t in parts:
+            t = pa.table({c: t[c] if c in t.column_names else pa.nulls(len(t), kind) for c, kind in kinds.items()})
+            yield from t.to_batches(max_chunksize=20_000)
+
+    return run
+
+
+def _choices(todo: DataFrame, asked: int, clusters: DataFrame, n: int, width: int, k: int, block: int, dense: bool) -> tuple[DataFrame, bool]:
+    """(rows of ``LISTS`` for the clusters of ``todo``, whether a grid was taken because bounds left most): some ``k`` of the cheapest unions of each, and what any other costs at least."""
+    known = None
+    # packs are dealt by hash, so that each holds a like share of the cheapest
+    packed = _cheapest(-(-k // _packs(n, width)) + 3)
+    if dense or 8 * width * n <= PACK:
+        # centers of clusters that bounds did not part lie closer still; and few clusters cost less than the queries that find bounds
+        rows = grid(todo, clusters, packed, FOUND, asked, n, width)
+    else:
+        fitted = Fitted(clusters, block)
+        # all choices by bounds, or else the best one
+        bounds = [lambda met, j=j: met.where(F.col("r") == j).select("id", F.col("c").alias("cost")) for j in (k + 1, 1)]
+        order = F.row_number().over(Window.partitionBy("id").orderBy("c", "other"))
+        rows, _ = fitted.search(todo, _cheapest(k + 1), FOUND, [lambda met, b=b: b(met.withColumn("r", order)) for b in bounds], packed=packed)
+        dense, known = fitted.dense, None if fitted.dense else fitted.known
+    near = F.array_sort(F.collect_list(F.struct("c", "other", "size")))
+    found = rows.groupBy("id").agg(F.first("w").alias("w"), F.min("upto").alias("bound"), near.alias("near"))
+    if known is not None:
+        # what was not met costs more than the bound of the query
+        found = found.join(known, "id", "left").withColumn("bound", F.least("bound", F.col("cost") * (1 + 2.3e-16)))
+    below = F.filter("near", lambda e: e["c"] < F.col("bound"))
+    # of equal costs at the bound the first one is known
+    near = F.when(F.size(below) > 0, below).otherwise(F.slice("near", 1, 1))
+    found = found.withColumn("near", near)
+    return found.select("id", "w", "bound", F.col("near.other").alias("others"), F.col("near.c").alias("costs"), F.col("near.size").alias("sizes")), dense
+
+
+def _round(lists: DataFrame, step: int, parts: int) -> tuple[DataFrame, DataFrame, int]:
+    """(lists, merges, their number) after one round: of the pairs that chose each other ``PAIRS`` at most merge, which go to all tasks; others can wait, as no merge parts them."""
+    spark = lists.sparkSession
+    made = "kept long, gone long, height double, mine double, mate double"
+    chosen = lists.where(F.size("others") > 0).select("id", F.col("others")[0].alias("other"), F.col("costs")[0].alias("c"), "w")
+    back = chosen.select(F.col("other").alias("id"), F.col("id").alias("other"), F.col("w").alias("mate"))
+    pairs = chosen.join(back, ["id", "other"]).where("id < other").select(F.col("id").alias("kept"), F.col("other").alias("gone"), F.col("c").alias("height"), F.col("w").alias("mine"), "mate")
+    pairs = scratch(pairs.limit(PAIRS), "pairs")
+    got = pairs.toPandas()
+    merges = pairs.select("kept", "gone", "height", F.lit(step).alias("step"))
+    if not len(got):
+        return lists, merges, 0
+    sent = spark.sparkContext.broadcast(merged_pairs(*(got[c.split()[0]].to_numpy() for c in made.split(", "))))
+
+    def run(t: pa.Table) -> pa.Table:
+        return _closed(*merge_choices(*_opened(t), sent.value))
+
+    # both members of a pair come to one task
+    named = lists.join(pairs.select(F.col("gone").alias("id"), "kept"), "id", "left").withColumn("bucket", F.pmod(F.xxhash64(F.coalesce("kept", "id")), F.lit(parts))).drop("kept")
+    after = scratch(named.groupBy("bucket").applyInArrow(run, LISTS), "lists")
+    sent.destroy()
+    return after, merges, len(got)
+
+
+def _moved(clusters: DataFrame, roots_of: DataFrame, parts: int) -> DataFrame:
+    """Clusters after merges: weighted means of those of one root; ``roots_of`` has (id, root) of all that merged, the roots too."""
+
+    def mean(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["root", "id"], ignore_index=True)
+        root, w = f["root"].to_numpy(), f["w"].to_numpy()
+        start = np.flatnonzero(np.r_[True, root[1:] != root[:-1]])
+        total = np.add.reduceat(w, start)
+        v = np.add.reduceat(matrix(f["v"]) * w[:, None], start) / total[:, None]
+        return pd.DataFrame({"id": root[start], "v": list(v), "w": total})
+
+    named = clusters.join(roots_of, "id", "left")
+    united = named.where("root is not null").withColumn("bucket", F.pmod(F.xxhash64("root"), F.lit(parts)))
+    united = united.groupBy("bucket").applyInPandas(lambda f: mean(f), "id long, v array<double>, w double")
+    return scratch(named.where("root is null").select("id", "v", "w").unionByName(united), "clusters")
+
+
+def ward_tree(points: DataFrame, local: int = 2000, block: int = 1024) -> DataFrame:
     """(kept, gone, height, step): all merges of Ward's clustering of ``points`` (id long, v, w), in rounds; a merge's parts have lower steps.
 
-    In each round every cluster finds the one whose union adds the least squared error, by the same bounds as a nearest-neighbour join with the least weight of a ring,
-    and all pairs that chose each other merge. Ward's criterion is reducible, so these are merges of the sequential algorithm; a cluster whose choice has not
-    merged keeps it. Once ``local`` clusters are left the rest is done in one piece.
+    In a search clusters find the others whose union adds the least squared error, by the same bounds as a nearest-neighbour join with the least weight of a ring or in a grid of packs, and keep
+    some of them. In rounds all pairs that chose each other merge; as Ward's criterion is reducible, these are merges of the sequential algorithm. The costs of the new clusters to the choices that are left
+    follow from the old ones, without vectors (``merge_choices``), so that only clusters that run out of choices are searched again, once ``OPEN`` of all have. Rounds are over tasks, or within one task where it holds
+    all choices (``PIECE``). Once ``local`` clusters are left the rest is done in one piece.
     """
     spark = points.sparkSession
     clusters = scratch(points.select("id", "v", "w"), "clusters")
-    chosen, merged, dense, n = None, [], False, clusters.count()
+    n = clusters.count()
     first = clusters.select(F.size("v").alias("width")).first()
     width = first["width"] if first else 0
-    for step in range(rounds):
-        if n <= local:
-            break
-        todo = clusters if chosen is None else clusters.join(chosen.select("id"), "id", "left_anti")
-        bound = lambda met: met.groupBy("id").agg(F.min("c").alias("cost"))
-        made = "id long, other long, c double"
-        if dense or 8 * width * n <= PACK:
-            # centers of clusters that bounds did not part lie closer still; and few clusters cost less than the queries that find bounds
-            rows = grid(todo, clusters, _cheapest, made, n, n, width)
+    lists, merged, dense, step, open_ = None, [], False, 0, n
+    while n > local:
+        todo = clusters if open_ == n else clusters.join(lists.where(F.size("others") == 0).select("id"), "id", "left_semi")
+        k, whole = max(CHOICES[0], min(CHOICES[1], PIECE // n)), open_ == n
+        found, dense = _choices(todo, open_, clusters, n, width, k, block, dense)
+        lists = found if whole else found.unionByName(lists.where(F.size("others") > 0))
+        before = n
+        if n * CHOICES[0] <= PIECE:
+            done = scratch(lists.repartition(1).mapInArrow(_piece(local, step), DONE), "lists")
+            lists = done.where("height is null and root is null").select(*[c.split()[0] for c in LISTS.split(", ")])
+            merged.append(done.where("height is not null").select(F.col("id").alias("kept"), "gone", "height", "step"))
+            moved = done.where("root is not null").select("id", "root")
+            gone, step = done.agg(F.count("height"), F.coalesce(F.max("step") + 1, F.lit(step))).first()
+            n -= gone
+            open_ = lists.where(F.size("others") == 0).count()
         else:
-            fitted = Fitted(clusters, block)
-            rows, _ = fitted.search(todo, _cheapest, made, bound)
-            dense = fitted.dense
-        found = rows.groupBy("id").agg(F.min(F.struct("c", "other")).alias("s")).select("id", F.col("s.other").alias("other"), F.col("s.c").alias("c"))
-        found = scratch(found if chosen is None else found.unionByName(chosen), "chosen")
-        back = found.select(F.col("id").alias("other"), F.col("other").alias("id"))
-        pairs = scratch(found.join(back, ["id", "other"]).where("id < other").select(F.col("id").alias("kept"), F.col("other").alias("gone"), F.col("c").alias("height"), F.lit(step).alias("step")), "pairs")
-        merged.append(pairs)
-        moved = pairs.select(F.explode(F.array("kept", "gone")).alias("id"), "kept")
-        named = clusters.join(moved, "id", "left").withColumn("into", F.coalesce("kept", "id"))
-        # two rows a cluster at most
-        whole = named.groupBy("into").agg(F.sum("w").alias("w"), F.collect_list(F.struct("id", "w", "v")).alias("p"))
-        p = F.array_sort("p")
-        mean = F.when(F.size("p") == 1, p[0]["v"]).otherwise(F.zip_with(p[0]["v"], p[1]["v"], lambda a, b: (p[0]["w"] * a + p[1]["w"] * b) / (p[0]["w"] + p[1]["w"])))
-        clusters = scratch(whole.select(F.col("into").alias("id"), mean.alias("v"), "w"), "clusters")
-        # choices that still stand: of clusters that did not merge, for clusters that did not
-        away = moved.select("id")
-        chosen = found.join(away, "id", "left_anti").join(away.withColumnRenamed("id", "other"), "other", "left_anti").select("id", "other", "c")
-        n = clusters.count()
-    else:
-        raise RuntimeError(f"{rounds} rounds left {clusters.count()} clusters")
+            lists, new, open_ = scratch(lists, "lists"), [], 0
+            while n > local and open_ <= OPEN * n and n * CHOICES[0] > PIECE:
+                lists, pairs, gone = _round(lists, step, _packs(n, 3 * CHOICES[1]))
+                if not gone:
+                    break
+                new.append(pairs)
+                n, step = n - gone, step + 1
+                open_ = lists.where(F.size("others") == 0).count()
+            merged += new
+            if new:
+                up = new[0]
+                for m in new[1:]:
+                    up = up.unionByName(m)
+                ends = roots(up.select(F.col("gone").alias("id"), F.col("kept").alias("up")))
+                moved = ends.unionByName(ends.select(F.col("root").alias("id"), "root").distinct())
+        if n < before:
+            clusters = _moved(clusters, moved, _packs(n, width))
+        elif whole:
+            raise RuntimeError(f"no two of {n} clusters chose each other")
+        else:
+            # costs that rounding made unequal on both sides: all choices are found anew
+            open_ = n
     last = sorted(clusters.collect(), key=lambda r: r["id"])  # ``local`` rows at most
     ids = [r["id"] for r in last]
     rest = ward_merges(np.array([r["w"] for r in last]), matrix(r["v"] for r in last)) if last else []
-    out = spark.createDataFrame([(ids[a], ids[b], h, rounds + i) for i, (a, b, h) in enumerate(rest)], "kept long, gone long, height double, step int")
+    out = spark.createDataFrame([(ids[a], ids[b], h, step + i) for i, (a, b, h) in enumerate(rest)], "kept long, gone long, height double, step int")
     for m in merged:
         out = out.unionByName(m)
     return scratch(out, "merges")

@@ -131,3 +131,59 @@ def test_rows_sent_by_the_grid():
     from cohortry.operators import metric
 
     assert metric._packs(600_000, 64) <= 10 and metric._packs(380_000, 64) == 6 == metric._packs(50_000, 64)
+
+
+@pytest.mark.parametrize("piece", [2 << 20, 0])
+def test_ward_searches_few_clusters_again(spark, monkeypatch, piece):
+    """Costs follow from the choices that are kept, in one task or over tasks: clusters meet others hardly more often than in the first search."""
+    asked, plain = [], metric.grid
+    monkeypatch.setattr(metric, "grid", lambda q, p, *a, **kw: asked.append(q.count() * p.count()) or plain(q, p, *a, **kw))
+    monkeypatch.setattr(metric, "PIECE", piece, raising=False)
+    monkeypatch.setattr(metric, "PAIRS", 40, raising=False)
+    x = clustered(8, 400, 24, 1, 1.0)
+    got = {r["k"]: r["cluster"] for r in metric.ward_clusters(frame(spark, x), "k", "v", 4, local=60).collect()}
+    assert [got[i] for i in range(400)] == plain_ward(x, 4)
+    assert sum(asked) < 2.2 * 400**2, sum(asked) / 400**2
+
+
+@pytest.mark.parametrize("scale,offset,weights", [(1.0, 0.0, 1), (1e-4, 100.0, 3), (1.0, 1e6, 9), (1e20, 0.0, 2), (0.0, 1.0, 1)])
+def test_cheapest_unions(monkeypatch, scale, offset, weights):
+    """Single precision leaves out nothing: far from the origin, of any size, and of rounded vectors with many equal costs."""
+    monkeypatch.setattr(metric, "TILE", 300)
+    monkeypatch.setattr(metric, "TILE_Q", 50)
+    r = np.random.default_rng(3)
+    y = offset + scale * r.normal(size=(900, 5)) if scale else np.round(r.normal(size=(900, 5)))
+    w, ids = r.integers(1, weights + 1, 900).astype(float), np.sort(r.choice(10**9, 900, replace=False))
+    at = r.integers(0, 900, 120)
+    q, f, c = metric.cheapest(y[at], w[at], ids[at], y, w, ids, 6, np.full(120, np.inf))
+    for i, a in enumerate(at):
+        cost = w[a] * w / (w[a] + w) * ((y[a] - y) ** 2).sum(axis=1)
+        cost[a] = np.inf
+        want = np.lexsort((ids, cost))[:6]
+        assert f[q == i].tolist() == want.tolist() and c[q == i].tolist() == cost[want].tolist()
+
+
+def test_costs_that_follow_from_choices():
+    """After merges a choice has the cost that the centers give, and no other cluster costs less than the bound."""
+    r = np.random.default_rng(9)
+    x, w, ids = r.normal(size=(60, 3)), r.integers(1, 4, 60).astype(float), np.arange(60) * 2 + 1
+    full = np.full(60, np.inf)
+    q, f, c = metric.cheapest(x, w, ids, x, w, ids, 9, full)
+    bound = c.reshape(60, 9)[:, -1]
+    on = c < bound[q]
+    near = (q[on], ids[f[on]], c[on], w[f[on]])
+    for _ in range(4):
+        kept, gone, height = metric.mutual(ids, near)
+        assert len(kept)
+        pairs = metric.merged_pairs(ids[kept], ids[gone], height, w[kept], w[gone])
+        x[kept] = (w[kept, None] * x[kept] + w[gone, None] * x[gone]) / (w[kept] + w[gone])[:, None]
+        left = np.delete(np.arange(len(ids)), gone)
+        ids, w, bound, near = metric.merge_choices(ids, w, bound, near, pairs)
+        x = x[left]
+        row, other, c, size = near
+        cost = w[:, None] * w / (w[:, None] + w) * ((x[:, None] - x) ** 2).sum(axis=2)
+        to = np.searchsorted(ids, other)
+        assert np.allclose(c, cost[row, to]) and (size == w[to]).all() and (np.diff(row) >= 0).all()
+        cost[row, to] = np.inf
+        np.fill_diagonal(cost, np.inf)
+        assert (cost.min(axis=1) >= bound * (1 - 1e-12)).all()
