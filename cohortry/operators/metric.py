@@ -377,8 +377,9 @@ def ward_merges(size: np.ndarray, center: np.ndarray) -> list[tuple[int, int, fl
     return out
 
 
-#: A cluster's choices that are kept, at least and at most; choices that one task takes; pairs that merge in one round over tasks; share of clusters without choices that a search waits for.
-CHOICES, PIECE, PAIRS, OPEN = (16, 64), 2 << 20, 500_000, 0.3
+#: A cluster's choices that are kept, at least and at most; choices that one task takes; pairs that merge in one round over tasks; share of clusters without choices that a search
+#: waits for, and share that a round over tasks merges at least before one.
+CHOICES, PIECE, PAIRS, OPEN, FEW = (16, 64), 2 << 20, 500_000, 0.3, 0.005
 
 #: Clusters with their choices in the order of cost and id; what a piece gives: those, merges (id, gone, height, step), or the roots of what merged; what a search gives.
 LISTS = "id long, w double, bound double, others array<long>, costs array<double>, sizes array<double>"
@@ -705,6 +706,8 @@ def ward_tree(points: DataFrame, local: int = 2000, block: int = 1024) -> DataFr
                 new.append(pairs)
                 n, step = n - gone, step + 1
                 open_ = lists.where(F.size("others") == 0).count()
+                if open_ and gone < n * FEW:
+                    break  # a search of those without choices gives more pairs than another round
             merged += new
             if new:
                 up = new[0]
